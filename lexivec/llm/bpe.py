@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Above every rank.
 NONE = 1 << 40
 #: The pattern of byte-level tokenizers of this family; white space by its Unicode property.
@@ -90,6 +90,8 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.pair_rank = np.append(np.array([*self.rank_of.values()], np.int64)[order], NONE)
+        self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
+        self.trie_keys, self.trie_next, self.trie_token = self.trie()
         self.find = regex.compile(WORD).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         #: Ids of words and of chunks of text, and those of the generation before, which are dropped next.
@@ -97,6 +99,22 @@ class Bpe:
         self.chunks: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vocabulary as a trie: sorted keys node * 256 + byte, the nodes they lead to, and nodes' tokens."""
+        nodes: dict[bytes, int] = {b"": 0}
+        edges: list[tuple[int, int]] = []
+        for t in self.id_of:
+            for k in range(1, len(t) + 1):
+                if t[:k] not in nodes:
+                    nodes[t[:k]] = len(nodes)
+                    edges.append((nodes[t[: k - 1]] * 256 + t[k - 1], nodes[t[:k]]))
+        edges.sort()
+        token = np.full(len(nodes), -1, np.int64)
+        for t, i in self.id_of.items():
+            token[nodes[t]] = i
+        keys, following = np.array(edges, np.int64).T
+        return np.append(keys, np.iinfo(np.int64).max), np.append(following, 0), token
+
     # -- words
 
     def longest_match(self, word: bytes) -> list[int]:
@@ -176,12 +194,82 @@ class Bpe:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return good
 
+    def propose(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """longest_match of many words in step, by a walk down the trie: tokens, and the number of them by word."""
+        data = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+        stop = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        word = np.flatnonzero(np.diff(stop, prepend=0) > 0)
+        at = (stop - np.diff(stop, prepend=0))[word]
+        end = stop[word]
+        node, best, best_at = np.zeros(len(word), np.int64), np.full(len(word), -1, np.int64), at.copy()
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            inside = at < end
+            key = node * 256 + data[np.minimum(at, end - 1)]
+            k = np.searchsorted(self.trie_keys, key)
+            go = inside & (self.trie_keys[k] == key)
+            node = np.where(go, self.trie_next[k], 0)
+            at = np.where(go, at + 1, best_at)
+            token = self.trie_token[node]
+            found = go & (token >= 0)
+            best, best_at = np.where(found, token, best), np.where(found, at, best_at)
+            done = ~go
+            if done.any():
+                out.append((word[done], best[done]))
+                best[done] = -1
+                left = ~(done & (at >= end))
+                if not left.all():
+                    word, at, end, node, best, best_at = (x[left] for x in (word, at, end, node, best, best_at))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(len(raws), np.int64)
+        words, tokens = (np.concatenate(x) for x in zip(*out))
+        return tokens[np.argsort(words, kind="stable")], np.bincount(words, minlength=len(raws))
+
+    def rank_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = np.where((a >= 0) & (b >= 0), a * self.size + b, -1)
+        k = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[k] == keys, self.pair_rank[k], NONE)
+
+    def merge_many(self, raws: list[bytes]) -> list[bytes]:
+        """merge() of many short words in step; the ids of each in bytes."""
+        width = max(map(len, raws))
+        x = np.full((len(raws), width + 1), -1, np.int64)
+        n = np.fromiter(map(len, raws), np.int64, len(raws))
+        x[:, :-1][np.arange(width) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+        ranks = self.rank_pairs(x[:, :-1], x[:, 1:])
+        rows = np.arange(len(raws))
+        final = np.full((len(raws), width), -1, np.int64)
+        made = np.array(self.made)
+        while len(rows):
+            i = ranks.argmin(1)
+            here = np.arange(len(rows))
+            low = ranks[here, i]
+            on = low < NONE
+            final[rows[~on]] = x[~on, :-1]
+            x, ranks, rows, i, low = x[on], ranks[on], rows[on], i[on], low[on]
+            here = np.arange(len(rows))
+            x[here, i] = made[low]
+            later = np.arange(width)[None, :] > i[:, None]
+            x[:, :-1] = np.where(later, x[:, 1:], x[:, :-1])
+            ranks[:, :-1] = np.where(later[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            ranks[here, i] = self.rank_pairs(x[here, i], x[here, i + 1])
+            before = np.flatnonzero(i > 0)
+            j = i[before]
+            ranks[before, j - 1] = self.rank_pairs(x[before, j - 1], x[before, j])
+        keep = final >= 0
+        flat, ends = final[keep].astype("<u4").tobytes(), (4 * keep.sum(1).cumsum()).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def learn(self, words: list[str]) -> None:
         """Put the ids of words into the cache."""
+        words.sort(key=len)
         raws = [w.encode() for w in words]
-        cuts = [self.longest_match(r) for r in raws]
-        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = np.fromiter((t for c in cuts for t in c), np.int64, int(n.sum()))
+        short = np.searchsorted(np.fromiter(map(len, words), np.int64, len(words)), 100, side="right")
+        flat, n = self.propose(raws[:short])
+        if short < len(raws):
+            cuts = [self.longest_match(r) for r in raws[short:]]
+            flat, n = np.append(flat, np.concatenate(cuts)), np.append(n, [len(c) for c in cuts])
         ends = np.cumsum(n)
         inner = np.ones(max(len(flat) - 1, 0), bool)
         inner[ends[:-1] - 1] = False
@@ -190,73 +278,101 @@ class Bpe:
         data, starts = flat.astype("<u4").tobytes(), ends - n
         for w, i, j in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
             self.words[w] = data[i:j]
-        for k in np.unique(np.searchsorted(ends, failing, side="right")).tolist():
-            self.words[words[k]] = np.array(self.merge(raws[k]), "<u4").tobytes()
+        again = np.unique(np.searchsorted(ends, failing, side="right")).tolist()
+        few = [k for k in again if len(raws[k]) <= 32]
+        for i in range(0, len(few), 4096):
+            for k, x in zip(few[i : i + 4096], self.merge_many([raws[k] for k in few[i : i + 4096]])):
+                self.words[words[k]] = x
+        for k in again:
+            if len(raws[k]) > 32:
+                self.words[words[k]] = np.array(self.merge(raws[k]), "<u4").tobytes()
 
     # -- texts. A text may be cut before each blank that a non-blank follows, and round a single line feed
     # between non-blanks: the pattern finds the same words on both sides.
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk of text."""
-        out: list[str] = []
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        if "\n" not in chunk:
+            return self.find(chunk)
         lines = chunk.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            for k, x in enumerate(lines):
-                out += (["\n"] if k else []) + self.find(x)
-            return out
-        return self.find(chunk)
+        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines[1:]) or not lines[0].strip() or lines[0][-1].isspace():
+            return self.find(chunk)
+        out = self.find(lines[0])
+        for x in lines[1:]:
+            out.append("\n")
+            out += self.find(x)
+        return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of texts, each as little-endian 32-bit numbers."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.old = self.words, self.chunks
-            self.words, self.chunks = {}, {}
-        rows: list[list[str | bytes]] = []
-        for text in texts:
-            parts: list[str | bytes] = []
-            if text and self.cut and self.cut.search(text):
-                end = 0
-                for m in self.cut.finditer(text):
-                    if m.start() > end:
-                        parts += self.chunked(text[end : m.start()])
-                    parts.append(np.array([self.special[m[0]]], "<u4").tobytes())
-                    end = m.end()
-                if end < len(text):
-                    parts += self.chunked(text[end:])
-            elif text:
-                parts = self.chunked(text)
-            rows.append(parts)
-        chunks = self.chunks
-        if new := {c for parts in rows for c in parts if c not in chunks and isinstance(c, str)}:
-            old_words, old_chunks = self.old
-            for c in [c for c in new if c in old_chunks]:
-                chunks[c] = old_chunks[c]
-                new.discard(c)
-            cut = {c: self.pieces(c) for c in new}
-            known = self.words
-            if words := {w for ws in cut.values() for w in ws if w not in known}:
-                for w in [w for w in words if w in old_words]:
-                    known[w] = old_words[w]
-                    words.discard(w)
-                if words:
-                    self.learn(list(words))
-            for c, ws in cut.items():
-                chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        get = chunks.get
-        return [b"".join([get(c, c) for c in parts]) for parts in rows]
-
-    def chunked(self, text: str) -> list[str | bytes]:
-        """The text in chunks; all but the first begin with a blank that a non-blank follows."""
+    def chunked(self, text: str) -> tuple[str, list[str]]:
+        """The beginning of a text and its chunks after it, each without the blank that stands before it."""
         first, *rest = text.split(" ")
-        out: list[str | bytes] = [first, *[" " + x for x in rest]]
         if BLANKS(text):
             out = [first]
             for x in rest:
                 if not x or x[0].isspace():
                     out[-1] += " " + x
                 else:
-                    out.append(" " + x)
-        return out if out[0] else out[1:]
+                    out.append(x)
+            first, *rest = out
+        return first, rest
+
+    def parts(self, text: str):
+        """A text as special tokens (bytes) and texts between them."""
+        end = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            if m.start() > end:
+                yield text[end : m.start()]
+            yield np.array([self.special[m[0]]], "<u4").tobytes()
+            end = m.end()
+        if end < len(text):
+            yield text[end:]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts, each as little-endian 32-bit numbers."""
+        if len(self.chunks) > CACHE_WORDS:
+            self.old = self.words, self.chunks
+            self.words, self.chunks = {}, {}
+        get = self.chunks.get
+        rows: list[list[bytes | None]] = []
+        gaps: list[tuple[list, int, str]] = []  # what isn't known yet: its list, its place, its text
+        for text in texts:
+            rows.append(row := [])
+            for part in self.parts(text) if text else ():
+                if isinstance(part, bytes):
+                    row.append(part)
+                    continue
+                first, rest = self.chunked(part)
+                if first:
+                    gaps.append((row, len(row), first))
+                    row.append(None)
+                at = len(row)
+                row += map(get, rest)
+                if None in row[at:]:
+                    gaps += [(row, k, " " + rest[k - at]) for k in range(at, len(row)) if row[k] is None]
+        if gaps:
+            known = self.ids_of({x for _, _, x in gaps})
+            for row, k, x in gaps:
+                row[k] = known[x]
+        return [b"".join(row) for row in rows]
+
+    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks, which join the known ones if a blank begins them."""
+        old_words, old_chunks = self.old
+        out = {c: x for c in chunks if c[0] == " " and (x := old_chunks.get(c[1:])) is not None}
+        cut = {c: self.pieces(c) for c in chunks if c not in out}
+        words = self.words
+        if new := {w for ws in cut.values() for w in ws if w not in words}:
+            for w in [w for w in new if w in old_words]:
+                words[w] = old_words[w]
+                new.discard(w)
+            if new:
+                self.learn(list(new))
+        for c, ws in cut.items():
+            out[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        self.chunks.update((c[1:], x) for c, x in out.items() if c[0] == " ")
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
@@ -273,7 +389,7 @@ def load(path: str) -> Bpe:
 
 
 #: Texts of this many characters are encoded together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 
 def blocks(texts: pa.Array):
@@ -314,9 +430,9 @@ def decode(ids: Column, path: str | None = None) -> Column:
         of = bpe.bytes_of
         out = []
         ends = lists.offsets.to_numpy().tolist()
-        flat = lists.values.to_numpy(zero_copy_only=False).tolist()
+        flat = lists.values.to_numpy(zero_copy_only=False)
         for k, null in enumerate(lists.is_null().to_pylist()):
-            out.append(None if null else b"".join([of[i] for i in flat[ends[k] : ends[k + 1]]]).decode("utf-8", "replace"))
+            out.append(None if null else b"".join([of[i] for i in flat[ends[k] : ends[k + 1]].tolist()]).decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, StringType())(ids)
