@@ -24,8 +24,8 @@ from lexivec.llm.shared import saved
 
 #: Bounds of the fitted sample: rows in all, rows a tree; trees.
 SAMPLE, PSI, TREES = 8192, 256, 128
-#: Statistics that the forest looks at: shares of odd characters. Length is no fault, repetition has its own rule.
-USED = [rules.RATIOS.index(x) for x in ("symbol_share", "upper_share", "mark_share", "bar_share")]
+#: Rules: a statistic and what is usual of it; the forest looks at what exceeds that. Length is no fault.
+USUAL = {"symbol_share": 0.02, "upper_share": 0.15, "mark_share": 0.03, "bar_share": 0.02, "digit_share": 0.2, "punctuation_share": 0.2, "dup_line_share": 0.35, "repeat_share": 0.35, "mean_word": 14.0}
 BINS = 2000
 
 
@@ -34,6 +34,12 @@ def usual_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def excess(ratios: pa.Array) -> np.ndarray:
+    """How far the statistics of documents (rules.RATIOS) exceed what is usual."""
+    x = rules.matrix(ratios, len(rules.RATIOS))[:, [rules.RATIOS.index(k) for k in USUAL]]
+    return np.maximum(x - np.array([*USUAL.values()]), 0)
+
+
 @dataclass
 class Forest:
     """Trees as arrays [tree, node]; a leaf leads to itself. depth holds a leaf's path length."""
@@ -88,7 +94,8 @@ def failed_base() -> Column:
 
 
 def threshold(counts: list[tuple[int, int, int]], lost: float) -> float:
-    """From (bin, label, rows): the least bin edge above which at most the share lost of good rows lies."""
+    """From (bin, label, rows): of the bin edges above which at most the share lost of good rows lies, that which
+    parts the labels best; the middle one of equals."""
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for b, label, n in counts:
         (good if label else bad)[b] += n
@@ -97,7 +104,11 @@ def threshold(counts: list[tuple[int, int, int]], lost: float) -> float:
     above_good = good[::-1].cumsum()[::-1] / good.sum()
     above_bad = bad[::-1].cumsum()[::-1] / bad.sum()
     fit = np.flatnonzero(above_good <= lost)
-    return 2.0 if not len(fit) else float(fit[np.argmax(above_bad[fit] - above_good[fit])]) / BINS
+    if not len(fit):
+        return 2.0
+    gain = above_bad[fit] - above_good[fit]
+    best = fit[gain >= gain.max() - 1e-12]
+    return float(best[len(best) // 2]) / BINS
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005) -> DataFrame:
@@ -105,11 +116,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005) -> Da
     anomaly (double), kept. lost: the largest share of documents labelled good that the threshold may remove."""
     stats = saved(rules.with_statistics(docs).withColumn("base_failed", failed_base()), "rule-statistics")
     sample = stats.where("not base_failed").select("ratios").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
-    x = rules.matrix(sample["ratios"].combine_chunks(), len(rules.RATIOS))[:, USED]
+    x = excess(sample["ratios"].combine_chunks())
     forest = Forest.fit(x) if len(x) else None
 
     def anomaly(ratios: pa.Array) -> pa.Array:
-        x = rules.matrix(ratios, len(rules.RATIOS))[:, USED]
+        x = excess(ratios)
         return pa.array(forest.score(x) if forest else np.zeros(len(x)))
 
     scored = saved(stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")("ratios")).drop("ratios"), "anomalies")
