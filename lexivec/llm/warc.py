@@ -12,6 +12,8 @@ Which capture holds a payload is an aggregation over payload digests (partial su
 payload that a third of all pages share is no hot group) joined back on the digest; only identifiers take part in
 this, never payloads.
 
+Records read back carry the length and the base32 SHA-1 of the payload that was read.
+
 Defined results: a null html is an empty payload; a null url gives records without WARC-Target-URI; line breaks in a
 url are percent-encoded; repeated rows of one page_id are captures of their own, and of these the first is referred
 to; rows with equal page_id and payload are all responses; captures without request or metadata have null there;
@@ -36,7 +38,7 @@ from lexivec.llm.shared import saved, scratch
 END = "\r\n\r\n"
 #: Bytes of an archive before compression, about.
 FILE_BYTES = 32_000_000
-RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, content_type string, head string, payload binary"
+RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, content_type string, head string, payload_bytes long, payload_sha1 string, payload binary"
 BATCH_BYTES = 8_000_000
 
 
@@ -73,15 +75,19 @@ def capture_records(page_id: int | None, nth: int, url: str | None, html: str |
 
 
 def with_first_copies(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, nth (among rows of one page_id) and of_page, of_nth: the capture that holds the
-    payload of a page (the largest page_id of equal payloads of at least min_bytes), null if itself."""
+    """page_id, url, html, nth (among rows of one page_id) and refers: the capture that holds the payload of a page
+    (the largest page_id of equal payloads of at least min_bytes), null if itself. Payloads are shuffled once, by
+    page_id; all else moves digests alone."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")))
-    holders = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max(F.struct("page_id", (-F.col("nth")).alias("minus"))).alias("last"), F.count("*").alias("n"))
-    holders = holders.where("n > 1").select("digest", "size", F.col("last.page_id").alias("of_page"), (-F.col("last.minus")).alias("of_nth"))
-    other = ~F.col("of_page").eqNullSafe(F.col("page_id")) & F.col("of_nth").isNotNull()
-    return rows.join(holders, ["digest", "size"], "left").select("page_id", "url", "html", "nth", F.when(other, F.struct("of_page", "of_nth")).alias("refers"))
+    rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).withColumn("digest", F.sha1("html"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("digest", "url"))
+    short = rows.select("page_id", "url", "key", "digest", F.octet_length("html").alias("size")).withColumn("nth", nth).drop("url")
+    holders = short.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", (-F.col("nth")).alias("minus"))).alias("last"), F.count("*").alias("n"))
+    holders = holders.where("n > 1").select("digest", F.col("last.page_id").alias("of_page"), (-F.col("last.minus")).alias("of_nth"))
+    others = short.join(holders, "digest").where(~F.col("of_page").eqNullSafe(F.col("page_id")))
+    revisits = others.select("key", F.struct("digest", "of_page", "of_nth").alias("r")).groupBy("key").agg(F.collect_set("r").alias("found"))
+    mine = F.filter("found", lambda r: r["digest"] == F.col("digest"))
+    return rows.withColumn("nth", nth).join(revisits, "key", "left").select("page_id", "url", "html", "nth", F.get(mine, F.lit(0)).alias("refers"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
@@ -138,17 +144,17 @@ def parse(data: bytes) -> Iterator[tuple]:
             head = block.decode("utf-8", "replace")
         else:
             payload = block
-        yield h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("content-type"), head, payload
+        yield h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("content-type"), head, None if payload is None else len(payload), None if payload is None else sha1_base32(payload), payload
         at = stop + 4
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all archives of a folder."""
-    kinds = [pa.string()] * 8 + [pa.binary()]
+    kinds = [pa.string()] * 8 + [pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 11, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +162,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 rows, size = [], 0
                 for r in parse(content.as_py()):
                     rows.append(r)
-                    if (size := size + 500 + len(r[8] or b"")) >= BATCH_BYTES:
+                    if (size := size + 500 + len(r[10] or b"")) >= BATCH_BYTES:
                         yield batch_of(rows)
                         rows, size = [], 0
                 yield batch_of(rows)
@@ -178,7 +184,7 @@ def transactions(records: DataFrame) -> DataFrame:
     tied = first.join(via, "concurrent_to", "left").select("record_id", "record_type", "head", F.coalesce("capture_id", "via_id").alias("capture_id")).where("capture_id is not null")
     part = lambda kind: F.min(F.when(F.col("record_type") == kind, F.struct("record_id", "head"))).alias(kind)
     tied = tied.groupBy("capture_id").agg(part("request"), part("metadata"))
-    response = F.struct("record_id", "record_type", "payload_digest", "content_type", "head", "payload").alias("response")
+    response = F.struct("record_id", "record_type", "payload_digest", "content_type", "head", "payload_bytes", "payload_sha1", "payload").alias("response")
     return captures.select(F.col("record_id").alias("capture_id"), "target_uri", "refers_to", response).join(tied, "capture_id", "left")
 
 
@@ -193,27 +199,16 @@ def archive_captures(pages: DataFrame, min_bytes: int = 0, folder: str | None =
 def digest(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to by page; a revisit has the payload of the
     response to which it refers."""
-    payload = F.col("response.payload")
     short = captures.select(
         "capture_id",
         F.col("refers_to").alias("holder_id"),
         F.regexp_extract("metadata.head", r"(?:^|\n)page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.record_type").alias("record_type"),
-        F.octet_length(payload).cast("long").alias("own_bytes"),
-        F.when(payload.isNotNull(), base32_of(F.sha1(payload))).alias("own_digest"),
+        F.col("response.payload_bytes").alias("own_bytes"),
+        F.col("response.payload_sha1").alias("own_digest"),
     )
     short = saved(short, "captures")
     holders = short.where("record_type = 'response'").select(F.col("capture_id").alias("holder_id"), F.col("page_id").alias("of_page"), F.col("own_bytes").alias("of_bytes"), F.col("own_digest").alias("of_digest"))
     revisits = short.where("record_type = 'revisit'").join(holders, "holder_id", "left")
     plain = short.where("record_type <> 'revisit'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return plain.union(revisits.select("page_id", "of_bytes", "of_digest", "record_type", "of_page"))
-
-
-def base32_of(hexadecimal):
-    """Upper-case base32 of 40 hexadecimal digits: five digits are four letters."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    out = []
-    for k in range(0, 40, 5):
-        value = F.conv(F.substring(hexadecimal, k + 1, 5), 16, 10).cast("int")
-        out += [F.substring(letters, F.shiftright(value, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
