@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, gam, iforest, langid, packing, rules, vptree, warc
+from lexivec.llm import bpe, gam, iforest, langid, packing, rules, substring, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.archive_captures(table(spark, sf_dir, "pages"), min_bytes=0))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_classifier": op6_classifier,
     "op7_neighbours": op7_neighbours,
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
     "op10_warc": op10_warc,
 }
 
