@@ -239,6 +239,35 @@ def identify(docs: DataFrame, net: BiGru | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, net: BiGru | None, name: str = "language") -> DataFrame:
+    """The table with a column struct<lang_pred, score>."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        found: list[tuple[str, float]] = []
+        held, size = [], 0
+        for t in texts:
+            held.append(text := t.as_py())
+            if (size := size + len(text or "")) >= BLOCK:
+                found += predict(net, held)
+                held, size = [], 0
+        found += predict(net, held)
+        names, scores = zip(*found) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return docs.withColumn(name, F.arrow_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
+
+
+#: The least mean probability that is taken for a language: little above chance among a few.
+LEAST = 0.3
+
+
+def with_known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents whose language is recognised, with all their columns."""
+    marked = with_language(docs, fit(docs), "language of a row")
+    known = (F.col("`language of a row`.lang_pred") != UNKNOWN) & (F.col("`language of a row`.score") >= least)
+    return marked.where(known).select(*docs.columns)
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

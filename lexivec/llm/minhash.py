@@ -323,5 +323,5 @@ def kept() -> Column:
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a smaller doc_id of their component stands for."""
     found = near_duplicates(docs, shingle, percent)
-    gone = found.rows.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = saved(found.rows.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
