@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm import rules
-from lexivec.llm.shared import saved
 
 #: The largest number of labelled rows that a model is fitted on.
 SAMPLE = 20_000
@@ -138,24 +137,35 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Gam:
-    """A model of the statistics (rules.with_statistics) and labels of rows that are not held out."""
-    marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1)").where(~held_out())
-    rows = stats.where(~held_out()).join(marks, "doc_id").select("ratios", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
-    x = rules.matrix(rows["ratios"].combine_chunks(), len(rules.RATIOS))
-    return Gam.fit(x, rows["quality"].to_numpy().astype(float))
+def fit(docs: DataFrame, labels: DataFrame) -> Gam:
+    """A model of the labelled rows that are not held out: at most SAMPLE, by the hash of doc_id. Their ids are few
+    enough to be broadcast, so only they are looked at and nothing is shuffled."""
+    marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("text", "quality")
+    found = rows.select(rules.ratios("text").alias("ratios"), "quality").toArrow()
+    x = rules.matrix(found["ratios"].combine_chunks(), len(rules.RATIOS))
+    y = found["quality"].to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))
+    return Gam.fit(x[order], y[order])
 
 
-def score(stats: DataFrame, model: Gam) -> DataFrame:
-    """The statistics with a column score."""
+def score(model: Gam, ratios: Column) -> Column:
+    """Scores of statistics."""
 
     def run(ratios: pa.Array) -> pa.Array:
         return pa.array(model.score(rules.matrix(ratios, len(rules.RATIOS))))
 
-    return stats.withColumn("score", F.arrow_udf(run, "double")("ratios"))
+    return F.arrow_udf(run, "double")(ratios)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    stats = saved(rules.with_statistics(docs), "gam-statistics")
-    return score(stats, fit(stats, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = rows.select("doc_id", score(fit(rows, labels), rules.ratios("text")).alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_ones(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that score at least so much, with all their columns."""
+    return docs.where(score(fit(docs, labels), rules.ratios("text")) >= least)

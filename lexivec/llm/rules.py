@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.shared import WordHashes, window_hashes
@@ -88,6 +88,17 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def ratios(text: str) -> Column:
+    """RATIOS (array<double>) of a text column."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        cache = WordHashes()
+        flat = np.array([statistics(t.as_py(), cache)[1] for t in texts], np.float64).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(RATIOS), pa.int32()), pa.array(flat))
+
+    return F.arrow_udf(run, "array<double>")(F.col(text).cast("string"))
+
+
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
     """An Arrow column of lists of equal length as a matrix."""
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(lists) else np.zeros((0, width))
