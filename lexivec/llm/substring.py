@@ -161,14 +161,18 @@ def without(text: str | None, starts: np.ndarray, n: int) -> tuple[str | None, i
 
 
 def removed(rows: DataFrame, n: int) -> DataFrame:
-    """Rows (any columns, with doc_id, tag, text and places) with text replaced and a column n_removed."""
+    """Rows (any columns, with doc_id, tag, text and places; -1 as a place: all of the text) with text replaced and a
+    column n_removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
             for mark, text, places in zip(batch["tag"].to_pylist(), batch["text"], batch["places"]):
                 at = np.array(places.as_py() or [], np.int64)
-                kept, k = without(text.as_py(), at[at >> 32 == mark] & 0xFFFFFFFF, n)
+                if len(at) and at[0] == -1:
+                    kept, k = "", len(words_of(text.as_py()))
+                else:
+                    kept, k = without(text.as_py(), at[at >> 32 == mark] & 0xFFFFFFFF, n)
                 texts.append(kept)
                 counts.append(k)
             fixed = {"text": pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64())}
@@ -183,12 +187,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents with the words of repeated windows removed; texts without repeats stay as they are. All columns
     stay; n_removed is added."""
     found = find_repeats(docs, min_words)
-    rows = docs.withColumn("tag", tag()).join(found.spans, "doc_id", "left")
-    part = removed(rows, min_words)
-    whole = found.copies.withColumn("copy", F.lit(True))
-    out = part.join(whole, "doc_id", "left")
-    text = F.when(F.col("copy"), F.lit("")).otherwise(F.col("text"))
-    return out.withColumn("text", text).drop("copy").select(*docs.columns, "n_removed")
+    marks = found.spans.join(found.copies.withColumn("copy", F.lit(True)), "doc_id", "full")
+    rows = docs.withColumn("tag", tag()).join(saved(marks.withColumnRenamed("doc_id", "marked id"), "marks"), F.col("doc_id") == F.col("marked id"), "left")
+    rows = rows.withColumn("places", F.when(F.col("copy"), F.array(F.lit(-1).cast("long"))).otherwise(F.col("places")))
+    return removed(rows.select(*docs.columns, "tag", "places"), min_words)
 
 
 def digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
