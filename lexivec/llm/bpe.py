@@ -421,23 +421,35 @@ def encode(text: Column, path: str | None = None) -> Column:
     return F.arrow_udf(run, ArrayType(IntegerType()))(text)
 
 
+def texts_of(lists: pa.Array, bpe: Bpe) -> pa.Array:
+    of = bpe.bytes_of
+    ends = lists.offsets.to_numpy().tolist()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    out = [None if null else b"".join([of[i] for i in flat[ends[k] : ends[k + 1]].tolist()]).decode("utf-8", "replace") for k, null in enumerate(lists.is_null().to_pylist())]
+    return pa.array(out, pa.string())
+
+
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of an ids column (array<int>); null for null."""
     path = path or default_path()
 
     def run(lists: pa.Array) -> pa.Array:
-        bpe = load(path)
-        of = bpe.bytes_of
-        out = []
-        ends = lists.offsets.to_numpy().tolist()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        for k, null in enumerate(lists.is_null().to_pylist()):
-            out.append(None if null else b"".join([of[i] for i in flat[ends[k] : ends[k + 1]].tolist()]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return texts_of(lists, load(path))
 
     return F.arrow_udf(run, StringType())(ids)
 
 
+def encode_and_decode(text: Column, path: str | None = None) -> Column:
+    """struct<ids, decoded>: both steps in one call, as Spark would encode twice for a decode() of an encode()."""
+    path = path or default_path()
+
+    def run(texts: pa.Array) -> pa.Array:
+        ids = id_lists(texts, load(path))
+        return pa.StructArray.from_arrays([ids, texts_of(ids, load(path))], ["ids", "decoded"])
+
+    return F.arrow_udf(run, "ids array<int>, decoded string")(text)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """The table with a column ids."""
     return docs.withColumn(ids, encode(F.col(text), path))
@@ -445,9 +457,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    back = coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
-    return back.select(
+    coded = docs.select("doc_id", encode_and_decode(F.col("text"), path).alias("c")).select("doc_id", "c.ids", "c.decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
