@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexivec.functions.html_tables import html_table_cells
 from lexivec.functions.text import base_type, clean_text, process_kind, to_float, to_int, yesno
@@ -28,7 +29,7 @@ def find_from(text: Column, pattern: str, start: Column) -> Column:
     return F.when(at > 0, at + start - 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def trimmed(texts):  # noqa: ANN001, ANN201
     """A text without what boundaries leave at its end: heading marks, a label before a slash, dashes."""
     import re
