@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ def connect(folder=DATA):
 
 def rows(df):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
