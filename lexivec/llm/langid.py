@@ -211,7 +211,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, excerpt: int = EXCERP
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - excerpt + 1)).cast("int") + 1
     short = rows.select("lang", "doc_id", h.alias("h"), F.substring("text", start, F.lit(excerpt)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
     pick = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= per_language)
-    found = sorted(pick.select("lang", "doc_id", "text").collect())
+    found = sorted(pick.select("lang", "doc_id", "text").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))
     return train([r.text for r in found], [r.lang for r in found])
 
 

@@ -160,14 +160,19 @@ def without(text: str | None, starts: np.ndarray, n: int) -> tuple[str | None, i
     return b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
+#: Names of columns that stand beside those of any table.
+TAG, PLACES, ID, COPY = "tag of a text", "places of windows", "id of a marked row", "copy of a whole text"
+
+
 def removed(rows: DataFrame, n: int) -> DataFrame:
-    """Rows (any columns, with doc_id, tag, text and places; -1 as a place: all of the text) with text replaced and a
-    column n_removed."""
+    """Rows (any columns, with text, TAG and PLACES; -1 as a place: all of the text) with text replaced and a column
+    n_removed, which takes the place of one of that name."""
+    names = [x for x in rows.columns if x not in (TAG, PLACES, "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for mark, text, places in zip(batch["tag"].to_pylist(), batch["text"], batch["places"]):
+            for mark, text, places in zip(batch[TAG].to_pylist(), batch["text"], batch[PLACES]):
                 at = np.array(places.as_py() or [], np.int64)
                 if len(at) and at[0] == -1:
                     kept, k = "", len(words_of(text.as_py()))
@@ -175,29 +180,29 @@ def removed(rows: DataFrame, n: int) -> DataFrame:
                     kept, k = without(text.as_py(), at[at >> 32 == mark] & 0xFFFFFFFF, n)
                 texts.append(kept)
                 counts.append(k)
-            fixed = {"text": pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64())}
-            names = [x for x in batch.schema.names if x not in ("tag", "places", "n_removed")] + ["n_removed"]
-            yield pa.RecordBatch.from_arrays([fixed.get(x, batch[x] if x in batch.schema.names else None) for x in names], names)
+            fixed = {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(fixed.get(x, batch[x] if x != "text" else None) for x in names), pa.array(counts, pa.int64())], [*names, "n_removed"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("tag", "places", "n_removed")]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_removed long"]))
+    kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
+    return rows.mapInArrow(run, ", ".join([*kinds, "n_removed long"]))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents with the words of repeated windows removed; texts without repeats stay as they are. All columns
-    stay; n_removed is added."""
+    stay; n_removed is added, or replaced if there is one."""
     found = find_repeats(docs, min_words)
-    marks = found.spans.join(found.copies.withColumn("copy", F.lit(True)), "doc_id", "full")
-    rows = docs.withColumn("tag", tag()).join(saved(marks.withColumnRenamed("doc_id", "marked id"), "marks"), F.col("doc_id") == F.col("marked id"), "left")
-    rows = rows.withColumn("places", F.when(F.col("copy"), F.array(F.lit(-1).cast("long"))).otherwise(F.col("places")))
-    return removed(rows.select(*docs.columns, "tag", "places"), min_words)
+    marks = found.spans.join(found.copies.withColumn(COPY, F.lit(True)), "doc_id", "full")
+    marks = marks.select(F.col("doc_id").alias(ID), F.when(F.col(COPY), F.array(F.lit(-1).cast("long"))).otherwise(F.col("places")).alias(PLACES))
+    rows = docs.withColumn(TAG, tag()).join(saved(marks, "marks"), F.col("doc_id") == F.col(ID), "left").drop(ID)
+    return removed(rows, min_words)
 
 
 def digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     found = find_repeats(docs, min_words)
-    part = removed(found.candidates.withColumn("mark", F.col("tag")).join(found.spans, "doc_id"), min_words)
-    part = part.where("n_removed > 0").select("doc_id", F.col("mark").alias("tag"), "n_removed", F.sha2("text", 256).alias("part_sha256")).dropDuplicates(["doc_id", "tag"])
+    marked = found.candidates.join(found.spans, "doc_id").withColumnRenamed("places", PLACES).withColumn(TAG, F.col("tag"))
+    part = removed(marked, min_words)
+    part = part.where("n_removed > 0").select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("part_sha256")).dropDuplicates(["doc_id", "tag"])
     out = found.rows.join(part, ["doc_id", "tag"], "left").join(found.copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return out.select(
         "doc_id",
