@@ -8,7 +8,7 @@ fraction of the words. At the later levels only windows that hold a surviving on
 
 At each level a window's first document is an aggregation (partial sums before the shuffle), which is joined back on
 the window's hash: a passage that a third of all documents share is one row on one side, and Spark splits the
-other. Of documents whose words are all those of an earlier document only the first takes part in the later levels.
+other (the aggregation is written first, as Spark splits only joins of plain exchanges). Of documents whose words are all those of an earlier document only the first takes part in the later levels.
 Windows are compared by 64-bit hashes.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; a null text has none; documents of fewer than min_words words are left
@@ -75,7 +75,7 @@ def described(docs: DataFrame, min_words: int, base: int) -> DataFrame:
 def repeated(windows: DataFrame) -> DataFrame:
     """Of windows (h, doc_id, place) those whose hash is found in two documents, with the first of them."""
     firsts = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return windows.join(firsts, "h")
+    return windows.join(saved(firsts, "firsts"), "h")
 
 
 def extended(cand: DataFrame, size: int, longer: int) -> DataFrame:
