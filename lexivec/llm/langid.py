@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.llm.shared import saved
+
 #: Bounds of the training sample: rows a language, characters of each.
 PER_LANGUAGE, EXCERPT = 400, 600
 #: Hidden units of each direction; bytes of a window.
@@ -210,6 +212,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, excerpt: int = EXCERP
     h = F.xxhash64("doc_id")
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - excerpt + 1)).cast("int") + 1
     short = rows.select("lang", "doc_id", h.alias("h"), F.substring("text", start, F.lit(excerpt)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    # Of a language with many rows only those with small hashes, some four times as many as are picked, go on. A row
+    # for each language is few enough for Spark to broadcast by its size.
+    share = saved(rows.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share")), "shares")
+    small = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    short = short.join(share, "lang").where((F.col("share") >= 1) | small)
     pick = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= per_language)
     found = sorted(pick.select("lang", "doc_id", "text").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))
     return train([r.text for r in found], [r.lang for r in found])
