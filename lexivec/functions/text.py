@@ -191,6 +191,11 @@ def closing_soon(end: Column, now_utc: Column, minutes: int = 20) -> Column:
     return F.coalesce(F.timestamp_diff("SECOND", now, at) / 60 > minutes, F.lit(True))
 
 
+def multi_item(name: Column) -> Column:
+    """Whether an item's name lists several."""
+    return F.instr(name, ",") > 0
+
+
 def split_pair(x: Column) -> Column:
     """k=v as a struct, cut at the first sign."""
     parts = F.split(x, "=", 2)

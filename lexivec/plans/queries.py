@@ -458,6 +458,69 @@ def stage_timings(spark, d):
     return reports.timings(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "stage"), "stage", "o_totalprice").withColumn("mean", F.round("mean", 4))
 
 
+@query("SELECT p_partkey, instr(p_name || CASE WHEN p_size > 25 THEN ', spare' ELSE '' END, ',') > 0 AS multi FROM part")
+def multi_item(spark, d):
+    name = F.concat("p_name", F.when(F.col("p_size") > 25, ", spare").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", T.multi_item(name).alias("multi"))
+
+
+FILES = "('a.pdf', true), ('b.PDF', true), ('c_RA.pdf', false), ('d_ra.pdf', true), ('e.txt', false)"
+
+
+@query(f"SELECT * FROM (VALUES {FILES}) t(name, wanted)")
+def wanted_files(spark, d):
+    return values(spark, FILES, "name, expected").select("name", reports.wanted_files(F.col("name")).alias("wanted"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, '\n\n---PAGE BREAK---\n\n' ORDER BY turn)) AS text_md5, length(trim(arg_min(text, turn))) > 50 AS digital FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def page_texts(spark, d):
+    rows = table(spark, d, "conversations").where("text is not null")
+    first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    texts = reports.joined_pages(rows, "conv_id", "turn", "text").join(first, "conv_id")
+    return texts.select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), reports.has_text_layer(F.col("first")).alias("digital"))
+
+
+@query("SELECT c_custkey, c_name, coalesce(CAST(n_regionkey AS VARCHAR), 'Unknown') AS page FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON n_nationkey = c_nationkey")
+def page_of_record(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("k"))
+    pages = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("page"))
+    return reports.with_pages(rows, pages, "k").drop("k")
+
+
+@query("SELECT s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '_RA' END AS revision FROM supplier")
+def revision_of_record(spark, d):
+    base = table(spark, d, "supplier").select(F.col("s_name").alias("name"), "s_suppkey")
+    return reports.revision_of(base.select("name"), base.where("s_suppkey % 3 = 0").select(F.concat("name", F.lit("_RA")).alias("name")))
+
+
+@query("SELECT item_id, 'Represent this sentence for searching relevant passages: ' || text AS q, text AS plain FROM benchmark")
+def query_prefix(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.query_prefix(F.col("text"), F.lit("BAAI/bge-base-en-v1.5")).alias("q"), T.query_prefix(F.col("text"), F.lit("all-MiniLM-L6-v2")).alias("plain"))
+
+
+CHUNKS = "('x Item Category: Steel pumps  y', 'n/a', 'Steel pumps'), ('', 'Brass valve', 'Brass valve'), ('Item Title - Copper wire' || chr(10) || 'z', 'are you which Regular', 'Copper wire'), ('none', '', 'N/A')"
+
+
+@query(f"SELECT * FROM (VALUES {CHUNKS}) t(chunk, meta, item)")
+def extract_item(spark, d):
+    rows = values(spark, CHUNKS, "chunk, meta, expected")
+    return rows.select("chunk", "meta", T.item_of(F.col("chunk"), F.col("meta")).alias("item"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-value / 10)), 6) AS s, least(1.0, value / 20) AS b, printf('%.2f%%', 100 * round(value, 0)) AS p FROM events")
+def score_scales(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(T.sigmoid(v / 10), 6).alias("s"), T.normal_bm25(v).alias("b"), T.percent(F.round(v, 0)).alias("p"))
+
+
+@query("SELECT 'GEM/2031/B/1000001' AS bid_no, 'http://p/showbidDocument/1' AS document_url, '1250' AS quantity, 'Ministry of Examples' AS department, '' AS estimated_value, 'Two Packet Bid' AS bid_packet_type, 'text of it' AS full_pdf_text")
+def flatten_record(spark, d):
+    rows = spark.createDataFrame([(CARD, '<a href="/showbidDocument/1">x</a>', "Product Bid/RAs", "text  of it", "Two Packet Bid")], "t string, h string, k string, md string, packet string")
+    pdf = F.struct(F.struct(F.col("packet").alias("type_of_bid")).alias("bid_type"))
+    flat = rows.select(*store.flatten_record(cards.card_details(F.col("t"), F.lit(""), F.col("k")), pdf, cards.links(F.col("h"), "http://p"), F.col("md")))
+    return flat.select("bid_no", "document_url", "quantity", "department", "estimated_value", "bid_packet_type", "full_pdf_text")
+
+
 TENDER = '{"id": 1, "value": {"$numberDecimal": "350000.0"}, "due": {"$numberLong": "1779408000000"}, "bidders": [{"name": "a", "rank": 1}, {"name": "b", "rank": 2}]}'
 
 
