@@ -90,6 +90,39 @@ def items(names: Column, total: Column, quantities: Column) -> Column:
     return F.struct(total.alias("total_quantity_extracted"), flag.alias("quantity_match_flag"), listed.alias("items"))
 
 
+def field(json: Column, *names: str) -> Column:
+    """The value of the first of the names that a JSON object has; '' without one."""
+    return F.coalesce(*[F.get_json_object(json, f"$['{n}']") for n in names], F.lit(""))
+
+
+def objects(json: Column, path: str) -> Column:
+    """Key and value (JSON text) of the objects in a JSON object, in order; empty without one."""
+    found = F.from_json(F.get_json_object(json, path), "map<string,string>")
+    entries = F.filter(F.map_entries(found), lambda e: F.coalesce(e["value"].startswith("{"), F.lit(False)))
+    return F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
+
+
+def schedule(group: Column, key: Column, value: Column) -> Column:
+    """An entry of a schedule. Some converters break words of the labels."""
+    return F.struct(
+        group.alias("group_key"), key.alias("item_key"), field(value, "Item/Ca tegory", "Item/Category").alias("item_category"), field(value, "Consignee/Repor ting Officer", "Consignee/Reporting Officer").alias("officer"),
+        field(value, "Consignee Address").alias("address"), field(value, "Qua ntity", "Quantity").alias("quantity"), field(value, "Estimated Value").alias("estimated_value"),
+    )
+
+
+def given_items(json: Column, total: Column) -> Column:
+    """The items section as the converter gives it."""
+    mine = F.filter(objects(json, "$.items"), lambda e: e["key"].rlike(r"(?i)^item \d+$"))
+    listed = F.transform(mine, lambda e: F.struct(F.regexp_extract(e["key"], r"\d+", 0).cast("int").alias("n"), field(e["value"], "item_category").alias("item_category"), F.get_json_object(e["value"], "$.quantity").try_cast("long").alias("quantity")))
+    extracted = F.aggregate(listed, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e["quantity"], F.lit(0).cast("long")))
+    flag = F.when((F.coalesce(total, F.lit(0)) != 0) & (extracted > 0), F.when(extracted == total, "Yes").otherwise("No")).otherwise(F.coalesce(F.get_json_object(json, "$.items.quantity_match_flag"), F.lit("No")))
+    return F.struct(total.alias("total_quantity_extracted"), flag.alias("quantity_match_flag"), listed.alias("items"))
+
+
+def given_list(json: Column, path: str, kind: str = "string") -> Column:
+    return F.from_json(F.get_json_object(json, path), f"array<{kind}>")
+
+
 def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_type: str = "product_type", docling: str | None = None, strip_br: bool = True) -> DataFrame:
     """key and pdf (nested struct) of every document. docling: a column with the converter's JSON."""
     base = docs.withColumnsRenamed({key: "doc", md: "md", product_type: "product_type"})
@@ -121,7 +154,17 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     method = F.coalesce(text("evaluation.evaluation_method", "Evaluation Method", "मूल्यांकन पढ़ति", "मूल्यांकन विधि"), blank)
     low = F.lower(method)
     nothing = F.array().cast(f"array<{entry}>")
-    schedules = F.when(F.contains(low, F.lit("total")), nothing).when(F.contains(low, F.lit("item")), F.coalesce("by_item", nothing)).when(F.contains(low, F.lit("group")), F.coalesce("by_group", nothing)).otherwise(nothing)
+    given = objects(js, "$.evaluation.schedules")
+    given_by_item = F.transform(given, lambda e: schedule(blank, e["key"], e["value"]))
+    given_by_group = F.flatten(F.transform(given, lambda g: F.transform(objects(g["value"], "$"), lambda e: schedule(tables.group_key(g["key"]), e["key"], e["value"]))))
+    either = lambda a, b: F.when(F.size(a) > 0, a).otherwise(F.coalesce(b, nothing))
+    schedules = F.when(F.contains(low, F.lit("total")), nothing).when(F.contains(low, F.lit("item")), either(given_by_item, F.col("by_item"))).when(F.contains(low, F.lit("group")), either(given_by_group, F.col("by_group"))).otherwise(given_by_item)
+    total = number("items.total_quantity_extracted", "Total Quantity", "कुल मात्रा")
+    from_json = given_items(js, total)
+    from_text = items(split_clean(get("Item Category", "वस्तु श्रेणी"), ","), total, F.coalesce("sums", F.array().cast("array<bigint>")))
+    person = "struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>"
+    some_people = given_list(js, "$.consignees", person)
+    required = split_clean(get("Document required from seller", "विक्रेता से मांगे गए", "विकेता से"), r",\s*(?=[A-Z*])")
     emd_bank = F.coalesce(text("financials.emd.advisory_bank", "Advisory Bank", "एडवाईजरी बैंक"), blank)
     epbg_bank = F.coalesce(text("financials.epbg.advisory_bank", "Advisory Bank", "एडवाइजरी बैंक"), blank)
     amount = present_first(js, "financials.emd.amount_total", emd_total(kv_col)).try_cast("long")
@@ -138,10 +181,10 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
             text("departments.ministry_state_name", "Ministry", "मंत्रालय").alias("ministry_state_name"), text("departments.department_name", "Department Name", "विभाग का नाम").alias("department_name"),
             text("departments.organisation_name", "Organisation Name", "संगठन का नाम").alias("organisation_name"), text("departments.office_name", "Office Name", "कार्यालय का नाम").alias("office_name"),
         ),
-        "items": items(split_clean(get("Item Category", "वस्तु श्रेणी"), ","), number("items.total_quantity_extracted", "Total Quantity", "कुल मात्रा"), F.coalesce("sums", F.array().cast("array<bigint>"))),
+        "items": F.when(F.size(from_json["items"]) > 0, from_json).otherwise(from_text),
         "evaluation": F.struct(method.alias("evaluation_method"), schedules.alias("schedules")),
-        "documents": F.struct(split_clean(get("Document required from seller", "विक्रेता से मांगे गए", "विकेता से"), r",\s*(?=[A-Z*])").alias("required_from_seller"), documents_shown.alias("show_uploaded_docs_to_all_bidders"), empty.alias("attachments")),
-        "consignees": F.coalesce("people", F.array().cast("array<struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>>")),
+        "documents": F.struct(F.coalesce(given_list(js, "$.documents.required_from_seller"), required).alias("required_from_seller"), documents_shown.alias("show_uploaded_docs_to_all_bidders"), F.coalesce(given_list(js, "$.documents.attachments"), empty).alias("attachments")),
+        "consignees": F.coalesce(F.when(F.size(some_people) > 0, some_people), "people", F.array().cast("array<struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>>")),
         "relaxations": F.struct(flag("relaxations.mse_relaxation_experience_turnover", "MSE Relaxation", "एमाएसएमई के लिए अनुभव", "एमएसएमई के लिए अनुभव").alias("mse_relaxation_experience_turnover"), flag("relaxations.startup_relaxation_experience_turnover", "Startup Relaxation", "स्टार्टअप के लिए अनुभव").alias("startup_relaxation_experience_turnover")),
         "auto_extension": F.struct(
             number("auto_extension.min_bids_to_disable_extension", "Minimum number of bids", "बिड लगाने की समय सीमा स्वतः").alias("min_bids_to_disable_extension"),
@@ -162,13 +205,13 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
             number("mse.mse_max_quantity_percent", "Maximum Percentage of Bid quantity for MSE", "Percentage of Bid quantity/amount for MSE").alias("mse_max_quantity_percent"),
         ),
         "financials": F.struct(
-            F.struct((F.coalesce(present_first(js, "financials.emd.required", ((emd_bank != "") | (F.coalesce(amount, F.lit(0)) != 0))), F.lit("false")) == "true").alias("required"), emd_bank.alias("advisory_bank"), amount.alias("amount_total"), empty.alias("schedule_breakup")).alias("emd"),
+            F.struct((F.coalesce(present_first(js, "financials.emd.required", ((emd_bank != "") | (F.coalesce(amount, F.lit(0)) != 0))), F.lit("false")) == "true").alias("required"), emd_bank.alias("advisory_bank"), amount.alias("amount_total"), F.coalesce(given_list(js, "$.financials.emd.schedule_breakup"), empty).alias("schedule_breakup")).alias("emd"),
             F.struct((F.coalesce(present_first(js, "financials.epbg.required", epbg_bank != ""), F.lit("false")) == "true").alias("required"), epbg_bank.alias("advisory_bank"), present_first(js, "financials.epbg.percent", to_float(get("ePBG Percentage", "ईपीबीजी प्रतिशत"))).try_cast("double").alias("percent"), number("financials.epbg.duration_months", "Duration of ePBG", "ईपीबीजी की आवश्यक अवधि").alias("duration_months")).alias("epbg"),
             present_first(js, "financials.emd_exemption_text", exempt).alias("emd_exemption_text"),
         ),
         "terms": F.struct(
             F.coalesce(F.get_json_object(js, "$.terms.special_terms_version"), blank).alias("special_terms_version"), F.coalesce(F.get_json_object(js, "$.terms.special_terms_text"), blank).alias("special_terms_text"),
-            F.struct(F.coalesce(F.nullif(F.get_json_object(js, "$.terms.buyer_atc.generic"), blank), "generic").alias("generic"), empty.alias("items"), empty.alias("hard_requirements"), empty.alias("info_clauses")).alias("buyer_atc"),
+            F.struct(F.coalesce(F.nullif(F.get_json_object(js, "$.terms.buyer_atc.generic"), blank), "generic").alias("generic"), F.coalesce(given_list(js, "$.terms.buyer_atc.items"), empty).alias("items"), F.coalesce(given_list(js, "$.terms.buyer_atc.hard_requirements"), empty).alias("hard_requirements"), F.coalesce(given_list(js, "$.terms.buyer_atc.info_clauses"), empty).alias("info_clauses")).alias("buyer_atc"),
             F.coalesce(F.nullif(F.get_json_object(js, "$.terms.disclaimer"), blank), "disclaimer").alias("disclaimer"),
         ),
     }

@@ -57,6 +57,20 @@ def test_sections(spark):
     assert b.process_kind == "CATALOGUE" and not b.financials.emd.required and b.consignees == [] and b.terms.disclaimer == ""
 
 
+def test_sections_from_a_converter(spark):
+    js = json.dumps({
+        "items": {"total_quantity_extracted": 3, "item 1": {"item_category": "Bolt", "quantity": 1}, "item 2": {"item_category": "Nut", "quantity": 2}},
+        "evaluation": {"evaluation_method": "Group wise", "schedules": {"Group G01": {"Item_1": {"Item/Ca tegory": "Bolt", "Qua ntity": "1"}}, "2": {"Item_1": {"Item/Category": "Nut"}}}},
+        "documents": {"required_from_seller": ["Licence"], "attachments": ["a.pdf"]},
+        "consignees": [{"consignee_reporting_officer": "A", "quantity": 5}],
+    })
+    p = sections.parse_documents(spark.createDataFrame([(1, "<p>no table</p>", "Goods", js)], "doc int, md string, product_type string, js string"), docling="js").first().pdf
+    assert [(i["item_category"], i["quantity"]) for i in p["items"]["items"]] == [("Bolt", 1), ("Nut", 2)] and p["items"]["quantity_match_flag"] == "Yes"
+    assert [(x.group_key, x.item_key, x.item_category, x.quantity) for x in p.evaluation.schedules] == [("Package 1", "Item_1", "Bolt", "1"), ("Package 2", "Item_1", "Nut", "")]
+    assert p.documents.required_from_seller == ["Licence"] and p.documents.attachments == ["a.pdf"]
+    assert [(c.consignee_reporting_officer, c.quantity) for c in p.consignees] == [("A", "5")]
+
+
 def test_card_without_labels(spark):
     rows = spark.createDataFrame([("nothing here", '<a href="/showbidDocument/1">x</a><a href="//SHOWBIDDOCUMENT/2">y</a><a href="/showradocumentPdf/3">z</a><a href="/c">View <b>Corrigendum</b></a>', "Service Bid/RAs")], "t string, h string, k string")
     r = rows.select(cards.card_details(F.col("t"), F.col("h"), F.col("k")).alias("c"), cards.links(F.col("h"), "http://p").alias("l")).first()
