@@ -12,10 +12,11 @@ At 0.8, all bands miss a pair once in about 300,000 cases.
 Groups of copies don't make pairs of all with all:
 
 1. Documents with equal sets are one node, whatever their number.
-2. In each bucket of a band, every node is paired with one leader, the bucket's smallest.
+2. In each bucket of a band, every node is paired with one leader, the one with the most company in all its buckets:
+   of texts that were edited from one original this is the original or near it.
 3. Only nodes of a bucket that verified links of step 2 haven't brought together are paired with each other. In
-   buckets of more than CROWD such nodes, which share a long passage but not the rest, the pairs come from an
-   exact prefix filter: two sets with the asked similarity share one of their rarest shingles.
+   buckets of more than CROWD nodes the pairs come from an exact prefix filter: two sets with the asked similarity
+   share one of their rarest shingles, so far ahead in the order of rarity that enough may follow in both.
 
 Links form components by alternating large-star and small-star steps, each written to the shared folder.
 Sets are 64-bit hashes of shingles; nothing of them goes to the driver but counts of a fixed number of slots.
@@ -45,7 +46,7 @@ ROWS_OF_BAND = 6
 BANDS = REGISTERS // ROWS_OF_BAND
 EMPTY = np.uint16(65535)
 SIGMAS = 6
-CROWD = 64
+CROWD = 8
 #: Slots of the table of shingle counts that orders shingles for the prefix filter.
 SLOTS = 1 << 18
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -205,7 +206,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token and node: of each set its rarest shingles, so many that two similar sets have one in common."""
+    """token, node, ahead (of how many shingles the token is the rarest, itself included), size: of each set its
+    rarest shingles, so many that two similar sets have one in common."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -224,16 +226,27 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         rarity = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                tokens, nodes = [], []
+                cols: list[list[np.ndarray]] = [[], [], [], []]
                 for node, s in zip(batch["node"].slice(i, 500).to_pylist(), batch["shingles"].slice(i, 500)):
                     s = np.frombuffer(s.as_py(), np.uint64)
                     k = len(s) - -(-percent * len(s) // 100) + 1
                     o = np.lexsort((s, rarity[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
-                    tokens.append(s[o].view(np.int64))
-                    nodes.append(np.full(k, node, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    for c, x in zip(cols, (s[o].view(np.int64), np.full(k, node, np.int64), len(s) - np.arange(k), np.full(k, len(s), np.int64))):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "ahead", "size"])
 
-    return sets.mapInArrow(run, "token long, node long")
+    return sets.mapInArrow(run, "token long, node long, ahead long, size long")
+
+
+def by_prefix(tokens: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a, b with different labels that share a token from which on both sets are large enough for the
+    similarity. a is the smaller set, so its token stands further ahead than the prefix asks of the larger."""
+    need = lambda n: F.ceil(percent * n / (100 + percent) - 1e-9)
+    one = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "ahead", "size")])
+    small = one("a").where(F.col("ahead_a") >= need(2 * F.col("size_a")))
+    fit = (F.least("ahead_a", "ahead_b") >= need(F.col("size_a") + F.col("size_b"))) & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b")) & (F.col("label_a") != F.col("label_b"))
+    pairs = small.join(one("b"), "token").where(fit)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def across(rows: DataFrame, key: str) -> DataFrame:
@@ -276,9 +289,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Nea
     sketches = some.select("doc_id", "node", "sketch").join(groups.select("doc_id", "node", "n_shingles"), ["doc_id", "node"]).dropDuplicates(["node"])
     nodes = saved(sketches.select("node", "n_shingles", "sketch"), "node-sketches")
     bands = saved(banded(nodes), "bands")
-    leaders = bands.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    crowded = saved(bands.join(leaders, "band"), "buckets")
-    pairs = crowded.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    sizes = saved(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    crowded = saved(bands.join(sizes, "band"), "buckets")
+    company = saved(crowded.groupBy("node").agg(F.sum("n").alias("w")), "company")
+    leaders = saved(crowded.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("w", "node")).alias("a")), "leaders")
+    pairs = crowded.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = saved(hopeful(pairs, nodes, percent / 100), "pairs")
 
     def sets_of(asked: DataFrame, name: str) -> DataFrame:
@@ -289,18 +304,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Nea
     sets = sets_of(ends(pairs), "sets")
     links = saved(verified(pairs, sets, percent), "links")
     # What verified links with leaders have brought together needs no more pairs.
-    labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("near"))
-    marked = crowded.where("n > 2").select("band", "node").join(labels, "node", "left").select("band", "node", F.least("node", "near").alias("label"))
+    labels = links.join(company.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("w", "a")).alias("near"))
+    marked = crowded.where("n > 2").select("band", "node").join(saved(labels, "labels"), "node", "left").select("band", "node", F.coalesce("near", "node").alias("label"))
     marked = saved(marked, "labelled")
     apart = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("band", "size")
-    unsettled = saved(marked.join(apart, "band"), "unsettled")
+    unsettled = saved(marked.join(saved(apart, "apart"), "band"), "unsettled")
     more = across(unsettled.where(F.col("size") <= CROWD), "band")
     crowds = saved(unsettled.where(F.col("size") > CROWD).select("node", "label").distinct(), "crowds")
     if not crowds.isEmpty():
         tokens = saved(prefixes(sets_of(crowds.select("node"), "crowd-sets"), percent).join(crowds, "node"), "prefixes")
-        mixed = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        more = more.union(across(tokens.join(mixed, "token"), "token")).distinct()
-    more = saved(hopeful(more.join(pairs.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti"), nodes, percent / 100), "more-pairs")
+        mixed = saved(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "mixed")
+        more = more.union(by_prefix(tokens.join(mixed, "token", "left_semi"), percent)).distinct()
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = saved(hopeful(more.join(done, ["a", "b"], "left_anti"), nodes, percent / 100), "more-pairs")
     if not more.isEmpty():
         links = saved(links.union(verified(more, sets_of(ends(more), "more-sets"), percent)), "all-links")
     roots = components(links)

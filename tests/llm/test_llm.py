@@ -317,7 +317,7 @@ def clustered(n_groups=12, copies=6):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
+@pytest.mark.parametrize("crowd", [64, 8, 2])
 def test_near_duplicates(spark, monkeypatch, crowd):
     monkeypatch.setattr(minhash, "CROWD", crowd)
     rows = clustered() + [(1000, "same here"), (1001, "SAME here"), (1002, ""), (1003, "")]
