@@ -89,8 +89,9 @@ def models(docs: DataFrame, target: DataFrame) -> tuple[Model, Model]:
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part]), pa.array(counts[1, part])], ["slot", "n", "n_target"])
 
+    # Labels grow with the documents, so the join is one of exchanges at every size.
     marks = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("mine", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks, "doc_id", "left").select("text", F.coalesce("mine", F.lit(False)).alias("mine"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("mine", F.lit(False)).alias("mine"))
     found = rows.mapInArrow(run, "slot int, n long, n_target long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
     counts = np.zeros((2, VOCABULARY + PAIRS), np.float64)
     counts[:, found["slot"].to_numpy()] = found["n_target"].to_numpy(), found["n"].to_numpy()
