@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.functions.text import tokens
+from lexivec.functions.text import metadata_card, rich_text, tokens
 from lexivec.operators.scratch import written
 
 SIZE, OVERLAP, LEAST, BODY = 800, 100, 20, 10
@@ -81,6 +81,25 @@ def build(chunks: DataFrame, chunk_id: str, text: Column, epsilon: float = 0.25)
     return WordIndex(posts, written(term_stats(posts, corpus, epsilon), "terms"), corpus)
 
 
+def reindex(spark, snapshot: DataFrame, root: str, key: str = "bid_no", body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP) -> None:
+    """Rebuild all tables of an index from a snapshot of records: chunks with their metadata, and the word tables."""
+    meta = [c for c in snapshot.columns if c not in (key, body)]
+    card = metadata_card({c: F.col(c) for c in snapshot.columns})
+    chunks = chunked(snapshot, key, F.col(body), card, size, overlap).join(snapshot.select(key, *meta).dropDuplicates([key]), key)
+    chunks.write.mode("overwrite").parquet(f"{root}/chunks")
+    stored = spark.read.parquet(f"{root}/chunks")
+    head = [F.col(c) for c in ("full_item_name", "department", "bid_type", "product_type", key) if c in stored.columns]
+    words = build(stored, "chunk_id", rich_text(*head, F.col("chunk")))
+    for name in ("postings", "terms", "corpus"):
+        getattr(words, name).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def stored(spark, root: str) -> tuple[DataFrame, WordIndex]:
+    """chunks and word tables of an index."""
+    chunks, *words = (spark.read.parquet(f"{root}/{name}") for name in ("chunks", "postings", "terms", "corpus"))
+    return chunks, WordIndex(*words)
+
+
 def health(chunks: DataFrame, key: str) -> DataFrame:
     """chunks, records, ratio and whether that is as it should be (3 to 5 a record)."""
     out = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct(key).alias("n_records"))
