@@ -123,10 +123,10 @@ def given_list(json: Column, path: str, kind: str = "string") -> Column:
     return F.from_json(F.get_json_object(json, path), f"array<{kind}>")
 
 
-def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_type: str = "product_type", docling: str | None = None, strip_br: bool = True) -> DataFrame:
-    """key and pdf (nested struct) of every document. docling: a column with the converter's JSON."""
+def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_type: str = "product_type", converter_json: str | None = None, strip_br: bool = True) -> DataFrame:
+    """key and pdf (nested struct) of every document. converter_json: a column with the converter's JSON."""
     base = docs.withColumnsRenamed({key: "doc", md: "md", product_type: "product_type"})
-    base = base.select("doc", F.coalesce(F.col("md"), F.lit("")).alias("md"), "product_type", (F.col(docling) if docling else F.lit(None).cast("string")).alias("js"))
+    base = base.select("doc", F.coalesce(F.col("md"), F.lit("")).alias("md"), "product_type", (F.col(converter_json) if converter_json else F.lit(None).cast("string")).alias("js"))
     base = base.withColumn("js", F.coalesce(F.get_json_object("js", "$.pdf"), "js"))
     rows = tables.table_rows(html_table_cells(base, "doc", "md"), strip_br)
     kv = tables.key_values(rows)

@@ -39,7 +39,7 @@ def documents(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
 def document_pairs(spark: SparkSession, md_path: str, json_path: str, suffix: str = "_DOCLING_EXTRACTED.json") -> DataFrame:
     """Documents with their converter's JSON, null where there is none."""
     js = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(json_path)
-    js = js.select(F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("id"), F.col("value").alias("docling"))
+    js = js.select(F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("id"), F.col("value").alias("converter_json"))
     return documents(spark, md_path).join(js.dropDuplicates(["id"]), "id", "left")
 
 

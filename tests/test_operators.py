@@ -44,7 +44,7 @@ def test_sections(spark):
     Custom BOQ Buyer Added Bid Specific Terms and Conditions Pay. Disclaimer None. Thank you"""
     js = json.dumps({"pdf": {"departments": {"office_name": None, "department_name": "Works"}}})
     rows = spark.createDataFrame([(1, md, "Goods", js), (2, None, "Goods", None)], "doc int, md string, product_type string, js string")
-    p = {r.doc: r.pdf for r in sections.parse_documents(rows, docling="js").collect()}
+    p = {r.doc: r.pdf for r in sections.parse_documents(rows, converter_json="js").collect()}
     a = p[1]
     assert (a.process_kind, a.base_type) == ("CUSTOM", "CUSTOM_GOODS")
     assert [(i["item_category"], i["quantity"]) for i in a["items"]["items"]] == [("Bolt", 5), ("Nut", 6)]
@@ -64,7 +64,7 @@ def test_sections_from_a_converter(spark):
         "documents": {"required_from_seller": ["Licence"], "attachments": ["a.pdf"]},
         "consignees": [{"consignee_reporting_officer": "A", "quantity": 5}],
     })
-    p = sections.parse_documents(spark.createDataFrame([(1, "<p>no table</p>", "Goods", js)], "doc int, md string, product_type string, js string"), docling="js").first().pdf
+    p = sections.parse_documents(spark.createDataFrame([(1, "<p>no table</p>", "Goods", js)], "doc int, md string, product_type string, js string"), converter_json="js").first().pdf
     assert [(i["item_category"], i["quantity"]) for i in p["items"]["items"]] == [("Bolt", 1), ("Nut", 2)] and p["items"]["quantity_match_flag"] == "Yes"
     assert [(x.group_key, x.item_key, x.item_category, x.quantity) for x in p.evaluation.schedules] == [("Package 1", "Item_1", "Bolt", "1"), ("Package 2", "Item_1", "Nut", "")]
     assert p.documents.required_from_seller == ["Licence"] and p.documents.attachments == ["a.pdf"]
@@ -160,7 +160,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / "md" / k / "x.md").write_text(f"text {k}")
     (tmp_path / "js").mkdir()
     (tmp_path / "js" / "a_DOCLING_EXTRACTED.json").write_text("{}")
-    got = {r.id: (r.md, r.docling) for r in landing.document_pairs(spark, f"file://{tmp_path}/md", f"file://{tmp_path}/js").collect()}
+    got = {r.id: (r.md, r.converter_json) for r in landing.document_pairs(spark, f"file://{tmp_path}/md", f"file://{tmp_path}/js").collect()}
     assert got == {"a": ("text a", "{}"), "b": ("text b", None)}
     loose = spark.createDataFrame([('{"a": 1}, {"a": 2}',)], "t string")
     assert [r.a for r in landing.loose_objects(loose, "t", "struct<a:int>").collect()] == [1, 2]
