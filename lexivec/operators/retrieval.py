@@ -55,7 +55,8 @@ def bm25_scores(index: WordIndex, question: str, k1: float = K1, b: float = B) -
     asked = spark.createDataFrame(sorted(words.items()), "term string, times int")
     hits = index.postings.join(F.broadcast(asked), "term").join(F.broadcast(index.terms.join(F.broadcast(asked.select("term")), "term").select("term", "idf")), "term").crossJoin(F.broadcast(index.corpus))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+    # Sums of equal parts in another order must tie, so that ranks don't depend on the order of a shuffle.
+    return hits.groupBy("chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def bm25_topn(scores: DataFrame, chunks: DataFrame, n: int = FETCH, filters: dict[str, str] | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ BM25_SQL = f"""
     r AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, c GROUP BY term),
     t AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
     q AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split('{QUESTION}', ' ')) AS term) GROUP BY term),
-    s AS (SELECT chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN t USING (term), c GROUP BY chunk_id)"""
+    s AS (SELECT chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM p JOIN q USING (term) JOIN t USING (term), c GROUP BY chunk_id)"""
 DENSE_SQL = """
     qv AS (SELECT list_transform(range(1, len(x.embedding) + 1), lambda i: (CAST(x.embedding[i] AS DOUBLE) + CAST(y.embedding[i] AS DOUBLE)) / 2) AS v FROM embeddings x, embeddings y WHERE x.vec_id = 7 AND y.vec_id = 11),
     dn AS (SELECT vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS cos FROM embeddings JOIN documents ON doc_id = vec_id, qv WHERE {where})"""
