@@ -1,12 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of the whole table, are matched in all but their counts: one
-vocabulary, one smoothing. The vocabulary is that of hashed words: every word falls into one of VOCABULARY slots and
-every pair of adjacent words into one of PAIRS slots, so that the counts cover all words of all documents while the
-models' size is fixed. A document's score is the mean over its words of the target's loss less the background's;
-less is more like the target.
+vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by 64-bit hashes, over all words of
+all documents. A document's score is the mean over its words of the target's loss less the background's; less is more
+like the target.
 
-Counts are summed in each task and then by slot; the two tables of fixed size go to the driver and to the workers.
+Documents are dealt by doc_id into blocks of some BLOCK bytes of text, so many as the measured text needs. A block
+counts its distinct words and pairs and deals them by ranges of hashes into as many buckets; a bucket adds up what all
+blocks say of its hashes and answers each block in the order in which it asked, so that a word or pair costs a block
+one count however often it has it, and no task holds more than its block or bucket. Nothing goes to the driver but the text's size.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; a null text has none; without words the losses and
 the score are null; if no document is a target, the target's model is uniform; rows repeated count
@@ -15,106 +17,149 @@ repeatedly; an empty table gives no rows. Other columns take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import LOWER, WordHashes, mix
+from lexivec.llm.shared import LOWER, ODD, WordHashes, mix
 
-VOCABULARY, PAIRS = 1 << 17, 1 << 20
+#: Words that the smoothing allows for at least; where there are more distinct ones, it allows for those.
+VOCABULARY = 1 << 17
 #: Weight of the pair's share; added to each word's count.
 WEIGHT, ADDED = 0.6, 0.1
-#: Words counted together.
-BLOCK = 500_000
+#: Bytes of text in a block.
+BLOCK = 24_000_000
+
+COUNTED = "bucket long, block long, words binary, words_n binary, words_t binary, pairs binary, pairs_n binary, pairs_t binary"
+ADDED_UP = "block long, rank int, words_n binary, words_t binary, pairs_n binary, pairs_t binary, n long, t long, distinct long"
+SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
+SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
 def slots(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of a text's words, and of each word with the one before (the first with a start mark)."""
+    """Hashes of a text's words, and of each word with the one before (the first with a start mark)."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     h = cache.of(words)
     before = np.concatenate([np.zeros(min(len(h), 1), np.uint64), h[:-1]])
-    return (h % np.uint64(VOCABULARY)).astype(np.int64), (mix(before * np.uint64(0x9E3779B97F4A7C15) + h) % np.uint64(PAIRS)).astype(np.int64)
+    return h, mix(before * ODD + h)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes: those that are all but zero compress to nothing."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 @dataclass
-class Model:
-    """Counts of words, of words as the first of a pair, and of pairs."""
+class Block:
+    """A block's documents: lengths in words; distinct hashes of words and pairs in order; which of them each word is,
+    and each word but the first of a document with the one before it."""
 
+    lengths: np.ndarray
     words: np.ndarray
+    word: np.ndarray
     pairs: np.ndarray
+    pair: np.ndarray
 
-    def losses(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Loss of each word of a text after the one before it."""
-        total = self.words.sum()
-        alone = (self.words[word] + ADDED) / (total + ADDED * VOCABULARY)
-        seen = self.words[word[:-1]]
-        after = np.minimum(self.pairs[pair[1:]] / np.maximum(seen, 1), 1)
-        p = alone.copy()
-        p[1:] = np.where(seen > 0, WEIGHT * after + (1 - WEIGHT) * alone[1:], alone[1:])
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray) -> Block:
+        cache = WordHashes()
+        found = [slots(t.as_py(), cache) for t in texts]
+        none = [np.zeros(0, np.uint64)]
+        words, word = np.unique(np.concatenate([w for w, _ in found] or none), return_inverse=True)
+        pairs, pair = np.unique(np.concatenate([p[1:] for _, p in found] or none), return_inverse=True)
+        return cls(np.array([len(w) for w, _ in found], np.int64), words, word, pairs, pair)
+
+    def first(self) -> np.ndarray:
+        """Whether each word is the first of its document."""
+        out = np.zeros(len(self.word), bool)
+        out[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        return out
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+        """Loss of each word after the one before it, by a model's counts of the distinct words and pairs."""
+        n = words[self.word].astype(np.float64)
+        p = (n + ADDED) / (total + ADDED * vocabulary)
+        after = ~self.first()
+        seen = n[:-1][after[1:]]
+        p[after] = np.where(seen > 0, WEIGHT * pairs[self.pair] / np.maximum(seen, 1) + (1 - WEIGHT) * p[after], p[after])
         return -np.log(p)
 
 
-def models(docs: DataFrame, target: DataFrame) -> tuple[Model, Model]:
-    """Models of the documents whose doc_id is in target, and of all."""
+def places(spark: SparkSession, n: int, tasks: int) -> list[int]:
+    """So many keys, a multiple of tasks, that Spark's hash partitioning deals evenly."""
+    rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, n // tasks).alias("ids")).collect()
+    return sorted(i for r in rows for i in r.ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        counts = np.zeros((2, VOCABULARY + PAIRS), np.int64)
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
-
-        def settle() -> None:
-            for k in (0, 1):
-                if held[k]:
-                    counts[k] += np.bincount(np.concatenate(held[k]), minlength=counts.shape[1])
-                    held[k].clear()
-
-        for batch in batches:
-            for text, mine in zip(batch["text"], batch["mine"].to_pylist()):
-                w, p = slots(text.as_py(), cache)
-                both = np.concatenate([w, p + VOCABULARY])
-                held[0].append(both)
-                if mine:
-                    held[1].append(both)
-                if (size := size + len(both)) >= BLOCK:
-                    settle()
-                    size = 0
-        settle()
-        at = np.flatnonzero(counts[0])
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part]), pa.array(counts[1, part])], ["slot", "n", "n_target"])
-
-    # Labels grow with the documents, so the join is one of exchanges at every size.
-    marks = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("mine", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("mine", F.lit(False)).alias("mine"))
-    found = rows.mapInArrow(run, "slot int, n long, n_target long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    counts = np.zeros((2, VOCABULARY + PAIRS), np.float64)
-    counts[:, found["slot"].to_numpy()] = found["n_target"].to_numpy(), found["n"].to_numpy()
-    return tuple(Model(c[:VOCABULARY], c[VOCABULARY:]) for c in counts)
 
+def dealt(key: Column, keys: list[int]) -> Column:
+    return F.element_at(F.lit(keys), (F.pmod(key, F.lit(len(keys))) + 1).cast("int")).cast("long")
 
-def score(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score of every document."""
-    both = docs.sparkSession.sparkContext.broadcast(models(docs, target))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                w, p = slots(text.as_py(), cache)
-                if len(w):
-                    t, b = (m.losses(w, p) for m in both.value)
-                    rows.append((len(w), float(t.mean()), float(b.mean()), float((t - b).mean())))
-                else:
-                    rows.append((0, None, None, None))
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score of every document; the target is those whose doc_id is in target."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = places(spark, tasks * max(1, -(-size // (tasks * BLOCK))), tasks)
+    ranks = {key: k for k, key in enumerate(keys)}
+    edges = np.array([(k << 64) // len(keys) for k in range(1, len(keys))], np.uint64)
+
+    def count(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((f"{k}{x}", pa.binary()) for k in ("words", "pairs") for x in ("", "_n", "_t"))])
+        if not texts.num_rows:
+            return out.empty_table()
+        block = Block.of(texts["text"])
+        ids = texts["doc_id"]
+        mine = np.isin(ids.fill_null(0).to_numpy(), marks["doc_id"].to_numpy()) & ids.is_valid().to_numpy()
+        of_word = np.repeat(mine, block.lengths)
+        cols = {"bucket": keys, "block": [texts["block"][0].as_py()] * len(keys)}
+        for name, distinct, at, own in (("words", block.words, block.word, of_word), ("pairs", block.pairs, block.pair, of_word[~block.first()])):
+            n, t = (np.bincount(x, minlength=len(distinct)).astype(np.uint32) for x in (at, at[own]))
+            cuts = np.searchsorted(distinct, edges)
+            cols[name] = [planes(np.diff(x, prepend=np.uint64(0))) for x in np.split(distinct, cuts)]
+            cols[f"{name}_n"], cols[f"{name}_t"] = ([planes(x) for x in np.split(c, cuts)] for c in (n, t))
+        return pa.table(cols, out)
+
+    def add_up(told: pa.Table) -> pa.Table:
+        cols: dict[str, list] = {"block": told["block"].to_pylist(), "rank": [ranks[told["bucket"][0].as_py()]] * told.num_rows}
+        for name in ("words", "pairs"):
+            asked = [np.cumsum(unplaned(x.as_py(), np.uint64), dtype=np.uint64) for x in told[name]]
+            distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
+            cuts = np.cumsum([len(x) for x in asked])[:-1]
+            for x in ("n", "t"):
+                own = np.concatenate([unplaned(c.as_py(), np.uint32) for c in told[f"{name}_{x}"]])
+                total = np.bincount(at, own, len(distinct)).astype(np.uint64)
+                cols[f"{name}_{x}"] = [planes(c) for c in np.split(total[at], cuts)]
+                if name == "words":
+                    cols[x] = [int(total.sum())] * told.num_rows
+            if name == "words":
+                cols["distinct"] = [len(distinct)] * told.num_rows
+        kinds = {"block": pa.int64(), "rank": pa.int32(), **{f"{k}_{x}": pa.binary() for k in ("words", "pairs") for x in ("n", "t")}, "n": pa.int64(), "t": pa.int64(), "distinct": pa.int64()}
+        return pa.table({k: pa.array(cols[k], v) for k, v in kinds.items()})
+
+    def judge(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return SCORED_ARROW.empty_table()
+        block = Block.of(texts["text"])
+        sums = sums.sort_by("rank")
+        whole = lambda name: np.concatenate([unplaned(x.as_py(), np.uint64) for x in sums[name]])
+        vocabulary = max(VOCABULARY, sum(sums["distinct"].to_pylist()))
+        t, b = (block.losses(whole(f"words_{x}"), whole(f"pairs_{x}"), sum(sums[x].to_pylist()), vocabulary) for x in ("t", "n"))
+        cuts = np.cumsum(block.lengths)[:-1]
+        means = [[float(x.mean()) if len(x) else None for x in np.split(v, cuts)] for v in (t, b, t - b)]
+        return pa.table([texts["doc_id"].combine_chunks(), block.lengths, *(pa.array(m, pa.float64()) for m in means)], SCORED_ARROW)
+
+    # Labels grow with the documents, so they are dealt like these at every size. Texts without doc_id have no label.
+    texts = rows.select(dealt(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), keys).alias("block"), "doc_id", "text")
+    marks = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").select(dealt(F.xxhash64(F.col("doc_id").cast("string")), keys).alias("block"), "doc_id").distinct()
+    told = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(count, COUNTED)
+    sums = told.groupBy("bucket").applyInArrow(add_up, ADDED_UP)
+    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(judge, SCORED)

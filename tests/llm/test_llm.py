@@ -516,6 +516,31 @@ def test_lm_edges(edge, none):
     assert lm_score.score(edge, edge.limit(0)).count() == 10 and lm_score.score(none, edge).isEmpty()
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    """More distinct words and pairs than any fixed number of slots keeps apart, in many blocks: equal to unhashed counts."""
+    monkeypatch.setattr(lm_score, "BLOCK", 100_000)
+    r = random.Random(5)
+    rows = [(i, " ".join(f"x{int(r.random() ** 2 * 600_000)}" for _ in range(r.randint(0, 6000)))) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (None, "x1 x2 x1 x2")], "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_score.score(docs, docs.where("doc_id % 3 = 0")).collect()}
+    low = {i: t.split() for i, t in [*rows, (None, "x1 x2 x1 x2")]}
+    vocabulary = len({w for x in low.values() for w in x})
+    assert vocabulary > lm_score.VOCABULARY and len(got) == 151
+    want = {i: [] for i in low}
+    for members in ([x for i, x in low.items() if i is not None and i % 3 == 0], list(low.values())):
+        one = collections.Counter(w for x in members for w in x)
+        two = collections.Counter(p for x in members for p in zip(x, x[1:]))
+        total = sum(one.values()) + lm_score.ADDED * vocabulary
+        for i, x in low.items():
+            p = [(one[w] + lm_score.ADDED) / total for w in x]
+            p[1:] = [lm_score.WEIGHT * two[a, b] / one[a] + (1 - lm_score.WEIGHT) * q if one[a] else q for a, b, q in zip(x, x[1:], p[1:])]
+            want[i].append(-np.log(p).mean() if x else None)
+    for i, x in low.items():
+        assert got[i].n_words == len(x)
+        if x:
+            assert np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [*want[i], want[i][0] - want[i][1]], rtol=1e-9)
+
+
 # ---- pipeline
 
 
