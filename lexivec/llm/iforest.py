@@ -2,7 +2,8 @@
 
 Trees split random statistics at random values; documents whose statistics part early from the others have short
 paths and high anomaly scores. The forest is fitted on a bounded sample (SAMPLE rows by the hash of doc_id, PSI of
-them a tree); every document is scored. The threshold comes from all labelled documents: a histogram of scores by
+them a tree) and on how far each statistic reaches over all documents that pass the base rules, so that one that no
+row of a tree exceeds is split there too; every document is scored. The threshold comes from all labelled documents: a histogram of scores by
 label, whose size is fixed, gives the one that removes the most of the bad ones while it keeps all but a stated
 share of the good ones.
 
@@ -52,7 +53,9 @@ class Forest:
     psi: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7) -> Forest:
+    def fit(cls, x: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7, reach: np.ndarray | None = None) -> Forest:
+        """reach: the greatest values of all rows. A statistic that is one value in a tree's rows and greater elsewhere
+        is open once on each path, between that value and its reach."""
         rng = np.random.default_rng(seed)
         psi = min(psi, len(x))
         most = int(np.ceil(np.log2(max(psi, 2))))
@@ -60,20 +63,23 @@ class Forest:
         feature, left, right = (np.zeros((trees, size), np.int32) for _ in range(3))
         split, depth = np.zeros((trees, size)), np.zeros((trees, size))
         for t in range(trees):
-            todo, free = [(0, x[rng.choice(len(x), psi, replace=False)], 0)], 1
+            drawn = x[rng.choice(len(x), psi, replace=False)]
+            beyond = np.zeros(x.shape[1], bool) if reach is None else (drawn.max(0) == drawn.min(0)) & (reach > drawn.max(0))
+            todo, free = [(0, drawn, 0, beyond)], 1
             while todo:
-                node, rows, d = todo.pop()
-                low, high = rows.min(0), rows.max(0)
-                open_features = np.flatnonzero(high > low)
+                node, rows, d, beyond = todo.pop()
+                low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+                open_features = np.flatnonzero((high > low) | beyond)
                 if d >= most or len(rows) <= 1 or not len(open_features):
                     left[t, node] = right[t, node] = node
                     depth[t, node] = d + usual_path(len(rows))
                     continue
                 f = rng.choice(open_features)
-                cut = rng.uniform(low[f], high[f])
+                cut = reach[f] - rng.uniform(0, reach[f] - high[f]) if beyond[f] else rng.uniform(low[f], high[f])
+                beyond = beyond & (np.arange(len(beyond)) != f)
                 feature[t, node], split[t, node], left[t, node], right[t, node] = f, cut, free, free + 1
                 below = rows[:, f] < cut
-                todo += [(free, rows[below], d + 1), (free + 1, rows[~below], d + 1)]
+                todo += [(free, rows[below], d + 1, beyond), (free + 1, rows[~below], d + 1, beyond)]
                 free += 2
         return cls(feature, split, left, right, depth, psi)
 
@@ -115,9 +121,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005) -> Da
     """Statistics, anomaly score and verdict of every document: doc_id, the counts of rules.COUNTS, base_failed,
     anomaly (double), kept. lost: the largest share of documents labelled good that the threshold may remove."""
     stats = saved(rules.with_statistics(docs).withColumn("base_failed", failed_base()), "rule-statistics")
-    sample = stats.where("not base_failed").select("ratios").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
+    passed = stats.where("not base_failed").select("doc_id", "ratios")
+    sample = passed.select("ratios").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
     x = excess(sample["ratios"].combine_chunks())
-    forest = Forest.fit(x) if len(x) else None
+    most = passed.agg(F.array(*[F.max(F.col("ratios")[k]) for k in range(len(rules.RATIOS))]).alias("ratios")).toArrow()
+    forest = Forest.fit(x, reach=excess(most["ratios"].combine_chunks())[0]) if len(x) else None
 
     def anomaly(ratios: pa.Array) -> pa.Array:
         x = excess(ratios)

@@ -248,6 +248,18 @@ def test_forest_finds_the_odd_one():
     assert iforest.threshold([(10, 1, 100), (900, 0, 5)], 0.01) > 10 / iforest.BINS and iforest.threshold([(1, 1, 3)], 0.01) == 2.0
 
 
+def test_forest_splits_what_its_sample_lacks(spark, monkeypatch):
+    """Junk that exceeds a statistic which no sampled row exceeds goes, where labels call its like bad."""
+    monkeypatch.setattr(iforest, "SAMPLE", 300)
+    plain = [(i, " ".join("plain" + chr(97 + int(w[1:]) // 26) + chr(97 + int(w[1:]) % 26) for w in words(i, 80))) for i in range(700)]
+    ids = [r.doc_id for r in spark.range(700).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    junk = set(ids[-4:])  # the greatest hashes: never in the sample
+    docs = spark.createDataFrame([(i, t.replace(" ", " | ") if i in junk else t) for i, t in plain], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 0 if i in junk else 1) for i in [*ids[:200], *ids[-2:]]], "doc_id long, quality int")
+    got = iforest.quality_rules(docs, marks).where("not base_failed").collect()
+    assert len(got) == 700 and {r.doc_id for r in got if not r.kept} == junk
+
+
 def test_gam_learns_interactions():
     r = np.random.default_rng(1)
     x = r.uniform(-1, 1, (3000, 3))
