@@ -533,9 +533,14 @@ def tender_json_unwrap(spark, d):
     return both
 
 
+#: Slices of whole days that arrive one after another.
+SLICES = 3
+
+
 @query(UPSERT_SQL)
 def stream_upsert(spark, d):
-    """The same snapshot by micro-batches over the table's files."""
+    """The same snapshot by micro-batches over slices of time: each is written when the one before is in the store. An
+    upsert keeps what came first, so slices come in the order of time, with all rows of one time in one."""
     from lexivec.operators.scratch import shared_folder
     from lexivec.streaming import ingest
 
@@ -543,9 +548,11 @@ def stream_upsert(spark, d):
 
     root = f"{shared_folder(spark)}/lexivec-{uuid.uuid4().hex}"
     rows = sightings(spark, d)
-    for k, part in enumerate((rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))):
-        part.coalesce(1).write.parquet(f"{root}/in/part={k}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    q = ingest.stream_upserts(stream, f"{root}/store", f"{root}/progress", "user_id", "ts", ["event_type"], ["props"], "event_id")
-    q.awaitTermination()
+    first, last = rows.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    days = (last - first).days + 1 if first else 1
+    part = F.coalesce(F.floor(F.datediff(F.to_date("ts"), F.lit(first).cast("date")) * SLICES / days), F.lit(0))
+    for k in range(SLICES):
+        rows.where(part == k).write.parquet(f"{root}/in/part={k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        ingest.stream_upserts(stream, f"{root}/store", f"{root}/progress", "user_id", "ts", ["event_type"], ["props"], "event_id").awaitTermination()
     return ingest.snapshot(spark, f"{root}/store")

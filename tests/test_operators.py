@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lexivec.functions import cards, html_tables
 from lexivec.functions import text as T
 from lexivec.operators import index, legacy, reports, retrieval, sections, store, tables
-from lexivec.plans import engine
+from lexivec.plans import engine, queries
 from lexivec.sources import landing
 from lexivec.streaming import ingest
+from tests.oracle import DATA, connect, rows
 
 
 def one(spark, value, f):
@@ -182,6 +183,18 @@ def test_stream_of_two_batches(spark, tmp_path):
     assert (r.name, r.first_seen, r.last_seen, r.is_new) == ("n1", 1, 2, 0) and alerts == [1, 0]
 
 
+def test_stream_upsert_query_upserts(spark, tmp_path):
+    """Later micro-batches meet an earlier snapshot, and rows without event_id take part."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    bare = F.col("user_id") % 5 == 0
+    events.withColumn("event_id", F.when(~bare, F.col("event_id"))).coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = queries.QUERIES["stream_upsert"](spark, f"file://{tmp_path}")
+    root = got.inputFiles()[0].rpartition("/version=")[0]
+    assert len(ingest.versions(spark, root)) == queries.SLICES
+    want = connect().execute(queries.ORACLE_SQL["stream_upsert"].replace("(ts, event_id)", "ts")).df()
+    assert rows(got.toPandas()) == rows(want)
+
+
 def test_tables_first_column_index(spark):
     rows = spark.createDataFrame([(["S.No.", "Item", "Quantity"],)], "h array<string>")
     got = rows.select(tables.column_index(F.col("h"), "quantity"), tables.column_index(F.col("h"), "none"), tables.column_index(F.col("h"), "none", default=4)).first()
