@@ -264,15 +264,22 @@ def with_language(docs: DataFrame, net: BiGru | None, name: str = "language") ->
     return docs.withColumn(name, F.arrow_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
 
 
-#: The least mean probability that is taken for a language: little above chance among a few.
-LEAST = 0.3
-
-
-def with_known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents whose language is recognised, with all their columns."""
-    marked = with_language(docs, fit(docs), "language of a row")
-    known = (F.col("`language of a row`.lang_pred") != UNKNOWN) & (F.col("`language of a row`.score") >= least)
-    return marked.where(known).select(*docs.columns)
+#: The least mean probability that is taken for a language is the one that this share of its correctly labelled rows
+#: stays below; LEAST where a language has no such row.
+LOST, LEAST = 0.005, 0.3
+
+
+def with_known_language(docs: DataFrame, least: float = LEAST, lost: float = LOST) -> DataFrame:
+    """The documents whose language is recognised, with all their columns: the score is no lower than all but the share
+    lost of the rows of that language, over all rows whose lang says the same. With one language there is nothing to
+    tell it from, so only texts without letters go."""
+    marked = saved(with_language(docs, fit(docs), "language of a row"), "languages")
+    lang, score = F.col("`language of a row`.lang_pred"), F.col("`language of a row`.score")
+    right = marked.where(F.col("lang").cast("string") == lang).where(lang != UNKNOWN)
+    # A row for each language of the network, which the driver holds.
+    limits = right.groupBy(lang.alias("of")).agg(F.percentile_approx(score, lost, 100_000).alias("limit")).collect()
+    limit = F.coalesce(*[F.when(lang == r.of, F.lit(max(r.limit, least))) for r in limits], F.lit(least))
+    return marked.where((lang != UNKNOWN) & (score >= limit)).select(*docs.columns)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

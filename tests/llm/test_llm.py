@@ -216,6 +216,16 @@ def test_language_edges(edge, none):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, 8, None}
 
 
+def test_unlearned_language_goes(spark):
+    """Documents in a language without a label to learn from go, the others stay."""
+    docs = spark.read.parquet(f"{DATA[:-5]}0.01/documents.parquet").withColumn("was", F.col("lang")).withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = langid.with_known_language(lettered)
+    kept = shared.saved(kept, "kept")
+    share = lambda of: kept.where(of).count() / lettered.where(of).count()
+    assert share(F.col("was") == "de") < 0.5 and share(F.col("was") != "de") > 0.97
+
+
 # ---- rules and classifier
 
 
