@@ -6,8 +6,10 @@
   words of an Arrow batch are tested together with numpy.
 * Only words with an incompatible pair go through exact merging.
 
-Words that were seen before come from a cache of bounded size (``CACHE_WORDS``), so that its memory doesn't
-grow with the input. Work is a narrow map: no shuffle, one Arrow batch in memory at a time.
+Texts are cut into chunks at blanks, and Arrow tells the distinct ones of a block apart; only those are looked at, so that
+Python's work is by distinct chunk and all else is gathering. Chunks and words that were seen before come from two
+caches of bounded bytes (``CACHE_BYTES``). Short words are proposed and merged in step, long ones one by one: the results are the
+same. Work is a narrow map: no shuffle, one Arrow batch in memory at a time.
 
 Defined results: a null text counts as the empty text; an empty text has no ids; the text of the special token
 becomes its id; ids outside the vocabulary can't be decoded and raise an error; ill-formed UTF-8 that results from
@@ -16,25 +18,32 @@ decoding becomes U+FFFD, as in the library that this one follows. Other columns
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-CACHE_WORDS = 250_000
+#: Bytes of either cache (words, chunks of text); characters of the longest text in it.
+CACHE_BYTES, LONGEST = 96_000_000, 64
+#: Words that are learned together; bytes of texts that are encoded together.
+SLICE, BLOCK = 50_000, 4_000_000
 #: Above every rank.
 NONE = 1 << 40
 #: The pattern of byte-level tokenizers of this family; white space by its Unicode property.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Whether a blank is followed by white space or by the end.
-BLANKS = re.compile(r" (?:\s|$)").search
+#: White space of one byte, and by its first byte the rest of that of more bytes.
+WHITE = np.isin(np.arange(256), [*range(9, 14), 32])
+WIDE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE_TAILS = {lead: [c[1:] for x in WIDE if (c := chr(x).encode())[0] == lead] for lead in (0xC2, 0xE1, 0xE2, 0xE3)}
 
 
 def default_path() -> str:
@@ -94,10 +103,9 @@ class Bpe:
         self.trie_keys, self.trie_next, self.trie_token = self.trie()
         self.find = regex.compile(WORD).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        #: Ids of words and of chunks of text, and those of the generation before, which are dropped next.
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.token_bytes = pa.array(self.bytes_of, pa.binary())
+        self.token_decimals = pa.array([None if t is None else b"%d," % i for i, t in enumerate(self.bytes_of)], pa.binary())
+        self.words, self.chunks = Known(CACHE_BYTES), Known(CACHE_BYTES)
 
     def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The vocabulary as a trie: sorted keys node * 256 + byte, the nodes they lead to, and nodes' tokens."""
@@ -261,9 +269,9 @@ class Bpe:
         flat, ends = final[keep].astype("<u4").tobytes(), (4 * keep.sum(1).cumsum()).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of words into the cache."""
-        words.sort(key=len)
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words."""
+        words = sorted(words, key=len)
         raws = [w.encode() for w in words]
         short = np.searchsorted(np.fromiter(map(len, words), np.int64, len(words)), 100, side="right")
         flat, n = self.propose(raws[:short])
@@ -276,110 +284,208 @@ class Bpe:
         at = np.flatnonzero(inner)
         failing = at[~self.compatible(flat[at], flat[at + 1])]
         data, starts = flat.astype("<u4").tobytes(), ends - n
-        for w, i, j in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
-            self.words[w] = data[i:j]
+        out = {w: data[i:j] for w, i, j in zip(words, (4 * starts).tolist(), (4 * ends).tolist())}
         again = np.unique(np.searchsorted(ends, failing, side="right")).tolist()
         few = [k for k in again if len(raws[k]) <= 32]
         for i in range(0, len(few), 4096):
             for k, x in zip(few[i : i + 4096], self.merge_many([raws[k] for k in few[i : i + 4096]])):
-                self.words[words[k]] = x
+                out[words[k]] = x
         for k in again:
             if len(raws[k]) > 32:
-                self.words[words[k]] = np.array(self.merge(raws[k]), "<u4").tobytes()
+                out[words[k]] = np.array(self.merge(raws[k]), "<u4").tobytes()
+        return out
 
-    # -- texts. A text may be cut before each blank that a non-blank follows, and round a single line feed
-    # between non-blanks: the pattern finds the same words on both sides.
+    # -- texts
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk of text."""
         if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return [chunk]
-        if "\n" not in chunk:
-            return self.find(chunk)
-        lines = chunk.split("\n")
-        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines[1:]) or not lines[0].strip() or lines[0][-1].isspace():
-            return self.find(chunk)
-        out = self.find(lines[0])
-        for x in lines[1:]:
-            out.append("\n")
-            out += self.find(x)
+        return self.find(chunk)
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, by SLICE of them: from those known, or learned."""
+        out: list[bytes] = []
+        for i in range(0, len(words), SLICE):
+            part = words[i : i + SLICE]
+            held = self.words.some(part)
+            if new := [w for w in dict.fromkeys(part) if w not in held]:
+                learned = self.learn(new)
+                self.words.add(learned)
+                held |= learned
+            out += map(held.__getitem__, part)
         return out
 
-    def chunked(self, text: str) -> tuple[str, list[str]]:
-        """The beginning of a text and its chunks after it, each without the blank that stands before it."""
-        first, *rest = text.split(" ")
-        if BLANKS(text):
-            out = [first]
-            for x in rest:
-                if not x or x[0].isspace():
-                    out[-1] += " " + x
-                else:
-                    out.append(x)
-            first, *rest = out
-        return first, rest
-
-    def parts(self, text: str):
-        """A text as special tokens (bytes) and texts between them."""
-        end = 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            if m.start() > end:
-                yield text[end : m.start()]
-            yield np.array([self.special[m[0]]], "<u4").tobytes()
+    def ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, those known and those cut into words."""
+        held = self.chunks.some(chunks)
+        if len(held) < len(chunks):
+            new = [c for c in chunks if c not in held]
+            cut = [self.pieces(c) for c in new]
+            ids = self.ids_of_words([w for ws in cut for w in ws])
+            at, learned = 0, {}
+            for c, ws in zip(new, cut):
+                learned[c] = ids[at] if len(ws) == 1 else b"".join(ids[at : at + len(ws)])
+                at += len(ws)
+            self.chunks.add(learned)
+            held |= learned
+        return [held[c] for c in chunks]
+
+    def encode_plain(self, texts: pa.StringArray) -> pa.ListArray:
+        """Ids of texts without special tokens. Their chunks are told apart by Arrow, each distinct one is encoded
+        once, and ids are gathered from those of the distinct ones."""
+        texts = pa.concat_arrays([texts])  # offsets from zero
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
+        buffer = texts.buffers()[2]
+        n = int(offsets[-1])
+        if not n:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        starts = np.append(borders(np.frombuffer(buffer, np.uint8)[:n], offsets), n)
+        chunks = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), buffer).dictionary_encode()
+        lists = as_lists(self.ids_of_chunks(chunks.dictionary.to_pylist())).take(chunks.indices)
+        ends = lists.offsets.to_numpy()[np.searchsorted(starts, offsets)]
+        return pa.ListArray.from_arrays(pa.array(ends), lists.values)
+
+    def parts(self, text: str) -> list[str]:
+        """A text as texts and special tokens in turn."""
+        out, end = [], 0
+        for m in self.cut.finditer(text):
+            out += [text[end : m.start()], m[0]]
             end = m.end()
-        if end < len(text):
-            yield text[end:]
+        return [*out, text[end:]]
+
+    def encode_texts(self, texts: pa.StringArray) -> pa.ListArray:
+        """Ids of texts of any kind, none of them null."""
+        marked = np.zeros(len(texts), bool)
+        for s in self.special:
+            marked |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.encode_plain(texts)
+        parts, counts = [], []
+        for text, cut in zip(texts.to_pylist(), marked.tolist()):
+            parts += (got := self.parts(text) if cut else [text])
+            counts.append(len(got))
+        tokens = [self.special.get(p) for p in parts]
+        plain = self.encode_plain(pa.array(["" if t is not None else p for p, t in zip(parts, tokens)], pa.string()))
+        lists = pa.concat_arrays([plain, as_lists([np.array([t], "<i4").tobytes() for t in self.special.values()])])
+        place = {t: len(plain) + k for k, t in enumerate(self.special.values())}
+        lists = lists.take(pa.array([k if t is None else place[t] for k, t in enumerate(tokens)]))
+        ends = lists.offsets.to_numpy()[np.cumsum([0, *counts])]
+        return pa.ListArray.from_arrays(pa.array(ends), lists.values)
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of texts (null: empty), by blocks of bounded size."""
+        done = [self.encode_texts(block) for block in blocks(texts.cast(pa.string()).fill_null(""))]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, each as little-endian 32-bit numbers."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.old = self.words, self.chunks
-            self.words, self.chunks = {}, {}
-        get = self.chunks.get
-        rows: list[list[bytes | None]] = []
-        gaps: list[tuple[list, int, str]] = []  # what isn't known yet: its list, its place, its text
-        for text in texts:
-            rows.append(row := [])
-            for part in self.parts(text) if text else ():
-                if isinstance(part, bytes):
-                    row.append(part)
-                    continue
-                first, rest = self.chunked(part)
-                if first:
-                    gaps.append((row, len(row), first))
-                    row.append(None)
-                at = len(row)
-                row += map(get, rest)
-                if None in row[at:]:
-                    gaps += [(row, k, " " + rest[k - at]) for k in range(at, len(row)) if row[k] is None]
-        if gaps:
-            known = self.ids_of({x for _, _, x in gaps})
-            for row, k, x in gaps:
-                row[k] = known[x]
-        return [b"".join(row) for row in rows]
-
-    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, which join the known ones if a blank begins them."""
-        old_words, old_chunks = self.old
-        out = {c: x for c in chunks if c[0] == " " and (x := old_chunks.get(c[1:])) is not None}
-        cut = {c: self.pieces(c) for c in chunks if c not in out}
-        words = self.words
-        if new := {w for ws in cut.values() for w in ws if w not in words}:
-            for w in [w for w in new if w in old_words]:
-                words[w] = old_words[w]
-                new.discard(w)
-            if new:
-                self.learn(list(new))
-        for c, ws in cut.items():
-            out[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        self.chunks.update((c[1:], x) for c, x in out.items() if c[0] == " ")
-        return out
+        lists = self.encode_array(pa.array(texts, pa.string()))
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        return [flat[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
+    def decode_array(self, lists: pa.ListArray) -> pa.StringArray:
+        """Texts of lists of ids; null for null."""
+        data = joined(lists, self.token_bytes)
+        try:
+            return data.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in data.to_pylist()], pa.string())
+
     def decode(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
+        return self.decode_array(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decimals_of(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """Lists of ids as decimal numbers, each with a comma after it."""
+        return joined(lists, self.token_decimals)
+
+
+class Known(dict):
+    """Ids by text. Never holds more than about so many bytes: what comes when it is full isn't kept, and the next
+    that asks finds it empty. Long texts aren't kept either."""
+
+    #: Bytes of an entry besides its text and ids.
+    ENTRY = 180
+
+    def __init__(self, most: int) -> None:
+        self.most, self.size, self.full = most, 0, False
+
+    def some(self, texts: list[str]) -> dict[str, bytes]:
+        """The known ones among texts."""
+        if self.full:
+            self.clear()
+            self.size, self.full = 0, False
+        get = self.get
+        return {t: x for t in texts if (x := get(t)) is not None}
+
+    def add(self, ids: dict[str, bytes]) -> None:
+        for t, x in ids.items():
+            if len(t) <= LONGEST:
+                self.size += 4 * len(t) + len(x) + self.ENTRY
+                if self.size > self.most:
+                    self.full = True
+                    return
+                self[t] = x
+
+
+def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts (UTF-8 bytes between offsets) begin, and where they may be cut, as the pattern finds the same words on
+    both sides: before a blank that no white space follows, and on both sides of a single line feed between others."""
+    n = len(data)
+    white = WHITE[data]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(data == lead)
+        for tail in WHITE_TAILS[lead]:
+            hit = at[at + len(tail) < n]
+            for k, b in enumerate(tail, 1):
+                hit = hit[data[hit + k] == b]
+            for k in range(len(tail) + 1):
+                white[hit + k] = True
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    open_after = np.append(~white[1:], False) & ~begins[1:]  # a character of the same text follows that isn't white
+    cut = (data == 32) & open_after
+    feeds = np.flatnonzero((data == 10) & open_after & ~begins[:-1])
+    feeds = feeds[~white[feeds - 1]]
+    cut |= begins[:-1]
+    cut[feeds] = True
+    cut[feeds + 1] = True
+    return np.flatnonzero(cut)
+
+
+def as_lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def joined(lists: pa.ListArray, of: pa.BinaryArray) -> pa.BinaryArray:
+    """For each list of ids the bytes of its members, one after another."""
+    done = []
+    for block in blocks(lists):
+        ends = block.offsets.to_numpy()
+        got = of.take(block.values.slice(ends[0], ends[-1] - ends[0]))
+        if got.null_count:
+            raise ValueError("an id without a token")
+        at = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1][ends - ends[0]]
+        done.append(pa.BinaryArray.from_buffers(pa.binary(), len(block), [valid(block), pa.py_buffer(at), got.buffers()[2]], block.null_count))
+    return pa.concat_arrays(done) if done else pa.array([], pa.binary())
+
+
+def valid(x: pa.Array) -> pa.Buffer | None:
+    return pa.array(x.is_valid()).buffers()[1] if x.null_count else None
+
+
+def blocks(x: pa.Array):
+    """An Arrow column of texts or lists in slices of at most BLOCK bytes or ids; longer ones by themselves."""
+    sizes = pc.fill_null(pc.binary_length(x) if pa.types.is_string(x.type) else pc.list_value_length(x), 0).to_numpy()
+    total, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(x):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK, side="right")))
+        yield x.slice(start, stop - start)
+        start = stop
 
 
 @lru_cache(maxsize=4)
@@ -388,79 +494,51 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-#: Texts of this many characters are encoded together.
-BLOCK_CHARS = 1_500_000
-
-
-def blocks(texts: pa.Array):
-    """An Arrow column as lists of Python strings of bounded size together."""
-    held, size = [], 0
-    for x in texts:
-        held.append(t := x.as_py())
-        size += len(t or "")
-        if size >= BLOCK_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def id_lists(texts: pa.Array, bpe: Bpe) -> pa.ListArray:
-    data = [x for held in blocks(texts) for x in bpe.encode_batch(held)]
-    ends = np.cumsum([0, *(len(x) // 4 for x in data)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32)))
-
-
 def encode(text: Column, path: str | None = None) -> Column:
     """Ids (array<int>) of a text column."""
     path = path or default_path()
 
     def run(texts: pa.Array) -> pa.Array:
-        return id_lists(texts, load(path))
+        return load(path).encode_array(texts)
 
     return F.arrow_udf(run, ArrayType(IntegerType()))(text)
 
 
-def texts_of(lists: pa.Array, bpe: Bpe) -> pa.Array:
-    of = bpe.bytes_of
-    ends = lists.offsets.to_numpy().tolist()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    out = [None if null else b"".join([of[i] for i in flat[ends[k] : ends[k + 1]].tolist()]).decode("utf-8", "replace") for k, null in enumerate(lists.is_null().to_pylist())]
-    return pa.array(out, pa.string())
-
-
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of an ids column (array<int>); null for null."""
     path = path or default_path()
 
     def run(lists: pa.Array) -> pa.Array:
-        return texts_of(lists, load(path))
+        return load(path).decode_array(lists)
 
     return F.arrow_udf(run, StringType())(ids)
 
 
-def encode_and_decode(text: Column, path: str | None = None) -> Column:
-    """struct<ids, decoded>: both steps in one call, as Spark would encode twice for a decode() of an encode()."""
-    path = path or default_path()
-
-    def run(texts: pa.Array) -> pa.Array:
-        ids = id_lists(texts, load(path))
-        return pa.StructArray.from_arrays([ids, texts_of(ids, load(path))], ["ids", "decoded"])
-
-    return F.arrow_udf(run, "ids array<int>, decoded string")(text)
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """The table with a column ids."""
     return docs.withColumn(ids, encode(F.col(text), path))
 
 
+def sha256(rows: pa.Array, less: int = 0) -> pa.Array:
+    """SHA-256 of each row's bytes without so many at its end, in lower-case hexadecimal digits."""
+    return pa.array([hashlib.sha256(memoryview(x.as_buffer())[: len(x.as_buffer()) - less]).hexdigest() for x in rows], pa.string())
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = docs.select("doc_id", encode_and_decode(F.col("text"), path).alias("c")).select("doc_id", "c.ids", "c.decoded")
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: texts are encoded, the ids decoded, and both
+    digested block by block, so that neither leaves the worker."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            at = 0
+            for block in blocks(batch["text"].cast(pa.string()).fill_null("")):
+                ids = bpe.encode_texts(block)
+                n = pc.list_value_length(ids)
+                numbers, texts = sha256(bpe.decimals_of(ids), 1), sha256(bpe.decode_array(ids))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(block)), n.cast(pa.int64()), numbers, texts], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(block)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
