@@ -1,21 +1,23 @@
 """Harmonic packing of token ids into sequences of one capacity.
 
-Lengths fall into classes by the reciprocals of the capacity C: the class of k holds pieces of C // k tokens,
-k to a sequence. Documents may be cut, so each is cut into pieces that fill their class exactly: whole sequences
-first, then C // 2, C // 4 and so on. Every class has one open sequence in each worker, filled by its fixed count
-of pieces and closed; workers need nothing of each other, so there is no shuffle, and memory holds one open
-sequence a class. What is left open at the end of a partition is closed as sequences whose lengths are powers of
-two where the class allows it: these need no padding.
-
-Defined results: a null or empty text is one token, the end mark; equal rows are packed each by itself; an empty
-table gives no pieces; a null doc_id stays null. Columns besides doc_id and text take no part.
+Lengths fall into classes by the reciprocals of the capacity C: the class of k holds documents of more than C / (k + 1)
+and at most C / k tokens, and its sequences take k of them, whatever their lengths. Every class has one open sequence
+in each worker; workers need nothing of each other, so there is no shuffle.
+
+k documents leave less than C / (k + 1) of their sequence free. That is filled by cutting few documents: those of more
+than C tokens, which can't stay whole, are held (at most SPARE sequences of them; beyond, whole sequences are cut off and the rest goes
+to its class) and give what is free its tokens. Where none is held, WAITING sequences wait for one, and beyond that the next document is cut.
+What a worker holds at its end is poured into sequences one after another, so that only its last one is padded.
+
+Ids are those of lexivec.llm.bpe. Defined results: a null or empty text is one token, the end mark; equal rows are
+packed each by itself; an empty table gives no pieces; a null doc_id stays null; very long texts and runs of blanks are
+cut like others. Columns besides doc_id and text take no part.
 """
 
 from __future__ import annotations
 
-import json
+from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,87 +25,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.bpe import byte_letters, default_path
+from lexivec.llm.bpe import blocks, default_path, load
 
-#: The pattern of byte-level tokenizers of this family.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Sequences that wait for filling, and sequences of tokens that are held to fill them: bounds of a worker's memory.
+WAITING = SPARE = 256
 #: Pieces that leave a worker together.
 ROWS = 20_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The vocabulary of a tokenizers file whose ids follow its merges, in a faster library."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letters = byte_letters()
-    vocab = spec["model"]["vocab"]
-    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-    if merged != sorted(merged):
-        raise ValueError("the ids of this vocabulary don't follow its merges")
-    ranks = {bytes(letters[c] for c in s): i for s, i in vocab.items()}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-
-def class_sizes(capacity: int) -> list[int]:
-    """Tokens of a piece, by class."""
-    sizes, k = [], 1
-    while capacity // k:
-        if not sizes or capacity // k < sizes[-1]:
-            sizes.append(capacity // k)
-        k *= 2
-    return sizes
-
-
-def cut(n: int, sizes: list[int]) -> list[int]:
-    """Classes of the pieces of n tokens, in the document's order."""
-    out = []
-    for c, size in enumerate(sizes):
-        out += [c] * (n // size)
-        n %= size
-    return out
+def class_of(n: int, capacity: int) -> int:
+    """How many documents of n tokens (at most the capacity) share a sequence."""
+    return capacity // n
 
 
 class Bins:
-    """The open sequences of one worker."""
+    """The open sequences of one worker. A piece is (doc_id, ids of the document, start, length)."""
 
     def __init__(self, capacity: int, first_id: int) -> None:
-        self.sizes = class_sizes(capacity)
-        self.counts = [capacity // s for s in self.sizes]
-        self.open: list[list[tuple]] = [[] for _ in self.sizes]
-        self.next_id = first_id
+        self.capacity, self.next_id = capacity, first_id
+        self.open: dict[int, list[tuple]] = {}
+        self.waiting: deque[tuple[list[tuple], int]] = deque()
+        self.spare: deque[tuple] = deque()
+        self.spare_tokens = 0
         self.rows: list[tuple] = []
 
-    def close(self, size: int, pieces: list[tuple]) -> None:
-        self.rows += [(*p, self.next_id, k * size) for k, p in enumerate(pieces)]
+    def close(self, pieces: list[tuple]) -> None:
+        at = 0
+        for doc_id, ids, start, n in pieces:
+            self.rows.append((doc_id, start, n, ids[4 * start : 4 * (start + n)], len(ids) // 4, self.next_id, at))
+            at += n
         self.next_id += 1
 
+    def take(self, most: int) -> tuple:
+        """Up to so many tokens from the front of what is held."""
+        doc_id, ids, start, n = self.spare.popleft()
+        got = min(n, most)
+        if got < n:
+            self.spare.appendleft((doc_id, ids, start + got, n - got))
+        self.spare_tokens -= got
+        return doc_id, ids, start, got
+
+    def hold(self, piece: tuple) -> None:
+        self.spare.append(piece)
+        self.spare_tokens += piece[3]
+
+    def place(self, piece: tuple) -> None:
+        """Put a piece of at most the capacity into its class; close or line up the sequence if that was the last."""
+        k = class_of(piece[3], self.capacity)
+        held = self.open.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            del self.open[k]
+            if free := self.capacity - sum(p[3] for p in held):
+                self.waiting.append((held, free))
+            else:
+                self.close(held)
+
+    def fill(self) -> None:
+        while self.waiting and self.spare:
+            held, free = self.waiting.popleft()
+            held.append(piece := self.take(free))
+            if free > piece[3]:
+                self.waiting.appendleft((held, free - piece[3]))
+            else:
+                self.close(held)
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // 4
-        at = 0
-        for c in cut(n, self.sizes):
-            size, held = self.sizes[c], self.open[c]
-            held.append((doc_id, at, size, ids[4 * at : 4 * (at + size)], n))
-            at += size
-            if len(held) == self.counts[c]:
-                self.close(size, held)
-                self.open[c] = []
+        piece = (doc_id, ids, 0, n := len(ids) // 4)
+        if n > self.capacity or len(self.waiting) >= WAITING:
+            self.hold(piece)
+        else:
+            self.place(piece)
+        self.fill()
+        while self.spare_tokens > SPARE * self.capacity:
+            self.place(self.take(self.capacity))
 
     def end(self) -> None:
-        for size, held in zip(self.sizes, self.open):
-            while held:
-                n = 1 << (len(held).bit_length() - 1) if size & (size - 1) == 0 else len(held)
-                self.close(size, held[:n])
-                held = held[n:]
-        self.open = [[] for _ in self.sizes]
-
-
-def take(rows: list[tuple]) -> pa.RecordBatch:
+        for held in self.open.values():
+            for piece in held:
+                self.hold(piece)
+        self.open = {}
+        self.fill()
+        while self.spare:  # nothing waits any longer
+            self.waiting.append(([], self.capacity))
+            self.fill()
+        for held, _ in self.waiting:
+            self.close(held)
+        self.waiting.clear()
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * 7
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -118,18 +131,21 @@ def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None) -> Data
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        bpe = load(path)
         bins = Bins(capacity, TaskContext.get().partitionId() << 32)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = enc.encode(text.as_py() or "", allowed_special="all")
-                bins.add(doc_id, np.array(ids, "<u4").tobytes() + end)
-                if len(bins.rows) >= ROWS:
-                    yield take(bins.rows)
-                    bins.rows = []
+            doc_ids = iter(batch["doc_id"].to_pylist())
+            for block in blocks(batch["text"].cast(pa.string()).fill_null("")):
+                lists = bpe.encode_texts(block)
+                flat, ends = memoryview(lists.values.to_numpy().astype("<u4")).cast("B"), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+                for a, b in zip(ends, ends[1:]):
+                    bins.add(next(doc_ids), bytes(flat[a:b]) + end)
+                    if len(bins.rows) >= ROWS:
+                        yield batch_of(bins.rows)
+                        bins.rows = []
         bins.end()
-        yield take(bins.rows)
+        yield batch_of(bins.rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
