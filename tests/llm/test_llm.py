@@ -90,10 +90,47 @@ def test_bpe_is_the_library(docs):
 
 
 def test_bpe_forgets_and_learns_again(docs, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5_000)
+    monkeypatch.setattr(bpe, "SLICE", 7)
+    monkeypatch.setattr(bpe, "BLOCK", 3_000)
     own = bpe.Bpe(bpe.default_path())
     texts = [d["text"] for d in docs[:30]]
     assert [own.encode_batch([t])[0] for t in texts] == bpe.load(bpe.default_path()).encode_batch(texts)
+    assert own.words.full or own.chunks.full
+
+
+def held_bytes(known):
+    return sum(len(k) + len(v) for k, v in known.items())
+
+
+def test_bpe_caches_are_bounded(monkeypatch):
+    """A million distinct words in one text without blanks: the caches stay within their bytes, ids are the library's."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2_000_000)
+    own = bpe.Bpe(bpe.default_path())
+    text = ".".join(f"{k * 2654435761 % (1 << 40):x}" for k in range(1_000_000))
+    got = own.encode(text)
+    assert held_bytes(own.words) < 2_000_000 and held_bytes(own.chunks) < 2_000_000 and len(own.words) * bpe.Known.ENTRY < 2_000_000
+    assert own.decode(got) == text
+    short = text[:100_000]
+    assert own.encode(short) == library().encode(short, add_special_tokens=False).ids
+    assert own.encode("a b " * 30_000) == library().encode("a b " * 30_000, add_special_tokens=False).ids
+
+
+def test_bpe_long_runs_of_blanks():
+    own = bpe.load(bpe.default_path())
+    for text in (" " * 1_000_000, "\n" * 300_000 + "x", "\u3000" * 5000, "x" + " " * 5000 + "y"):
+        assert own.decode(own.encode(text)) == text
+
+
+def test_bpe_ill_formed_and_unknown_ids():
+    own = bpe.load(bpe.default_path())
+    half = own.encode("é日")[:1]
+    assert own.decode(half) == library().decode(half, skip_special_tokens=False)
+    byte = int(own.byte_ids[0xC3])
+    assert own.decode([byte, byte]) == library().decode([byte, byte], skip_special_tokens=False) == "\ufffd\ufffd"
+    with pytest.raises((ValueError, IndexError)):
+        own.decode([own.size])
+    assert own.decode_array(bpe.pa.array([None, []], bpe.pa.list_(bpe.pa.int32()))).to_pylist() == [None, ""]
 
 
 def test_bpe_speculation_is_verified():
@@ -150,21 +187,65 @@ def test_packing(result, docs):
     got = result("op4_packing").to_dict("records")
     lengths = whole(got, 1024, ids)
     assert {r["doc_id"] for r in got} == set(ids)
-    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in lengths) == 0
+    workers = len({r["sequence_id"] >> 32 for r in got})
+    assert sum(n < 1024 for n in lengths) <= workers
+    short = [i for i, x in ids.items() if len(x) <= 1024]
+    assert sum(r["doc_tokens"] <= 1024 for r in got) < 1.5 * len(short)
 
 
-@pytest.mark.parametrize("capacity", [1, 2, 7, 10, 1000, 1024])
-def test_packing_any_capacity(capacity):
-    sizes = packing.class_sizes(capacity)
-    for n in (1, 2, 3, 5, 1023, 1024, 1025, 3000):
-        assert sum(sizes[c] for c in packing.cut(n, sizes)) == n
+def packed(capacity, lengths):
     bins = packing.Bins(capacity, 5)
-    ids = {k: np.arange(k + 1, dtype="<u4") for k in range(50)}
+    ids = {k: np.arange(n, dtype="<u4") for k, n in enumerate(lengths)}
     for k, x in ids.items():
         bins.add(k, x.tobytes())
+        assert bins.spare_tokens <= packing.SPARE * capacity and len(bins.waiting) <= packing.WAITING + 1
+    closed = bins.next_id
     bins.end()
     rows = [dict(zip(("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"), r)) for r in bins.rows]
-    whole([r | {"ids_crc32": zlib.crc32(r["ids"])} for r in rows], capacity, ids)
+    rows = [r | {"ids_crc32": zlib.crc32(r["ids"])} for r in rows]
+    return rows, whole(rows, capacity, ids), closed
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 7, 10, 1000, 1024])
+@pytest.mark.parametrize("lengths", [range(1, 50), [1] * 3000, [3000, 1, 5, 1023, 1024, 1025] * 30])
+def test_packing_any_capacity(monkeypatch, capacity, lengths):
+    monkeypatch.setattr(packing, "WAITING", 3)
+    monkeypatch.setattr(packing, "SPARE", 2)
+    _, totals, _ = packed(capacity, lengths)
+    assert sum(n < capacity for n in totals) <= 1
+
+
+def test_packing_classes():
+    """A sequence holds k whole documents of the class (C / (k + 1), C / k], and then only pieces of cut ones."""
+    r = random.Random(8)
+    rows, totals, closed = packed(1024, [r.choice([r.randint(1, 40), r.randint(41, 400), r.randint(300, 1023), r.randint(1100, 4000)]) for _ in range(4000)])
+    by_sequence = collections.defaultdict(list)
+    for x in rows:
+        by_sequence[x["sequence_id"]].append(x)
+    counts = collections.Counter()
+    for s, pieces in by_sequence.items():
+        pieces.sort(key=lambda x: x["offset"])
+        n = pieces[0]["length"]
+        k = packing.class_of(n, 1024)
+        if s >= closed or n == 1024:
+            continue
+        own = pieces[:k]
+        assert len(own) == k and all(1024 < (k + 1) * x["length"] <= 1024 * (k + 1) / k for x in own)
+        assert all(x["length"] == x["doc_tokens"] or x["doc_tokens"] > 1024 for x in own)
+        assert all(x["doc_tokens"] > 1024 for x in pieces[k:])
+        counts[k] += 1
+    assert {1, 2, 3, 5, 6, 7} <= set(counts)
+    short = [x for x in rows if x["doc_tokens"] <= 1024]
+    assert len(short) < 1.1 * len({x["doc_id"] for x in short})
+    assert [packing.class_of(n, 1024) for n in (1024, 513, 512, 342, 341, 257, 256, 1)] == [1, 1, 2, 2, 3, 3, 4, 1024]
+
+
+def test_packing_long_runs_of_blanks(spark):
+    text = " " * 1_000_000
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    got = packing.pack(docs).orderBy("doc_id", "start").collect()
+    ids = np.frombuffer(b"".join(r.ids for r in got if r.doc_id == 1), "<u4")
+    assert bpe.load(bpe.default_path()).decode(ids[:-1].tolist()) == text and ids[-1] == 0
 
 
 def test_packing_edges(edge, none):
@@ -390,22 +471,63 @@ def test_near_duplicate_edges(edge, none):
 # ---- nearest neighbours
 
 
-@pytest.mark.parametrize("shard_rows", [40, 10_000])
-def test_neighbours(spark, shard_rows):
+def found_neighbours(vectors, **how):
+    got = collections.defaultdict(list)
+    for g in vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, **how).orderBy("query_id", "rank").collect():
+        assert g.rank == len(got[g.query_id]) + 1
+        got[g.query_id].append((g.vec_id, g.score))
+    return got
+
+
+def brute_neighbours(rows, q, own, k=20):
+    s = [(-sum(float(a) * float(b) for a, b in zip(q, v)), i) for i, v in rows if i != own and len(v) == len(q)]
+    return [(i, -d) for d, i in sorted(s)][:k]
+
+
+@pytest.mark.parametrize("shard_bytes", [2_000, 10_000_000])
+def test_neighbours(spark, shard_bytes):
     r = np.random.default_rng(3)
     x = r.normal(0, 1, (300, 6)).astype(np.float32)
     x[50:90] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [1.0]), (305, [float("inf")] * 6), (None, [1.0] * 6)]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("shard", F.lit(1))
-    got = collections.defaultdict(list)
-    for g in vptree.nearest(t, t.where("vec_id % 20 = 0"), k=20, shard_rows=shard_rows, block_rows=7).orderBy("query_id", "rank").collect():
-        got[g.query_id].append((g.vec_id, g.score))
+    good = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows = good + [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [1.0]), (305, [float("inf")] * 6), (None, [1.0] * 6)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("shard", F.lit(1)).withColumn("length", F.lit(1))
+    got = found_neighbours(t, shard_bytes=shard_bytes, step=7)
     assert set(got) == {i for i in range(300) if i % 20 == 0}
     for q, found in got.items():
-        s = [sum(float(a) * float(b) for a, b in zip(x[q], v)) for v in x]
-        want = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:20]
-        assert [i for i, _ in found] == want
-        assert all(abs(v - s[i]) < 1e-12 for i, v in found)
+        want = brute_neighbours(good, x[q], q)
+        assert [i for i, _ in found] == [i for i, _ in want] and all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(found, want))
+
+
+def test_neighbours_of_each_length(spark):
+    """An odd length first doesn't send the others away; each length is searched by itself."""
+    r = np.random.default_rng(4)
+    rows = [(0, [2.0])] + [(i, r.normal(0, 1, 5).tolist()) for i in range(1, 101)] + [(i, r.normal(0, 1, 2).tolist()) for i in range(101, 131)]
+    got = found_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert set(got) == {20, 40, 60, 80, 100, 120}
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for i, _ in brute_neighbours(rows, dict(rows)[q], q)]
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A query id that occurs twice has one whole ranking; copies of a vector beyond k leave the smaller ids."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(0, 1, 4).tolist()) for i in range(60)]
+    rows += [rows[20], rows[20], (40, [9.0, 0.0, 0.0, 0.0]), rows[7]] + [(i, [3.0, 3.0, 3.0, 3.0]) for i in range(1001, 1500)]
+    got = found_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    least = {q: min(v for i, v in rows if i == q) for q in (0, 20, 40)}
+    for q, v in least.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in brute_neighbours(rows, v, q)] and len(got[q]) == 20
+
+
+def test_neighbours_of_any_magnitude(spark):
+    r = np.random.default_rng(7)
+    for scale in (1e200, 1e-200, 1e150):
+        rows = [(i, (r.normal(0, 1, 3) * scale).tolist()) for i in range(50)] + [(50, [1.0, 2.0, 3.0])]
+        got = found_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        assert {q: len(v) for q, v in got.items()} == {0: 20, 20: 20, 40: 20}
+        if scale == 1e150:
+            assert all([i for i, _ in got[q]] == [i for i, _ in brute_neighbours(rows, dict(rows)[q], q)] for q in got)
 
 
 def test_neighbours_factor_and_empty(spark):
