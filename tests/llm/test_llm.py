@@ -621,11 +621,54 @@ def test_warc_small_payloads_are_responses(spark):
 
 def test_warc_identifiers_either_way(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "q1"), ("q2", "request", None), ("r2", "response", "q2"), ("m2", "metadata", "r2"), ("x", "request", "nowhere"), ("r3", "response", None)]
-    records = spark.createDataFrame([(i, k, None, c, None, None, None, f"head {i}", 1, "s", None) for i, k, c in rows], warc.RECORD)
+    records = spark.createDataFrame([(i, k, None, c, None, None, None, f"head {i}", 1, "s", None, None) for i, k, c in rows], warc.RECORD)
     got = {r.capture_id: (r.request and r.request.record_id, r.metadata and r.metadata.record_id) for r in warc.transactions(records).collect()}
     assert got == {"r1": ("q1", "m1"), "r2": ("q2", "m2"), "r3": (None, None)}
 
 
+def archive(n, size=900):
+    r = random.Random(11)
+    body = "".join(r.choice("abcdef <>") for _ in range(size))
+    return [x.encode() + b"\r\n\r\n" for k in range(n) for x in warc.capture_records(k, f"k{k}", 1, f"http://h/{k}", f"{body}{k}", None, "1970-01-01T00:00:00Z")]
+
+
+def test_warc_reader_is_linear():
+    """16,000 gzip members within seconds, and twice as many in about twice the time."""
+    import gzip
+    import time
+
+    def seconds(n):
+        data = b"".join(gzip.compress(x, 1) for x in archive(n // 3 + 1, 2000))
+        t = time.perf_counter()
+        assert sum(1 for _ in warc.parse(data)) == 3 * (n // 3 + 1)
+        return time.perf_counter() - t
+
+    seconds(1000)
+    small, large = seconds(8000), seconds(16_000)
+    assert large < 4 and large < 3.5 * small
+
+
+def test_warc_faults(spark, tmp_path):
+    """Of truncated or malformed archives the whole records come, and one row with the error."""
+    import gzip
+
+    records = archive(4)
+    joined, zipped = b"".join(records), [gzip.compress(x) for x in records]
+    bad_length = joined + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\n"
+    files = {
+        "whole": (joined, 12, 0), "members": (b"".join(zipped), 12, 0), "padded": (b"\0\0".join(zipped), 12, 0), "one": (gzip.compress(joined), 12, 0), "empty": (b"", 0, 0), "short": (joined[:-30], 11, 1),
+        "cut": (b"".join(zipped)[:-40], 11, 1), "junk": (b"".join(zipped[:5]) + b"\x1f\x8bnonsense", 5, 1), "length": (bad_length, 12, 1), "head": (joined + b"WARC/1.1\r\nWARC-Type: resp", 12, 1), "text": (b"no archive at all\r\n\r\n", 0, 1),
+    }
+    for name, (data, _, _) in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    rows = warc.read_archives(spark, f"file://{tmp_path}")
+    got = rows.collect()
+    errors = collections.Counter(r.error.split(":", 2)[1].rsplit("/", 1)[1].removesuffix(".warc") for r in got if r.error)
+    assert errors == {k: 1 for k, (_, _, e) in files.items() if e}
+    assert sum(r.error is None for r in got) == sum(n for _, n, _ in files.values())
+    assert warc.transactions(rows.dropDuplicates(["record_id"])).count() == 4
+
+
 # ---- language models
 
 
