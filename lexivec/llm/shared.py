@@ -39,6 +39,14 @@ def drop_saved(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as no column (in any case of letters) needs to be called so."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: Lower case of A-Z alone; other bytes of UTF-8 stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -49,14 +57,17 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash by word; forgets all beyond a bounded number of words."""
+    """64-bit hash by word, of the family of a seed; forgets all beyond a bounded number of words."""
 
     MOST = 400_000
 
+    def __init__(self, seed: int = 0) -> None:
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

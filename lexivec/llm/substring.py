@@ -1,19 +1,20 @@
 """Substring dedup by level-wise doubling: word windows that repeat across documents.
 
-Windows of ``base`` words that are found in two documents are extended to twice that length, and those again, up to
+Windows of about BASE words that are found in two documents are extended to twice that length, and those again, up to
 ``min_words`` or until none survive. At the first level not every window is looked at: of each run of windows that
 one window of ``min_words`` words holds, the one with the least hash stands for it, so that every long window that
 two documents share brings the same short window in both. This loses nothing and makes the first shuffle a
 fraction of the words. At the later levels only windows that hold a surviving one are hashed.
 
-At each level a window's first document is an aggregation (partial sums before the shuffle), which is joined back on
+At each level a window's first document is an aggregation (partial sums before the shuffle), which is written and joined back on
 the window's hash: a passage that a third of all documents share is one row on one side, and Spark splits the
-other (the aggregation is written first, as Spark splits only joins of plain exchanges). Of documents whose words are all those of an earlier document only the first takes part in the later levels.
-Windows are compared by 64-bit hashes.
+other. Of documents whose words are all those of an earlier document (by SHA-256) only the first takes part in the later levels.
+The lower levels compare 64-bit hashes, whose collisions only bring more candidates; the last one, which decides, compares 128 bits of two
+independent hashes.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; a null text has none; documents of fewer than min_words words are left
 alone; a document without doc_id is left alone and no other is judged by it; rows of one doc_id are judged each by
-itself, against smaller ids alone; an empty table gives no rows.
+itself, against smaller ids alone; an empty table gives no rows. Columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -27,22 +28,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import WordHashes, saved, window_hashes, words_of
+from lexivec.llm.shared import WordHashes, fresh, saved, window_hashes, words_of
 
+#: Words of the first level's windows, at most.
+BASE = 13
 #: Rows of Arrow batches that leave a worker.
 ROWS = 200_000
 
 
 def tag() -> Column:
     """What tells apart different texts of one doc_id."""
-    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least (or greatest) of each run of so many consecutive values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        x = best(x[:-done], x[done:])
+        done *= 2
+    return best(x[: len(x) - (width - done)], x[width - done :])
 
 
 def least_of_runs(h: np.ndarray, run: int) -> np.ndarray:
-    """Positions of the least hash (the first of equals) of each run of so many consecutive hashes."""
+    """Positions of hashes that are the least of a run of so many consecutive ones."""
     if len(h) < run:
         return np.zeros(0, np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, run).argmin(1) + np.arange(len(h) - run + 1))
+    edge = np.zeros(run - 1, h.dtype)
+    return np.flatnonzero(sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, h, run), edge]), run) == h)
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -72,79 +85,90 @@ def described(docs: DataFrame, min_words: int, base: int) -> DataFrame:
     return rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n_words long, all_sha256 string, hashes array<long>, places array<int>")
 
 
-def repeated(windows: DataFrame) -> DataFrame:
-    """Of windows (h, doc_id, place) those whose hash is found in two documents, with the first of them."""
-    firsts = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return windows.join(saved(firsts, "firsts"), "h")
+def repeated(windows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Of windows (keys, doc_id, place) those whose hash is found in two documents, with the first of them; and the
+    number of such hashes."""
+    firsts = windows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*keys, "first")
+    firsts = saved(firsts, "firsts")
+    return windows.join(firsts, keys), firsts.count()
+
+
+def by_text(found: DataFrame) -> DataFrame:
+    """doc_id, tag, places (starts) of the windows of each text."""
+    marks = found.select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
+    return marks.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("places"))
 
 
 def extended(cand: DataFrame, size: int, longer: int) -> DataFrame:
-    """Windows (h, doc_id, place) of ``longer`` words that hold a surviving one of ``size`` words. cand: doc_id, tag,
-    text and places (tag * 2**32 + start) of the survivors."""
+    """Windows (h, g: hashes, doc_id, place: tag * 2**32 + start) of ``longer`` words that hold a surviving one of
+    ``size`` words. cand: doc_id, tag, text and places (starts) of the survivors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        caches = WordHashes(), WordHashes(1)
+        names = ["h", "g", "doc_id", "place"]
         for batch in batches:
             held, n = [], 0
             for doc_id, mark, text, places in zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["places"]):
                 words = words_of(text.as_py())
-                at = places.values.to_numpy()
-                at = at[at >> 32 == mark] & 0xFFFFFFFF
-                h = window_hashes(cache.of(words), longer)
+                at = places.values.to_numpy().astype(np.int64)
                 edge = np.zeros(len(words) + 2, np.int64)
                 np.add.at(edge, np.maximum(at - (longer - size), 0), 1)
                 np.add.at(edge, at + 1, -1)
-                start = np.flatnonzero(edge.cumsum()[: len(h)] > 0)
-                held.append((h[start].view(np.int64), np.full(len(start), doc_id, np.int64), (mark << 32) + start))
+                start = np.flatnonzero(edge.cumsum()[: max(len(words) - longer + 1, 0)] > 0)
+                h, g = (window_hashes(c.of(words), longer)[start].view(np.int64) for c in caches)
+                held.append((h, g, np.full(len(start), doc_id, np.int64), (mark << 32) + start))
                 n += len(start)
                 if n >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
                     held, n = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return cand.select("doc_id", "tag", "text", "places").mapInArrow(run, "h long, doc_id long, place long")
+    return cand.select("doc_id", "tag", "text", "places").mapInArrow(run, "h long, g long, doc_id long, place long")
 
 
 @dataclass
 class Repeats:
     """rows: doc_id, tag, n_words, all_sha256 of every document. candidates: doc_id, tag, text of those that may have
-    repeats. spans: doc_id, places (tag * 2**32 + start of each window of min_words words to remove). copies:
-    doc_ids whose documents are removed as a whole."""
+    repeats. spans: doc_id, tag, places (start of each window of min_words words to remove). copies: doc_id, tag of the
+    documents that are removed as a whole. levels: words of a window, and how many different ones survived."""
 
     rows: DataFrame
     candidates: DataFrame
     spans: DataFrame
     copies: DataFrame
     min_words: int
+    levels: list[tuple[int, int]]
 
 
-def find_repeats(docs: DataFrame, min_words: int = 50, base: int | None = None) -> Repeats:
+def find_repeats(docs: DataFrame, min_words: int = 50, base: int = BASE) -> Repeats:
     """Windows of min_words words that also start in a document with a smaller doc_id."""
     sizes = [min_words]
-    while base is None and sizes[0] >= 20 and len(sizes) < 2 or base is not None and sizes[0] > base:
+    while sizes[0] > base:
         sizes.insert(0, -(-sizes[0] // 2))
     rows = saved(described(docs, min_words, sizes[0]), "windows")
-    long = rows.where(F.col("n_words") >= min_words)
+    long = rows.where(F.col("n_words") >= min_words).where("doc_id is not null")
     firsts = long.groupBy("all_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("all_sha256", "first")
-    copies = long.select("doc_id", "all_sha256").join(firsts, "all_sha256", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
-    copies = saved(copies.where("copy").select("doc_id"), "copies")
-    windows = rows.where("doc_id is not null").select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("w"))
+    copies = long.select("doc_id", "tag", "all_sha256").join(saved(firsts, "first-copies"), "all_sha256").where("doc_id > first")
+    copies = saved(copies.select("doc_id", "tag").distinct(), "copies")
+    windows = long.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("w"))
     windows = windows.select(F.col("w.hashes").alias("h"), "doc_id", (F.shiftleft("tag", 32) + F.col("w.places")).alias("place"))
-    found = repeated(windows)
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cand = None
-    for size, longer in zip(sizes, sizes[1:]):
-        places = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-        if cand is None:
-            cand = saved(text.join(places.join(copies, "doc_id", "left_anti"), "doc_id").withColumn("tag", tag()), "candidates")
-        else:
-            cand = saved(cand.drop("places").join(places, "doc_id"), "candidates")
-        found = repeated(extended(cand, size, longer))
-    if cand is None:
-        cand = saved(text.join(found.select("doc_id").distinct(), "doc_id").withColumn("tag", tag()), "candidates")
-    spans = saved(found.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "spans")
-    return Repeats(rows.drop("hashes", "places"), cand.select("doc_id", "tag", "text"), spans, copies, min_words)
+    found, n = repeated(windows, ["h"])
+    levels = [(sizes[0], n)]
+    places = by_text(found).join(copies, ["doc_id", "tag"], "left_anti")
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tag", tag())
+    cand = saved(text.join(places, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "candidates")
+    for size, longer in zip(sizes, sizes[1:] if len(sizes) > 1 else sizes):
+        if not n:
+            break
+        if size != sizes[0]:
+            cand = saved(cand.drop("places").join(by_text(found), ["doc_id", "tag"]), "candidates")
+        keys = ["h", "g"] if longer == min_words else ["h"]
+        found, n = repeated(extended(cand, size, longer).select(*keys, "doc_id", "place"), keys)
+        levels.append((longer, n))
+    # Where a level leaves nothing, so would the last one.
+    spans = saved(by_text(found.where("doc_id > first") if n else found.limit(0)), "spans")
+    return Repeats(rows.drop("hashes", "places"), cand.select("doc_id", "tag", "text"), spans, copies, min_words, levels)
 
 
 def without(text: str | None, starts: np.ndarray, n: int) -> tuple[str | None, int]:
@@ -160,50 +184,47 @@ def without(text: str | None, starts: np.ndarray, n: int) -> tuple[str | None, i
     return b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
-#: Names of columns that stand beside those of any table.
-TAG, PLACES, ID, COPY = "tag of a text", "places of windows", "id of a marked row", "copy of a whole text"
-
-
-def removed(rows: DataFrame, n: int) -> DataFrame:
-    """Rows (any columns, with text, TAG and PLACES; -1 as a place: all of the text) with text replaced and a column
-    n_removed, which takes the place of one of that name."""
-    names = [x for x in rows.columns if x not in (TAG, PLACES, "n_removed")]
+def removed(rows: DataFrame, n: int, places: str, counted: str) -> DataFrame:
+    """Rows (any columns, with text and places: starts of windows of n words; -1: all of the text) with text replaced, and
+    the number of words that went under ``counted`` in place of places."""
+    names = [x for x in rows.columns if x != places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for mark, text, places in zip(batch[TAG].to_pylist(), batch["text"], batch[PLACES]):
-                at = np.array(places.as_py() or [], np.int64)
+            for text, marks in zip(batch["text"], batch[places]):
+                at = np.array(marks.as_py() or [], np.int64)
                 if len(at) and at[0] == -1:
                     kept, k = "", len(words_of(text.as_py()))
                 else:
-                    kept, k = without(text.as_py(), at[at >> 32 == mark] & 0xFFFFFFFF, n)
+                    kept, k = without(text.as_py(), at, n)
                 texts.append(kept)
                 counts.append(k)
             fixed = {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(fixed.get(x, batch[x] if x != "text" else None) for x in names), pa.array(counts, pa.int64())], [*names, "n_removed"])
+            yield pa.RecordBatch.from_arrays([*(fixed.get(x, batch[x] if x != "text" else None) for x in names), pa.array(counts, pa.int64())], [*names, counted])
 
     kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
-    return rows.mapInArrow(run, ", ".join([*kinds, "n_removed long"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, f"`{counted}` long"]))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 50, counted: str = "n_removed") -> DataFrame:
     """The documents with the words of repeated windows removed; texts without repeats stay as they are. All columns
-    stay; n_removed is added, or replaced if there is one."""
+    stay; the number of words that went is added under ``counted``, with underscores after it where there is such a column."""
     found = find_repeats(docs, min_words)
-    marks = found.spans.join(found.copies.withColumn(COPY, F.lit(True)), "doc_id", "full")
-    marks = marks.select(F.col("doc_id").alias(ID), F.when(F.col(COPY), F.array(F.lit(-1).cast("long"))).otherwise(F.col("places")).alias(PLACES))
-    rows = docs.withColumn(TAG, tag()).join(saved(marks, "marks"), F.col("doc_id") == F.col(ID), "left").drop(ID)
-    return removed(rows, min_words)
+    mark, places, own_id, own_tag = (fresh(x, docs.columns) for x in ("_tag", "_places", "_marked_id", "_marked_tag"))
+    marks = found.spans.join(found.copies.withColumn("copy", F.lit(True)), ["doc_id", "tag"], "full")
+    marks = marks.select(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag), F.when(F.col("copy"), F.array(F.lit(-1))).otherwise(F.col("places")).alias(places))
+    rows = docs.withColumn(mark, tag())
+    rows = rows.join(saved(marks, "marks"), (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(mark) == F.col(own_tag)), "left").drop(mark, own_id, own_tag)
+    return removed(rows, min_words, places, fresh(counted, docs.columns))
 
 
 def digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     found = find_repeats(docs, min_words)
-    marked = found.candidates.join(found.spans, "doc_id").withColumnRenamed("places", PLACES).withColumn(TAG, F.col("tag"))
-    part = removed(marked, min_words)
-    part = part.where("n_removed > 0").select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("part_sha256")).dropDuplicates(["doc_id", "tag"])
-    out = found.rows.join(part, ["doc_id", "tag"], "left").join(found.copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    part = removed(found.candidates.join(found.spans, ["doc_id", "tag"]), min_words, "places", "n_removed")
+    part = part.select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("part_sha256"))
+    out = found.rows.join(part, ["doc_id", "tag"], "left").join(found.copies.withColumn("copy", F.lit(True)), ["doc_id", "tag"], "left")
     return out.select(
         "doc_id",
         "n_words",

@@ -557,7 +557,7 @@ def brute_removal(rows, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "base"), [(50, None), (10, 5), (9, 3), (4, None)])
+@pytest.mark.parametrize(("n", "base"), [(50, 13), (50, 25), (10, 5), (9, 3), (4, 13)])
 def test_substrings(spark, n, base):
     passages = [words(k, 3 * n + 7 * k) for k in range(5)]
     r = random.Random(9)
@@ -572,14 +572,40 @@ def test_substrings(spark, n, base):
     rows += [(50, rows[3][1]), (51, rows[3][1]), (52, None), (53, " ".join(["x"] * (n + 3))), (54, " ".join(["x"] * n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = substring.find_repeats(docs, n, base)
-    assert found.min_words == n
+    assert found.min_words == n and found.levels[-1][0] == n and all(k > 0 for _, k in found.levels)
+    assert [size for size, _ in found.levels] == {(50, 13): [13, 25, 50], (50, 25): [25, 50], (10, 5): [5, 10], (9, 3): [3, 5, 9], (4, 13): [4, 4]}[n, base]
     want = brute_removal(rows, n)
-    if base is None:
+    if base == 13:
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs, n).collect()} == want
     texts = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs, n).collect()}
     assert texts == {i: v[1] for i, v in want.items()}
 
 
+def test_substring_levels_end_early(spark):
+    """Windows that repeat at a lower level alone are never hashed at the longer ones."""
+    docs = spark.createDataFrame([(i, " ".join([*words(i % 12, 20), *words(i + 50, 100)])) for i in range(240)], "doc_id long, text string")
+    assert [size for size, _ in substring.find_repeats(docs, 50, 7).levels] == [7, 13, 25]
+    assert not substring.find_repeats(docs, 50, 7).levels[-1][1]
+    apart = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(80))) for i in range(4)], "doc_id long, text string")
+    assert substring.find_repeats(apart).levels == [(13, 0)] and substring.digests(apart).where("n_removed > 0").isEmpty()
+
+
+def test_least_of_runs():
+    r = np.random.default_rng(2)
+    for n, run in ((50, 7), (7, 7), (3, 7), (40, 1), (64, 8)):
+        h = r.integers(0, 12, n).astype(np.uint64)
+        got = substring.least_of_runs(h, run).tolist()
+        assert got == sorted({i + k for i in range(n - run + 1) for k in range(run) if h[i + k] == h[i : i + run].min()})
+
+
+def test_substrings_beside_clashing_columns(spark):
+    a = " ".join(words(1, 80))
+    rows = spark.createDataFrame([(1, a, 7, "p", 5, "t"), (2, a, 8, "q", 6, "u")], "doc_id int, text string, n_removed int, `_places` string, `_TAG` int, `tag of a text` string")
+    got = substring.remove_repeats(rows)
+    assert got.columns == [*rows.columns, "n_removed_"]
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, a, 7, "p", 5, "t", 0), (2, "", 8, "q", 6, "u", 80)]
+
+
 def test_substring_edges(edge, none):
     got = [(r.doc_id, r.n_removed) for r in substring.digests(edge).collect()]
     assert sorted(got, key=str) == sorted([(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 30_000), (6, 30_000), (None, 0), (7, 0), (8, 0)], key=str)
