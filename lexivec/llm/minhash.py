@@ -11,20 +11,22 @@ At 0.8, all bands miss a pair once in about 300,000 cases.
 
 Groups of copies don't make pairs of all with all:
 
-1. Documents with equal sets are one node, whatever their number.
+1. Documents with equal sets (by a 128-bit hash of the set) are one node, whatever their number.
 2. In each bucket of a band, every node is paired with one leader, the one with the most company in all its buckets:
    of texts that were edited from one original this is the original or near it.
 3. Only nodes of a bucket that verified links of step 2 haven't brought together are paired with each other. In
    buckets of more than CROWD nodes the pairs come from an exact prefix filter: two sets with the asked similarity
-   share one of their rarest shingles, so far ahead in the order of rarity that enough may follow in both.
+   share one of their rarest shingles, so far ahead in the order of rarity that enough may follow in both. Shingles of
+   the crowds are counted exactly. The size of a bucket decides only which pairs are looked at, never which are found.
 
 Links form components by alternating large-star and small-star steps, each written to the shared folder.
-Sets are 64-bit hashes of shingles; nothing of them goes to the driver but counts of a fixed number of slots.
+Sets are 64-bit hashes of shingles; nothing of them goes to the driver. Rows are told apart by numbers of their own, so
+that those without doc_id, or with one that others have, are linked like all.
 
 Defined results: A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+; a text of fewer words than a shingle is one
 shingle; a null text or one without words has an empty set and is linked with nothing; a null doc_id is no
-smaller than any and its row's component is that of its set; rows of one doc_id are nodes by their own texts; an
-empty table gives no rows. Other columns take no part.
+smaller than any: a component's id is the smallest other one, and null if there is none; rows of one doc_id are nodes by
+their own texts; an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm.shared import LOWER, WordHashes, mix, saved, window_hashes
@@ -47,8 +49,6 @@ BANDS = REGISTERS // ROWS_OF_BAND
 EMPTY = np.uint16(65535)
 SIGMAS = 6
 CROWD = 8
-#: Slots of the table of shingle counts that orders shingles for the prefix filter.
-SLOTS = 1 << 18
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -123,20 +123,24 @@ def matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty) and sketch of every row."""
+    """rid (a number of its own), doc_id, text, row (all other columns), n_shingles, h1, h2 (128-bit hash of the set,
+    null if it is empty) and sketch of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         cache = WordHashes()
-        for batch in batches:
-            counts, nodes, sketches = [], [], []
-            for text in batch["text"]:
-                s = shingle_set(text.as_py(), size, cache)
-                counts.append(len(s))
-                nodes.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64).item() if len(s) else None)
-                sketches.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+        counts, hashes, sketches = [], [], []
+        for text in texts:
+            s = shingle_set(text.as_py(), size, cache)
+            counts.append(len(s))
+            hashes.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None))
+            sketches.append(registers(s).tobytes() if len(s) else None)
+        h1, h2 = zip(*hashes) if hashes else ((), ())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketches, pa.binary())], ["n_shingles", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() != "text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row"))
+    sketch = F.arrow_udf(run, "n_shingles long, h1 long, h2 long, sketch binary")(F.col("text"))
+    return rows.withColumn("s", sketch).select("rid", F.col("id").alias("doc_id"), "text", "row", "s.*")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -168,22 +172,17 @@ def hopeful(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node and its full set (little-endian 64-bit hashes) of the documents whose doc_id is in wanted."""
+def full_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """node and its full set (little-endian 64-bit hashes) of wanted nodes, each of which is one of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            nodes, sets = [], []
-            for text in batch["text"]:
-                s = shingle_set(text.as_py(), size, cache)
-                if len(s):
-                    nodes.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64).item())
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(text.as_py(), size, cache).tobytes() for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    return rows.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    mine = rows.select(F.col("rid").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
+    return mine.mapInArrow(run, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,35 +206,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """token, node, ahead (of how many shingles the token is the rarest, itself included), size: of each set its
-    rarest shingles, so many that two similar sets have one in common."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for s in batch["shingles"]:
-                total += np.bincount((np.frombuffer(s.as_py(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    found = sets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    rarest shingles, so many that two similar sets have one in common; without those that no other set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for node, s in zip(batch["node"].slice(i, 500).to_pylist(), batch["shingles"].slice(i, 500)):
-                    s = np.frombuffer(s.as_py(), np.uint64)
-                    k = len(s) - -(-percent * len(s) // 100) + 1
-                    o = np.lexsort((s, rarity[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
-                    for c, x in zip(cols, (s[o].view(np.int64), np.full(k, node, np.int64), len(s) - np.arange(k), np.full(k, len(s), np.int64))):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "ahead", "size"])
+                part = batch.slice(i, 500)
+                found = [np.frombuffer(s.as_py(), np.int64) for s in part["shingles"]]
+                sizes = np.array([len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(part["node"].to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], ["token", "node", "size"])
 
-    return sets.mapInArrow(run, "token long, node long, ahead long, size long")
+    tokens = saved(sets.mapInArrow(run, "token long, node long, size long"), "crowd-shingles")
+    counts = saved(tokens.groupBy("token").agg(F.count("*").alias("n")), "shingle-counts")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    ranked = tokens.join(counts, "token").withColumn("place", place).where(F.col("place") <= F.expr(f"size - (size * {percent} + 99) div 100 + 1"))
+    return ranked.where("n > 1").select("token", "node", (F.col("size") - F.col("place") + 1).alias("ahead"), "size")
 
 
 def by_prefix(tokens: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +260,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class NearDuplicates:
-    """rows: doc_id, n_shingles, node, component_id of every document. links: verified links a, b of nodes."""
+    """rows: rid, doc_id, text, row (all other columns), n_shingles, node, component_id, first (rid of the row that
+    stands for the component; null with an empty set) of every document. links: verified links a, b of nodes (rid of
+    one of their rows)."""
 
     rows: DataFrame
     links: DataFrame
@@ -284,10 +271,11 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> NearDuplicates:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union."""
     rows = saved(sketched(docs, shingle), "sketches")
-    some = rows.where("node is not null")
-    groups = saved(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "nodes")
-    sketches = some.select("doc_id", "node", "sketch").join(groups.select("doc_id", "node", "n_shingles"), ["doc_id", "node"]).dropDuplicates(["node"])
-    nodes = saved(sketches.select("node", "n_shingles", "sketch"), "node-sketches")
+    some = rows.where("h1 is not null")
+    # The row that stands for a set: the smallest doc_id, then the first; null is no smaller than any.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    groups = saved(some.groupBy("h1", "h2").agg(F.min(rank).alias("first")).select("h1", "h2", "first", F.col("first.rid").alias("node")), "groups")
+    nodes = saved(some.select(F.col("rid").alias("node"), "n_shingles", "sketch").join(groups.select("node"), "node", "left_semi"), "node-sketches")
     bands = saved(banded(nodes), "bands")
     sizes = saved(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     crowded = saved(bands.join(sizes, "band"), "buckets")
@@ -296,9 +284,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Nea
     pairs = crowded.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = saved(hopeful(pairs, nodes, percent / 100), "pairs")
 
-    def sets_of(asked: DataFrame, name: str) -> DataFrame:
-        ids = saved(asked.join(groups.select("node", "doc_id"), "node").select("doc_id").where("doc_id is not null").distinct(), "wanted")
-        return saved(full_sets(docs, ids, shingle), name)
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        return saved(full_sets(rows, saved(wanted, "wanted"), shingle), name)
 
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
     sets = sets_of(ends(pairs), "sets")
@@ -314,30 +301,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Nea
     if not crowds.isEmpty():
         tokens = saved(prefixes(sets_of(crowds.select("node"), "crowd-sets"), percent).join(crowds, "node"), "prefixes")
         mixed = saved(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "mixed")
-        more = more.union(by_prefix(tokens.join(mixed, "token", "left_semi"), percent)).distinct()
+        more = more.union(by_prefix(saved(tokens.join(mixed, "token", "left_semi"), "mixed-prefixes"), percent)).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(hopeful(more.join(done, ["a", "b"], "left_anti"), nodes, percent / 100), "more-pairs")
     if not more.isEmpty():
         links = saved(links.union(verified(more, sets_of(ends(more), "more-sets"), percent)), "all-links")
     roots = components(links)
-    members = groups.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = saved(members.select("node", "root").join(least, "root").select("node", "component_id"), "components")
-    out = rows.drop("sketch").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return NearDuplicates(out.select("doc_id", "n_shingles", "node", "component_id"), links)
+    members = groups.join(roots, "node", "left").select("h1", "h2", "node", "first", F.coalesce("root", "node").alias("root"))
+    least = members.groupBy("root").agg(F.min("first").alias("of_all"))
+    of_set = saved(members.drop("first").join(least, "root").select("h1", "h2", "node", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.rid").alias("first")), "components")
+    out = rows.drop("sketch").join(of_set, ["h1", "h2"], "left")
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return NearDuplicates(out.select("rid", "doc_id", "text", "row", "n_shingles", "node", alone.alias("component_id"), "first"), links)
 
 
 def digest(found: NearDuplicates) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    return found.rows.select("doc_id", "n_shingles", "component_id", kept())
-
-
-def kept() -> Column:
-    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    """doc_id, n_shingles, component_id, kept of every document. kept: doc_id is that of its component, or null."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = saved(found.rows.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component (with the smallest doc_id, of several such rows the first), and all whose set is
+    empty, with their columns."""
+    rows = near_duplicates(docs, shingle, percent).rows.where(F.coalesce(F.col("rid") == F.col("first"), F.lit(True)))
+    text = next(c for c in docs.columns if c.lower() == "text")
+    return rows.select(*[F.col("text").cast(docs.schema[text].dataType).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

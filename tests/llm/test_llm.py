@@ -466,6 +466,32 @@ def test_near_duplicate_edges(edge, none):
     assert minhash.digest(minhash.near_duplicates(none, 4)).isEmpty()
     kept = minhash.one_of_each(edge)
     assert kept.columns == edge.columns and kept.where("doc_id = 6").isEmpty() and kept.where("doc_id is null").count() == 1
+    assert kept.schema == edge.schema and minhash.one_of_each(none).isEmpty()
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without doc_id are linked like others; of repeated rows one stays; rows of one id are judged by their texts."""
+    a, b, c = words(1, 300), words(2, 300), words(3, 300)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(None, " ".join(a)), (None, near(a)), (9, " ".join(b)), (None, near(b)), (7, " ".join(c)), (7, " ".join(c)), (7, near(b)), (8, "alone"), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.digest(minhash.near_duplicates(docs, 4)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in got) == sorted([("None", "None", 297), ("None", "None", 297), ("9", "7", 297), ("None", "7", 297), ("7", "7", 297), ("7", "7", 297), ("7", "7", 297), ("8", "8", 1), ("None", "None", 0), ("None", "None", 0)])
+    kept = collections.Counter((r.doc_id, r.text) for r in minhash.one_of_each(docs, 4).collect())
+    assert sum(kept.values()) == 6 and kept[7, " ".join(c)] == 1 and kept[7, near(b)] == 1 and kept[8, "alone"] == 1 and kept[None, ""] == 2
+
+
+def test_crowds_are_paired_by_exact_prefixes(spark):
+    """prefixes() orders shingles by their exact counts over the crowd's sets."""
+    r = random.Random(12)
+    sets = {k: sorted({r.randrange(60) ** 2 for _ in range(r.randint(1, 40))}) for k in range(50)}
+    table = spark.createDataFrame([(k, np.array(v, "<i8").tobytes()) for k, v in sets.items()], "node long, shingles binary")
+    n = collections.Counter(t for v in sets.values() for t in v)
+    want = set()
+    for k, v in sets.items():
+        first = sorted(v, key=lambda t: (n[t], t))[: len(v) - -(-80 * len(v) // 100) + 1]
+        want |= {(t, k, len(v) - i, len(v)) for i, t in enumerate(first) if n[t] > 1}
+    assert {tuple(x) for x in minhash.prefixes(table, 80).select("token", "node", "ahead", "size").collect()} == want
 
 
 # ---- nearest neighbours
