@@ -9,15 +9,18 @@ than C tokens, which can't stay whole, are held (at most SPARE sequences of them
 to its class) and give what is free its tokens. Where none is held, WAITING sequences wait for one, and beyond that the next document is cut.
 What a worker holds at its end is poured into sequences one after another, so that only its last one is padded.
 
-Ids are those of lexivec.llm.bpe. Defined results: a null or empty text is one token, the end mark; equal rows are
+Ids come from tiktoken with the ranks of the vocabulary file; what its regular expressions can't take, such as a million
+blanks in a row, goes to lexivec.llm.bpe. Both give the ids of the tokenizers library. Defined results: a null or empty text is one token, the end mark; equal rows are
 packed each by itself; an empty table gives no pieces; a null doc_id stays null; very long texts and runs of blanks are
 cut like others. Columns besides doc_id and text take no part.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.bpe import blocks, default_path, load
+from lexivec.llm.bpe import byte_letters, default_path, load
 
+#: The pattern of byte-level tokenizers of this family.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequences that wait for filling, and sequences of tokens that are held to fill them: bounds of a worker's memory.
@@ -35,6 +40,31 @@ WAITING = SPARE = 256
 ROWS = 20_000
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """The vocabulary of a tokenizers file whose ids follow its merges, in a faster library."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = byte_letters()
+    vocab = spec["model"]["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("the ids of this vocabulary don't follow its merges")
+    ranks = {bytes(letters[c] for c in s): i for s, i in vocab.items()}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def ids_of(text: str, path: str) -> bytes:
+    """Ids of a text, as little-endian unsigned 32-bit numbers."""
+    try:
+        return np.array(encoder(path).encode(text, allowed_special="all"), "<u4").tobytes()
+    except ValueError:  # its regular expressions ran out of stack
+        return load(path).encode_batch([text])[0]
+
+
 def class_of(n: int, capacity: int) -> int:
     """How many documents of n tokens (at most the capacity) share a sequence."""
     return capacity // n
@@ -131,19 +161,14 @@ def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None) -> Data
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
         bins = Bins(capacity, TaskContext.get().partitionId() << 32)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            doc_ids = iter(batch["doc_id"].to_pylist())
-            for block in blocks(batch["text"].cast(pa.string()).fill_null("")):
-                lists = bpe.encode_texts(block)
-                flat, ends = memoryview(lists.values.to_numpy().astype("<u4")).cast("B"), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
-                for a, b in zip(ends, ends[1:]):
-                    bins.add(next(doc_ids), bytes(flat[a:b]) + end)
-                    if len(bins.rows) >= ROWS:
-                        yield batch_of(bins.rows)
-                        bins.rows = []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                bins.add(doc_id, ids_of(text.as_py() or "", path) + end)
+                if len(bins.rows) >= ROWS:
+                    yield batch_of(bins.rows)
+                    bins.rows = []
         bins.end()
         yield batch_of(bins.rows)
 
