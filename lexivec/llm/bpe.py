@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 #: Bytes of either cache (words, chunks of text); characters of the longest text in it.
 CACHE_BYTES, LONGEST = 96_000_000, 64
 #: Words that are learned together; bytes of texts that are encoded together.
-SLICE, BLOCK = 50_000, 4_000_000
+SLICE, BLOCK = 50_000, 12_000_000
 #: Above every rank.
 NONE = 1 << 40
 #: The pattern of byte-level tokenizers of this family; white space by its Unicode property.
