@@ -1,14 +1,15 @@
 """Quality rules with an isolation forest on rule statistics.
 
-Trees split random statistics at random values; documents whose statistics part early from the others have short
-paths and high anomaly scores. The forest is fitted on a bounded sample (SAMPLE rows by the hash of doc_id, PSI of
-them a tree) and on how far each statistic reaches over all documents that pass the base rules, so that one that no
-row of a tree exceeds is split there too; every document is scored. The threshold comes from all labelled documents: a histogram of scores by
-label, whose size is fixed, gives the one that removes the most of the bad ones while it keeps all but a stated
-share of the good ones.
+Trees split random statistics (rules.RATIOS) at random values; documents whose statistics part early from the others
+have short paths and high anomaly scores. A split between the least and the greatest value of a node's rows is the same whatever a statistic's
+scale is, so they need none. Each tree has PSI rows of its own, drawn by its own hash from all documents that pass the base
+rules, and how far each statistic reaches over all of them, so that one which is the same in a tree's rows and greater elsewhere is split there
+too; every document is scored. The threshold comes from all labelled documents: a histogram of scores by label, whose
+size is fixed, gives the one that removes the most of the bad ones while it keeps all but a stated share of the good
+ones.
 
 Defined results: null and empty texts fail the base rules; without labels of both kinds nothing is removed besides
-the base rules; rows repeated are judged alike; an empty table gives no rows.
+the base rules; rows repeated are judged alike; very long texts are statistics like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,16 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm import rules
 from lexivec.llm.shared import saved
 
-#: Bounds of the fitted sample: rows in all, rows a tree; trees.
-SAMPLE, PSI, TREES = 8192, 256, 128
-#: Rules: a statistic and what is usual of it; the forest looks at what exceeds that. Length is no fault.
-USUAL = {"symbol_share": 0.02, "upper_share": 0.15, "mark_share": 0.03, "bar_share": 0.02, "digit_share": 0.2, "punctuation_share": 0.2, "dup_line_share": 0.35, "repeat_share": 0.35, "mean_word": 14.0}
+#: Rows a tree; trees.
+PSI, TREES = 64, 256
 BINS = 2000
 
 
@@ -35,12 +34,6 @@ def usual_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def excess(ratios: pa.Array) -> np.ndarray:
-    """How far the statistics of documents (rules.RATIOS) exceed what is usual."""
-    x = rules.matrix(ratios, len(rules.RATIOS))[:, [rules.RATIOS.index(k) for k in USUAL]]
-    return np.maximum(x - np.array([*USUAL.values()]), 0)
-
-
 @dataclass
 class Forest:
     """Trees as arrays [tree, node]; a leaf leads to itself. depth holds a leaf's path length."""
@@ -53,22 +46,27 @@ class Forest:
     psi: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7, reach: np.ndarray | None = None) -> Forest:
-        """reach: the greatest values of all rows. A statistic that is one value in a tree's rows and greater elsewhere
-        is open once on each path, between that value and its reach."""
+    def fit(cls, x: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7) -> Forest:
+        """A forest of rows that are at hand, each tree with psi of them."""
+        rng = np.random.default_rng(seed)
+        return cls.grow([x[rng.choice(len(x), min(psi, len(x)), replace=False)] for _ in range(trees)], seed=seed)
+
+    @classmethod
+    def grow(cls, samples: list[np.ndarray], reach: np.ndarray | None = None, seed: int = 7) -> Forest:
+        """A tree of each sample. reach: the greatest values of all rows. A statistic that is one value in a tree's rows
+        and greater elsewhere is open once on each path, between that value and its reach."""
         rng = np.random.default_rng(seed)
-        psi = min(psi, len(x))
+        trees, psi, width = len(samples), max(map(len, samples)), samples[0].shape[1]
         most = int(np.ceil(np.log2(max(psi, 2))))
         size = 2 ** (most + 1)
         feature, left, right = (np.zeros((trees, size), np.int32) for _ in range(3))
         split, depth = np.zeros((trees, size)), np.zeros((trees, size))
-        for t in range(trees):
-            drawn = x[rng.choice(len(x), psi, replace=False)]
-            beyond = np.zeros(x.shape[1], bool) if reach is None else (drawn.max(0) == drawn.min(0)) & (reach > drawn.max(0))
+        for t, drawn in enumerate(samples):
+            beyond = np.zeros(width, bool) if reach is None else (drawn.max(0) == drawn.min(0)) & (reach > drawn.max(0))
             todo, free = [(0, drawn, 0, beyond)], 1
             while todo:
                 node, rows, d, beyond = todo.pop()
-                low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+                low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(width),) * 2
                 open_features = np.flatnonzero((high > low) | beyond)
                 if d >= most or len(rows) <= 1 or not len(open_features):
                     left[t, node] = right[t, node] = node
@@ -76,7 +74,7 @@ class Forest:
                     continue
                 f = rng.choice(open_features)
                 cut = reach[f] - rng.uniform(0, reach[f] - high[f]) if beyond[f] else rng.uniform(low[f], high[f])
-                beyond = beyond & (np.arange(len(beyond)) != f)
+                beyond = beyond & (np.arange(width) != f)
                 feature[t, node], split[t, node], left[t, node], right[t, node] = f, cut, free, free + 1
                 below = rows[:, f] < cut
                 todo += [(free, rows[below], d + 1, beyond), (free + 1, rows[~below], d + 1, beyond)]
@@ -117,21 +115,36 @@ def threshold(counts: list[tuple[int, int, int]], lost: float) -> float:
     return float(best[len(best) // 2]) / BINS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005) -> DataFrame:
+def draw(rows: DataFrame, n: int, trees: int, psi: int) -> list[np.ndarray]:
+    """For each tree psi of n rows (rid, ratios), or all if there are fewer: of those that its hash picks (some four times as many as
+    it needs) the ones with the smallest hashes."""
+    few = F.lit(int(min(1.0, 4 * psi / n) * (1 << 30)))
+    picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("rid", t), F.lit(1 << 30)) < few)
+    drawn = rows.select("rid", "ratios", F.explode(picked).alias("tree"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("rid", "tree"), "rid"))
+    found = drawn.withColumn("place", place).where(F.col("place") <= psi).select("tree", "place", "ratios").toArrow().sort_by([("tree", "ascending"), ("place", "ascending")])
+    x = rules.matrix(found["ratios"].combine_chunks(), len(rules.RATIOS))
+    return [part for part in np.split(x, np.cumsum(np.bincount(found["tree"].to_numpy(), minlength=trees))[:-1]) if len(part)]
+
+
+def fit(passed: DataFrame, trees: int = TREES, psi: int = PSI) -> Forest | None:
+    """A forest of rows (rid, ratios); none of no rows."""
+    n, *most = passed.agg(F.count("*"), *[F.max(F.col("ratios")[k]) for k in range(len(rules.RATIOS))]).first()
+    return Forest.grow(draw(passed, n, trees, psi), np.array(most)) if n else None
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005, trees: int = TREES, psi: int = PSI) -> DataFrame:
     """Statistics, anomaly score and verdict of every document: doc_id, the counts of rules.COUNTS, base_failed,
     anomaly (double), kept. lost: the largest share of documents labelled good that the threshold may remove."""
-    stats = saved(rules.with_statistics(docs).withColumn("base_failed", failed_base()), "rule-statistics")
-    passed = stats.where("not base_failed").select("doc_id", "ratios")
-    sample = passed.select("ratios").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
-    x = excess(sample["ratios"].combine_chunks())
-    most = passed.agg(F.array(*[F.max(F.col("ratios")[k]) for k in range(len(rules.RATIOS))]).alias("ratios")).toArrow()
-    forest = Forest.fit(x, reach=excess(most["ratios"].combine_chunks())[0]) if len(x) else None
+    stats = rules.with_statistics(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("base_failed", failed_base())
+    stats = saved(stats, "rule-statistics")
+    forest = fit(stats.where("not base_failed").select("rid", "ratios"), trees, psi)
 
     def anomaly(ratios: pa.Array) -> pa.Array:
-        x = excess(ratios)
+        x = rules.matrix(ratios, len(rules.RATIOS))
         return pa.array(forest.score(x) if forest else np.zeros(len(x)))
 
-    scored = saved(stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")("ratios")).drop("ratios"), "anomalies")
+    scored = saved(stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")("ratios")).drop("ratios", "rid"), "anomalies")
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1)")
     counts = scored.where("not base_failed").join(marks, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "quality").count().collect()
     limit = threshold([tuple(r) for r in counts], lost)
