@@ -2,16 +2,18 @@
 
 A text's UTF-8 bytes run through two gated recurrent layers, one from either side. A softmax over both layers' states
 labels every position; the mean of a document's positions gives its probabilities. The network is trained in numpy by
-backpropagation through time, on excerpts of a bounded sample of rows (PER_LANGUAGE rows a language by the hash of
-doc_id).
+backpropagation through time, on windows from anywhere in the whole texts of a bounded sample of rows (PER_LANGUAGE
+rows a language by the hash of doc_id). A share of the windows is trained with its bytes in random order, labelled as
+no language: so texts in languages that were not learned, or in none, get low scores.
 
-Whole texts are read, in windows of WINDOW bytes that all begin with an empty state, so that windows of many
-documents advance in step and a very long text costs no more a byte than a short one.
+Whole texts are labelled, in windows of WINDOW bytes, so that many advance in step and a very long text costs no more a
+byte than a short one. Either layer starts MARGIN bytes before a window (at the text's end there is nothing before), and what it says of these is
+dropped: by then its state is nearly that of a run over the whole text. README gives the measured difference.
 
 Only the text decides: lang trains the network on rows that aren't held out, and is no input of a prediction.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without rows to learn from, so does
-every text. Repeated rows get equal results; an empty table gives no rows. Other columns take no part.
+every text. Scores are rounded to six places, which hides that sums depend on what a batch holds besides; repeated rows get equal results; an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import saved
-
-#: Bounds of the training sample: rows a language, characters of each.
-PER_LANGUAGE, EXCERPT = 400, 600
-#: Hidden units of each direction; bytes of a window.
-HIDDEN, WINDOW = 8, 96
-#: Windows that advance in step.
-STEP = 4096
+from lexivec.llm.shared import fresh, saved
+
+#: Rows of the training sample, a language.
+PER_LANGUAGE = 400
+#: Hidden units of each direction; bytes of a window, and before it from which either layer starts.
+HIDDEN, WINDOW, MARGIN = 16, 512, 32
+#: Training: steps, windows a step, bytes of a window.
+STEPS, BATCH, WIDTH = 400, 192, 96
+#: The share of a step's windows that are scrambled.
+SCRAMBLED = 0.25
+#: Windows that advance in step, and floats of their labels at most.
+STEP, FLOATS = 2048, 16_000_000
 LETTER = regex.compile(r"\p{L}").search
 UNKNOWN = "und"
 
@@ -47,8 +53,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BiGru:
-    """Weights of both directions, stacked: inputs by byte [2, 257, 3H] (256: padding), states [2, H, 3H] (update,
-    reset, candidate), candidate's state bias [2, 1, H], output [2H, K] and its bias."""
+    """Weights of both directions, stacked: inputs by byte [2, 256, 3H], states [2, H, 3H] (update, reset, candidate),
+    candidate's state bias [2, 1, H], output [2H, K] and its bias. K: langs, then no language."""
 
     langs: list[str]
     w: np.ndarray
@@ -59,20 +65,66 @@ class BiGru:
 
     @classmethod
     def new(cls, langs: list[str], hidden: int = HIDDEN, seed: int = 5) -> BiGru:
-        r = np.random.default_rng(seed)
+        r, k = np.random.default_rng(seed), len(langs) + 1
         f = lambda *s, scale: r.normal(0, scale, s).astype(np.float32)
-        return cls(langs, f(2, 257, 3 * hidden, scale=0.3), f(2, hidden, 3 * hidden, scale=hidden**-0.5), np.zeros((2, 1, hidden), np.float32), f(2 * hidden, len(langs), scale=0.3), np.zeros(len(langs), np.float32))
+        return cls(langs, f(2, 256, 3 * hidden, scale=0.3), f(2, hidden, 3 * hidden, scale=hidden**-0.5), np.zeros((2, 1, hidden), np.float32), f(2 * hidden, k, scale=0.3), np.zeros(k, np.float32))
 
     def weights(self) -> list[np.ndarray]:
         return [self.w, self.u, self.c, self.o, self.b]
 
-    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States [time, 2, windows, H] of byte windows x [windows, time] (256: padding); both in text order."""
+    def label(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Probabilities [time, K, windows] of every position of byte windows x [time, windows]; real [time, windows]:
+        which positions are bytes of the text, from the first on. The layers are kept with windows last, so that every
+        step works on rows of memory."""
+        steps, n = x.shape
+        k = self.u.shape[1]
+        half = np.ones(3 * k, np.float32)
+        half[: 2 * k] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        w = [np.ascontiguousarray((v * half).T) for v in self.w]
+        u = np.ascontiguousarray((self.u * half).transpose(0, 2, 1))
+        c = self.c.transpose(0, 2, 1)
+        o = np.ascontiguousarray(self.o[:k].T), np.ascontiguousarray(self.o[k:].T)
+        h, g = np.zeros((2, k, n), np.float32), np.empty((2, 3 * k, n), np.float32)
+        s = np.empty_like(g)
+        logits = np.empty((2, steps, len(self.b), n), np.float32)
+        whole = real.all(1)
+        for t in range(steps):
+            back = steps - 1 - t
+            w[0].take(x[t], 1, out=g[0], mode="clip")
+            w[1].take(x[back], 1, out=g[1], mode="clip")
+            np.matmul(u, h, out=s)
+            zr, m = s[:, : 2 * k], s[:, 2 * k :]
+            zr += g[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            m += c
+            m *= zr[:, k:]
+            m += g[:, 2 * k :]
+            np.tanh(m, out=m)
+            h -= m
+            h *= zr[:, :k]
+            h += m
+            if not whole[back]:
+                h[1] *= real[back]
+            np.matmul(o[0], h[0], out=logits[0, t])
+            np.matmul(o[1], h[1], out=logits[1, back])
+        p = logits[0]
+        p += logits[1]
+        p += self.b[:, None]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return p
+
+    def train_step(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over the real positions of windows x [windows, time] with labels y, and gradients by
+        backpropagation through time."""
         n, steps = x.shape
-        h = np.zeros((2, n, self.u.shape[1]), np.float32)
         k = self.u.shape[1]
-        out = np.empty((steps, *h.shape), np.float32)
-        xt = np.ascontiguousarray(x.T)
+        xt, on = np.ascontiguousarray(x.T), np.ascontiguousarray(real.T).astype(np.float32)[..., None]
+        h = np.zeros((2, n, k), np.float32)
+        states, kept = np.empty((steps, 2, n, k), np.float32), []
         for t in range(steps):
             back = steps - 1 - t
             g = np.stack([self.w[0].take(xt[t], 0), self.w[1].take(xt[back], 0)])
@@ -81,44 +133,20 @@ class BiGru:
             z, r = zr[..., :k], zr[..., k:]
             m = s[..., 2 * k :] + self.c
             cand = np.tanh(g[..., 2 * k :] + r * m)
-            if keep is not None:
-                keep.append((h, z, r, m, cand))
+            kept.append((h, z, r, m, cand))
             h = cand + z * (h - cand)
-            out[t, 0], out[back, 1] = h[0], h[1]
-        return out
-
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Sums over each window's positions of the labels' probabilities [windows, K]."""
-        n, steps = x.shape
-        h = self.states(x)
-        k = self.u.shape[1]
-        total = np.zeros((n, len(self.langs)), np.float32)
-        for t in range(steps):
-            p = h[t, 0] @ self.o[:k] + h[t, 1] @ self.o[k:]
-            p += self.b
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[x[:, t] == 256] = 0
-            total += p
-        return total
-
-    def train_step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean loss over positions, and gradients by backpropagation through time."""
-        n, steps = x.shape
-        k = self.u.shape[1]
-        kept: list = []
-        h = self.states(x, kept)
-        both = np.concatenate([h[:, 0], h[:, 1]], -1)
+            h[1] *= on[back]
+            states[t, 0], states[back, 1] = h[0], h[1]
+        both = np.concatenate([states[:, 0], states[:, 1]], -1)
         logits = both @ self.o + self.b
         logits -= logits.max(-1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(-1, keepdims=True)
-        real = (x.T != 256)[..., None]
         count = max(int(real.sum()), 1)
-        loss = -float((np.log(p[:, np.arange(n), y] + 1e-9) * real[..., 0]).sum()) / count
+        loss = -float((np.log(p[:, np.arange(n), y] + 1e-9) * on[..., 0]).sum()) / count
         d = p
         d[:, np.arange(n), y] -= 1
-        d = (d * real / count).astype(np.float32)
+        d = (d * on / count).astype(np.float32)
         go = np.einsum("tnh,tnk->hk", both, d, optimize=True)
         gb = d.sum((0, 1))
         dh_all = d @ self.o.T
@@ -127,6 +155,7 @@ class BiGru:
         for t in range(steps - 1, -1, -1):
             back = steps - 1 - t
             dh = dh + np.stack([dh_all[t][:, :k], dh_all[back][:, k:]])
+            dh[1] *= on[back]
             before, z, r, m, cand = kept[t]
             dcand = dh * (1 - z) * (1 - cand * cand)
             dz = dh * (before - cand) * z * (1 - z)
@@ -137,42 +166,52 @@ class BiGru:
             gu += before.transpose(0, 2, 1) @ ds
             gc += dm.sum(1, keepdims=True)
             for side, at in ((0, t), (1, back)):
-                order = np.argsort(x[:, at], kind="stable")
-                b = x[order, at]
-                starts = np.flatnonzero(np.diff(b, prepend=-1))
+                order = np.argsort(xt[at], kind="stable")
+                b = xt[at][order]
+                starts = np.flatnonzero(np.diff(b.astype(np.int16), prepend=-1))
                 gw[side, b[starts]] += np.add.reduceat(dg[side][order], starts, axis=0)
             dh = dh * z + ds @ self.u.transpose(0, 2, 1)
         return loss, [gw, gu, gc, go, gb]
 
 
-def windows(raws: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of texts in windows [n, width] (256: padding), and each window's text."""
-    n = np.array([-(-len(r) // width) for r in raws], np.int64)
-    x = np.full((int(n.sum()), width), 256, np.int16)
-    at = 0
-    flat = x.reshape(-1)
-    for r, k in zip(raws, n.tolist()):
-        flat[at * width : at * width + len(r)] = np.frombuffer(r, np.uint8)
-        at += k
-    return x, np.repeat(np.arange(len(raws)), n)
+def gathered(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows [n, time] of bytes between begin and stop, and which positions lie within."""
+    at = begin[:, None] + np.arange(int((stop - begin).max(initial=0)))
+    real = at < stop[:, None]
+    return data[np.minimum(at, len(data) - 1)], real
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.02, batch: int = 256, seed: int = 3, width: int = 48) -> BiGru | None:
+def cut(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts that lie one behind another: their texts, and where they begin and stop."""
+    n = -(-lengths // width)
+    owner = np.repeat(np.arange(len(lengths)), n)
+    first = (np.cumsum(lengths) - lengths)[owner]
+    begin = first + (np.arange(len(owner)) - (np.cumsum(n) - n)[owner]) * width
+    return owner, begin, np.minimum(begin + width, first + lengths[owner])
+
+
+def train(texts: list[str], langs: list[str], steps: int = STEPS, rate: float = 0.02, batch: int = BATCH, seed: int = 3, width: int = WIDTH) -> BiGru | None:
     """A network of labelled texts, by Adam with a falling rate."""
     names = sorted(set(langs))
     if not names:
         return None
     net = BiGru.new(names)
-    x, owner = windows([t.encode("utf-8", "surrogatepass") for t in texts], width)
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    owner, begin, stop = cut(np.array([len(r) for r in raws], np.int64), width)
+    if not len(owner):
+        return net
     y = np.array([names.index(v) for v in langs])[owner]
     rng = np.random.default_rng(seed)
     m, v = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
-    steps = max(1, epochs * -(-len(x) // batch))
-    if len(names) == 1:
-        return net
     for step in range(steps):
-        pick = rng.integers(0, len(x), batch)
-        _, grads = net.train_step(x[pick], y[pick])
+        pick = rng.integers(0, len(owner), batch)
+        x, real = gathered(data, begin[pick], stop[pick])
+        label = y[pick]
+        for i in range(int(SCRAMBLED * batch)):
+            x[i, real[i]] = rng.permutation(x[i, real[i]])
+            label[i] = len(names)
+        _, grads = net.train_step(x, real, label)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         lr = rate * (1 - step / steps)
         for w, g, a, q in zip(net.weights(), grads, m, v):
@@ -183,20 +222,33 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.0
     return net
 
 
-def predict(net: BiGru | None, texts: list[str | None]) -> list[tuple[str, float]]:
+def predict(net: BiGru | None, texts: list[str | None], width: int = WINDOW, margin: int = MARGIN) -> list[tuple[str, float]]:
     """Label and mean probability of whole texts."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if net is None:
         return out
     known = [k for k, t in enumerate(texts) if t and LETTER(t)]
-    x, owner = windows([texts[k].encode("utf-8", "surrogatepass") for k in known])
-    total = np.zeros((len(known), len(net.langs)))
-    for i in range(0, len(x), STEP):
-        np.add.at(total, owner[i : i + STEP], net.label(x[i : i + STEP]))
-    if len(known):
-        p = total / total.sum(1, keepdims=True)
-        for k, best, score in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
-            out[k] = (net.langs[best], min(1.0, score))
+    if not known:
+        return out
+    raws = [texts[k].encode("utf-8", "surrogatepass") for k in known]
+    lengths = np.array([len(r) for r in raws], np.int64)
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    owner, begin, stop = cut(lengths, width)
+    last = np.cumsum(lengths)[owner]
+    start, end = np.maximum(begin - margin, last - lengths[owner]), np.minimum(stop + margin, last)
+    order = np.argsort(end - start, kind="stable")
+    total = np.zeros((len(known), len(net.b)))
+    size = max(1, min(STEP, FLOATS // (2 * len(net.b) * int((end - start).max()))))
+    for i in range(0, len(order), size):
+        o = order[i : i + size]
+        x, real = gathered(data, start[o], end[o])
+        p = net.label(np.ascontiguousarray(x.T), np.ascontiguousarray(real.T))
+        at = start[o] + np.arange(len(p))[:, None]
+        p *= ((at >= begin[o]) & (at < stop[o]))[:, None, :]
+        np.add.at(total, owner[o], p.sum(0, dtype=np.float64).T)
+    p = (total / total.sum(1, keepdims=True))[:, : len(net.langs)]
+    for k, best, score in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
+        out[k] = (net.langs[best], round(min(1.0, score), 6))
     return out
 
 
@@ -205,17 +257,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT) -> BiGru | None:
-    """A network of the rows that are not held out: of each language so many rows, one excerpt of each from a place
-    that the hash of doc_id picks."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> BiGru | None:
+    """A network of the rows that are not held out: of each language so many rows, whose whole texts the driver holds."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null").where(~held_out())
-    h = F.xxhash64("doc_id")
-    start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - excerpt + 1)).cast("int") + 1
-    short = rows.select("lang", "doc_id", h.alias("h"), F.substring("text", start, F.lit(excerpt)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    short = rows.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("text").rlike(r"\p{L}"))
     # Of a language with many rows only those with small hashes, some four times as many as are picked, go on. A row
     # for each language is few enough for Spark to broadcast by its size.
     share = saved(rows.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share")), "shares")
-    small = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    small = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     short = short.join(share, "lang").where((F.col("share") >= 1) | small)
     pick = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= per_language)
     found = sorted(pick.select("lang", "doc_id", "text").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))
@@ -226,39 +275,29 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, excerpt: int = EXCERP
 BLOCK = 2_000_000
 
 
-def identify(docs: DataFrame, net: BiGru | None) -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[str, float]] = []
-            held: list[str | None] = []
-            size = 0
-            for t in batch["text"]:
-                held.append(text := t.as_py())
-                if (size := size + len(text or "")) >= BLOCK:
-                    found += predict(net, held)
-                    held, size = [], 0
+def predicted(net: BiGru | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Labels and scores of an Arrow column, by blocks of bounded size."""
+    found: list[tuple[str, float]] = []
+    held, size = [], 0
+    for t in texts:
+        held.append(text := t.as_py())
+        if (size := size + len(text or "")) >= BLOCK:
             found += predict(net, held)
-            names, scores = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            held, size = [], 0
+    found += predict(net, held)
+    return [x for x, _ in found], [x for _, x in found]
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+def identify(docs: DataFrame, net: BiGru | None) -> DataFrame:
+    """doc_id, lang_pred, score of every row."""
+    return with_language(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), net, "found").select("doc_id", "found.lang_pred", "found.score")
 
 
 def with_language(docs: DataFrame, net: BiGru | None, name: str = "language") -> DataFrame:
     """The table with a column struct<lang_pred, score>."""
 
     def run(texts: pa.Array) -> pa.Array:
-        found: list[tuple[str, float]] = []
-        held, size = [], 0
-        for t in texts:
-            held.append(text := t.as_py())
-            if (size := size + len(text or "")) >= BLOCK:
-                found += predict(net, held)
-                held, size = [], 0
-        found += predict(net, held)
-        names, scores = zip(*found) if found else ((), ())
+        names, scores = predicted(net, texts)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return docs.withColumn(name, F.arrow_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
@@ -271,10 +310,10 @@ LOST, LEAST = 0.005, 0.3
 
 def with_known_language(docs: DataFrame, least: float = LEAST, lost: float = LOST) -> DataFrame:
     """The documents whose language is recognised, with all their columns: the score is no lower than all but the share
-    lost of the rows of that language, over all rows whose lang says the same. With one language there is nothing to
-    tell it from, so only texts without letters go."""
-    marked = saved(with_language(docs, fit(docs), "language of a row"), "languages")
-    lang, score = F.col("`language of a row`.lang_pred"), F.col("`language of a row`.score")
+    lost of the rows of that language, over all rows whose lang says the same."""
+    name = fresh("_language", docs.columns)
+    marked = saved(with_language(docs, fit(docs), name), "languages")
+    lang, score = F.col(name).getField("lang_pred"), F.col(name).getField("score")
     right = marked.where(F.col("lang").cast("string") == lang).where(lang != UNKNOWN)
     # A row for each language of the network, which the driver holds.
     limits = right.groupBy(lang.alias("of")).agg(F.percentile_approx(score, lost, 100_000).alias("limit")).collect()
