@@ -2,8 +2,14 @@
 
 Two bigram models, one of a target corpus and one of the whole table, are matched in all but their counts: one
 vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by 64-bit hashes, over all words of
-all documents. A document's score is the mean over its words of the target's loss less the background's; less is more
-like the target.
+all documents. A document's score is the mean over its words and end of the target's loss less the background's; less is
+more like the target.
+
+A text is its words and an end mark, which belongs to the vocabulary. After a word w, a model gives x the probability
+WEIGHT * n(w, x) / n(w) + (1 - WEIGHT) * (n(x) + ADDED) / (N + ADDED * V), which sums to 1 over the vocabulary; the first
+word, and what follows a word that the model hasn't seen, has the second fraction alone. A document is scored by models without
+itself: its own counts are taken off (of the target's only if it belongs to it), so that a text's score tells what the
+rest of the corpus says of it.
 
 Documents are dealt by doc_id into blocks of some BLOCK bytes of text, so many as the measured text needs. A block
 counts its distinct words and pairs and deals them by ranges of hashes into as many buckets; a bucket adds up what all
@@ -11,8 +17,8 @@ blocks say of its hashes and answers each block in the order in which it asked,
 one count however often it has it, and no task holds more than its block or bucket. Nothing goes to the driver but the text's size.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; a null text has none; without words the losses and
-the score are null; if no document is a target, the target's model is uniform; rows repeated count
-repeatedly; an empty table gives no rows. Other columns take no part.
+the score are null; if no other document is a target, the target's model is uniform; rows repeated count
+repeatedly, and each is scored without itself alone; very long texts count like others; an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -33,18 +39,21 @@ WEIGHT, ADDED = 0.6, 0.1
 #: Bytes of text in a block.
 BLOCK = 24_000_000
 
-COUNTED = "bucket long, block long, words binary, words_n binary, words_t binary, pairs binary, pairs_n binary, pairs_t binary"
-ADDED_UP = "block long, rank int, words_n binary, words_t binary, pairs_n binary, pairs_t binary, n long, t long, distinct long"
+COUNTED = "bucket long, block long, marks binary, words binary, words_n binary, words_t binary, pairs binary, pairs_n binary, pairs_t binary"
+ADDED_UP = "block long, rank int, marks binary, words_n binary, words_t binary, pairs_n binary, pairs_t binary, n long, t long, distinct long"
 SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
+#: Stands for a word's hash at the end of a text.
+FINISH = np.uint64(0x5851F42D4C957F2D)
+
+
 def slots(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words, and of each word with the one before (the first with a start mark)."""
+    """Hashes of a text's words and its end, and of each but the first with the one before it."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    h = cache.of(words)
-    before = np.concatenate([np.zeros(min(len(h), 1), np.uint64), h[:-1]])
-    return h, mix(before * ODD + h)
+    h = np.append(cache.of(words), FINISH) if words else np.zeros(0, np.uint64)
+    return h, mix(h[:-1] * ODD + h[1:])
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -58,8 +67,8 @@ def unplaned(raw: bytes, kind: type) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block's documents: lengths in words; distinct hashes of words and pairs in order; which of them each word is,
-    and each word but the first of a document with the one before it."""
+    """A block's documents: lengths in words and ends; distinct hashes of words and pairs in order; which of them each
+    word is, and each word but the first of a document with the one before it."""
 
     lengths: np.ndarray
     words: np.ndarray
@@ -73,7 +82,7 @@ class Block:
         found = [slots(t.as_py(), cache) for t in texts]
         none = [np.zeros(0, np.uint64)]
         words, word = np.unique(np.concatenate([w for w, _ in found] or none), return_inverse=True)
-        pairs, pair = np.unique(np.concatenate([p[1:] for _, p in found] or none), return_inverse=True)
+        pairs, pair = np.unique(np.concatenate([p for _, p in found] or none), return_inverse=True)
         return cls(np.array([len(w) for w, _ in found], np.int64), words, word, pairs, pair)
 
     def first(self) -> np.ndarray:
@@ -82,16 +91,29 @@ class Block:
         out[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
         return out
 
-    def losses(self, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-        """Loss of each word after the one before it, by a model's counts of the distinct words and pairs."""
-        n = words[self.word].astype(np.float64)
-        p = (n + ADDED) / (total + ADDED * vocabulary)
-        after = ~self.first()
+    def own(self, at: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """How often each item's document has it."""
+        _, back, n = np.unique(document * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
+        return n[back]
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int, member: np.ndarray) -> np.ndarray:
+        """Loss of each word after the one before it, by a model's counts of the distinct words and pairs, less those of
+        the document itself if it is a member of the model's corpus."""
+        document = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        after, mine = ~self.first(), member[document]
+        n = (words[self.word] - np.where(mine, self.own(self.word, document), 0)).astype(np.float64)
+        both = pairs[self.pair] - np.where(mine[after], self.own(self.pair, document[after]), 0)
+        p = (n + ADDED) / ((total - self.lengths * member)[document] + ADDED * vocabulary)
         seen = n[:-1][after[1:]]
-        p[after] = np.where(seen > 0, WEIGHT * pairs[self.pair] / np.maximum(seen, 1) + (1 - WEIGHT) * p[after], p[after])
+        p[after] = np.where(seen > 0, WEIGHT * both / np.maximum(seen, 1) + (1 - WEIGHT) * p[after], p[after])
         return -np.log(p)
 
 
+def among(ids: pa.ChunkedArray, some: np.ndarray) -> np.ndarray:
+    """Which of the ids, null never, are among some."""
+    return np.isin(ids.fill_null(0).to_numpy(), some) & ids.is_valid().to_numpy()
+
+
 def places(spark: SparkSession, n: int, tasks: int) -> list[int]:
     """So many keys, a multiple of tasks, that Spark's hash partitioning deals evenly."""
     rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, n // tasks).alias("ids")).collect()
@@ -113,14 +135,15 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     edges = np.array([(k << 64) // len(keys) for k in range(1, len(keys))], np.uint64)
 
     def count(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((f"{k}{x}", pa.binary()) for k in ("words", "pairs") for x in ("", "_n", "_t"))])
+        out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("marks", pa.binary()), *((f"{k}{x}", pa.binary()) for k in ("words", "pairs") for x in ("", "_n", "_t"))])
         if not texts.num_rows:
             return out.empty_table()
         block = Block.of(texts["text"])
         ids = texts["doc_id"]
-        mine = np.isin(ids.fill_null(0).to_numpy(), marks["doc_id"].to_numpy()) & ids.is_valid().to_numpy()
+        asked = marks["doc_id"].to_numpy()
+        mine = among(ids, asked)
         of_word = np.repeat(mine, block.lengths)
-        cols = {"bucket": keys, "block": [texts["block"][0].as_py()] * len(keys)}
+        cols = {"bucket": keys, "block": [texts["block"][0].as_py()] * len(keys), "marks": [asked.tobytes(), *[b""] * (len(keys) - 1)]}
         for name, distinct, at, own in (("words", block.words, block.word, of_word), ("pairs", block.pairs, block.pair, of_word[~block.first()])):
             n, t = (np.bincount(x, minlength=len(distinct)).astype(np.uint32) for x in (at, at[own]))
             cuts = np.searchsorted(distinct, edges)
@@ -129,7 +152,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         return pa.table(cols, out)
 
     def add_up(told: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {"block": told["block"].to_pylist(), "rank": [ranks[told["bucket"][0].as_py()]] * told.num_rows}
+        cols: dict[str, list] = {"block": told["block"].to_pylist(), "marks": told["marks"].to_pylist(), "rank": [ranks[told["bucket"][0].as_py()]] * told.num_rows}
         for name in ("words", "pairs"):
             asked = [np.cumsum(unplaned(x.as_py(), np.uint64), dtype=np.uint64) for x in told[name]]
             distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -142,7 +165,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
                     cols[x] = [int(total.sum())] * told.num_rows
             if name == "words":
                 cols["distinct"] = [len(distinct)] * told.num_rows
-        kinds = {"block": pa.int64(), "rank": pa.int32(), **{f"{k}_{x}": pa.binary() for k in ("words", "pairs") for x in ("n", "t")}, "n": pa.int64(), "t": pa.int64(), "distinct": pa.int64()}
+        kinds = {"block": pa.int64(), "rank": pa.int32(), "marks": pa.binary(), **{f"{k}_{x}": pa.binary() for k in ("words", "pairs") for x in ("n", "t")}, "n": pa.int64(), "t": pa.int64(), "distinct": pa.int64()}
         return pa.table({k: pa.array(cols[k], v) for k, v in kinds.items()})
 
     def judge(texts: pa.Table, sums: pa.Table) -> pa.Table:
@@ -152,10 +175,11 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         sums = sums.sort_by("rank")
         whole = lambda name: np.concatenate([unplaned(x.as_py(), np.uint64) for x in sums[name]])
         vocabulary = max(VOCABULARY, sum(sums["distinct"].to_pylist()))
-        t, b = (block.losses(whole(f"words_{x}"), whole(f"pairs_{x}"), sum(sums[x].to_pylist()), vocabulary) for x in ("t", "n"))
+        mine = among(texts["doc_id"], np.frombuffer(b"".join(sums["marks"].to_pylist()), np.int64))
+        t, b = (block.losses(whole(f"words_{x}").astype(np.int64), whole(f"pairs_{x}").astype(np.int64), sum(sums[x].to_pylist()), vocabulary, of) for x, of in (("t", mine), ("n", np.ones(len(mine), bool))))
         cuts = np.cumsum(block.lengths)[:-1]
         means = [[float(x.mean()) if len(x) else None for x in np.split(v, cuts)] for v in (t, b, t - b)]
-        return pa.table([texts["doc_id"].combine_chunks(), block.lengths, *(pa.array(m, pa.float64()) for m in means)], SCORED_ARROW)
+        return pa.table([texts["doc_id"].combine_chunks(), np.maximum(block.lengths - 1, 0), *(pa.array(m, pa.float64()) for m in means)], SCORED_ARROW)
 
     # Labels grow with the documents, so they are dealt like these at every size. Texts without doc_id have no label.
     texts = rows.select(dealt(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), keys).alias("block"), "doc_id", "text")
