@@ -4,7 +4,8 @@ Windows of about BASE words that are found in two documents are extended to twic
 ``min_words`` or until none survive. At the first level not every window is looked at: of each run of windows that
 one window of ``min_words`` words holds, the one with the least hash stands for it, so that every long window that
 two documents share brings the same short window in both. This loses nothing and makes the first shuffle a
-fraction of the words. At the later levels only windows that hold a surviving one are hashed.
+fraction of the words. At the later levels only windows that hold a surviving one are hashed, and at the last one only
+those whose own least short window survived at every level: each part of a repeated window is repeated.
 
 At each level a window's first document is an aggregation (partial sums before the shuffle), which is written and joined back on
 the window's hash: a passage that a third of all documents share is one row on one side, and Spark splits the
@@ -99,23 +100,53 @@ def by_text(found: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("places"))
 
 
-def extended(cand: DataFrame, size: int, longer: int) -> DataFrame:
-    """Windows (h, g: hashes, doc_id, place: tag * 2**32 + start) of ``longer`` words that hold a surviving one of
-    ``size`` words. cand: doc_id, tag, text and places (starts) of the survivors."""
+def holding(n_words: int, longer: int, size: int, places: np.ndarray) -> np.ndarray:
+    """By start of a window of ``longer`` words whether it holds one of ``size`` words that starts at one of places."""
+    edge = np.zeros(n_words + 2, np.int64)
+    np.add.at(edge, np.maximum(places - (longer - size), 0), 1)
+    np.add.at(edge, places + 1, -1)
+    return edge.cumsum()[: max(n_words - longer + 1, 0)] > 0
+
+
+def to_look_at(h: np.ndarray, n_words: int, sizes: list[int], kept: list[np.ndarray], last: bool) -> np.ndarray:
+    """Starts of windows of sizes[-1] words that may be repeated. h: hashes of all first-level windows; kept: starts of
+    the repeated windows at each level before; last: whether this is the last level.
+
+    Of a window that repeats, both places looked at the least of its first-level windows, and so at all longer ones that
+    lie within it and hold that one: all of these are repeated, too."""
+    longer, base = sizes[-1], sizes[0]
+    start = np.flatnonzero(holding(n_words, longer, sizes[-2], kept[-1]))
+    if not last or not len(start):
+        return start
+    runs = np.lib.stride_tricks.sliding_window_view(h, longer - base + 1)
+    least = np.concatenate([s + runs[s].argmin(1) for s in np.array_split(start, -(-len(start) // 4096))])
+    fit = np.ones(len(start), bool)
+    for size, places in zip(sizes, kept):
+        before = np.zeros(n_words + 2, np.int64)
+        before[places + 1] = 1
+        before = before.cumsum()
+        low, high = np.maximum(start, least - (size - base)), np.minimum(start + longer - size, least)
+        fit &= before[high + 1] - before[low] == high - low + 1
+    return start[fit]
+
+
+def extended(cand: DataFrame, min_words: int, sizes: list[int]) -> DataFrame:
+    """Windows (h, g: hashes, doc_id, place: tag * 2**32 + start) of sizes[-1] words that may be repeated. cand: doc_id, tag, text
+    and places0, places1, ... (starts of the repeated windows at each level before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches = WordHashes(), WordHashes(1)
         names = ["h", "g", "doc_id", "place"]
         for batch in batches:
             held, n = [], 0
-            for doc_id, mark, text, places in zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["places"]):
+            for doc_id, mark, text, *kept in zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], *(batch[f"places{k}"] for k in range(len(sizes) - 1))):
                 words = words_of(text.as_py())
-                at = places.values.to_numpy().astype(np.int64)
-                edge = np.zeros(len(words) + 2, np.int64)
-                np.add.at(edge, np.maximum(at - (longer - size), 0), 1)
-                np.add.at(edge, at + 1, -1)
-                start = np.flatnonzero(edge.cumsum()[: max(len(words) - longer + 1, 0)] > 0)
-                h, g = (window_hashes(c.of(words), longer)[start].view(np.int64) for c in caches)
+                one = caches[0].of(words)
+                kept = [k.values.to_numpy().astype(np.int64) for k in kept]
+                start = to_look_at(window_hashes(one, sizes[0]), len(words), sizes, kept, sizes[-1] == min_words)
+                if not len(start):
+                    continue
+                h, g = (window_hashes(x, sizes[-1])[start].view(np.int64) for x in (one, caches[1].of(words)))
                 held.append((h, g, np.full(len(start), doc_id, np.int64), (mark << 32) + start))
                 n += len(start)
                 if n >= ROWS:
@@ -124,7 +155,7 @@ def extended(cand: DataFrame, size: int, longer: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return cand.select("doc_id", "tag", "text", "places").mapInArrow(run, "h long, g long, doc_id long, place long")
+    return cand.select("doc_id", "tag", "text", *[f"places{k}" for k in range(len(sizes) - 1)]).mapInArrow(run, "h long, g long, doc_id long, place long")
 
 
 @dataclass
@@ -155,16 +186,17 @@ def find_repeats(docs: DataFrame, min_words: int = 50, base: int = BASE) -> Repe
     windows = windows.select(F.col("w.hashes").alias("h"), "doc_id", (F.shiftleft("tag", 32) + F.col("w.places")).alias("place"))
     found, n = repeated(windows, ["h"])
     levels = [(sizes[0], n)]
-    places = by_text(found).join(copies, ["doc_id", "tag"], "left_anti")
+    places = by_text(found).withColumnRenamed("places", "places0").join(copies, ["doc_id", "tag"], "left_anti")
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tag", tag())
     cand = saved(text.join(places, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "candidates")
-    for size, longer in zip(sizes, sizes[1:] if len(sizes) > 1 else sizes):
+    for k, longer in enumerate(sizes[1:] or sizes):
         if not n:
             break
-        if size != sizes[0]:
-            cand = saved(cand.drop("places").join(by_text(found), ["doc_id", "tag"]), "candidates")
+        if k:
+            cand = saved(cand.join(by_text(found).withColumnRenamed("places", f"places{k}"), ["doc_id", "tag"]), "candidates")
         keys = ["h", "g"] if longer == min_words else ["h"]
-        found, n = repeated(extended(cand, size, longer).select(*keys, "doc_id", "place"), keys)
+        windows = extended(cand, min_words, [*sizes[: k + 1], longer]).select(*keys, "doc_id", "place")
+        found, n = repeated(saved(windows, "windows"), keys)
         levels.append((longer, n))
     # Where a level leaves nothing, so would the last one.
     spans = saved(by_text(found.where("doc_id > first") if n else found.limit(0)), "spans")
