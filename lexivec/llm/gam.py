@@ -9,7 +9,8 @@ The model is fitted on at most SAMPLE labelled rows, by the hash of doc_id; rows
 Inputs are statistics of the text alone.
 
 Defined results: null and empty texts are scored as a text with zeros; without labelled rows every score is 0.5;
-repeated rows get equal scores; an empty table gives no rows. Other columns take no part.
+repeated rows get equal scores, and of labelled rows of one id each counts, within SAMPLE; very long texts are statistics
+like others; an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -142,8 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Gam:
     enough to be broadcast, so only they are looked at and nothing is shuffled."""
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("text", "quality")
-    found = rows.select(rules.ratios("text").alias("ratios"), "quality").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    # An id may have many rows, so what reaches the driver is bounded again.
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), rules.ratios("text").alias("ratios"), "quality")
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(SAMPLE).select("ratios", "quality").toArrow()
     x = rules.matrix(found["ratios"].combine_chunks(), len(rules.RATIOS))
     y = found["quality"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))

@@ -259,12 +259,11 @@ def test_packing_edges(edge, none):
 
 
 def test_language_gradients():
-    net = langid.BiGru.new(["a", "b", "c"], hidden=3)
-    for w in net.weights():
-        w[...] = w.astype(np.float32)
-    x, _ = langid.windows([b"hello you", b"abc"], 6)
-    y = np.array([0, 1, 2])[: len(x)]
-    _, grads = net.train_step(x, y)
+    net = langid.BiGru.new(["a", "b"], hidden=3)
+    data = np.frombuffer(b"hello youabc", np.uint8)
+    x, real = langid.gathered(data, np.array([0, 6, 9]), np.array([6, 9, 12]))
+    y = np.array([0, 1, 2])
+    _, grads = net.train_step(x, real, y)
     r = np.random.default_rng(0)
     for w, g in zip(net.weights(), grads):
         for _ in range(6):
@@ -273,13 +272,61 @@ def test_language_gradients():
                 at = (at[0], int(r.choice(list(b"helo yuabc"))), at[2])
             keep, e = w[at], 1e-2
             w[at] = keep + e
-            up = net.train_step(x, y)[0]
+            up = net.train_step(x, real, y)[0]
             w[at] = keep - e
-            down = net.train_step(x, y)[0]
+            down = net.train_step(x, real, y)[0]
             w[at] = keep
             assert abs((up - down) / (2 * e) - g[at]) < 2e-3
 
 
+def brute_language(net, text):
+    """Mean label probabilities of one unbroken run over a text, byte by byte."""
+    raw, k = text.encode(), net.u.shape[1]
+    layers = []
+    for side, order in ((0, range(len(raw))), (1, range(len(raw) - 1, -1, -1))):
+        h, states = np.zeros(k), {}
+        for i in order:
+            g, s = net.w[side, raw[i]].astype(float), h @ net.u[side]
+            z, r = (1 / (1 + np.exp(-(g[j * k : (j + 1) * k] + s[j * k : (j + 1) * k]))) for j in (0, 1))
+            new = np.tanh(g[2 * k :] + r * (s[2 * k :] + net.c[side, 0]))
+            h = z * h + (1 - z) * new
+            states[i] = h
+        layers.append(states)
+    logits = np.array([np.concatenate([layers[0][i], layers[1][i]]) @ net.o + net.b for i in range(len(raw))])
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return (p / p.sum(1, keepdims=True)).mean(0)
+
+
+@pytest.fixture(scope="module")
+def network(docs):
+    pick = [d for d in docs if d["lang"] and d["text"] and langid.LETTER(d["text"])][:120]
+    return langid.train([d["text"] for d in pick], [d["lang"] for d in pick], steps=120)
+
+
+def test_language_is_an_unbroken_run(network, docs):
+    """Against a run byte by byte: equal where a text is one window, and nearly so where windows start in its midst."""
+    texts = [d["text"] for d in docs[:12]] + ["é", "日本 x", "a" * 700]
+    want = [brute_language(network, t) for t in texts]
+    for (lang, score), p in zip(langid.predict(network, texts, width=10**6), want):
+        assert lang == network.langs[p[:-1].argmax()] and abs(score - p[:-1].max()) < 1e-4
+    gaps = [abs(score - p[network.langs.index(lang)]) for (lang, score), p in zip(langid.predict(network, texts), want)]
+    assert max(gaps) < 0.05 and np.mean(gaps) < 0.01
+    for (a, x), (b, y) in zip(langid.predict(network, texts), [langid.predict(network, [t])[0] for t in texts]):
+        assert a == b and abs(x - y) < 2e-6
+
+
+def test_language_of_extreme_weights(network):
+    """Large logits don't overflow."""
+    big = langid.BiGru(network.langs, network.w, network.u, network.c, network.o * 1e4, network.b)
+    assert 0 <= langid.predict(big, ["some text here"])[0][1] <= 1
+
+
+def test_language_column_names_clash(spark):
+    docs = spark.createDataFrame([(1, "plain words", "en", 5, 6), (2, "1 2 3", "en", 7, 8)], "doc_id long, text string, lang string, `language of a row` int, _language int")
+    got = langid.with_known_language(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "plain words", "en", 5, 6)]
+
+
 def test_language_held_out(result, docs):
     got = result("op2_langid").set_index("doc_id")
     assert len(got) == len(docs)
@@ -294,7 +341,7 @@ def test_language_edges(edge, none):
     assert langid.language_id(none).isEmpty()
     assert {r.lang_pred for r in langid.identify(edge, None).collect()} == {"und"}
     kept = langid.with_known_language(edge)
-    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, 8, None}
+    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 8, None}  # 7 is in no language that was learned
 
 
 def test_unlearned_language_goes(spark):
@@ -396,6 +443,51 @@ def test_gam_learns_interactions():
     assert np.allclose(m.score(x[:5]), 1 / (1 + np.exp(-f)))
 
 
+def test_gam_trees_are_the_best_ones():
+    """Trees on lines and tables against a search over all cuts."""
+    r = np.random.default_rng(4)
+    power = lambda g, w: g.sum() ** 2 / (w.sum() + 1)
+    for _ in range(20):
+        g, w = r.normal(0, 1, 6), r.uniform(0.1, 1, 6)
+        k = max(range(1, 6), key=lambda k: power(g[:k], w[:k]) + power(g[k:], w[k:]))
+        k = k if power(g[:k], w[:k]) + power(g[k:], w[k:]) > power(g, w) + 1e-9 else 6
+        want = np.concatenate([np.full(k, g[:k].sum() / (w[:k].sum() + 1)), np.full(6 - k, g[k:].sum() / (w[k:].sum() + 1))])
+        assert np.allclose(gam.tree_of_line(g, w, 2), want)
+        g, w = r.normal(0, 1, (4, 3)), r.uniform(0.1, 1, (4, 3))
+        best = max(((power(g[:a, :b], w[:a, :b]) + power(g[:a, b:], w[:a, b:]) + power(g[a:, :c], w[a:, :c]) + power(g[a:, c:], w[a:, c:]), a, b, c) for a in range(1, 4) for b in range(3) for c in range(3)))
+        gain, out = gam.tree_of_table(g, w)
+        assert abs(gain - (best[0] - power(g, w))) < 1e-9
+        a, b, c = best[1:]
+        for rows, cols in ((slice(0, a), slice(0, b)), (slice(0, a), slice(b, 3)), (slice(a, 4), slice(0, c)), (slice(a, 4), slice(c, 3))):
+            assert np.allclose(out[rows, cols], g[rows, cols].sum() / (w[rows, cols].sum() + 1) if g[rows, cols].size else 0)
+
+
+def test_classifier_query_is_the_model_row_by_row(result, docs):
+    """op6 against a model fitted on the same rows and summed entry by entry."""
+    marks = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{DATA}/labels.parquet").to_pylist()}
+    cache = shared.WordHashes()
+    x = {d["doc_id"]: np.array(rules.statistics(d["text"], cache)[1]) for d in docs}
+    learned = [i for i in x if marks.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, y = np.array([x[i] for i in learned]), np.array([float(marks[i]) for i in learned])
+    order = np.lexsort((*rows.T, y))
+    m = gam.Gam.fit(rows[order], y[order])
+    got = result("op6_classifier").set_index("doc_id")
+    for i, v in x.items():
+        place = lambda edges, k: sum(e < v[k] for e in edges[k])  # noqa: B023, E731
+        f = m.base + sum(line[place(m.edges, k)] for k, line in enumerate(m.lines)) + sum(t[place(m.coarse, a), place(m.coarse, b)] for a, b, t in m.pairs)
+        assert abs(got.score[i] - 1 / (1 + np.exp(-f))) < 1e-9 and got.predicted[i] == (got.score[i] >= 0.5)
+
+
+def test_classifier_bounds_rows(spark, monkeypatch):
+    """Repeated rows of one labelled id don't bring more rows than the bound."""
+    monkeypatch.setattr(gam, "SAMPLE", 20)
+    seen = []
+    monkeypatch.setattr(gam.Gam, "fit", classmethod(lambda cls, x, y: seen.append(len(y)) or cls()))
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(200)], "doc_id long, text string")
+    gam.fit(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"))
+    assert seen == [20]
+
+
 def test_classifier_held_out(result):
     marks = pq.read_table(f"{DATA}/labels.parquet").to_pandas().set_index("doc_id").quality
     got = result("op6_classifier").set_index("doc_id").join(marks, how="inner")
@@ -759,35 +851,78 @@ def test_warc_faults(spark, tmp_path):
 # ---- language models
 
 
+END = ("end",)
+
+
+class BruteModel:
+    """Unhashed counts of texts (lists of words), less those of one of them."""
+
+    def __init__(self, texts, vocabulary, less=None):
+        tokens = [[*t, END] for t in texts if t]
+        self.one = collections.Counter(w for t in tokens for w in t)
+        self.two = collections.Counter(p for t in tokens for p in zip(t, t[1:]))
+        if less:
+            self.one.subtract([*less, END])
+            self.two.subtract(zip([*less, END], [*less[1:], END]))
+        self.total, self.vocabulary = sum(self.one.values()), vocabulary
+
+    def p(self, word, before=None):
+        alone = (self.one[word] + lm_score.ADDED) / (self.total + lm_score.ADDED * self.vocabulary)
+        if before is None or not self.one[before]:
+            return alone
+        return lm_score.WEIGHT * self.two[before, word] / self.one[before] + (1 - lm_score.WEIGHT) * alone
+
+    def loss(self, text):
+        tokens = [*text, END]
+        return np.mean([-np.log(self.p(w, b)) for w, b in zip(tokens, [None, *tokens])])
+
+
 def test_lm_score(spark):
-    rows = [(1, "the cat sat"), (2, "The dog sat down"), (3, None), (4, ""), (5, "stock prices fell"), (6, "stock prices rose")]
+    rows = [(1, "the cat sat"), (2, "The dog sat down"), (3, None), (4, ""), (5, "stock prices fell"), (6, "stock prices rose"), (6, "stock prices rose")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mine", F.lit(0)).withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in lm_score.score(docs, docs.where("doc_id < 3")).collect()}
-    low = {i: (t or "").lower().split() for i, t in rows}
-    cache = shared.WordHashes()
-    for i, w in low.items():
+    split = [(i, (t or "").lower().split()) for i, t in rows]
+    for i, w in split:
         if not w:
-            assert got[i].n_words == 0 and got[i].score is None
+            assert got[i].n_words == 0 and got[i].score is None and got[i].loss_target is None
             continue
-        want = []
-        for members in ((1, 2), low):
-            slots = [lm_score.slots(rows[k - 1][1], cache) for k in members]
-            one = collections.Counter(int(x) for s, _ in slots for x in s)
-            two = collections.Counter(int(x) for _, p in slots for x in p)
-            ws, ps = lm_score.slots(rows[i - 1][1], cache)
-            losses = []
-            for k in range(len(w)):
-                alone = (one[int(ws[k])] + lm_score.ADDED) / (sum(one.values()) + lm_score.ADDED * lm_score.VOCABULARY)
-                before = one[int(ws[k - 1])] if k else 0
-                p = lm_score.WEIGHT * two[int(ps[k])] / before + (1 - lm_score.WEIGHT) * alone if before else alone
-                losses.append(-np.log(p))
-            want.append(np.mean(losses))
-        assert np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [*want, want[0] - want[1]])
-    assert got[1].score < got[5].score
+        target = BruteModel([x for k, x in split if k < 3], lm_score.VOCABULARY, w if i < 3 else None).loss(w)
+        background = BruteModel([x for _, x in split], lm_score.VOCABULARY, w).loss(w)
+        assert got[i].n_words == len(w) and np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [target, background, target - background], rtol=1e-9)
+    assert got[1].score < got[6].score and got[6].loss_background < got[5].loss_background
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words that a model has seen, the end and as many others as the vocabulary allows for."""
+    r = random.Random(3)
+    texts = [[r.choice("abcdefg") for _ in range(r.randint(1, 9))] for _ in range(12)]
+    for less in (None, texts[4]):
+        model = BruteModel(texts, 50, less)
+        words_of_it = [*"abcdefg", END]
+        for before in [None, *"abcdefg", "unseen"]:
+            assert abs(sum(model.p(w, before) for w in words_of_it) + (50 - len(words_of_it)) * model.p("unseen", before) - 1) < 1e-12
+
+
+def test_lm_scores_repeated_documents_apart(spark):
+    """A document that occurs twice is well known to a model of the corpus without one of them, one that occurs once isn't."""
+    rows = [(i, " ".join(f"z{random.Random(i).random()}"[:9] if k % 3 else w for k, w in enumerate(words(i, 60)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.loss_background for r in lm_score.score(docs, docs.where("doc_id between 20 and 40")).collect()}
+    twice = [*range(10), *range(100, 110)]
+    assert max(got[i] for i in twice) < min(v for i, v in got.items() if i not in twice)
 
 
 def test_lm_edges(edge, none):
-    assert lm_score.score(edge, edge.limit(0)).count() == 10 and lm_score.score(none, edge).isEmpty()
+    got = lm_score.score(edge, edge.limit(0)).collect()
+    assert len(got) == 10 and lm_score.score(none, edge).isEmpty()
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append(r)
+    assert all(r.n_words == 0 and r.score is None for i in (1, 2, 3) for r in by_id[i]) and by_id[None][0].n_words == 4
+    assert len(by_id[6]) == 2 and by_id[6][0] == by_id[6][1] and by_id[5][0].n_words == 30_000 and abs(by_id[5][0].score - by_id[6][0].score) < 1e-12
+    uniform = np.log(lm_score.VOCABULARY)
+    assert all(abs(r.loss_target - uniform) < 1e-9 for i, rs in by_id.items() for r in rs if r.score is not None)
 
 
 def test_lm_counts_are_exact(spark, monkeypatch):
@@ -800,19 +935,23 @@ def test_lm_counts_are_exact(spark, monkeypatch):
     low = {i: t.split() for i, t in [*rows, (None, "x1 x2 x1 x2")]}
     vocabulary = len({w for x in low.values() for w in x})
     assert vocabulary > lm_score.VOCABULARY and len(got) == 151
-    want = {i: [] for i in low}
-    for members in ([x for i, x in low.items() if i is not None and i % 3 == 0], list(low.values())):
-        one = collections.Counter(w for x in members for w in x)
-        two = collections.Counter(p for x in members for p in zip(x, x[1:]))
-        total = sum(one.values()) + lm_score.ADDED * vocabulary
-        for i, x in low.items():
-            p = [(one[w] + lm_score.ADDED) / total for w in x]
-            p[1:] = [lm_score.WEIGHT * two[a, b] / one[a] + (1 - lm_score.WEIGHT) * q if one[a] else q for a, b, q in zip(x, x[1:], p[1:])]
-            want[i].append(-np.log(p).mean() if x else None)
+    texts = {"target": [x for i, x in low.items() if i is not None and i % 3 == 0], "all": list(low.values())}
+    models = {k: BruteModel(v, vocabulary + 1) for k, v in texts.items()}
     for i, x in low.items():
         assert got[i].n_words == len(x)
         if x:
-            assert np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [*want[i], want[i][0] - want[i][1]], rtol=1e-9)
+            want = []
+            for name, member in (("target", i is not None and i % 3 == 0), ("all", True)):
+                m = models[name]
+                own = [*x, END] if member else []
+                m.one.subtract(own)
+                m.two.subtract(zip(own, own[1:]))
+                m.total -= len(own)
+                want.append(m.loss(x))
+                m.one.update(own)
+                m.two.update(zip(own, own[1:]))
+                m.total += len(own)
+            assert np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [*want, want[0] - want[1]], rtol=1e-9)
 
 
 # ---- pipeline
@@ -832,8 +971,37 @@ def test_pipeline_stages(spark, docs):
                 assert {r.doc_id for r in now.collect()} == {i for i, c in want.items() if i == c}
             if name == "substring_dedup":
                 want = brute_removal([(r.doc_id, r.text) for r in shared_before.collect()], 50)
-                assert {r.doc_id: len((r.text or "").split()) for r in now.collect()} == {i: n - gone for i, (n, gone, _) in want.items()}
+                assert {r.doc_id: len((r.text or "").split()) for r in now.collect()} == {i: n - gone for i, (n, gone, _) in want.items() if n > gone or not n}
                 assert now.where("n_chars <> length(text)").isEmpty()
         shared_before = now
     assert len(corpus_pipeline.STAGES) == 5 and seen == sorted(seen, reverse=True) and seen[-1] > 0.6 * seen[0]
     assert now.select("doc_id").distinct().count() == seen[-1]
+
+
+PIPED = "doc_id long, text string, lang string, n_removed int, _places string, rid int, `row` string, _language int, h1 int"
+
+
+def test_pipeline_edges(spark):
+    """Nulls, repeated rows, clashing columns and a table without n_chars, through every stage but the trained ones' choice."""
+    head, other = words(1, 90), words(2, 90)
+    rows = [(1, " ".join(head)), (1, " ".join(head)), (None, " ".join(head)), (None, " ".join(other)), (2, " ".join([*words(3, 300), *head])), (3, " ".join(head[5:65])), (4, None), (5, ""), (6, "12 34")]
+    docs = spark.createDataFrame([(i, t, "en", k, "p", k, "r", k, k) for k, (i, t) in enumerate(rows)], PIPED)
+    known = shared.saved(corpus_pipeline.language_id(spark, docs, DATA), "known")
+    assert known.columns == docs.columns and known.where("doc_id in (4, 5, 6)").isEmpty()
+    assert corpus_pipeline.quality(spark, known, DATA).columns == docs.columns
+    apart = shared.saved(corpus_pipeline.near_dedup(spark, docs, DATA), "apart")
+    assert apart.schema == docs.schema
+    assert sorted(str(r.doc_id) for r in apart.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+    left = shared.saved(corpus_pipeline.substring_dedup(spark, apart, DATA), "left")
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert left.columns == docs.columns and 3 not in texts and texts[2] == " ".join(words(3, 300)) and texts[1] == " ".join(head) and texts[4] is None and texts[5] == ""
+    assert {r.n_removed for r in left.collect()} <= set(range(9))
+    pieces = corpus_pipeline.pack(spark, left, DATA).collect()
+    assert {r.doc_id for r in pieces} == set(texts)
+
+
+def test_pipeline_of_an_empty_table(spark):
+    now = spark.createDataFrame([], PIPED)
+    for name, stage in corpus_pipeline.STAGES:
+        now = shared.saved(stage(spark, now, DATA), name)
+        assert now.isEmpty()
