@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By open block of tidied() the tables written in it and their paths.
+_made: list[list[tuple[DataFrame, str]]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where that is unset (tests)."""
+    """spark.checkpoint.dir. There is no other choice: a local folder would differ from executor to executor."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='lexivec-')}")
-    return spark.conf.get("spark.checkpoint.dir")
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/lexivec-{uuid.uuid4().hex}-{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written once and read by all that need it."""
-    path = f"{shared_folder(df.sparkSession)}/lexivec-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table written once and read by all that need it: no lineage, and no executor whose loss matters."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append((out, path))
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders with all that is in them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete, at the end of a block, all tables that written() made in it, but for those given to the function that
+    the block gets; a block around it takes care of these."""
+    kept: list[DataFrame] = []
+    _made.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        stay = [(df, path) for df, path in made if any(df is k for k in kept)]
+        delete(spark, *[path for df, path in made if not any(df is k for k in kept)])
+        if _made:
+            _made[-1] += stay

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.operators.scratch import delete
+
 KEY = "document_url"
 #: Columns that keep their first value, and those that take the last.
 FIXED = ("bid_no", "bid_type", "product_type", "full_item_name", "quantity", "department", "start_date", "end_date", "estimated_value", "bid_packet_type", "full_pdf_text")
@@ -98,9 +100,7 @@ def export_json(snapshot: DataFrame, path: str, without: Sequence[str] = ("full_
 
 def reset(spark, *paths: str) -> None:
     """Delete the folders of a store."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, *paths)
 
 
 def flatten_record(card: Column, pdf: Column, links: Column, md: Column) -> list[Column]:
