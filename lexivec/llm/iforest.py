@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm import rules
-from lexivec.llm.shared import saved
+from lexivec.llm.shared import saved, tidied
 
 #: Rows a tree; trees.
 PSI, TREES = 64, 256
@@ -136,15 +136,16 @@ def fit(passed: DataFrame, trees: int = TREES, psi: int = PSI) -> Forest | None:
 def quality_rules(docs: DataFrame, labels: DataFrame, lost: float = 0.005, trees: int = TREES, psi: int = PSI) -> DataFrame:
     """Statistics, anomaly score and verdict of every document: doc_id, the counts of rules.COUNTS, base_failed,
     anomaly (double), kept. lost: the largest share of documents labelled good that the threshold may remove."""
-    stats = rules.with_statistics(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("base_failed", failed_base())
-    stats = saved(stats, "rule-statistics")
-    forest = fit(stats.where("not base_failed").select("rid", "ratios"), trees, psi)
+    with tidied(docs.sparkSession) as keep:
+        stats = rules.with_statistics(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("base_failed", failed_base())
+        stats = saved(stats, "rule-statistics")
+        forest = fit(stats.where("not base_failed").select("rid", "ratios"), trees, psi)
 
-    def anomaly(ratios: pa.Array) -> pa.Array:
-        x = rules.matrix(ratios, len(rules.RATIOS))
-        return pa.array(forest.score(x) if forest else np.zeros(len(x)))
+        def anomaly(ratios: pa.Array) -> pa.Array:
+            x = rules.matrix(ratios, len(rules.RATIOS))
+            return pa.array(forest.score(x) if forest else np.zeros(len(x)))
 
-    scored = saved(stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")("ratios")).drop("ratios", "rid"), "anomalies")
+        scored = keep(saved(stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")("ratios")).drop("ratios", "rid"), "anomalies"))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1)")
     counts = scored.where("not base_failed").join(marks, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "quality").count().collect()
     limit = threshold([tuple(r) for r in counts], lost)

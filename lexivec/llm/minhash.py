@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import LOWER, WordHashes, mix, saved, window_hashes
+from lexivec.llm.shared import LOWER, WordHashes, mix, saved, tidied, window_hashes
 
 BITS, MANTISSA = 8, 10
 REGISTERS = 1 << BITS
@@ -243,12 +243,18 @@ def across(rows: DataFrame, key: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges a, b: the smallest node that is reachable."""
+    with tidied(edges.sparkSession) as keep:
+        return keep(rooted(edges)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """Edges u > v that lead every node to the smallest one that is reachable."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now
         before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -270,6 +276,15 @@ class NearDuplicates:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> NearDuplicates:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union."""
+    with tidied(docs.sparkSession) as keep:
+        rows, of_set, links = (keep(df) for df in linked(docs, shingle, percent))
+    out = rows.drop("sketch").join(of_set, ["h1", "h2"], "left")
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return NearDuplicates(out.select("rid", "doc_id", "text", "row", "n_shingles", "node", alone.alias("component_id"), "first"), links)
+
+
+def linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sketches, node, component_id and first of each set, and the links; all written."""
     rows = saved(sketched(docs, shingle), "sketches")
     some = rows.where("h1 is not null")
     # The row that stands for a set: the smallest doc_id, then the first; null is no smaller than any.
@@ -310,9 +325,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Nea
     members = groups.join(roots, "node", "left").select("h1", "h2", "node", "first", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("first").alias("of_all"))
     of_set = saved(members.drop("first").join(least, "root").select("h1", "h2", "node", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.rid").alias("first")), "components")
-    out = rows.drop("sketch").join(of_set, ["h1", "h2"], "left")
-    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return NearDuplicates(out.select("rid", "doc_id", "text", "row", "n_shingles", "node", alone.alias("component_id"), "first"), links)
+    return rows, of_set, links
 
 
 def digest(found: NearDuplicates) -> DataFrame:

@@ -1,42 +1,14 @@
-"""What several operators use: the shared folder, word splitting, and 64-bit hashes of words and windows."""
+"""What several operators use: tables in the shared folder, word splitting, and 64-bit hashes of words and windows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='lexivec-')}")
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/lexivec-{uuid.uuid4().hex}-{name}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: no lineage, and no executor whose loss matters."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+from lexivec.operators.scratch import scratch, tidied
+from lexivec.operators.scratch import written as saved
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table that saved() made and nothing reads any longer."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/lexivec-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["LOWER", "ODD", "WordHashes", "fresh", "mix", "saved", "scratch", "tidied", "window_hashes", "words_of"]
 
 
 def fresh(name: str, taken: list[str]) -> str:

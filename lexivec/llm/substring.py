@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import WordHashes, fresh, saved, window_hashes, words_of
+from lexivec.llm.shared import WordHashes, fresh, saved, tidied, window_hashes, words_of
 
 #: Words of the first level's windows, at most.
 BASE = 13
@@ -174,6 +174,15 @@ class Repeats:
 
 def find_repeats(docs: DataFrame, min_words: int = 50, base: int = BASE) -> Repeats:
     """Windows of min_words words that also start in a document with a smaller doc_id."""
+    with tidied(docs.sparkSession) as keep:
+        found = searched(docs, min_words, base)
+        for df in (found.rows, found.candidates, found.spans, found.copies):
+            keep(df)
+    return Repeats(found.rows.drop("hashes", "places"), found.candidates.select("doc_id", "tag", "text"), found.spans, found.copies, min_words, found.levels)
+
+
+def searched(docs: DataFrame, min_words: int, base: int) -> Repeats:
+    """The same, with all tables as they are written."""
     sizes = [min_words]
     while sizes[0] > base:
         sizes.insert(0, -(-sizes[0] // 2))
@@ -200,7 +209,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, base: int = BASE) -> Repe
         levels.append((longer, n))
     # Where a level leaves nothing, so would the last one.
     spans = saved(by_text(found.where("doc_id > first") if n else found.limit(0)), "spans")
-    return Repeats(rows.drop("hashes", "places"), cand.select("doc_id", "tag", "text"), spans, copies, min_words, levels)
+    return Repeats(rows, cand, spans, copies, min_words, levels)
 
 
 def without(text: str | None, starts: np.ndarray, n: int) -> tuple[str | None, int]:

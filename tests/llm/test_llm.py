@@ -1005,3 +1005,17 @@ def test_pipeline_of_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         now = shared.saved(stage(spark, now, DATA), name)
         assert now.isEmpty()
+
+
+def test_intermediate_tables_go(spark, docs):
+    """Of what operators write only what their results read stays."""
+    import os
+
+    folder = shared.scratch(spark, "").rpartition("/")[0].removeprefix("file://")
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = set(os.listdir(folder))
+    near = minhash.near_duplicates(table)
+    assert len(set(os.listdir(folder)) - before) == 3 and near.rows.count() == len(docs) and near.links.count() > 0
+    before = set(os.listdir(folder))
+    found = substring.find_repeats(table)
+    assert len(set(os.listdir(folder)) - before) == 4 and found.spans.count() > 0
