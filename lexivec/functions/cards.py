@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexivec.functions.text import clean_text, label_of, record_number, revision_number, strip_html, text_or_empty, to_24h
+from lexivec.functions.html_cards import popover
+from lexivec.functions.text import clean_text, label_of, record_number, revision_number, strip_tags, text_or_empty, to_24h
 
 #: Product labels by type of record.
 PRODUCT_LABELS = {
@@ -16,6 +17,7 @@ PRODUCT_LABELS = {
 
 def card_date(text: Column, which: str) -> Column:
     """'DD-MM-YYYY HH:MM:SS' of a card's Start or End date, '' without one."""
+    # Fixed value: how a card writes its dates.
     pattern = rf"(?i){which}\s+Date\s*[:\-]?\s*(\d{{2}}-\d{{2}}-\d{{4}})\s+(\d{{1,2}}:\d{{2}})\s*(AM|PM)?"
     part = lambda k: F.regexp_extract(text_or_empty(text), pattern, k)
     return F.when(part(1) == "", F.lit("")).otherwise(F.concat(part(1), F.lit(" "), to_24h(part(2), part(3))))
@@ -38,6 +40,7 @@ def quantity(text: Column) -> Column:
 
 def departments(text: Column) -> Column:
     """array<struct<name, address, city, state, pincode>> of a card: none or one."""
+    # Fixed value: where a card names its department.
     block = F.regexp_extract(text_or_empty(text), r"(?i)Department\s+Name(?:\s+And\s+Address)?\s*[:\-]?\s*\n?([^\n]+(?:\n[^\n]+)*?(?=\nStart Date|\Z))", 1)
     lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     address = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), ", ")
@@ -46,23 +49,22 @@ def departments(text: Column) -> Column:
 
 
 def item_name(text: Column, html: Column) -> Column:
-    """A card's item: the first popover attribute of an element that mentions items, else a long one, else its text."""
-    popover = F.lit(None).cast("string")
-    for attribute in ("data-content", "data-original-title", "title"):
-        got = strip_html(F.regexp_extract(text_or_empty(html), rf"""(?is)<[^>]*\b{attribute}="([^"]*)"[^>]*>[^<]*items?:""", 1))
-        popover = F.coalesce(popover, F.nullif(F.regexp_replace(got, r"(?i)^\s*items?\s*:\s*", ""), F.lit("")))
-    for attribute in ("data-content", "data-original-title", "title"):
-        got = F.regexp_extract(text_or_empty(html), rf"""(?is)<[^>]*\b{attribute}="([^"]*)\"""", 1)
-        popover = F.coalesce(popover, F.when(F.length(F.trim(got)) > 15, strip_html(got)))
-    plain = F.regexp_replace(clean_text(F.regexp_extract(text_or_empty(text), r"(?is)Items?\s*:\s*(.+?)(?:\n|Quantity\s*:)", 1)), r"\.+$", "")
-    return F.coalesce(popover, plain)
+    """A card's item: that of its popovers, else of its text."""
+    # Fixed value: where a card's text names its item.
+    stated = F.regexp_extract(text_or_empty(text), r"(?is)Items?\s*:\s*(.+?)(?:\n|Quantity\s*:)", 1)
+    return F.coalesce(popover(html), F.regexp_replace(clean_text(stated), r"\.+$", ""))
+
+
+def href(link: Column) -> Column:
+    """The target of a link: in double quotes, in single ones, or bare; '' without one."""
+    part = lambda k: F.regexp_extract(link, r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k)
+    return F.replace(F.concat(part(1), part(2), part(3)), F.lit("&amp;"), F.lit("&"))
 
 
 def links(html: Column, base_url: str) -> Column:
     """document_url, ra_url and corrigendum_url of a fragment's links; of several the last."""
-    found = F.regexp_extract_all(text_or_empty(html), F.lit(r"""(?is)(<a\b[^>]*href="[^"]*"[^>]*>.*?</a>)"""), F.lit(1))
-    href = lambda a: F.regexp_extract(a, r"""(?is)href="([^"]*)\"""", 1)
-    label = lambda a: F.lower(strip_html(a))
+    found = F.regexp_extract_all(text_or_empty(html), F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+    label = lambda a: F.lower(strip_tags(a))
     low = lambda a: F.lower(href(a))
 
     def last(keep) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,14 +52,28 @@ def yesno(x: Column) -> Column:
     return F.when(low.startswith("yes"), "Yes").when(low.startswith("no") & (low != "none"), "No")
 
 
-def strip_html(x: Column) -> Column:
-    """Text of a fragment of HTML: tags become blanks and the five XML entities their characters."""
+def strip_tags(x: Column) -> Column:
+    """Text of a fragment of HTML without its tags and with the six commonest entities as their characters."""
     out = F.regexp_replace(text_or_empty(x), r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return clean_text(out)
 
 
+def unescaped(x: Column) -> Column:
+    """A text with all entities of HTML as their characters. Only texts with an ampersand leave the JVM."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(F.contains(x, F.lit("&")), x)), x)
+
+
+def strip_html(x: Column) -> Column:
+    """Text of a fragment of HTML: tags become blanks and entities their characters."""
+    return clean_text(unescaped(F.regexp_replace(text_or_empty(x), r"<[^>]+>", " ")))
+
+
 def to_24h(time: Column, ampm: Column) -> Column:
     """hh:mm and a half of the day as HH:MM:00. Hours beyond 12 get twelve more, as they stand."""
     hour = F.split_part(time, F.lit(":"), F.lit(1)).try_cast("int")
@@ -184,6 +201,16 @@ def metadata_card(columns: dict[str, Column]) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{label}: "), text_or_empty(columns.get(name, F.lit(""))), F.lit(".")) for label, name in CARD])
 
 
+def record_document(card: Column, body: Column) -> Column:
+    """A record as one text: its card, then its body."""
+    return F.regexp_replace(F.concat(card, F.lit("\n"), text_or_empty(body)), r"(?U)^\s+|\s+$", "")
+
+
+def shortened(x: Column, n: int) -> Column:
+    """The first n characters of a text, for lists; '' for null."""
+    return F.substring(text_or_empty(x), 1, n)
+
+
 def closing_soon(end: Column, now_utc: Column, minutes: int = 20) -> Column:
     """Whether a record with an end time in India's zone is still open long enough; true where it can't be read."""
     at = F.try_to_timestamp(end, F.lit("dd-MM-yyyy h:mm a"))
@@ -194,9 +221,3 @@ def closing_soon(end: Column, now_utc: Column, minutes: int = 20) -> Column:
 def multi_item(name: Column) -> Column:
     """Whether an item's name lists several."""
     return F.instr(name, ",") > 0
-
-
-def split_pair(x: Column) -> Column:
-    """k=v as a struct, cut at the first sign."""
-    parts = F.split(x, "=", 2)
-    return F.struct(F.trim(F.get(parts, F.lit(0))).alias("key"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("value"))

@@ -1,20 +1,32 @@
-"""The search index: passages in overlapping windows, word statistics, and their upkeep by record.
-
-Tables: chunks (chunk_id, bid_no, chunk_index, chunk, ...), postings (term, chunk_id, tf, dl), terms (term, df, idf) and
-corpus (one row: n, avgdl). All are made by aggregations that combine before the shuffle.
+"""The search index: passages in overlapping windows, their vectors, word statistics, and their upkeep by record.
+
+Tables: chunks (chunk_id, bid_no, chunk_index, chunk, metadata, embedding), postings (term, bid_no, chunk_id, tf, dl), terms (term, df,
+idf) and corpus (one row: n, total, avgdl). A stored index grows by segments: an update adds the chunks and postings of its
+records, names the records whose earlier ones no longer count (gone), and writes the terms and the corpus anew from
+those before and the difference, so that it reads postings of its own records alone. Postings lie sorted by term and
+chunks by chunk_id, so that a question reads the row groups of its words and of the chunks that it shows. The corpus
+is written last: a segment without it isn't there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.functions.text import metadata_card, rich_text, tokens
-from lexivec.operators.scratch import written
+from lexivec.functions.text import metadata_card, rich_text, text_or_empty, tokens
+from lexivec.operators.scratch import delete, tidied, written
 
 SIZE, OVERLAP, LEAST, BODY = 800, 100, 20, 10
+#: The metadata of a chunk, '' where a record lacks it.
+META = (
+    "bid_no", "bid_type", "product_type", "full_item_name", "quantity", "department", "start_date", "end_date", "estimated_value", "bid_packet_type", "ra_no",
+    "document_url", "corrigendum_url",
+)
 
 
 def windows(docs: DataFrame, key: str, body: Column, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -27,15 +39,55 @@ def windows(docs: DataFrame, key: str, body: Column, size: int = SIZE, overlap:
     return starts.select(key, "start", F.trim(F.substr("flat", F.col("start") + 1, F.lit(size))).alias("chunk")).where(F.length("chunk") > LEAST)
 
 
-def chunked(docs: DataFrame, key: str, body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """chunk_id, key, chunk_index, chunk: the metadata card first, then the windows; numbered after short ones went."""
-    rows = windows(docs, key, body, size, overlap)
-    if card is not None:
-        head = docs.select(key, F.lit(-1).alias("start"), F.trim(card).alias("chunk")).where(F.length("chunk") > LEAST)
-        rows = head.union(rows)
-    index = (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).alias("chunk_index")
-    out = rows.select(key, "chunk", index)
-    return out.select(F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), key, "chunk_index", "chunk")
+def passages(body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """array<string>: the metadata card first, then the windows of a body, without those of LEAST characters or fewer."""
+    text = F.coalesce(body, F.lit(""))
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    raw = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    starts = F.sequence(F.lit(0), F.length(flat) - 1, F.lit(max(1, size - overlap)))
+    cut = F.when((raw >= BODY) & (F.length(flat) > 0), F.transform(starts, lambda s: F.trim(F.substr(flat, s + 1, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(F.array(F.trim(card)), cut) if card is not None else cut, lambda c: F.length(c) > LEAST)
+
+
+def chunked(docs: DataFrame, key: str, body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP, keep: Sequence[Column | str] = ()) -> DataFrame:
+    """chunk_id, key, chunk_index, chunk and kept columns: the passages of each row, numbered after short ones went. All of
+    it happens within the row: nothing is shuffled."""
+    out = docs.select(key, *keep, F.posexplode(passages(body, card, size, overlap)).alias("chunk_index", "chunk"))
+    return out.select(F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "*")
+
+
+def record_chunks(records: DataFrame, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of records with META, keyed by bid_no, else document_url, else 'unknown'."""
+    have = lambda c: text_or_empty(F.col(c)) if c in records.columns else F.lit("")
+    named = F.coalesce(F.nullif(have("bid_no"), F.lit("")), F.nullif(have("document_url"), F.lit("")), F.lit("unknown"))
+    rows = records.select(named.alias("bid_no"), *[have(c).alias(c) for c in META[1:]], have(body).alias("_body"))
+    card = metadata_card({c: F.col(c) for c in META})
+    return chunked(rows, "bid_no", F.col("_body"), card, size, overlap, META[1:])
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]], text: str = "chunk", batch: int = 32) -> DataFrame:
+    """The chunks with embedding (array<double> of length one) and embed_error, by a model that is given and gets so many
+    passages at a time. A batch that fails is tried one by one; what fails then has its error and no vector."""
+
+    def one(x: str) -> tuple[Sequence[float] | None, str | None]:
+        try:
+            return embed([x])[0], None
+        except Exception as e:  # noqa: BLE001 - one passage's failure is its row's
+            return None, str(e)
+
+    def run(texts: pa.Array) -> pa.Array:
+        done: list[tuple[Sequence[float] | None, str | None]] = []
+        for i in range(0, len(texts), batch):
+            part = [t or "" for t in texts[i : i + batch].to_pylist()]
+            try:
+                done += [(v, None) for v in embed(part)]
+            except Exception:  # noqa: BLE001
+                done += map(one, part)
+        unit = lambda v: (v / (np.sqrt((v * v).sum()) or 1.0)).tolist()
+        vectors = [None if v is None else unit(np.asarray(v, np.float64)) for v, _ in done]
+        return pa.StructArray.from_arrays([pa.array(vectors, pa.list_(pa.float64())), pa.array([e for _, e in done], pa.string())], ["embedding", "embed_error"])
+
+    return chunks.withColumn("_v", F.arrow_udf(run, "embedding array<double>, embed_error string")(F.col(text))).select("*", "_v.*").drop("_v")
 
 
 def replace_chunks(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -47,21 +99,26 @@ def delete_chunks(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return existing.join(keys.select(key), key, "left_anti")
 
 
-def postings(chunks: DataFrame, chunk_id: str, text: Column) -> DataFrame:
-    """term, chunk_id, tf, dl."""
-    words = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(text).alias("w"))
-    each = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+def postings(chunks: DataFrame, chunk_id: str, text: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """term, chunk_id, tf, dl and kept columns."""
+    words = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, tokens(text).alias("w"))
+    each = words.select("chunk_id", *keep, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return each.groupBy("term", "chunk_id", *keep, "dl").agg(F.count("*").alias("tf")).select("term", *keep, "chunk_id", "tf", "dl")
 
 
 def corpus_stats(chunks: DataFrame, text: Column) -> DataFrame:
-    """n and avgdl in one row."""
-    return chunks.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """n, total and avgdl in one row."""
+    return chunks.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, corpus: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """term, df, idf; a negative idf becomes epsilon times the mean idf of all terms."""
-    counted = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
+    return with_idf(posts.groupBy("term").agg(F.count("*").alias("df")), corpus, epsilon)
+
+
+def with_idf(counted: DataFrame, corpus: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """term, df, idf of terms with their df. One row (n, the mean) is all that is broadcast."""
+    counted = counted.crossJoin(F.broadcast(corpus.select("n")))
     raw = counted.select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -81,23 +138,84 @@ def build(chunks: DataFrame, chunk_id: str, text: Column, epsilon: float = 0.25)
     return WordIndex(posts, written(term_stats(posts, corpus, epsilon), "terms"), corpus)
 
 
-def reindex(spark, snapshot: DataFrame, root: str, key: str = "bid_no", body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP) -> None:
-    """Rebuild all tables of an index from a snapshot of records: chunks with their metadata, and the word tables."""
-    meta = [c for c in snapshot.columns if c not in (key, body)]
-    card = metadata_card({c: F.col(c) for c in snapshot.columns})
-    chunks = chunked(snapshot, key, F.col(body), card, size, overlap).join(snapshot.select(key, *meta).dropDuplicates([key]), key)
-    chunks.write.mode("overwrite").parquet(f"{root}/chunks")
-    stored = spark.read.parquet(f"{root}/chunks")
-    head = [F.col(c) for c in ("full_item_name", "department", "bid_type", "product_type", key) if c in stored.columns]
-    words = build(stored, "chunk_id", rich_text(*head, F.col("chunk")))
-    for name in ("postings", "terms", "corpus"):
-        getattr(words, name).write.mode("overwrite").parquet(f"{root}/{name}")
+def rich(chunks: DataFrame) -> Column:
+    """The text that is indexed by words: metadata, then the passage."""
+    head = [F.col(c) for c in ("full_item_name", "department", "bid_type", "product_type", "bid_no") if c in chunks.columns]
+    return rich_text(*head, F.col("chunk"))
+
+
+def segments(spark, root: str) -> list[int]:
+    """Numbers of the complete segments of a stored index."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/corpus")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [s.getPath() for s in fs.listStatus(where)]
+    return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("segment=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def add_segment(spark, root: str, chunks: DataFrame, text: Column | None = None, gone: DataFrame | None = None, epsilon: float = 0.25) -> None:
+    """Write chunks (chunk_id, bid_no, chunk, ...) as a segment. gone: bid_no of the records whose earlier chunks end."""
+    done = segments(spark, root)
+    k = done[-1] + 1 if done else 0
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/segment={k}")
+    with tidied(spark):
+        new = written(chunks, "chunks")
+        text = rich(new) if text is None else text
+        posts = written(postings(new, "chunk_id", text, ["bid_no"]), "postings")
+        corpus, counted = corpus_stats(new, text).select("n", "total"), posts.groupBy("term").agg(F.count("*").alias("df"))
+        if done:
+            ended = written(gone.select("bid_no").distinct(), "gone")
+            before, words = stored(spark, root)
+            old = before.join(ended, "bid_no", "left_semi")
+            old_posts = written(words.postings.join(ended, "bid_no", "left_semi"), "old-postings")
+            less = old.agg((-F.count("*")).alias("n")).crossJoin(old_posts.select("chunk_id", "dl").distinct().agg((-F.coalesce(F.sum("dl"), F.lit(0))).alias("total")))
+            corpus = corpus.union(words.corpus.select("n", "total")).union(less).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            change = counted.union(old_posts.groupBy("term").agg((-F.count("*")).alias("df"))).union(words.terms.select("term", "df"))
+            counted = change.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+            put(ended, "gone")
+        put(new.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "chunks")
+        put(posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
+        corpus = written(corpus.withColumn("avgdl", F.col("total") / F.nullif(F.col("n"), F.lit(0))), "corpus")
+        put(with_idf(counted, corpus, epsilon).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        put(corpus, "corpus")
+
+
+def reindex(spark, snapshot: DataFrame, root: str, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
+    """Rebuild an index from a snapshot of records, with vectors where a model is given."""
+    chunks = record_chunks(snapshot, body, size, overlap)
+    delete(spark, *[f"{root}/{name}" for name in ("corpus", "chunks", "postings", "terms", "gone")])
+    add_segment(spark, root, embedded(chunks, embed) if embed else chunks)
+
+
+def update(spark, records: DataFrame, root: str, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
+    """Replace the chunks of records, or add them; records without chunks keep theirs. Without an index this builds one."""
+    chunks = record_chunks(records, body, size, overlap)
+    chunks = embedded(chunks, embed) if embed else chunks
+    add_segment(spark, root, chunks, gone=chunks.select("bid_no").distinct())
+
+
+def remove(spark, keys: DataFrame, root: str) -> None:
+    """Take the chunks of records (bid_no) out of an index."""
+    chunks, _ = stored(spark, root)
+    add_segment(spark, root, chunks.limit(0), gone=keys)
 
 
 def stored(spark, root: str) -> tuple[DataFrame, WordIndex]:
     """chunks and word tables of an index."""
-    chunks, *words = (spark.read.parquet(f"{root}/{name}") for name in ("chunks", "postings", "terms", "corpus"))
-    return chunks, WordIndex(*words)
+    last = segments(spark, root)[-1]
+    read = lambda name: spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").where(F.col("segment") <= last)
+    chunks, posts = read("chunks"), read("postings")
+    if last:
+        gone = read("gone").groupBy(F.col("bid_no").alias("_key")).agg(F.max("segment").alias("_end"))
+        live = lambda df: df.join(gone, (F.col("bid_no") == F.col("_key")) & (F.col("segment") < F.col("_end")), "left_anti")
+        chunks, posts = live(chunks), live(posts)
+    return chunks.drop("segment"), WordIndex(posts.drop("segment"), *(spark.read.parquet(f"{root}/{name}/segment={last}") for name in ("terms", "corpus")))
+
+
+def failed(chunks: DataFrame) -> DataFrame:
+    """The chunks that have no vector because the model failed, with its error."""
+    return chunks.where(F.col("embed_error").isNotNull()).select("chunk_id", "bid_no", "embed_error")
 
 
 def health(chunks: DataFrame, key: str) -> DataFrame:

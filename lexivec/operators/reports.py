@@ -45,19 +45,43 @@ def category_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def listing(docs: DataFrame, text: str, page: str, name: str) -> DataFrame:
-    """By category the page and name of each document, in order."""
-    rows = categories(docs, text).groupBy("eval_category").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(page, name))).alias("e"))
-    return rows.select("eval_category", "n", F.array_join(F.transform("e", lambda x: F.concat(x[page].cast("string"), F.lit(": "), x[name].cast("string"))), "\n").alias("listing"))
+    """eval_category, page, name of each document, by category and page: sorted by ranges, so that no category meets
+    in one task."""
+    return categories(docs, text).select("eval_category", page, name).orderBy("eval_category", page, name)
+
+
+def write_listing(docs: DataFrame, text: str, page: str, name: str, path: str) -> None:
+    """The listing as lines of text, in order of the files' names."""
+    rows = listing(docs, text, page, name)
+    rows.select(F.concat_ws(": ", "eval_category", F.col(page).cast("string"), F.col(name).cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def throughput(counts: DataFrame, seconds: float) -> DataFrame:
+    """Category counts with their rate."""
+    return counts.withColumn("per_second", F.col("n") / F.nullif(F.lit(float(seconds)), F.lit(0.0)))
+
+
+def write_mapping(rows: DataFrame, key: str, page: str, path: str) -> None:
+    """Which page each record was on, as JSON lines {key, page}."""
+    rows.select(F.col(key).cast("string").alias("key"), F.col(page).alias("page")).write.mode("overwrite").json(path)
+
+
+def read_mapping(spark, path: str, key: str) -> DataFrame:
+    return spark.read.schema("key string, page string").json(path).select(F.col("key").alias(key), "page")
 
 
 def timings(rows: DataFrame, stage: str, seconds: str) -> DataFrame:
     return rows.groupBy(stage).agg(F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count("*").alias("n"))
 
 
-def write_by_category(docs: DataFrame, text: str, path: str) -> None:
-    categories(docs, text).write.mode("overwrite").partitionBy("eval_category").json(path)
+#: Records of one file of a sink: what a writer holds before it begins the next.
+FILE_ROWS = 2000
+
+
+def write_by_category(docs: DataFrame, text: str, path: str, file_rows: int = FILE_ROWS) -> None:
+    categories(docs, text).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("eval_category").json(path)
 
 
-def write_artifacts(docs: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
+def write_artifacts(docs: DataFrame, key: str, columns: Sequence[str], path: str, file_rows: int = FILE_ROWS) -> None:
     """Texts of documents in one folder a key."""
-    docs.select(safe_key(F.col(key).cast("string")).alias("safe_bid_no"), *columns).write.mode("overwrite").partitionBy("safe_bid_no").json(path)
+    docs.select(safe_key(F.col(key).cast("string")).alias("safe_bid_no"), *columns).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("safe_bid_no").json(path)

@@ -52,8 +52,11 @@ def bm25_scores(index: WordIndex, question: str, k1: float = K1, b: float = B) -
     """chunk_id, score of all chunks with a word of the question; a word repeated there counts repeatedly."""
     spark = index.postings.sparkSession
     words = Counter(question.lower().split())
-    asked = spark.createDataFrame(sorted(words.items()), "term string, times int")
-    hits = index.postings.join(F.broadcast(asked), "term").join(F.broadcast(index.terms.join(F.broadcast(asked.select("term")), "term").select("term", "idf")), "term").crossJoin(F.broadcast(index.corpus))
+    asked = F.broadcast(spark.createDataFrame(sorted(words.items()), "term string, times int"))
+    # The words as literals reach the scans, whose row groups are sorted by them.
+    mine = F.col("term").isin(list(words))
+    terms = index.terms.where(mine).select("term", "idf").join(asked, "term")
+    hits = index.postings.where(mine).join(F.broadcast(terms), "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # Sums of equal parts in another order must tie, so that ranks don't depend on the order of a shuffle.
     return hits.groupBy("chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -86,12 +89,12 @@ def pool(candidates: DataFrame, top_k: int, times: int = POOL) -> DataFrame:
     return ranked(candidates.orderBy(*order).limit(times * top_k), order, "pool_rank")
 
 
-def reranked(rows: DataFrame, rerank: Callable[[Column], Column] | None, chunk: str = "chunk") -> DataFrame:
-    """rerank and final_rank. rerank: from a passage column to logits; without it the cosine stands for it and the
+def reranked(rows: DataFrame, rerank: Callable[[Column, Column], Column] | None, question: str = "", chunk: str = "chunk") -> DataFrame:
+    """rerank and final_rank. rerank: from a question and a passage column to logits; without it the cosine stands for it and the
     order stays that of the pool."""
     if rerank is None:
         return rows.withColumn("rerank", F.col("semantic")).withColumn("final_rank", F.col("pool_rank"))
-    scored = rows.withColumn("rerank", 1 / (1 + F.exp(-rerank(F.col(chunk)))))
+    scored = rows.withColumn("rerank", 1 / (1 + F.exp(-rerank(F.lit(question), F.col(chunk)))))
     return ranked(scored, [F.desc("rerank"), F.col("pool_rank")], "final_rank")
 
 
@@ -112,7 +115,7 @@ def relative_cut(rows: DataFrame, share: float = RELATIVE) -> DataFrame:
     return out.where((F.col("score") >= share * F.col("_first")) | (F.col("final_rank") == F.col("_rank"))).drop("_first", "_rank")
 
 
-def search(chunks: DataFrame, index: WordIndex | None, question: str, vector: Sequence[float] | None, top_k: int = 5, filters: dict[str, str] | None = None, rerank: Callable[[Column], Column] | None = None, cut: bool = True) -> DataFrame:
+def search(chunks: DataFrame, index: WordIndex | None, question: str, vector: Sequence[float] | None, top_k: int = 5, filters: dict[str, str] | None = None, rerank: Callable[[Column, Column], Column] | None = None, cut: bool = True) -> DataFrame:
     """The rows that answer a question, best first by final_rank. chunks: chunk_id, bid_no, chunk, embedding and any
     metadata. Without an index or without a vector only the other list counts."""
     spark = chunks.sparkSession
@@ -121,7 +124,10 @@ def search(chunks: DataFrame, index: WordIndex | None, question: str, vector: Se
         sparse = bm25_topn(bm25_scores(index, question), chunks, FETCH, filters)
     else:
         sparse = spark.createDataFrame([], "chunk_id " + chunks.schema["chunk_id"].dataType.simpleString() + ", bm25 double, bm25_rank int")
-    found = chunks.drop("embedding").join(F.broadcast(fused(dense, sparse)), "chunk_id")
-    rows = without_noise(blended(reranked(pool(best_of_record(found), top_k), rerank)), top_k)
+    # At most FETCH rows of either list. As literals their ids reach the scan, which then reads few texts.
+    both = fused(dense, sparse)
+    near = both.collect()
+    found = chunks.drop("embedding").where(F.col("chunk_id").isin([r.chunk_id for r in near])).join(F.broadcast(spark.createDataFrame(near, both.schema)), "chunk_id")
+    rows = without_noise(blended(reranked(pool(best_of_record(found), top_k), rerank, question)), top_k)
     rows = rows.select(*[c for c in chunks.columns if c != "embedding"], "final_rank", *[F.round(c, 4).alias(c) for c in ("score", "rerank", "semantic", "bm25")])
     return relative_cut(rows) if cut else rows

@@ -29,23 +29,33 @@ def find_from(text: Column, pattern: str, start: Column) -> Column:
     return F.when(at > 0, at + start - 1)
 
 
-@F.pandas_udf(StringType())
-def trimmed(texts):  # noqa: ANN001, ANN201
-    """A text without what boundaries leave at its end: heading marks, a label before a slash, dashes."""
-    import re
-
-    ends = [re.compile(p) for p in (r"#+\s*$", r"[^\s]{1,60}/\s*$", r"-{2,}\s*$")]
+def end_of_text(x: str) -> int:
+    """Where a text ends without what boundaries leave behind: white space, heading marks, two dashes or more, and a
+    word of at most 60 characters before a slash. One index walks back from the end."""
+    at = len(x)
+    while at:
+        last = x[at - 1]
+        if last.isspace():
+            back = at - 1
+        elif last == "#":
+            back = len(x[:at].rstrip("#"))
+        elif last == "-" and at > 1 and x[at - 2] == "-":
+            back = len(x[:at].rstrip("-"))
+        elif last == "/" and at > 1 and not x[at - 2].isspace():
+            word = at - 1
+            while word > at - 61 and word and not x[word - 1].isspace():
+                word -= 1
+            back = word
+        else:
+            break
+        at = back
+    return at
 
-    def trim(x: str | None) -> str | None:
-        before = None
-        while x is not None and x != before:
-            before = x
-            for e in ends:
-                x = e.sub("", x)
-            x = x.rstrip()
-        return None if x is None else x.strip()
 
-    return texts.map(trim)
+@F.pandas_udf(StringType())
+def trimmed(texts):  # noqa: ANN001, ANN201
+    """Texts up to end_of_text, without white space at their beginning."""
+    return texts.map(lambda x: None if x is None else x[: end_of_text(x)].strip())
 
 
 #: Where the parts of the terms begin.
@@ -125,6 +135,7 @@ def given_list(json: Column, path: str, kind: str = "string") -> Column:
 
 def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_type: str = "product_type", converter_json: str | None = None, strip_br: bool = True) -> DataFrame:
     """key and pdf (nested struct) of every document. converter_json: a column with the converter's JSON."""
+    # Labels in quotes below are fixed values: the names that documents and converters use, in English and Hindi.
     base = docs.withColumnsRenamed({key: "doc", md: "md", product_type: "product_type"})
     base = base.select("doc", F.coalesce(F.col("md"), F.lit("")).alias("md"), "product_type", (F.col(converter_json) if converter_json else F.lit(None).cast("string")).alias("js"))
     base = base.withColumn("js", F.coalesce(F.get_json_object("js", "$.pdf"), "js"))
@@ -176,7 +187,7 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     pdf = {
         "process_kind": process_kind(F.col("md")),
         "base_type": base_type(F.col("md"), F.col("product_type")),
-        "timing": F.struct(get("Bid End Date/Time", "बिड बंद होने").alias("bid_end_datetime"), get("Bid Opening Date/Time", "bid opening date", "बिड खुलने").alias("bid_opening_datetime"), to_int(get("Bid Offer Validity", "बिड पेशकश वैधता")).alias("bid_offer_validity_days")),
+        "timing": F.struct(get("Bid End Date/Time", "bid end date", "बिड बंद होने").alias("bid_end_datetime"), get("Bid Opening Date/Time", "bid opening date", "बिड खुलने").alias("bid_opening_datetime"), to_int(get("Bid Offer Validity", "बिड पेशकश वैधता")).alias("bid_offer_validity_days")),
         "departments": F.struct(
             text("departments.ministry_state_name", "Ministry", "मंत्रालय").alias("ministry_state_name"), text("departments.department_name", "Department Name", "विभाग का नाम").alias("department_name"),
             text("departments.organisation_name", "Organisation Name", "संगठन का नाम").alias("organisation_name"), text("departments.office_name", "Office Name", "कार्यालय का नाम").alias("office_name"),

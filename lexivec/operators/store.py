@@ -29,7 +29,12 @@ def snapshot_of_log(sightings: DataFrame, key: str, at: str, fixed: Sequence[str
 
 def upsert(snapshot: DataFrame, batch: DataFrame, key: str, at: str, fixed: Sequence[str], fresh: Sequence[str], tie: str | None = None) -> DataFrame:
     """The snapshot after a batch of sightings (key, at, values)."""
-    new = snapshot_of_log(batch, key, at, fixed, fresh, tie).select(key, *[F.col(c).alias(f"new_{c}") for c in (*fixed, *fresh, "first_seen", "last_seen", "is_new")])
+    return merged(snapshot, snapshot_of_log(batch, key, at, fixed, fresh, tie), key, fixed, fresh)
+
+
+def merged(snapshot: DataFrame, later: DataFrame, key: str, fixed: Sequence[str], fresh: Sequence[str]) -> DataFrame:
+    """A snapshot and that of a later batch as one."""
+    new = later.select(key, *[F.col(c).alias(f"new_{c}") for c in (*fixed, *fresh, "first_seen", "last_seen", "is_new")])
     both = snapshot.join(new, key, "full_outer")
     known, again = F.col("first_seen").isNotNull(), F.col("new_first_seen").isNotNull()
     keep = [F.when(known, F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in fixed]

@@ -77,6 +77,7 @@ def group_key(name: Column) -> Column:
     return F.when(name.rlike(r"^\d+$"), F.concat(F.lit("Package "), number(r"^(\d+)$"))).when(name.rlike(r"(?i)^group\s+g0*\d+$"), F.concat(F.lit("Package "), number(r"(?i)^group\s+g0*(\d+)$"))).otherwise(name)
 
 
+#: Fixed values here and below: words of tables' headers.
 OFFICER = ("consignee", "reporting", "officer")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import time
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +21,18 @@ def listing_pages(spark: SparkSession, path: str, schema: str | None = None, str
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def until_empty(pages: DataFrame, listing: str, page: str, new_cards: str, most: int = 3) -> DataFrame:
+    """The pages of each listing up to the one at which so many in a row had nothing new. A page without any card
+    (null) counts twice, as one without cards and as one without new cards."""
+    order = Window.partitionBy(listing).orderBy(page)
+    empty = F.when(F.col(new_cards).isNull(), 2).when(F.col(new_cards) == 0, 1).otherwise(0)
+    run = F.sum(F.when(empty == 0, 1).otherwise(0)).over(order)
+    streak = F.sum(empty).over(Window.partitionBy(listing, "_run").orderBy(page))
+    marked = pages.withColumn("_run", run).withColumn("_streak", streak)
+    before = F.max("_streak").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).drop("_run", "_streak", "_before")
+
+
 def open_records(rows: DataFrame, bid_type: str | None = None, end: str = "end_ts", now=None) -> DataFrame:
     """The filters of a listing: record type, and still open."""
     out = rows.where(F.col("bid_type") == bid_type) if bid_type else rows
@@ -36,11 +50,11 @@ def documents(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     return rows.groupBy("id").agg(F.min("file").alias("file"), F.min_by("value", "file").alias("md"))
 
 
-def document_pairs(spark: SparkSession, md_path: str, json_path: str, suffix: str = "_DOCLING_EXTRACTED.json") -> DataFrame:
+def document_pairs(spark: SparkSession, md_path: str, json_path: str, suffix: str = "_DOCLING_EXTRACTED.json", md_suffix: str = ".md") -> DataFrame:
     """Documents with their converter's JSON, null where there is none."""
     js = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(json_path)
     js = js.select(F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("id"), F.col("value").alias("converter_json"))
-    return documents(spark, md_path).join(js.dropDuplicates(["id"]), "id", "left")
+    return documents(spark, md_path, md_suffix).join(js.dropDuplicates(["id"]), "id", "left")
 
 
 def binary_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -63,6 +77,29 @@ def converted(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, md string, error string")
 
 
+def fetched(urls: DataFrame, fetch: Callable[[str], bytes], url: str = "url", retries: int = 3, delay: float = 5.0) -> DataFrame:
+    """url, content, attempts, error of documents by a function that is given: after a failure again, up to so many
+    times, with a wait that grows by delay seconds each time; then a row with the last error and no content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for u in batch[url]:
+                content, error, attempt = None, None, 0
+                while content is None and attempt < retries:
+                    attempt += 1
+                    try:
+                        content, error = fetch(u), None
+                    except Exception as e:  # noqa: BLE001 - one document's failure is its row's
+                        error = str(e)
+                        if attempt < retries:
+                            time.sleep(delay * attempt)
+                out.append((u, content, attempt, error))
+            yield pd.DataFrame(out, columns=["url", "content", "attempts", "error"])
+
+    return urls.select(url).mapInPandas(run, "url string, content binary, attempts int, error string")
+
+
 def extended_json(text, value: str, kind: str):
     """A number or time of extended JSON: {"$numberDecimal": ...}, {"$numberLong": ...}."""
     raw = F.coalesce(F.get_json_object(text, f"$.{value}['$numberDecimal']"), F.get_json_object(text, f"$.{value}['$numberLong']"), F.get_json_object(text, f"$.{value}"))
