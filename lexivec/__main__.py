@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.functions.vectors import hashed
 from lexivec.operators import index, store
 from lexivec.operators.legacy import PRESETS
 from lexivec.plans.config import Config
@@ -47,19 +48,19 @@ def main(spark: SparkSession, a: argparse.Namespace) -> None:
         schema = spark.read.parquet(a.once).schema
         stream = spark.readStream.schema(schema).parquet(a.once)
         fixed = [c for c in store.FIXED if c in schema.names]
-        ingest.stream_upserts(stream, records, f"{a.root}/progress", store.KEY, "seen_at", fixed, list(store.FRESH), on_new=ingest.indexing(spark, words) if index.segments(spark, words) else None, alert=lambda df: print("new records:", df.count())).awaitTermination()
+        ingest.stream_upserts(stream, records, f"{a.root}/progress", store.KEY, "seen_at", fixed, list(store.FRESH), on_new=ingest.indexing(spark, words, hashed) if index.segments(spark, words) else None, alert=lambda df: print("new records:", df.count())).awaitTermination()
     elif (snapshot := ingest.snapshot(spark, records)) is None:
         print("The store is empty.")
     elif a.stats:
         stats(spark, snapshot, words).show()
     elif a.reindex:
-        index.reindex(spark, snapshot, words, size=config.chunk_size, overlap=config.chunk_overlap)
+        index.reindex(spark, snapshot, words, size=config.chunk_size, overlap=config.chunk_overlap, embed=hashed)
     elif a.number:
         snapshot.where(F.col("bid_no") == a.number).drop("full_pdf_text").show(truncate=False, vertical=True)
     elif not index.segments(spark, words):
         print("There is no index yet: --reindex makes one.")
     else:
-        engine = Engine(*index.stored(spark, words), top_k=config.top_k)
+        engine = Engine(*index.stored(spark, words), embed=lambda q: hashed([q])[0], top_k=config.top_k)
         if a.ask:
             print(engine.ask(a.ask, parse_filter(a.filter) if a.filter else None, a.top_k)["answer"])
             return

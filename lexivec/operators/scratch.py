@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,11 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[list[tuple[DataFrame, str]]] = []
 
 
+#: By application in local mode the folder that stands for an unset spark.checkpoint.dir.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. There is no other choice: a local folder would differ from executor to executor."""
+    """spark.checkpoint.dir. Where that is unset, a folder of this machine in local mode, whose driver and executor are
+    one process; on a cluster an error, as a local folder would differ from executor to executor."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = f"file://{tempfile.mkdtemp(prefix='lexivec-')}"
+    return _local[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -6,38 +6,20 @@ pages for listing cards, events for sightings and runs, benchmark and conversati
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions import cards
 from lexivec.functions import text as T
 from lexivec.operators import index, legacy, reports, retrieval, sections, store, tables
-from lexivec.plans import engine
+from lexivec.plans import document_queries, engine, source_queries
+from lexivec.plans.registry import ORACLE_SQL, QUERIES, query
+from lexivec.operators.scratch import scratch
 from lexivec.sources.landing import read_table as table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 QUESTION = "the erin thblend that onre"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def values(spark: SparkSession, rows: str, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
-
-
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks with their vectors; three documents are one record."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 3).cast("long").alias("bid_no"), F.col("text").alias("chunk"), F.col("lang").alias("product_type"), F.col("source").alias("department"))
@@ -51,19 +33,36 @@ def question_vector(spark: SparkSession, d: str, a: int = 7, b: int = 11) -> lis
     return [(x + y) / 2 for x, y in zip(rows[a], rows[b])]
 
 
+#: Folders of indexes by application and table folder: an index is built once and then searched.
+BUILT: dict[tuple[str, str], str] = {}
+
+
+def built(spark: SparkSession, d: str) -> str:
+    """The folder of a stored index of chunk_table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in BUILT or not index.segments(spark, BUILT[key]):
+        BUILT[key] = scratch(spark, "index")
+        index.add_segment(spark, BUILT[key], chunk_table(spark, d), F.col("chunk"))
+    return BUILT[key]
+
+
+def found_in(spark: SparkSession, d: str) -> tuple[DataFrame, index.WordIndex]:
+    return index.stored(spark, built(spark, d))
+
+
 def word_index(spark: SparkSession, d: str) -> index.WordIndex:
-    return index.build(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", F.col("text"))
+    return found_in(spark, d)[1]
 
 
 # ---- retrieval
 
 BM25_SQL = f"""
-    w AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+    w AS MATERIALIZED (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
     e AS (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM w),
-    p AS (SELECT term, chunk_id, dl, count(*) AS tf FROM e GROUP BY ALL),
+    p AS MATERIALIZED (SELECT term, chunk_id, dl, count(*) AS tf FROM e GROUP BY ALL),
     c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
     r AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, c GROUP BY term),
-    t AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+    t AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM r),
     q AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split('{QUESTION}', ' ')) AS term) GROUP BY term),
     s AS (SELECT chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM p JOIN q USING (term) JOIN t USING (term), c GROUP BY chunk_id)"""
 DENSE_SQL = """
@@ -84,13 +83,13 @@ DENSE_ALL = DENSE_SQL.format(where="true")
 
 @query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT * FROM ro WHERE score >= 0.7 * (SELECT arg_min(score, final_rank) FROM ro) OR final_rank = (SELECT min(final_rank) FROM ro)")
 def hybrid_search(spark, d):
-    rows = retrieval.search(chunk_table(spark, d), word_index(spark, d), QUESTION, question_vector(spark, d), top_k=15)
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15)
     return rows.select("bid_no", "chunk_id", "final_rank", "score", "semantic", "bm25")
 
 
 @query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT * FROM ro")
 def noise_filter(spark, d):
-    rows = retrieval.search(chunk_table(spark, d), word_index(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
     return rows.select("bid_no", "chunk_id", "final_rank", "score", "semantic", "bm25")
 
 
@@ -101,30 +100,31 @@ def bm25_scores(spark, d):
 
 @query(f"WITH {BM25_SQL}, k AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM s QUALIFY place <= 40) SELECT chunk_id, round(least(1.0, score / 20), 4) AS bm25, CAST(row_number() OVER (ORDER BY place) AS INT) AS bm25_rank FROM k JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'en'")
 def bm25_topn_postfilter(spark, d):
-    top = retrieval.bm25_topn(retrieval.bm25_scores(word_index(spark, d), QUESTION), chunk_table(spark, d), filters={"product_type": "en"})
+    chunks, words = found_in(spark, d)
+    top = retrieval.bm25_topn(retrieval.bm25_scores(words, QUESTION), chunks, filters={"product_type": "en"})
     return top.select("chunk_id", F.round("bm25", 4).alias("bm25"), "bm25_rank")
 
 
 @query(f"WITH {DENSE_ALL} SELECT chunk_id, round(cos, 4) AS semantic, CAST(row_number() OVER (ORDER BY cos DESC, chunk_id) AS INT) AS dense_rank FROM dn QUALIFY dense_rank <= 40")
 def dense_topk(spark, d):
-    return retrieval.dense_topn(chunk_table(spark, d), question_vector(spark, d))
+    return retrieval.dense_topn(found_in(spark, d)[0], question_vector(spark, d))
 
 
 @query(f"WITH {DENSE_SQL.format(where="lang = 'fr'")} SELECT chunk_id, round(cos, 4) AS semantic, CAST(row_number() OVER (ORDER BY cos DESC, chunk_id) AS INT) AS dense_rank FROM dn QUALIFY dense_rank <= 40")
 def dense_topk_filtered(spark, d):
-    return retrieval.dense_topn(chunk_table(spark, d), question_vector(spark, d), filters={"product_type": "fr"})
+    return retrieval.dense_topn(found_in(spark, d)[0], question_vector(spark, d), filters={"product_type": "fr"})
 
 
 @query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT chunk_id, round(CAST(rrf AS DOUBLE), 8) AS rrf, CAST(ord AS BIGINT) AS ord FROM fu")
 def rrf_fusion(spark, d):
-    chunks = chunk_table(spark, d)
+    chunks, _ = found_in(spark, d)
     rows = retrieval.fused(retrieval.dense_topn(chunks, question_vector(spark, d)), retrieval.bm25_topn(retrieval.bm25_scores(word_index(spark, d), QUESTION), chunks))
     return rows.select("chunk_id", F.round("rrf", 8).alias("rrf"), F.col("ord").cast("long").alias("ord"))
 
 
 @query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT bid_no, chunk_id FROM be")
 def best_chunk_of_record(spark, d):
-    chunks = chunk_table(spark, d)
+    chunks, _ = found_in(spark, d)
     rows = retrieval.fused(retrieval.dense_topn(chunks, question_vector(spark, d)), retrieval.bm25_topn(retrieval.bm25_scores(word_index(spark, d), QUESTION), chunks))
     return retrieval.best_of_record(chunks.select("chunk_id", "bid_no").join(rows, "chunk_id")).select("bid_no", "chunk_id")
 
@@ -149,7 +149,7 @@ def legacy_hybrid(spark, d):
 
 WINDOW_SQL = """
     b AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
-    w AS (SELECT doc_id, unnest(range(0, length(t), 700)) AS start, t FROM b WHERE length(t) >= 10),
+    w AS MATERIALIZED (SELECT doc_id, unnest(range(0, length(t), 700)) AS start, t FROM b WHERE length(t) >= 10),
     c AS (SELECT doc_id, start, trim(substr(t, start + 1, 800)) AS chunk FROM w WHERE length(trim(substr(t, start + 1, 800))) > 20)"""
 
 
@@ -261,33 +261,17 @@ def export_projection(spark, d):
 
 # ---- scalars
 
-NUMBERS = "(1, '1,234.50'), (2, ''), (3, 'Yes 15%'), (4, '3.00 %'), (5, 'Rs. 5'), (6, 'none'), (7, 'Yes | Complete'), (8, 'No'), (9, 'N/A'), (10, 'nothing 7'), (11, NULL), (12, 'a<BR/>b   c')"
-
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)<br\\s*/?>', ' ', 'g'), '\\s+', ' ', 'g'))) AS cleaned_md5 FROM documents")
 def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.col("text")).cast("binary")).alias("cleaned_md5"))
 
 
-@query(f"SELECT k, TRY_CAST(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '') AS BIGINT) AS i, TRY_CAST(nullif(regexp_extract(x, '[0-9.]+'), '') AS DOUBLE) AS f, CASE WHEN starts_with(lower(x), 'yes') THEN 'Yes' WHEN starts_with(lower(x), 'no') AND lower(x) <> 'none' THEN 'No' END AS y FROM (VALUES {NUMBERS}) t(k, x)")
-def to_numbers(spark, d):
-    x = F.col("x")
-    return values(spark, NUMBERS, "k, x").select("k", T.to_int(x).alias("i"), T.to_float(x).alias("f"), T.yesno(x).alias("y"))
-
-
-@query("SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
+@query("SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
 def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_html(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-TIMES = "('9:05', 'AM', '09:05:00'), ('12:30', 'PM', '12:30:00'), ('12:00', 'am', '00:00:00'), ('1:15', 'PM', '13:15:00'), ('13:00', 'PM', '25:00:00'), ('7:45', '', '07:45:00')"
-
-
-@query(f"SELECT * FROM (VALUES {TIMES}) t(time, half, at_time)")
-def to_24h(spark, d):
-    return values(spark, TIMES, "time, half, expected").select("time", "half", T.to_24h(F.col("time"), F.col("half")).alias("at_time"))
-
-
 @query("SELECT doc_id, replace(coalesce(nullif(source || '/' || doc_id, ''), 'unknown_bid'), '/', '_') AS safe, CASE WHEN contains(text, 'Custom BOQ') THEN 'CUSTOM' WHEN contains(text, 'BOQ Title') THEN 'BOQ' ELSE 'CATALOGUE' END AS kind, coalesce(CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' END, lang) AS label FROM documents")
 def keys_and_kinds(spark, d):
     rows = table(spark, d, "documents")
@@ -305,146 +289,114 @@ def intent_top_k(spark, d):
     return talk.union(asked)
 
 
-QUESTIONS = "('show me all GEM/2026 bids', 15), ('what is bid no 7', 2), ('pumps in Delhi', 5), ('find GEM/2031 pump', 2), ('totally unclear', 5)"
-
-
-@query(f"SELECT question, CAST(k AS INT) AS k FROM (VALUES {QUESTIONS}) t(question, k)")
-def intent_words(spark, d):
-    return values(spark, QUESTIONS, "question, expected").select("question", T.smart_top_k(F.col("question"), 5).alias("k"))
-
-
 @query("SELECT doc_id, md5('Bid Number: ' || doc_id || '. RA Number: . Bid Type: . Product Type: ' || lang || '. Item: . Items mentioned: . Quantity: ' || n_chars || '. Department: ' || source || '. Start Date: . End Date: . Estimated Value: . Bid Packet Type: .') AS card_md5 FROM documents")
 def metadata_card(spark, d):
     card = T.metadata_card({"bid_no": F.col("doc_id"), "product_type": F.col("lang"), "quantity": F.col("n_chars"), "department": F.col("source")})
     return table(spark, d, "documents").select("doc_id", F.md5(card.cast("binary")).alias("card_md5"))
 
 
-ENDS = "('15-01-2031 1:30 PM', true), ('15-01-2031 10:15 AM', true), ('14-01-2031 5:45 PM', false), ('soon', true)"
-
-
-@query(f"SELECT end_text, open FROM (VALUES {ENDS}) t(end_text, open)")
-def closing_soon(spark, d):
-    now = F.lit("2031-01-14 12:00:00").cast("timestamp")
-    return values(spark, ENDS, "end_text, expected").select("end_text", T.closing_soon(F.col("end_text"), now).alias("open"))
-
-
-METHODS = "('x Item wise evaluation y', 'Item_Wise'), ('TOTAL VALUE WISE EVALUATION', 'Total_Wise'), ('Total wise evaluation', 'Total_Wise'), ('group  wise evaluation', 'Group_Wise'), ('Item wise evaluation and Total wise evaluation', 'Item_Wise'), ('', 'Other')"
-
-
-@query(f"SELECT x AS text, m AS eval_category FROM (VALUES {METHODS}) t(x, m)")
-def eval_method(spark, d):
-    return reports.categories(values(spark, METHODS, "text, expected").select("text"), "text")
-
-
 # ---- cards
 
-CARD = "BID NO: GEM/2031/B/1000001\nRA NO: GEM/2031/R/2000001\nItems: Widget, steel, 10 mm.\nQuantity: 1,250\nDepartment Name And Address:\nMinistry of Examples\nBlock C, Sample Nagar\n110099\nStart Date: 05-01-2031 9:05 AM\nEnd Date: 15-01-2031 12:30 PM"
 
-
-@query("SELECT 'GEM/2031/B/1000001' AS bid_no, 'GEM/2031/R/2000001' AS ra_no, 'Product' AS product_type, 'Widget, steel, 10 mm' AS item, CAST(1250 AS BIGINT) AS quantity, 'Ministry of Examples' AS department, 'Block C, Sample Nagar, 110099' AS address, '110099' AS pincode, '05-01-2031 09:05:00' AS start_date, '15-01-2031 12:30:00' AS end_date")
-def card_details(spark, d):
-    rows = spark.createDataFrame([(CARD, "", "Product Bid/RAs")], "text string, html string, kind string")
-    c = rows.select(cards.card_details(F.col("text"), F.col("html"), F.col("kind")).alias("c"))
-    item, dept = F.col("c.card.items")[0], F.col("c.card.departments")[0]
-    return c.select("c.bid.bid_no", "c.bid.ra_no", "c.bid.product_type", item["name"].alias("item"), item["quantity"].alias("quantity"), dept["name"].alias("department"), dept["address"].alias("address"), dept["pincode"].alias("pincode"), F.col("c.card.start_datetime").alias("start_date"), F.col("c.card.end_datetime").alias("end_date"))
-
-
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)(<a\\b[^>]*href="[^"]*"[^>]*>.*?</a>)', 1)) AS a, generate_subscripts(regexp_extract_all(html, '(?is)(<a\\b[^>]*href="[^"]*"[^>]*>.*?</a>)', 1), 1) AS i FROM pages)
-    SELECT page_id, 'http://portal/' || regexp_replace(regexp_extract(arg_max(a, i), '(?is)href="([^"]*)"', 1), '^/+', '') AS last_link FROM a WHERE regexp_extract(a, '(?is)href="([^"]*)"', 1) <> '' GROUP BY page_id""")
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(replace(html, 'href="/t', 'href="/showBidDocument/t'), '(?is)(<a\\b[^>]*>.*?</a>)', 1)) AS a, generate_subscripts(regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a>)', 1), 1) AS i FROM pages),
+    h AS (SELECT page_id, i, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS href FROM a)
+    SELECT page_id, 'http://portal/' || regexp_replace(replace(arg_max(href, i), '&amp;', '&'), '^/+', '') AS document_url FROM h WHERE contains(lower(href), 'showbiddocument') GROUP BY page_id""")
 def extract_links(spark, d):
-    html = F.regexp_replace("html", r'(?is)(<a\b[^>]*href="[^"]*"[^>]*>)', "$1corrigendum ")
-    return table(spark, d, "pages").select("page_id", cards.links(html, "http://portal")["corrigendum_url"].alias("last_link")).where("last_link <> ''")
+    html = F.replace("html", F.lit('href="/t'), F.lit('href="/showBidDocument/t'))
+    return table(spark, d, "pages").select("page_id", cards.links(html, "http://portal")["document_url"].alias("document_url")).where("document_url <> ''")
 
 
 # ---- tables
 
-KV = "(1, 0, 0, 0, 'Total Quantity'), (1, 0, 0, 1, '12'), (1, 0, 1, 0, 'EMD Amount'), (1, 0, 1, 1, 'Rs 1,000'), (1, 0, 2, 0, 'Total Quantity'), (1, 0, 2, 1, '15'), (1, 1, 0, 0, 'EMD Amount 2'), (1, 1, 0, 1, '500'), (1, 1, 1, 0, 'alone'), (2, 0, 0, 0, ''), (2, 0, 0, 1, 'x'), (2, 0, 1, 0, 'Advisory Bank'), (2, 0, 1, 1, ' A  B ')"
-SPAN = "(1, 0, 0, 0, 'Evaluation Schedules', 1), (1, 0, 0, 1, 'Item/Category', 1), (1, 0, 0, 2, 'Consignee/Reporting Officer', 1), (1, 0, 0, 3, 'Address', 1), (1, 0, 0, 4, 'Quantity', 1), (1, 0, 1, 0, 'Group G01', 2), (1, 0, 1, 1, 'Bolt', 1), (1, 0, 1, 2, 'A. Person', 1), (1, 0, 1, 3, 'Pune', 1), (1, 0, 1, 4, '5', 1), (1, 0, 2, 0, 'Nut', 1), (1, 0, 2, 1, 'B. Person', 1), (1, 0, 2, 2, 'Goa', 1), (1, 0, 2, 3, '6', 1), (1, 0, 3, 0, 'Group G2', 1), (1, 0, 3, 1, 'Gear', 1), (1, 0, 3, 2, 'C. Person', 1), (1, 0, 3, 3, 'Agra', 1), (1, 0, 3, 4, '7', 1)"
-ITEMS = "(1, 0, 0, 0, 'Evaluation Schedules', 1), (1, 0, 0, 1, 'Item/Category', 1), (1, 0, 0, 2, 'Estimated Value', 1), (1, 0, 0, 3, 'Quantity', 1), (1, 0, 1, 0, 'Schedule 3', 1), (1, 0, 1, 1, 'Bolt', 1), (1, 0, 1, 2, '100', 1), (1, 0, 1, 3, '5', 1), (1, 0, 2, 0, '', 1), (1, 0, 2, 1, 'Nut', 1), (1, 0, 2, 2, '200', 1), (1, 0, 2, 3, '6', 1), (1, 0, 3, 0, 'Schedule 2', 1), (1, 0, 3, 1, 'Gear', 1), (1, 0, 3, 2, '300', 1), (1, 0, 3, 3, '7', 1)"
-PEOPLE = "(1, 0, 0, 0, 'S.No.', 1), (1, 0, 0, 1, 'Consignee Reporting', 1), (1, 0, 0, 2, 'Address', 1), (1, 0, 0, 3, 'Quantity', 1), (1, 0, 0, 4, 'Delivery Days', 1), (1, 0, 1, 0, '1', 1), (1, 0, 1, 1, 'A. Person', 1), (1, 0, 1, 2, 'Pune', 1), (1, 0, 1, 3, '5', 1), (1, 0, 1, 4, '30', 1), (1, 0, 2, 0, '2', 1), (1, 0, 2, 1, 'A. Person', 1), (1, 0, 2, 2, 'Pune', 1), (1, 0, 2, 3, '5', 1), (1, 0, 2, 4, '30', 1), (1, 0, 3, 0, 'x', 1), (1, 0, 3, 1, 'B. Person', 1), (1, 0, 3, 2, 'Goa', 1), (1, 0, 3, 3, '6', 1), (1, 0, 3, 4, '30', 1), (1, 0, 4, 0, '4', 1), (1, 0, 4, 1, 'C. Person', 1), (1, 0, 4, 2, 'Agra', 1), (1, 0, 4, 3, '7', 1)"
-
-
-def rows_of(spark, cells: str, spans: bool = True) -> DataFrame:
-    found = values(spark, cells, "doc, table_no, row_no, cell_no, text" + ", rowspan" * spans)
-    return tables.table_rows(found if spans else found.withColumn("rowspan", F.lit(1)))
 
-
-KV_SQL = f"""c AS (SELECT * FROM (VALUES {KV}) t(doc, table_no, row_no, cell_no, text)),
-    r AS (SELECT doc, table_no, row_no, max(CASE WHEN cell_no = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS key, max(CASE WHEN cell_no = 1 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS value, count(*) AS n FROM c GROUP BY ALL),
-    k AS (SELECT doc, key, arg_max(value, (table_no, row_no)) AS value, min((table_no, row_no)) AS place FROM r WHERE n >= 2 AND key <> '' GROUP BY doc, key)"""
+@query("SELECT o_orderkey, CAST(count(*) AS INT) AS n_items, CAST(sum(l_quantity) AS BIGINT) AS total, CASE WHEN sum(l_quantity) > 0 THEN 'Yes' ELSE 'No' END AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def quantity_match(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")))).alias("l"))
+    names, qs = F.transform("l", lambda x: x["l_partkey"].cast("string")), F.transform("l", lambda x: x["q"])
+    total = F.aggregate(qs, F.lit(0).cast("long"), lambda s, x: s + x)
+    got = rows.select("o_orderkey", F.size("l").alias("n_items"), sections.items(names, total, qs).alias("i")).join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    return got.select("o_orderkey", "n_items", F.col("i.total_quantity_extracted").alias("total"), F.col("i.quantity_match_flag").alias("flag"))
 
 
-@query(f"WITH {KV_SQL} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) AS INT) AS pos, key, value FROM k")
-def kv_pairs(spark, d):
-    kv = tables.key_values(rows_of(spark, KV, False))
-    return kv.select("doc", F.posexplode("kv").alias("pos", "e")).select("doc", (F.col("pos") + 1).alias("pos"), "e.key", "e.value")
+# ---- answers and reports
 
 
-@query("SELECT * FROM (VALUES (1, '15', CAST(NULL AS VARCHAR), CAST(1500 AS BIGINT)), (2, NULL, 'A B', NULL)) t(doc, total, bank, emd)")
-def kv_get(spark, d):
-    kv = tables.key_values(rows_of(spark, KV, False))
-    return kv.select("doc", tables.kv_get(F.col("kv"), "nothing", "total quantity").alias("total"), tables.kv_get(F.col("kv"), "Advisory Bank").alias("bank"), sections.emd_total(F.col("kv")).alias("emd"))
+@query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL}, x AS (SELECT * FROM ro ORDER BY final_rank LIMIT 8), b AS (SELECT string_agg('--- BID ---\n' || 'Bid No    : ' || bid_no || '\nItem      : N/A\nQuantity  : N/A\nDept      : ' || source || '\nType      : N/A / ' || lang || '\nStart Date: N/A\nEnd Date  : N/A\nEst. Value: N/A\nURL       : N/A', '\n\n' ORDER BY final_rank) AS t FROM x JOIN documents ON doc_id = chunk_id) SELECT md5('RETRIEVED BID CONTEXT:\n' || t || '\n\nUSER QUESTION:\n{QUESTION}') AS prompt_md5 FROM b")
+def prompt_build(spark, d):
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
+    return engine.prompt(rows, QUESTION).select(F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Package 1', 1, 'Bolt', 'A. Person', 'Pune', '5'), (1, 'Package 1', 2, 'B. Person', 'Goa', '6', ''), (1, 'Package 2', 1, 'Gear', 'C. Person', 'Agra', '7')) t(doc, group_key, item_no, item_category, officer, address, quantity)".replace("'B. Person', 'Goa', '6', ''", "'Nut', 'B. Person', 'Goa', '6'"))
-def group_carry_forward(spark, d):
-    return tables.group_schedules(rows_of(spark, SPAN))
+@query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT final_rank, CAST(bid_no AS VARCHAR) AS bid_no, lang AS product_type, source AS department, 'N/A' AS item, score AS relevance_score FROM ro JOIN documents ON doc_id = chunk_id")
+def answer_sources(spark, d):
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
+    return engine.sources(rows).select("final_rank", "bid_no", "product_type", "department", "item", "relevance_score")
 
 
-@query("SELECT * FROM (VALUES (1, '3', 'Bolt', '100', '5'), (1, '2', 'Gear', '300', '7')) t(doc, key, item_category, estimated_value, quantity)")
-def item_schedules(spark, d):
-    return tables.item_schedules(rows_of(spark, ITEMS)).drop("place")
+PERCENT = "printf('%.2f%%', 100 * {x})"
+PLAIN_SQL = f"""WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL},
+    x AS (SELECT ro.*, lang, source, row_number() OVER (ORDER BY final_rank) AS nth FROM ro JOIN documents ON doc_id = chunk_id WHERE final_rank <= 5 AND (score >= 0.7 * (SELECT arg_min(score, final_rank) FROM ro) OR final_rank = (SELECT min(final_rank) FROM ro))),
+    b AS (SELECT string_agg(chr(10) || nth || '. Bid No    : ' || bid_no || '\n   Item      : N/A\n   Quantity  : N/A\n   Dept      : ' || source || '\n   Type      : N/A\n   End Date  : N/A\n   Est. Value: N/A INR\n   URL       : N/A\n   ' || repeat('─', 38) || '\n   Score        : '
+        || {PERCENT.format(x="score")} || '   (rerank ' || {PERCENT.format(x="semantic")} || ' | dense ' || {PERCENT.format(x="semantic")} || ' | bm25 ' || {PERCENT.format(x="bm25")} || ')', chr(10) ORDER BY nth) AS t FROM x)
+    SELECT md5('Results for: ' || chr(39) || '{QUESTION}' || chr(39) || chr(10) || chr(10) || repeat('─', 70) || chr(10) || t || chr(10) || chr(10) || repeat('─', 70)) AS answer_md5 FROM b"""
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'A. Person', 'Pune', '5', '30'), (1, 2, 'C. Person', 'Agra', '7', '')) t(doc, place, officer, address, quantity, delivery)")
-def consignees_distinct(spark, d):
-    return tables.consignees(rows_of(spark, PEOPLE)).select("doc", "place", "officer", "address", "quantity", "delivery")
+@query(PLAIN_SQL)
+def plain_answer(spark, d):
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=5)
+    return engine.plain_answer(rows, QUESTION).select(F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 
-@query("SELECT o_orderkey, CAST(count(*) AS INT) AS n_items, CAST(sum(l_quantity) AS BIGINT) AS total, CASE WHEN sum(l_quantity) > 0 THEN 'Yes' ELSE 'No' END AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-def quantity_match(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")))).alias("l"))
-    names, qs = F.transform("l", lambda x: x["l_partkey"].cast("string")), F.transform("l", lambda x: x["q"])
-    total = F.aggregate(qs, F.lit(0).cast("long"), lambda s, x: s + x)
-    got = rows.select("o_orderkey", F.size("l").alias("n_items"), sections.items(names, total, qs).alias("i")).join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
-    return got.select("o_orderkey", "n_items", F.col("i.total_quantity_extracted").alias("total"), F.col("i.quantity_match_flag").alias("flag"))
+@query(PLAIN_SQL.replace("AS answer_md5 FROM b", "AS answer_md5, (SELECT count(*) FROM x) AS n_sources FROM b"))
+def ask(spark, d):
+    """The engine from question to answer without a model; the vector of the question comes from a function."""
+    got = engine.Engine(*found_in(spark, d), embed=lambda q: question_vector(spark, d)).ask(QUESTION, top_k=5)
+    return spark.createDataFrame([(got["answer"], got["chunk_count"])], "a string, n_sources long").select(F.md5(F.col("a").cast("binary")).alias("answer_md5"), "n_sources")
 
 
-ATC = "Intro. Buyer Added Bid Specific Terms and Conditions 1. Pay soon. ## अस्वीकरण/Disclaimer The additional terms. ---Thank You--- end"
-DOC = "<table><tr><td>Bid End Date/Time</td><td>15-01-2031 12:30:00</td></tr><tr><td>Total Quantity</td><td>11</td></tr><tr><td>Item Category</td><td>Bolt</td></tr><tr><td>EMD Amount</td><td>1,000</td></tr><tr><td>Evaluation Method</td><td>Total value wise evaluation</td></tr></table>"
+PROMPT = f"""WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL},
+    x AS (SELECT * FROM ro WHERE final_rank <= 5 AND (score >= 0.7 * (SELECT arg_min(score, final_rank) FROM ro) OR final_rank = (SELECT min(final_rank) FROM ro)) ORDER BY final_rank LIMIT 8),
+    k AS (SELECT final_rank, 'Bid No    : ' || bid_no || '\nItem      : N/A\nQuantity  : N/A\nDept      : ' || source || '\nType      : N/A / ' || lang || '\nStart Date: N/A\nEnd Date  : N/A\nEst. Value: N/A\nURL       : N/A' AS r FROM x JOIN documents ON doc_id = chunk_id)"""
 
 
-@query("SELECT 1 AS doc, 'Buyer Added Bid Specific Terms and Conditions 1. Pay soon.' AS generic, 'The additional terms.' AS disclaimer")
-def atc_sections(spark, d):
-    return sections.terms(spark.createDataFrame([(1, ATC)], "doc int, md string")).select("doc", "generic", "disclaimer")
+@query(PROMPT + f", pl AS (SELECT length('RETRIEVED BID CONTEXT:\n' || string_agg('--- BID ---\n' || r, '\n\n' ORDER BY final_rank) || '\n\nUSER QUESTION:\n{QUESTION}') AS n FROM k) SELECT 'prompt of ' || n || ', at 0.0' AS answer, (SELECT count(*) FROM k) AS n_sources FROM pl")
+def ask_model(spark, d):
+    """A named provider gets the system prompt, the prompt and temperature 0."""
+    models = {"echo": lambda system, prompt, temperature: f"prompt of {len(prompt)}, at {temperature} " if engine.NO_HITS in system else ""}
+    got = engine.Engine(*found_in(spark, d), embed=lambda q: question_vector(spark, d), providers=models, provider="Echo").ask(QUESTION, top_k=5)
+    return spark.createDataFrame([(got["answer"], got["chunk_count"])], "answer string, n_sources long")
 
 
-@query("SELECT 1 AS doc, 'CATALOGUE' AS process_kind, 'PRODUCT' AS base_type, '15-01-2031 12:30:00' AS bid_end, CAST(11 AS BIGINT) AS total, 'Yes' AS flag, CAST(1000 AS BIGINT) AS emd, true AS emd_required")
-def parse_documents(spark, d):
-    rows = spark.createDataFrame([(1, DOC, "Product")], "doc int, md string, product_type string")
-    p = sections.parse_documents(rows)
-    return p.select("doc", "pdf.process_kind", "pdf.base_type", F.col("pdf.timing.bid_end_datetime").alias("bid_end"), F.col("pdf.items.total_quantity_extracted").alias("total"), F.col("pdf.items.quantity_match_flag").alias("flag"), F.col("pdf.financials.emd.amount_total").alias("emd"), F.col("pdf.financials.emd.required").alias("emd_required"))
+@query(PROMPT + " SELECT md5('Retrieved bids:\n\n' || string_agg(r || '\n', '\n' ORDER BY final_rank)) AS answer_md5 FROM k")
+def ask_failing_model(spark, d):
+    """A provider that fails: the prompt's records are the answer."""
 
+    def fails(system: str, prompt: str, temperature: float) -> str:
+        raise OSError("no model")
 
-# ---- answers and reports
+    got = engine.Engine(*found_in(spark, d), embed=lambda q: question_vector(spark, d), providers={"m": fails}, provider="m").ask(QUESTION, top_k=5)
+    return spark.createDataFrame([(got["answer"],)], "a string").select(F.md5(F.col("a").cast("binary")).alias("answer_md5"))
 
 
-@query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL}, x AS (SELECT * FROM ro ORDER BY final_rank LIMIT 8), b AS (SELECT string_agg('--- BID ---\n' || 'Bid No    : ' || bid_no || '\nItem      : N/A\nQuantity  : N/A\nDept      : ' || source || '\nType      : N/A / ' || lang || '\nStart Date: N/A\nEnd Date  : N/A\nEst. Value: N/A\nURL       : N/A', '\n\n' ORDER BY final_rank) AS t FROM x JOIN documents ON doc_id = chunk_id) SELECT md5('RETRIEVED BID CONTEXT:\n' || t || '\n\nUSER QUESTION:\n{QUESTION}') AS prompt_md5 FROM b")
-def prompt_build(spark, d):
-    rows = retrieval.search(chunk_table(spark, d), word_index(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
-    return engine.prompt(rows, QUESTION).select(F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+@query(f"SELECT '{engine.NO_HITS}' AS answer, count(*) FILTER (lang = 'xx') AS n_sources FROM documents")
+def ask_without_hits(spark, d):
+    chunks, words = found_in(spark, d)
+    got = engine.Engine(chunks, words, embed=lambda q: question_vector(spark, d)).ask(QUESTION, filters={"product_type": "xx"})
+    return spark.createDataFrame([(got["answer"], got["chunk_count"])], "answer string, n_sources long")
 
 
-@query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT final_rank, CAST(bid_no AS VARCHAR) AS bid_no, lang AS product_type, source AS department, 'N/A' AS item, score AS relevance_score FROM ro JOIN documents ON doc_id = chunk_id")
-def answer_sources(spark, d):
-    rows = retrieval.search(chunk_table(spark, d), word_index(spark, d), QUESTION, question_vector(spark, d), top_k=15, cut=False)
-    return engine.sources(rows).select("final_rank", "bid_no", "product_type", "department", "item", "relevance_score")
+RERANK_SQL = FUSE_SQL[: FUSE_SQL.index("    bl AS (")] + """
+    lo AS (SELECT po.*, 1 / (1 + exp(-(length(text) / 1000.0::DOUBLE - 1))) AS rerank FROM po JOIN documents ON doc_id = chunk_id),
+    rr AS (SELECT * EXCLUDE (final_rank), row_number() OVER (ORDER BY rerank DESC, final_rank) AS final_rank FROM lo),
+    bl AS (SELECT *, 0.6 * rerank + 0.25 * semantic + 0.15 * bm25 AS score FROM rr)
+    SELECT bid_no, chunk_id, CAST(final_rank AS INT) AS final_rank, round(rerank, 4) AS rerank, round(CAST(score AS DOUBLE), 4) AS score FROM bl WHERE final_rank <= 15 AND NOT (semantic = 0.0 AND rerank < 0.55)"""
 
 
-@query()
-def plain_answer(spark, d):
-    rows = retrieval.search(chunk_table(spark, d), word_index(spark, d), QUESTION, question_vector(spark, d), top_k=5)
-    return engine.plain_answer(rows, QUESTION)
+@query(f"WITH {BM25_SQL}, {DENSE_ALL}, {RERANK_SQL}")
+def rerank_pool(spark, d):
+    """A reranker that likes long passages."""
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15, rerank=lambda q, c: F.length(c) / 1000.0 - 1, cut=False)
+    return rows.select("bid_no", "chunk_id", "final_rank", "rerank", "score")
 
 
 @query("SELECT CASE WHEN regexp_matches(o_orderpriority, '1-') THEN 'Item_Wise' ELSE 'Other' END AS eval_category, count(*) AS n FROM orders GROUP BY ALL")
@@ -464,14 +416,6 @@ def multi_item(spark, d):
     return table(spark, d, "part").select("p_partkey", T.multi_item(name).alias("multi"))
 
 
-FILES = "('a.pdf', true), ('b.PDF', true), ('c_RA.pdf', false), ('d_ra.pdf', true), ('e.txt', false)"
-
-
-@query(f"SELECT * FROM (VALUES {FILES}) t(name, wanted)")
-def wanted_files(spark, d):
-    return values(spark, FILES, "name, expected").select("name", reports.wanted_files(F.col("name")).alias("wanted"))
-
-
 @query("SELECT conv_id, md5(string_agg(text, '\n\n---PAGE BREAK---\n\n' ORDER BY turn)) AS text_md5, length(trim(arg_min(text, turn))) > 50 AS digital FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def page_texts(spark, d):
     rows = table(spark, d, "conversations").where("text is not null")
@@ -498,41 +442,12 @@ def query_prefix(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.query_prefix(F.col("text"), F.lit("BAAI/bge-base-en-v1.5")).alias("q"), T.query_prefix(F.col("text"), F.lit("all-MiniLM-L6-v2")).alias("plain"))
 
 
-CHUNKS = "('x Item Category: Steel pumps  y', 'n/a', 'Steel pumps'), ('', 'Brass valve', 'Brass valve'), ('Item Title - Copper wire' || chr(10) || 'z', 'are you which Regular', 'Copper wire'), ('none', '', 'N/A')"
-
-
-@query(f"SELECT * FROM (VALUES {CHUNKS}) t(chunk, meta, item)")
-def extract_item(spark, d):
-    rows = values(spark, CHUNKS, "chunk, meta, expected")
-    return rows.select("chunk", "meta", T.item_of(F.col("chunk"), F.col("meta")).alias("item"))
-
-
 @query("SELECT event_id, round(1 / (1 + exp(-value / 10)), 6) AS s, least(1.0, value / 20) AS b, printf('%.2f%%', 100 * round(value, 0)) AS p FROM events")
 def score_scales(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select("event_id", F.round(T.sigmoid(v / 10), 6).alias("s"), T.normal_bm25(v).alias("b"), T.percent(F.round(v, 0)).alias("p"))
 
 
-@query("SELECT 'GEM/2031/B/1000001' AS bid_no, 'http://p/showbidDocument/1' AS document_url, '1250' AS quantity, 'Ministry of Examples' AS department, '' AS estimated_value, 'Two Packet Bid' AS bid_packet_type, 'text of it' AS full_pdf_text")
-def flatten_record(spark, d):
-    rows = spark.createDataFrame([(CARD, '<a href="/showbidDocument/1">x</a>', "Product Bid/RAs", "text  of it", "Two Packet Bid")], "t string, h string, k string, md string, packet string")
-    pdf = F.struct(F.struct(F.col("packet").alias("type_of_bid")).alias("bid_type"))
-    flat = rows.select(*store.flatten_record(cards.card_details(F.col("t"), F.lit(""), F.col("k")), pdf, cards.links(F.col("h"), "http://p"), F.col("md")))
-    return flat.select("bid_no", "document_url", "quantity", "department", "estimated_value", "bid_packet_type", "full_pdf_text")
-
-
-TENDER = '{"id": 1, "value": {"$numberDecimal": "350000.0"}, "due": {"$numberLong": "1779408000000"}, "bidders": [{"name": "a", "rank": 1}, {"name": "b", "rank": 2}]}'
-
-
-@query("SELECT CAST(350000.0 AS DOUBLE) AS tender_value, TIMESTAMP '2026-05-22 00:00:00' AS due, name, rank FROM (VALUES ('a', 1), ('b', 2)) t(name, rank)")
-def tender_json_unwrap(spark, d):
-    from lexivec.sources.landing import extended_json
-
-    rows = spark.createDataFrame([(TENDER,)], "js string")
-    both = rows.select(extended_json("js", "value", "double").alias("tender_value"), extended_json("js", "due", "timestamp").alias("due"), F.inline(F.from_json(F.get_json_object("js", "$.bidders"), "array<struct<name:string,rank:int>>")))
-    return both
-
-
 #: Slices of whole days that arrive one after another.
 SLICES = 3
 

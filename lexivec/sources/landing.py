@@ -45,14 +45,14 @@ def one_record(rows: DataFrame, number: str, key: str = "bid_no") -> DataFrame:
 
 def documents(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     """id (name of the file's folder), file, md: whole text files below a folder, one of each id (the first name)."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).withColumn("file", F.input_file_name())
     rows = rows.withColumn("id", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
     return rows.groupBy("id").agg(F.min("file").alias("file"), F.min_by("value", "file").alias("md"))
 
 
 def document_pairs(spark: SparkSession, md_path: str, json_path: str, suffix: str = "_DOCLING_EXTRACTED.json", md_suffix: str = ".md") -> DataFrame:
     """Documents with their converter's JSON, null where there is none."""
-    js = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(json_path)
+    js = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(json_path, wholetext=True)
     js = js.select(F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("id"), F.col("value").alias("converter_json"))
     return documents(spark, md_path, md_suffix).join(js.dropDuplicates(["id"]), "id", "left")
 

@@ -1,13 +1,15 @@
 """Operators on hand-written rows: the cases where a plausible other reading would give something else."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexivec.functions import cards, html_tables
+from lexivec.functions import cards, html_cards, html_tables
 from lexivec.functions import text as T
-from lexivec.operators import index, legacy, reports, retrieval, sections, store, tables
-from lexivec.plans import engine, queries
+from lexivec.operators import index, legacy, reports, retrieval, scratch, sections, store, tables
+from lexivec.plans import config, engine, queries
 from lexivec.sources import landing
 from lexivec.streaming import ingest
 from tests.oracle import DATA, connect, rows
@@ -112,7 +114,7 @@ def test_post_cut_filter_and_no_back_fill(spark):
 
 def test_rerank_orders_by_logits(spark):
     rows = spark.createDataFrame([(1, 1, 0.2, 0.1, "a"), (2, 2, 0.3, 0.1, "bbb")], "bid_no int, pool_rank int, semantic double, bm25 double, chunk string")
-    got = retrieval.reranked(rows, lambda c: F.length(c).cast("double")).orderBy("final_rank").collect()
+    got = retrieval.reranked(rows, lambda q, c: F.length(c).cast("double")).orderBy("final_rank").collect()
     assert [r.bid_no for r in got] == [2, 1]
     assert [r.final_rank for r in retrieval.reranked(rows, None).orderBy("pool_rank").collect()] == [1, 2]
 
@@ -131,13 +133,17 @@ def test_engine(spark):
     plain = engine.Engine(chunks, words, embed=lambda q: [1.0, 0.1])
     got = plain.ask("steel pump")
     assert got["chunk_count"] >= 1 and got["sources"][0]["bid_no"] == "10" and "Bid No    : 10" in got["answer"]
-    asked = engine.Engine(chunks, words, embed=lambda q: [1.0, 0.1], llm=lambda p: p[:22]).ask("steel pump")
+    models = {"short": lambda system, prompt, temperature: prompt[:22]}
+    asked = engine.Engine(chunks, words, embed=lambda q: [1.0, 0.1], providers=models, provider="short").ask("steel pump")
     assert asked["answer"] == "RETRIEVED BID CONTEXT:"
 
-    def fails(p):
+    def fails(system, prompt, temperature):
         raise OSError
 
-    assert engine.Engine(chunks, words, embed=lambda q: [1.0, 0.1], llm=fails).ask("steel pump")["answer"].startswith("Retrieved bids:")
+    assert engine.Engine(chunks, words, embed=lambda q: [1.0, 0.1], providers={"f": fails}, provider="f").ask("steel pump")["answer"].startswith("Retrieved bids:")
+    met = []
+    engine.Engine(chunks, words, embed=lambda q: met.append(q) or [1.0, 0.1], provider="unknown", model="BAAI/bge-base").ask("steel pump")
+    assert met == [T.QUERY_PREFIX + "steel pump"]
     assert engine.Engine(chunks.where("false"), None, embed=lambda q: [1.0, 0.1]).ask("x")["answer"] == engine.NO_HITS
     assert engine.parse_chat("f:bid_type=Custom Bid show pumps") == ("show pumps", {"bid_type": "Custom Bid"})
     assert engine.parse_chat("f:bid_type=Custom") == ("f:bid_type=Custom", None)
@@ -147,8 +153,8 @@ def test_engine(spark):
 
 def test_reports(spark):
     docs = spark.createDataFrame([(2, "b", "Item wise evaluation"), (1, "a", "item wise evaluation"), (3, "c", "")], "page int, name string, text string")
-    got = {r.eval_category: (r.n, r.listing) for r in reports.listing(docs, "text", "page", "name").collect()}
-    assert got == {"Item_Wise": (2, "1: a\n2: b"), "Other": (1, "3: c")}
+    got = [(r.eval_category, r.page, r.name) for r in reports.listing(docs, "text", "page", "name").collect()]
+    assert got == [("Item_Wise", 1, "a"), ("Item_Wise", 2, "b"), ("Other", 3, "c")]
     pages = spark.createDataFrame([("d", 2, "y"), ("d", 1, "x")], "k string, no int, text string")
     assert reports.joined_pages(pages, "k", "no", "text").first().text == "x\n\n---PAGE BREAK---\n\ny"
     known = reports.with_pages(docs.select("name"), docs.where("page > 2").select("name", "page"), "name")
@@ -158,11 +164,11 @@ def test_reports(spark):
 def test_sources(spark, tmp_path):
     for k in ("a", "b"):
         (tmp_path / "md" / k).mkdir(parents=True)
-        (tmp_path / "md" / k / "x.md").write_text(f"text {k}")
+        (tmp_path / "md" / k / "x.md").write_text(f"text {k}\nof two lines")
     (tmp_path / "js").mkdir()
     (tmp_path / "js" / "a_DOCLING_EXTRACTED.json").write_text("{}")
     got = {r.id: (r.md, r.converter_json) for r in landing.document_pairs(spark, f"file://{tmp_path}/md", f"file://{tmp_path}/js").collect()}
-    assert got == {"a": ("text a", "{}"), "b": ("text b", None)}
+    assert got == {"a": ("text a\nof two lines", "{}"), "b": ("text b\nof two lines", None)}
     loose = spark.createDataFrame([('{"a": 1}, {"a": 2}',)], "t string")
     assert [r.a for r in landing.loose_objects(loose, "t", "struct<a:int>").collect()] == [1, 2]
     files = landing.binary_documents(spark, f"file://{tmp_path}/md", "*.md")
@@ -190,7 +196,7 @@ def test_stream_upsert_query_upserts(spark, tmp_path):
     events.withColumn("event_id", F.when(~bare, F.col("event_id"))).coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
     got = queries.QUERIES["stream_upsert"](spark, f"file://{tmp_path}")
     root = got.inputFiles()[0].rpartition("/version=")[0]
-    assert len(ingest.versions(spark, root)) == queries.SLICES
+    assert ingest.versions(spark, root) == list(range(queries.SLICES))[-ingest.KEPT :]
     want = connect().execute(queries.ORACLE_SQL["stream_upsert"].replace("(ts, event_id)", "ts")).df()
     assert rows(got.toPandas()) == rows(want)
 
@@ -199,3 +205,115 @@ def test_tables_first_column_index(spark):
     rows = spark.createDataFrame([(["S.No.", "Item", "Quantity"],)], "h array<string>")
     got = rows.select(tables.column_index(F.col("h"), "quantity"), tables.column_index(F.col("h"), "none"), tables.column_index(F.col("h"), "none", default=4)).first()
     assert tuple(got) == (2, None, 4)
+
+
+def test_end_of_text():
+    """Against removing what stands at the end again and again."""
+    import random
+    import re
+
+    def again(x):
+        before = None
+        while x != before:
+            before = x
+            for p in (r"#+\s*$", r"[^\s]{1,60}/\s*$", r"-{2,}\s*$"):
+                x = re.sub(p, "", x)
+            x = x.rstrip()
+        return x.strip()
+
+    r = random.Random(1)
+    for _ in range(4000):
+        x = "".join(r.choice(["#", "##", "-", "--", "/", " ", "a", "word", "अस्वीकरण", "\n", "x" * 70]) for _ in range(r.randint(0, 9)))
+        assert x[: sections.end_of_text(x)].strip() == again(x), x
+    assert sections.end_of_text("a/" * 50_000 + "b") == 100_001
+
+
+def test_popovers():
+    read = html_cards.popover_item
+    assert read('<div><a data-content="Items: Long &amp; wide">x items: y</a></div>') == "Items: Long & wide"
+    assert read('<b title="items: Gear">Items:</b>') == "Gear"
+    assert read('<p title="short">x</p>') is None and read("text") is None and read(None) is None
+    assert read('<img title="A title that is long"><p data-content="b">x</p>') == "A title that is long"
+
+
+def test_link_forms(spark):
+    rows = spark.createDataFrame([("<a href='/showbidDocument/1'>x</a><a class=k href=/showradocumentPdf/2>y</a><a data-href=\"/showbidDocument/9\">n</a>",)], "h string")
+    r = rows.select(cards.links(F.col("h"), "http://p").alias("l")).first().l
+    assert (r.document_url, r.ra_url, r.corrigendum_url) == ("http://p/showbidDocument/1", "http://p/showradocumentPdf/2", "")
+
+
+def test_config():
+    got = config.Config.from_env({"LEXIVEC_TOP_K": "7", "LEXIVEC_SEMANTIC": "0.25", "LEXIVEC_ONLY_OPEN": "off", "OTHER": "x"})
+    assert (got.top_k, got.semantic, got.only_open, got.retries) == (7, 0.25, False, 3)
+    assert all(config.Config.from_env({"LEXIVEC_ONLY_OPEN": v}).only_open for v in ("1", "TRUE", "yes", " on "))
+    fast = got.preset("speed")
+    assert (fast.chunk_size, fast.chunk_overlap, fast.top_k, fast.retries) == (1500, 50, 3, 3)
+
+
+def test_index_updates(spark, tmp_path):
+    """Segments: replaced, added and removed records; a broken segment isn't read."""
+    root = f"file://{tmp_path}/index"
+    rows = lambda *r: spark.createDataFrame(r, "bid_no string, full_pdf_text string")
+    index.reindex(spark, rows(("a", "steel pump for clean water"), ("b", "brass valve for hot steam")), root)
+    index.update(spark, rows(("b", "copper pipe for cold water"), ("c", "rubber seal for old valve")), root)
+    index.remove(spark, rows(("c", "")).select("bid_no"), root)
+    chunks, words = index.stored(spark, root)
+    assert {r.bid_no for r in chunks.where("chunk like '%pipe%' or chunk like '%pump%'").collect()} == {"a", "b"} and chunks.where("bid_no = 'c'").isEmpty()
+    df = {r.term: r.df for r in words.terms.collect()}
+    assert df["water"] == 2 and "valve" not in df and "brass" not in df and words.corpus.first().n == 4
+    plain = index.build(chunks, "chunk_id", index.rich(chunks))
+    assert {tuple(r) for r in plain.terms.collect()} == {tuple(r) for r in words.terms.collect()}
+    chunks.limit(1).write.parquet(f"{root}/chunks/segment=9")
+    assert index.segments(spark, root) == [0, 1, 2]
+
+
+def test_stored_index_is_pruned(spark, tmp_path):
+    """A question's words reach the scan of the postings, and the found ids that of the chunks."""
+    root = f"file://{tmp_path}/index"
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("bid_no"), F.col("text").alias("chunk"))
+    index.add_segment(spark, root, docs, F.col("chunk"))
+    chunks, words = index.stored(spark, root)
+    plan = retrieval.bm25_scores(words, "the that")._jdf.queryExecution().toString()
+    assert "In(term, [" in plan
+    found = retrieval.search(chunks, words, "the that", None)
+    assert "In(chunk_id, [" in found._jdf.queryExecution().toString()
+
+
+class Session:
+    """What shared_folder looks at."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.master, self.applicationId = master, master
+
+
+def test_shared_folder():
+    assert scratch.shared_folder(Session("spark://host", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session("spark://host"))
+    assert scratch.shared_folder(Session("local[2]")) == scratch.shared_folder(Session("local[2]")) != scratch.shared_folder(Session("local[3]"))
+
+
+def test_tables_are_tidied(spark):
+    import os
+
+    folder = scratch.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scratch.tidied(spark) as keep:
+        scratch.written(spark.range(3), "gone")
+        with scratch.tidied(spark) as inner:
+            stays = keep(inner(scratch.written(spark.range(4), "kept")))
+            scratch.written(spark.range(5), "gone")
+    assert stays.count() == 4 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_stop(spark, tmp_path):
+    spark.range(3).selectExpr("cast(id as string) k", "1 at", "'n' name", "'r' ra").write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("k string, at int, name string, ra string").parquet(f"file://{tmp_path}/in")
+    q = ingest.stream_upserts(stream, f"file://{tmp_path}/store", f"file://{tmp_path}/progress", "k", "at", ["name"], ["ra"], interval="1 second")
+    until = time.monotonic() + 60
+    while not ingest.versions(spark, f"file://{tmp_path}/store") and time.monotonic() < until:
+        time.sleep(0.5)
+    ingest.stop(q)
+    assert not q.isActive and ingest.snapshot(spark, f"file://{tmp_path}/store").count() == 3
