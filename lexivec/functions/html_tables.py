@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +68,56 @@ def table_cells(md: str | None) -> list[tuple[int, int, int, bool, str, int, int
     return [(t, r, c, cell["is_th"], "".join(cell["text"]), cell["colspan"], cell["rowspan"]) for t, rows in enumerate(parser.tables) for r, row in enumerate(rows) for c, cell in enumerate(row)]
 
 
-SCHEMA = "array<struct<table_no:int,row_no:int,cell_no:int,is_th:boolean,text:string,colspan:int,rowspan:int>>"
+CELLS = "array<struct<table_no:int,row_no:int,cell_no:int,is_th:boolean,text:string,colspan:int,rowspan:int>>"
+ROWS = "array<struct<table_no:int,row_no:int,cells:array<string>,first_rowspan:int>>"
+
+
+def nested(counts: list[int], names: list[str], columns: list[pa.Array]) -> pa.ListArray:
+    """So many structs a row, from flat columns."""
+    ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names))
+
+
+def cells_of(texts: pa.Array) -> pa.Array:
+    found = [table_cells(t) for t in texts.to_pylist()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
+    flat = list(zip(*(c for cs in found for c in cs))) or [()] * 7
+    return nested([len(cs) for cs in found], ["table_no", "row_no", "cell_no", "is_th", "text", "colspan", "rowspan"], [pa.array(c, k) for c, k in zip(flat, kinds)])
+
+
+def rows_of(texts: pa.Array) -> pa.Array:
+    counts, places, sizes, cells, spans = [], [], [], [], []
+    for text in texts.to_pylist():
+        before = None
+        at = len(places)
+        for table, row, _, _, cell, _, rowspan in table_cells(text):
+            if (table, row) != before:
+                before = table, row
+                places.append(before)
+                sizes.append(0)
+                spans.append(rowspan)
+            sizes[-1] += 1
+            cells.append(cell)
+        counts.append(len(places) - at)
+    t, r = zip(*places) if places else ((), ())
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(cells, pa.string()))
+    return nested(counts, ["table_no", "row_no", "cells", "first_rowspan"], [pa.array(t, pa.int32()), pa.array(r, pa.int32()), lists, pa.array(spans, pa.int32())])
+
+
+def once(parse, kind: str):
+    """A function that Spark calls once a row: for one that is called deterministic it infers a filter on the size of its
+    result and parses every document twice."""
+    return F.arrow_udf(parse, kind).asNondeterministic()
 
 
 def html_table_cells(docs: DataFrame, key: str, md: str) -> DataFrame:
     """A row for each cell: key, table_no, row_no, cell_no, is_th, text, colspan, rowspan. Documents without a
     table have none. Repeated keys keep apart only if the caller's keys do."""
+    with_table = docs.where(F.contains(F.lower(F.col(md)), F.lit("<table")))
+    return with_table.select(key, once(cells_of, CELLS)(F.col(md)).alias("cells")).select(key, F.inline("cells"))
 
-    @F.pandas_udf(SCHEMA)
-    def parse(texts):  # noqa: ANN001, ANN202
-        names = ("table_no", "row_no", "cell_no", "is_th", "text", "colspan", "rowspan")
-        return texts.map(lambda x: [dict(zip(names, c)) for c in table_cells(x)])
 
-    with_table = docs.where(F.contains(F.lower(F.col(md)), F.lit("<table"))).select(F.col(key), parse(F.col(md)).alias("cells"))
-    return with_table.select(key, F.inline("cells"))
+def html_table_rows(docs: DataFrame, key: str, md: str) -> DataFrame:
+    """A row for each row with cells: key, table_no, row_no, cells (texts), first_rowspan. Nothing is shuffled."""
+    with_table = docs.where(F.contains(F.lower(F.col(md)), F.lit("<table")))
+    return with_table.select(key, once(rows_of, ROWS)(F.col(md)).alias("rows")).select(key, F.inline("rows"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lexivec.functions.html_tables import html_table_cells
 from lexivec.functions.text import base_type, clean_text, process_kind, to_float, to_int, yesno
 from lexivec.operators import tables
 
@@ -139,7 +138,7 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     base = docs.withColumnsRenamed({key: "doc", md: "md", product_type: "product_type"})
     base = base.select("doc", F.coalesce(F.col("md"), F.lit("")).alias("md"), "product_type", (F.col(converter_json) if converter_json else F.lit(None).cast("string")).alias("js"))
     base = base.withColumn("js", F.coalesce(F.get_json_object("js", "$.pdf"), "js"))
-    rows = tables.table_rows(html_table_cells(base, "doc", "md"), strip_br)
+    rows = tables.document_rows(base, "md", strip_br)
     kv = tables.key_values(rows)
     gather = lambda df, order, *cols: df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("l"))
     sums = gather(tables.table_quantities(rows), ["table_no"], "quantity").select("doc", F.transform("l", lambda x: x["quantity"]).alias("sums"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.functions.html_tables import html_table_rows
 from lexivec.functions.text import clean_text, to_int
 
 
@@ -21,6 +22,12 @@ def table_rows(cells: DataFrame, strip_br: bool = True) -> DataFrame:
     return rows.select("doc", "table_no", "row_no", F.transform("c", lambda x: x["t"]).alias("cells"), F.get("c", F.lit(0))["rowspan"].alias("first_rowspan"))
 
 
+def document_rows(docs: DataFrame, md: str = "md", strip_br: bool = True) -> DataFrame:
+    """The same of documents (doc, md), row by row as their HTML is parsed: no cells are shuffled."""
+    rows = html_table_rows(docs, "doc", md)
+    return rows.withColumn("cells", F.transform("cells", lambda c: clean_text(c, strip_br)))
+
+
 def key_values(rows: DataFrame) -> DataFrame:
     """doc, kv: ordered pairs of all rows of two cells or more. Of an equal key the last value, at the first place."""
     place = F.struct("table_no", "row_no")

@@ -110,12 +110,13 @@ DOCUMENT = " || ".join([
 
 
 def documents(spark, d: str) -> DataFrame:
-    """doc, md, product_type of every order."""
-    return landing.read_table(spark, d, "orders").select(F.col(K).alias("doc"), F.expr(DOCUMENT).alias("md"), F.lit("Product").alias("product_type"))
+    """doc, md, product_type of every order. A small table is one file, but its documents are parsed by all cores."""
+    orders = landing.read_table(spark, d, "orders").repartition(2 * spark.sparkContext.defaultParallelism, K)
+    return orders.select(F.col(K).alias("doc"), F.expr(DOCUMENT).alias("md"), F.lit("Product").alias("product_type"))
 
 
 def rows(spark, d: str) -> DataFrame:
-    return tables.table_rows(html_table_cells(documents(spark, d), "doc", "md"))
+    return tables.document_rows(documents(spark, d))
 
 
 def from_orders(*fields: tuple[str, str]) -> str:
@@ -142,6 +143,13 @@ def kv_pairs(spark, d):
     return kv.select("doc", (F.col("pos") + 1).alias("pos"), "e.key", "e.value").where(F.col("pos") <= len(LISTED))
 
 
+@query(each_row([("true", [("table_no", "CAST(0 AS INT)"), ("row_no", f"CAST({i} AS INT)"), ("cells", f"{clean(label)} || '|' || {clean(value)}"), ("first_rowspan", "CAST(1 AS INT)")]) for i, (label, value, _, _) in enumerate(PAIRS)]))
+def cells_of_tables(spark, d):
+    """Cells one by one, gathered again to rows."""
+    found = tables.table_rows(html_table_cells(documents(spark, d), "doc", "md")).where("table_no = 0")
+    return found.select("doc", "table_no", "row_no", F.array_join("cells", "|").alias("cells"), "first_rowspan")
+
+
 @query(from_orders(("doc", K), ("total", s(TOTAL)), ("bank", "'Bank of ' || o_orderstatus"), ("nothing", "CAST(NULL AS STRING)"), ("emd", n(f"1000 + {AMOUNT} + CASE WHEN {K} % 2 = 1 THEN 500 ELSE 0 END"))))
 def kv_get(spark, d):
     kv, get = tables.key_values(rows(spark, d)), lambda *p: tables.kv_get(F.col("kv"), *p)
