@@ -39,20 +39,23 @@ def windows(docs: DataFrame, key: str, body: Column, size: int = SIZE, overlap:
     return starts.select(key, "start", F.trim(F.substr("flat", F.col("start") + 1, F.lit(size))).alias("chunk")).where(F.length("chunk") > LEAST)
 
 
-def passages(body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """array<string>: the metadata card first, then the windows of a body, without those of LEAST characters or fewer."""
-    text = F.coalesce(body, F.lit(""))
-    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    raw = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+def passages(flat: Column, raw: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """array<string>: the metadata card first, then the windows of a body, without those of LEAST characters or fewer.
+    flat: the body with white space collapsed, a column of its own, as every window is cut from it; raw: the body's length as it was."""
     starts = F.sequence(F.lit(0), F.length(flat) - 1, F.lit(max(1, size - overlap)))
     cut = F.when((raw >= BODY) & (F.length(flat) > 0), F.transform(starts, lambda s: F.trim(F.substr(flat, s + 1, F.lit(size))))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.concat(F.array(F.trim(card)), cut) if card is not None else cut, lambda c: F.length(c) > LEAST)
 
 
-def chunked(docs: DataFrame, key: str, body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP, keep: Sequence[Column | str] = ()) -> DataFrame:
+def chunked(docs: DataFrame, key: str, body: Column, card: Column | None = None, size: int = SIZE, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
     """chunk_id, key, chunk_index, chunk and kept columns: the passages of each row, numbered after short ones went. All of
     it happens within the row: nothing is shuffled."""
-    out = docs.select(key, *keep, F.posexplode(passages(body, card, size, overlap)).alias("chunk_index", "chunk"))
+    text = F.coalesce(body, F.lit(""))
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    raw = F.length(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", ""))
+    rows = docs.select(key, *keep, *([card.alias("_card")] if card is not None else []), flat.alias("_flat"), raw.alias("_raw"))
+    cut = passages(F.col("_flat"), F.col("_raw"), F.col("_card") if card is not None else None, size, overlap)
+    out = rows.select(key, *keep, F.posexplode(cut).alias("chunk_index", "chunk"))
     return out.select(F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "*")
 
 

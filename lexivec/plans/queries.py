@@ -93,6 +93,17 @@ def noise_filter(spark, d):
     return rows.select("bid_no", "chunk_id", "final_rank", "score", "semantic", "bm25")
 
 
+#: Filters apply to the vectors before their top, and to the words' scores after theirs.
+FILTERED_SQL = FUSE_SQL.replace("sp AS (SELECT chunk_id, least(1.0, score / 20) AS bm25, br FROM st WHERE score > 0)", "sp AS (SELECT chunk_id, least(1.0, score / 20) AS bm25, row_number() OVER (ORDER BY br) AS br FROM st JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'en')")
+
+
+@query(f"WITH {BM25_SQL}, {DENSE_SQL.format(where="lang = 'en'")}, {FILTERED_SQL} SELECT * FROM ro")
+def search_stored(spark, d):
+    """A search with a filter on the stored index."""
+    rows = retrieval.search(*found_in(spark, d), QUESTION, question_vector(spark, d), top_k=15, filters={"product_type": "en"}, cut=False)
+    return rows.select("bid_no", "chunk_id", "final_rank", "score", "semantic", "bm25")
+
+
 @query(f"WITH {BM25_SQL} SELECT chunk_id, round(score, 4) AS score FROM s")
 def bm25_scores(spark, d):
     return retrieval.bm25_scores(word_index(spark, d), QUESTION).select("chunk_id", F.round("score", 4).alias("score"))
