@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: By open block of tidied() the tables written in it and their paths.
-_made: list[list[tuple[DataFrame, str]]] = []
 
+class _Open(threading.local):
+    """By open block of tidied() the tables written in it and their paths, for each thread: a stream's batches have their
+    own."""
+
+    def __init__(self) -> None:
+        self.made: list[list[tuple[DataFrame, str]]] = []
+
+
+_open = _Open()
 
 #: By application in local mode the folder that stands for an unset spark.checkpoint.dir.
 _local: dict[str, str] = {}
@@ -40,8 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _made:
-        _made[-1].append((out, path))
+    if _open.made:
+        _open.made[-1].append((out, path))
     return out
 
 
@@ -57,7 +65,7 @@ def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete, at the end of a block, all tables that written() made in it, but for those given to the function that
     the block gets; a block around it takes care of these."""
     kept: list[DataFrame] = []
-    _made.append([])
+    _open.made.append([])
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df)
@@ -66,8 +74,8 @@ def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        made = _made.pop()
+        made = _open.made.pop()
         stay = [(df, path) for df, path in made if any(df is k for k in kept)]
         delete(spark, *[path for df, path in made if not any(df is k for k in kept)])
-        if _made:
-            _made[-1] += stay
+        if _open.made:
+            _open.made[-1] += stay
