@@ -104,9 +104,9 @@ def search_stored(spark, d):
     return rows.select("bid_no", "chunk_id", "final_rank", "score", "semantic", "bm25")
 
 
-@query(f"WITH {BM25_SQL} SELECT chunk_id, round(score, 4) AS score FROM s")
+@query(f"WITH {BM25_SQL} SELECT chunk_id, CAST(round(CAST(score AS DECIMAL(20, 9)), 6) AS DOUBLE) AS score FROM s")
 def bm25_scores(spark, d):
-    return retrieval.bm25_scores(word_index(spark, d), QUESTION).select("chunk_id", F.round("score", 4).alias("score"))
+    return retrieval.bm25_scores(word_index(spark, d), QUESTION).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_SQL}, k AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM s QUALIFY place <= 40) SELECT chunk_id, round(least(1.0, score / 20), 4) AS bm25, CAST(row_number() OVER (ORDER BY place) AS INT) AS bm25_rank FROM k JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'en'")
