@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, gam, iforest, langid, lm_score, merkle, minhash, packing, rules, runs, substring, vptree, warc
+from lexivec.llm import bpe, gam, iforest, langid, lm_score, merkle, minhash, nndescent, packing, rules, runs, substring, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93).rows.drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_langid": op2_langid,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_runs": op11_runs,
     "op12_manifest": op12_manifest,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 #: The unsigned crc32 of a number's decimal digits, byte by byte and bit by bit.
@@ -160,4 +165,13 @@ ORACLE_SQL: dict[str, str] = {
              root AS (SELECT h FROM top WHERE n = 1)
         SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f AS folded_root, f = root.h AS verified
         FROM l JOIN sub ON sub.part = l.part JOIN climb ON climb.part = l.part AND climb.pos = l.pos AND len(climb.a) = 0 LEFT JOIN path ON path.part = l.part AND path.pos = l.pos CROSS JOIN root""",
+    "op13_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+             reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+             least_of AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+             n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least_of LEFT JOIN n USING (vec_id)""",
 }
