@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,16 @@ def stacked(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def codes_of(x: np.ndarray) -> np.ndarray:
+    """For each order the signs of random projections of a vector, as one number."""
+    return (planes(len(x)) @ x > 0).reshape(ORDERS + CROWD_ORDERS, BITS) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
+
+
+@lru_cache(8)
+def planes(size: int) -> np.ndarray:
+    return np.random.default_rng(size).standard_normal(((ORDERS + CROWD_ORDERS) * BITS, size))
+
+
 def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
@@ -78,26 +89,13 @@ def runs(keys: np.ndarray, most: int) -> Iterator[slice]:
 def in_order(sites: DataFrame, seed: int, each: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, most: int) -> DataFrame:
     """each(rows, vectors) of neighbouring sites of one part, in an order by the signs of random projections."""
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            raw = batch["x"].to_pylist()
-            sizes = np.array([len(r) for r in raw])
-            for size in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float32).reshape(len(at), -1)
-                planes = np.random.default_rng([seed, size]).standard_normal((x.shape[1], BITS)).astype(np.float32)
-                out[at] = (x @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "code"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [each(pa.Table.from_batches([batch.slice(s.start, s.stop - s.start)]), stacked(batch["x"].slice(s.start, s.stop - s.start))) for s in runs(batch["part"].to_numpy(zero_copy_only=False), most)]
             if found:
                 yield from pa.concat_tables(found).to_batches()
 
-    plain = sites.select("site", "part", "x", "radius")
-    coded = saved(plain.mapInArrow(code, "site long, part string, x binary, radius double, code long"), "codes")
+    coded = sites.select("site", "part", "x", "radius", F.col("codes")[seed].alias("code"))
     return coded.repartitionByRange("part", "code", "site").sortWithinPartitions("part", "code", "site").mapInArrow(compare, schema)
 
 
@@ -256,18 +254,21 @@ def descended(sites: DataFrame, reach: float, places: int) -> tuple[DataFrame, f
 
 def crowded(nodes: DataFrame, half: float) -> tuple[DataFrame, DataFrame]:
     """The sites (site, part, x, radius), and node and site of every node."""
-    sites = nodes.select(F.col("node").alias("site"), "part", "x", F.lit(0.0).alias("radius"))
+    sites = nodes.select(F.col("node").alias("site"), "part", "x", "codes", F.lit(0.0).alias("radius"))
+    n = nodes.count()
     of = nodes.select("node", F.col("node").alias("site"))
     for seed in range(CROWD_ORDERS):
-        moves = saved(in_order(sites, 100 + seed, crowds(half), "site long, pivot long, far double", CROWD_CHUNK), "moves")
+        moves = saved(in_order(sites, ORDERS + seed, crowds(half), "site long, pivot long, far double", CROWD_CHUNK), "moves")
         moved = moves.count()
         if not moved:
             break
         radius = moves.groupBy(F.col("pivot").alias("site")).agg(F.max("far").alias("far"))
         gone = moves.where("site <> pivot").select("site")
         of = saved(of.join(moves.select("site", "pivot"), "site", "left").select("node", F.coalesce("pivot", "site").alias("site")), "site-of")
-        sites = sites.join(gone, "site", "left_anti").join(radius, "site", "left").select("site", "part", "x", F.greatest("radius", F.coalesce("far", F.lit(0.0))).alias("radius"))
+        sites = sites.join(gone, "site", "left_anti").join(radius, "site", "left").select("site", "part", "x", "codes", F.greatest("radius", F.coalesce("far", F.lit(0.0))).alias("radius"))
         sites = saved(sites, "sites")
+        if 100 * moved < n:  # lists take what little is left of crowds
+            break
     return sites, of
 
 
@@ -321,10 +322,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, places: int = PLACES)
             for batch in batches:
                 u = units(batch["e"])
                 singles, doubles = (pa.array([x.astype(kind).tobytes() for x in u], pa.binary()) for kind in (np.float32, np.float64))
-                yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], batch["weight"], singles, doubles], ["node", "part", "weight", "x", "y"])
+                codes = pa.array([codes_of(x) for x in u], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], batch["weight"], singles, doubles, codes], ["node", "part", "weight", "x", "y", "codes"])
 
         first = some.select(F.col("rid").alias("node"), "part", "e").join(groups.select("node", "weight"), "node")
-        nodes = saved(first.select("node", "part", "weight", "e").mapInArrow(scale, "node long, part string, weight long, x binary, y binary"), "nodes")
+        nodes = saved(first.select("node", "part", "weight", "e").mapInArrow(scale, "node long, part string, weight long, x binary, y binary, codes array<long>"), "nodes")
         sites, of = crowded(nodes, reach / 2 - EXACT)
         members = saved(nodes.select("node", "weight", "y").join(of, "node"), "members")
         weights = saved(members.groupBy("site").agg(F.sum("weight").alias("w"), F.count("*").alias("m")), "weights")

@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from lexivec.llm import merkle, queries, runs
+from lexivec.llm import merkle, nndescent, queries, runs
 from lexivec.llm.shared import WordHashes
 from tests.oracle import check
 
@@ -183,3 +183,86 @@ def test_numbers_of_a_large_group(spark):
     got = merkle.numbered(rows, ["v", "row"]).orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(2000)) and {r.n for r in got} == {2000}
     assert [(r.v, r.row) for r in got] == sorted((r.v, r.row) for r in got)
+
+
+VECTORS = "vec_id long, embedding array<double>, label string, d double, site long, n_links int"
+
+
+def plain_links(rows, cosine=0.93):
+    """n_links and component_id of each row, by comparing all with all."""
+    import numpy as np
+
+    def unit(e):
+        if e is None or any(v is None or v != v or abs(v) == float("inf") for v in e) or not any(e):
+            return None
+        x = np.array(e) / max(map(abs, e))
+        return x / np.sqrt(x @ x)
+
+    u = [unit(r[1]) for r in rows]
+    linked = [[j for j in range(len(rows)) if i != j and u[i] is not None and u[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2] and len(u[i]) == len(u[j]) and u[i] @ u[j] >= cosine] for i in range(len(rows))]
+    root = [-1] * len(rows)
+    for i in range(len(rows)):
+        todo = [i] if root[i] < 0 else []
+        while todo:
+            k = todo.pop()
+            root[k] = i
+            todo += [j for j in linked[k] if root[j] < 0]
+    least = {}
+    for i, r in enumerate(rows):
+        least[root[i]] = min([x for x in (least.get(root[i]), r[0]) if x is not None], default=None)
+    out = [(r[0], len(linked[i]), least[root[i]], r[0] is None or least[root[i]] is None or r[0] == least[root[i]]) for i, r in enumerate(rows)]
+    return sorted(out, key=str)
+
+
+def links_of(df):
+    return sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in nndescent.near_vectors(df, 0.93).rows.collect()], key=str)
+
+
+def test_near_vectors_are_those_of_sql(spark):
+    check(spark, "op13_near_vectors", queries.QUERIES, queries.ORACLE_SQL)
+
+
+def test_near_vectors_in_crowds_chains_and_pairs(spark):
+    """Dense crowds of hundreds, two crowds at a distance where only some members link, loose groups whose lists must
+    grow, chains, pairs and single vectors, copies of some."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    normal = lambda n, around=0.0, spread=1.0: around + spread * rng.standard_normal((n, 16))
+    centre = normal(1)[0] * 2
+    beside = centre + 0.45 * np.linalg.norm(centre) / 4 * normal(1)[0]
+    loose = normal(1)[0] * 2
+    chain = [np.cos(t) * np.eye(16)[0] + np.sin(t) * np.eye(16)[1] for t in np.arange(30) * 0.3]
+    groups = [normal(300, centre, 0.12), normal(200, beside, 0.12), normal(60, loose, 0.75), np.array(chain), normal(300)]
+    groups.append(groups[-1][:60] + 0.05 * rng.standard_normal((60, 16)))
+    x = np.concatenate(groups)
+    x = np.concatenate([x, x[::9]])
+    rows = [(int(i), (v * 10.0 ** rng.integers(-3, 4)).tolist() if k % 5 else v.tolist(), "ab"[k % 7 == 0], 0.0, 1, 2) for k, (i, v) in enumerate(zip(rng.permutation(len(x)) * 3, x))]
+    want = plain_links(rows)
+    assert 0 < sum(n for _, n, _, _ in want) and len({c for _, _, c, _ in want}) > 100
+    assert links_of(spark.createDataFrame(rows, VECTORS).repartition(3)) == want
+
+
+def test_near_vector_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, nan], [inf, 1.0], [1.0, 0.0], [1.0, 0.0], [2e300, 0.0], [1e-300, 0.0], [1.0, 0.0, 0.0], [-1.0, 0.0], [1.0, -0.0]]
+    rows = [(k, v, "x", 0.0, 1, 2) for k, v in enumerate(vectors)] + [(None, [1.0, 0.01], "x", 0.0, 1, 2), (None, [5.0, 5.0], "y", 0.0, 1, 2), (6, [1.0, 0.0], "x", 0.0, 1, 2), (20, [1.0, 0.0], None, 0.0, 1, 2), (21, [1.0, 0.0], None, 0.0, 1, 2)]
+    assert links_of(spark.createDataFrame(rows, VECTORS)) == plain_links(rows)
+    assert links_of(spark.createDataFrame([], VECTORS)) == []
+
+
+def test_many_equal_vectors_are_one_node(spark):
+    rows = [(k, [3.0, 4.0], "x", 0.0, 1, 2) for k in range(500)]
+    assert links_of(spark.createDataFrame(rows, VECTORS)) == plain_links(rows)
+
+
+def test_rounds_refine_a_poor_graph(spark, monkeypatch):
+    """From one order with small chunks the lists miss links; rounds and audit find them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 32))
+    x = np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)])
+    rows = [(k, v.tolist(), "x", 0.0, 1, 2) for k, v in enumerate(x)]
+    monkeypatch.setattr(nndescent, "ORDERS", 1)
+    assert links_of(spark.createDataFrame(rows, VECTORS)) == plain_links(rows)
