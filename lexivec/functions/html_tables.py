@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,7 +69,7 @@ def table_cells(md: str | None) -> list[tuple[int, int, int, bool, str, int, int
 
 
 CELLS = "array<struct<table_no:int,row_no:int,cell_no:int,is_th:boolean,text:string,colspan:int,rowspan:int>>"
-ROWS = "array<struct<table_no:int,row_no:int,cells:array<string>,first_rowspan:int>>"
+TABLES = "array<struct<table_no:int,rows:array<struct<row_no:int,cells:array<string>,first_rowspan:int>>>>"
 
 
 def nested(counts: list[int], names: list[str], columns: list[pa.Array]) -> pa.ListArray:
@@ -85,23 +85,29 @@ def cells_of(texts: pa.Array) -> pa.Array:
     return nested([len(cs) for cs in found], ["table_no", "row_no", "cell_no", "is_th", "text", "colspan", "rowspan"], [pa.array(c, k) for c, k in zip(flat, kinds)])
 
 
-def rows_of(texts: pa.Array) -> pa.Array:
-    counts, places, sizes, cells, spans = [], [], [], [], []
+def tables_of(texts: pa.Array) -> pa.Array:
+    tables: list[int] = []
+    rows: list[int] = []
+    sizes: list[int] = []
+    numbers, places, spans, cells = [], [], [], []
     for text in texts.to_pylist():
-        before = None
-        at = len(places)
+        first, before = len(numbers), (-1, -1)
         for table, row, _, _, cell, _, rowspan in table_cells(text):
+            if table != before[0]:
+                numbers.append(table)
+                rows.append(0)
             if (table, row) != before:
                 before = table, row
-                places.append(before)
+                places.append(row)
                 sizes.append(0)
                 spans.append(rowspan)
+                rows[-1] += 1
             sizes[-1] += 1
             cells.append(cell)
-        counts.append(len(places) - at)
-    t, r = zip(*places) if places else ((), ())
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(cells, pa.string()))
-    return nested(counts, ["table_no", "row_no", "cells", "first_rowspan"], [pa.array(t, pa.int32()), pa.array(r, pa.int32()), lists, pa.array(spans, pa.int32())])
+        tables.append(len(numbers) - first)
+    texts_of_row = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(cells, pa.string()))
+    of_table = nested(rows, ["row_no", "cells", "first_rowspan"], [pa.array(places, pa.int32()), texts_of_row, pa.array(spans, pa.int32())])
+    return nested(tables, ["table_no", "rows"], [pa.array(numbers, pa.int32()), of_table])
 
 
 def once(parse, kind: str):
@@ -117,7 +123,8 @@ def html_table_cells(docs: DataFrame, key: str, md: str) -> DataFrame:
     return with_table.select(key, once(cells_of, CELLS)(F.col(md)).alias("cells")).select(key, F.inline("cells"))
 
 
-def html_table_rows(docs: DataFrame, key: str, md: str) -> DataFrame:
-    """A row for each row with cells: key, table_no, row_no, cells (texts), first_rowspan. Nothing is shuffled."""
-    with_table = docs.where(F.contains(F.lower(F.col(md)), F.lit("<table")))
-    return with_table.select(key, once(rows_of, ROWS)(F.col(md)).alias("rows")).select(key, F.inline("rows"))
+def html_tables(md: Column) -> Column:
+    """The tables of a document with the rows that have cells, in its own row: nothing is shuffled, whatever its key is. A
+    document without a table has none, and doesn't leave the JVM."""
+    with_table = F.when(F.contains(F.lower(md), F.lit("<table")), md)
+    return once(tables_of, TABLES)(with_table)

@@ -1,4 +1,4 @@
-"""Documents to nested records: one select over key-value pairs, and joins of the lists that tables give.
+"""Documents to nested records, each within its own row: a select over key-value pairs and the lists that tables give.
 
 A converter's JSON, where there is one, wins over what the text gives, key by key: a key that is present wins even if
 its value is null.
@@ -79,9 +79,9 @@ def terms(docs: DataFrame, md: str = "md") -> DataFrame:
     return out.drop("_atc", "_label", "_section", "_content", "_end")
 
 
-def emd_total(kv: Column) -> Column:
-    """Sum of all deposit amounts among the pairs; null for none."""
-    mine = F.filter(kv, lambda e: F.contains(F.lower(e["key"]), F.lit("emd amount")) | F.contains(F.lower(e["key"]), F.lit("ईएमडी राशि")))
+def emd_total(pairs: Column) -> Column:
+    """Sum of all deposit amounts among the pairs, the last one of each key; null for none."""
+    mine = tables.key_values(F.filter(pairs, lambda e: F.contains(e["low"], F.lit("emd amount")) | F.contains(e["low"], F.lit("ईएमडी राशि"))))
     return F.nullif(F.aggregate(mine, F.lit(0).cast("long"), lambda s, e: s + F.coalesce(to_int(e["value"]), F.lit(0).cast("long"))), F.lit(0))
 
 
@@ -133,28 +133,24 @@ def given_list(json: Column, path: str, kind: str = "string") -> Column:
 
 
 def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_type: str = "product_type", converter_json: str | None = None, strip_br: bool = True) -> DataFrame:
-    """key and pdf (nested struct) of every document. converter_json: a column with the converter's JSON."""
+    """key and pdf (nested struct) of every document. converter_json: a column with the converter's JSON.
+
+    Nothing is shuffled, and the key only passes through: documents whose keys are null or equal have each what is
+    theirs. A null text is an empty one: no pairs, empty lists, flags 'No'."""
     # Labels in quotes below are fixed values: the names that documents and converters use, in English and Hindi.
-    base = docs.withColumnsRenamed({key: "doc", md: "md", product_type: "product_type"})
-    base = base.select("doc", F.coalesce(F.col("md"), F.lit("")).alias("md"), "product_type", (F.col(converter_json) if converter_json else F.lit(None).cast("string")).alias("js"))
-    base = base.withColumn("js", F.coalesce(F.get_json_object("js", "$.pdf"), "js"))
-    rows = tables.document_rows(base, "md", strip_br)
-    kv = tables.key_values(rows)
-    gather = lambda df, order, *cols: df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("l"))
-    sums = gather(tables.table_quantities(rows), ["table_no"], "quantity").select("doc", F.transform("l", lambda x: x["quantity"]).alias("sums"))
-    people = gather(tables.consignees(rows), ["place"], "officer", "address", "quantity", "delivery").select("doc", F.transform("l", lambda x: F.struct(x["officer"].alias("consignee_reporting_officer"), x["address"].alias("consignee_address"), x["quantity"].alias("quantity"), x["delivery"].alias("delivery_days"))).alias("people"))
+    given_json = F.col(converter_json) if converter_json else F.lit(None).cast("string")
+    base = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(md), F.lit("")).alias("md"), F.col(product_type).alias("product_type"), F.coalesce(F.get_json_object(given_json, "$.pdf"), given_json).alias("js"))
+    found = F.col("tables")
     entry = "struct<group_key:string,item_key:string,item_category:string,officer:string,address:string,quantity:string,estimated_value:string>"
+    person = "struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>"
     blank = F.lit("")
-    by_group = gather(tables.group_schedules(rows), ["group_key", "item_no"], "item_category", "officer", "address", "quantity").select(
-        "doc", F.transform("l", lambda x: F.struct(x["group_key"].alias("group_key"), F.concat(F.lit("Item_"), x["item_no"].cast("string")).alias("item_key"), x["item_category"].alias("item_category"), x["officer"].alias("officer"), x["address"].alias("address"), x["quantity"].alias("quantity"), blank.alias("estimated_value"))).alias("by_group")
-    )
-    by_item = gather(tables.item_schedules(rows), ["place"], "key", "item_category", "estimated_value", "quantity").select(
-        "doc", F.transform("l", lambda x: F.struct(blank.alias("group_key"), x["key"].alias("item_key"), x["item_category"].alias("item_category"), blank.alias("officer"), blank.alias("address"), x["quantity"].alias("quantity"), x["estimated_value"].alias("estimated_value"))).alias("by_item")
-    )
-    for part in (kv, sums, people, by_group, by_item):
-        base = base.join(part, "doc", "left")
-    base = terms(base)
-    kv_col = F.coalesce(F.col("kv"), F.array().cast("array<struct<place:struct<table_no:int,row_no:int>,key:string,value:string>>"))
+    by_group = F.transform(F.array_sort(tables.group_schedules(found)), lambda x: F.struct(x["group_key"].alias("group_key"), F.concat(F.lit("Item_"), x["item_no"].cast("string")).alias("item_key"), x["item_category"].alias("item_category"), x["officer"].alias("officer"), x["address"].alias("address"), x["quantity"].alias("quantity"), blank.alias("estimated_value")))
+    by_item = F.transform(tables.item_schedules(found), lambda x: F.struct(blank.alias("group_key"), x["key"].alias("item_key"), x["item_category"].alias("item_category"), blank.alias("officer"), blank.alias("address"), x["quantity"].alias("quantity"), x["estimated_value"].alias("estimated_value")))
+    base = terms(tables.with_tables(base, "md", strip_br)).withColumns({
+        "kv": tables.pairs(found), "sums": F.transform(tables.table_quantities(found), lambda x: x["quantity"]), "by_group": by_group, "by_item": by_item,
+        "people": tables.consignees(found).cast(f"array<{person}>"),
+    })
+    kv_col = F.col("kv")
     get = lambda *p: tables.kv_get(kv_col, *p)
     js = F.col("js")
     text = lambda path, *p: present_first(js, path, get(*p))
@@ -162,6 +158,11 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     flag = lambda path, *p: yesno(present_first(js, path, F.coalesce(get(*p), F.lit("No"))))
     maybe = lambda path, *p: present_first(js, path, yesno(get(*p)))
     method = F.coalesce(text("evaluation.evaluation_method", "Evaluation Method", "मूल्यांकन पढ़ति", "मूल्यांकन विधि"), blank)
+    total = number("items.total_quantity_extracted", "Total Quantity", "कुल मात्रा")
+    emd_bank = F.coalesce(text("financials.emd.advisory_bank", "Advisory Bank", "एडवाईजरी बैंक"), blank)
+    epbg_bank = F.coalesce(text("financials.epbg.advisory_bank", "Advisory Bank", "एडवाइजरी बैंक"), blank)
+    amount = present_first(js, "financials.emd.amount_total", emd_total(kv_col)).try_cast("long")
+    auction = flag("ra.bid_to_ra_enabled", "Bid to RA enabled", "बिड से रिवर्स नीलामी")
     low = F.lower(method)
     nothing = F.array().cast(f"array<{entry}>")
     given = objects(js, "$.evaluation.schedules")
@@ -169,17 +170,11 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     given_by_group = F.flatten(F.transform(given, lambda g: F.transform(objects(g["value"], "$"), lambda e: schedule(tables.group_key(g["key"]), e["key"], e["value"]))))
     either = lambda a, b: F.when(F.size(a) > 0, a).otherwise(F.coalesce(b, nothing))
     schedules = F.when(F.contains(low, F.lit("total")), nothing).when(F.contains(low, F.lit("item")), either(given_by_item, F.col("by_item"))).when(F.contains(low, F.lit("group")), either(given_by_group, F.col("by_group"))).otherwise(given_by_item)
-    total = number("items.total_quantity_extracted", "Total Quantity", "कुल मात्रा")
     from_json = given_items(js, total)
-    from_text = items(split_clean(get("Item Category", "वस्तु श्रेणी"), ","), total, F.coalesce("sums", F.array().cast("array<bigint>")))
-    person = "struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>"
+    from_text = items(split_clean(get("Item Category", "वस्तु श्रेणी"), ","), total, F.col("sums"))
     some_people = given_list(js, "$.consignees", person)
     required = split_clean(get("Document required from seller", "विक्रेता से मांगे गए", "विकेता से"), r",\s*(?=[A-Z*])")
-    emd_bank = F.coalesce(text("financials.emd.advisory_bank", "Advisory Bank", "एडवाईजरी बैंक"), blank)
-    epbg_bank = F.coalesce(text("financials.epbg.advisory_bank", "Advisory Bank", "एडवाइजरी बैंक"), blank)
-    amount = present_first(js, "financials.emd.amount_total", emd_total(kv_col)).try_cast("long")
     exempt = F.coalesce(F.nullif(get("EMD EXEMPTION", "emd exemption", "ईएमडी छूट"), blank), clean_text(F.regexp_extract("md", r"(?is)EMD EXEMPTION[:\s]*(.*?)(?:\n\n|\(b\)|\(c\)|\z)", 1)))
-    auction = flag("ra.bid_to_ra_enabled", "Bid to RA enabled", "बिड से रिवर्स नीलामी")
     local = get("Allow participation only from Class", "सार्वजनिक खरीद", "सार्यजनिक खरीद")
     documents_shown = F.when(F.contains(F.lower(F.coalesce(text("documents.show_uploaded_docs_to_all_bidders", "Do you want to show documents", "क्या आप निविदाकारों"), F.lit("No"))), F.lit("yes")), "Yes").otherwise("No")
     empty = F.array().cast("array<string>")
@@ -194,7 +189,7 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
         "items": F.when(F.size(from_json["items"]) > 0, from_json).otherwise(from_text),
         "evaluation": F.struct(method.alias("evaluation_method"), schedules.alias("schedules")),
         "documents": F.struct(F.coalesce(given_list(js, "$.documents.required_from_seller"), required).alias("required_from_seller"), documents_shown.alias("show_uploaded_docs_to_all_bidders"), F.coalesce(given_list(js, "$.documents.attachments"), empty).alias("attachments")),
-        "consignees": F.coalesce(F.when(F.size(some_people) > 0, some_people), "people", F.array().cast("array<struct<consignee_reporting_officer:string,consignee_address:string,quantity:string,delivery_days:string>>")),
+        "consignees": F.coalesce(F.when(F.size(some_people) > 0, some_people), "people"),
         "relaxations": F.struct(flag("relaxations.mse_relaxation_experience_turnover", "MSE Relaxation", "एमाएसएमई के लिए अनुभव", "एमएसएमई के लिए अनुभव").alias("mse_relaxation_experience_turnover"), flag("relaxations.startup_relaxation_experience_turnover", "Startup Relaxation", "स्टार्टअप के लिए अनुभव").alias("startup_relaxation_experience_turnover")),
         "auto_extension": F.struct(
             number("auto_extension.min_bids_to_disable_extension", "Minimum number of bids", "बिड लगाने की समय सीमा स्वतः").alias("min_bids_to_disable_extension"),

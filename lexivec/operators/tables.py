@@ -1,45 +1,65 @@
-"""Relational operators on the cells of documents' tables.
+"""Operators on documents' tables, within the row of their document.
 
-Cells are rows (doc, table_no, row_no, cell_no, is_th, text, colspan, rowspan). Everything groups or windows by
-document, whose cells are few, so that one exchange by doc serves a chain of them.
+A document's tables are one column, array<table_no, header, header_text (lower case), rows (row_no, cells, first_rowspan)>; the header is the
+first row. Everything below maps such a column to a list, so that no step moves rows between documents, and documents
+with equal keys or none keep what is theirs. A document that is null or has no table has empty lists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.functions.html_tables import html_table_rows
+from lexivec.functions.html_tables import html_tables
 from lexivec.functions.text import clean_text, to_int
 
 
 def table_rows(cells: DataFrame, strip_br: bool = True) -> DataFrame:
-    """doc, table_no, row_no, cells (array of cleaned texts), first_rowspan."""
+    """doc, table_no, row_no, cells (array of cleaned texts), first_rowspan, from cells one by one. The documents' keys must differ."""
     one = F.struct("cell_no", clean_text(F.col("text"), strip_br).alias("t"), "rowspan")
     rows = cells.groupBy("doc", "table_no", "row_no").agg(F.array_sort(F.collect_list(one)).alias("c"))
     return rows.select("doc", "table_no", "row_no", F.transform("c", lambda x: x["t"]).alias("cells"), F.get("c", F.lit(0))["rowspan"].alias("first_rowspan"))
 
 
-def document_rows(docs: DataFrame, md: str = "md", strip_br: bool = True) -> DataFrame:
-    """The same of documents (doc, md), row by row as their HTML is parsed: no cells are shuffled."""
-    rows = html_table_rows(docs, "doc", md)
-    return rows.withColumn("cells", F.transform("cells", lambda c: clean_text(c, strip_br)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def key_values(rows: DataFrame) -> DataFrame:
-    """doc, kv: ordered pairs of all rows of two cells or more. Of an equal key the last value, at the first place."""
-    place = F.struct("table_no", "row_no")
-    pairs = rows.where(F.size("cells") >= 2).select("doc", F.col("cells")[0].alias("key"), F.col("cells")[1].alias("value"), place.alias("place")).where("key <> ''")
-    each = pairs.groupBy("doc", "key").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
-    return each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "key", "value"))).alias("kv"))
+def with_tables(docs: DataFrame, md: str = "md", strip_br: bool = True, name: str = "tables") -> DataFrame:
+    """The documents with their tables, cells cleaned."""
+    row = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(r["cells"], lambda c: clean_text(c, strip_br)).alias("cells"), r["first_rowspan"].alias("first_rowspan"))
+    parsed = docs.withColumn(name, html_tables(F.col(md)))
+    cleaned = parsed.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), F.transform(t["rows"], row).alias("rows"))))
+    header = lambda t: F.get(t["rows"], F.lit(0))["cells"]
+    return cleaned.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), header(t).alias("header"), F.lower(F.array_join(header(t), " ")).alias("header_text"), t["rows"].alias("rows"))))
 
 
-def kv_get(kv: Column, *patterns: str) -> Column:
-    """The value of the first key that contains one of the patterns, in any case; null without one."""
-    hit = lambda e: _any([F.contains(F.lower(e["key"]), F.lit(p.lower())) for p in patterns])
-    return F.get(F.filter(kv, hit), F.lit(0))["value"]
+def body(table: Column) -> Column:
+    return F.slice(table["rows"], 2, F.greatest(F.size(table["rows"]), F.lit(1)))
+
+
+def pairs(tables: Column) -> Column:
+    """key, low (the key in lower case), value of all rows of two cells or more, in order."""
+    named = lambda t: F.filter(t["rows"], lambda r: (F.size(r["cells"]) >= 2) & (r["cells"][0] != ""))
+    return F.flatten(F.transform(tables, lambda t: F.transform(named(t), lambda r: F.struct(r["cells"][0].alias("key"), F.lower(r["cells"][0]).alias("low"), r["cells"][1].alias("value")))))
+
+
+def key_values(pairs: Column) -> Column:
+    """The pairs with different keys: of an equal key the last value, at the first place."""
+    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    return F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1))
+
+
+def kv_get(pairs: Column, *patterns: str) -> Column:
+    """Of the first key that contains one of the patterns, in any case, the last value; null without one. One pass."""
+    hit = lambda e: _any([F.contains(e["low"], F.lit(p.lower())) for p in patterns])
+    pair = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    step = lambda found, e: F.when(found["key"].isNull() & hit(e), pair(e["key"], e["value"])).when(found["key"] == e["key"], pair(found["key"], e["value"])).otherwise(found)
+    return F.aggregate(pairs, pair(none, none), step)["value"]
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -59,24 +79,6 @@ def cell_at(cells: Column, place: Column) -> Column:
     return F.when(place >= 0, F.coalesce(F.get(cells, place), F.lit(""))).otherwise(F.lit(""))
 
 
-def with_headers(rows: DataFrame) -> DataFrame:
-    """The rows with their table's first row: header (array) and header_text (lower case)."""
-    table = Window.partitionBy("doc", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("header", F.first("cells").over(table)).withColumn("header_text", F.lower(F.array_join("header", " "))).withColumn("header_row", F.first("row_no").over(table))
-
-
-def tables_with(rows: DataFrame, must: Sequence[str], must_not: Sequence[str] = (), first: bool = True) -> DataFrame:
-    """Body rows of tables whose header has all of the words and none of the others; of each document the first."""
-    fit = with_headers(rows)
-    for w in must:
-        fit = fit.where(F.contains("header_text", F.lit(w.lower())))
-    for w in must_not:
-        fit = fit.where(~F.contains("header_text", F.lit(w.lower())))
-    if first:
-        fit = fit.withColumn("first_table", F.min("table_no").over(Window.partitionBy("doc"))).where("table_no = first_table").drop("first_table")
-    return fit.where("row_no > header_row")
-
-
 def group_key(name: Column) -> Column:
     """'Package n' for a bare number or 'Group Gn'."""
     name = F.trim(name)
@@ -88,58 +90,99 @@ def group_key(name: Column) -> Column:
 OFFICER = ("consignee", "reporting", "officer")
 
 
-def group_schedules(rows: DataFrame) -> DataFrame:
-    """doc, group_key, item_no, item_category, officer, address, quantity: each row belongs to the last group begun."""
-    body = tables_with(rows, ["evaluation schedules"]).where(_any([F.contains("header_text", F.lit(w)) for w in OFFICER]))
-    first = F.col("cells")[0]
-    spans, named = F.col("first_rowspan") > 1, first.rlike(r"(?i)^group\s+g\d+")
-    starts = (spans & (first != "")) | (~spans & named)
-    body = body.where(F.size("cells") > 0).withColumn("items", F.when(spans | named, F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1)))).otherwise(F.col("cells")))
-    so_far = Window.partitionBy("doc", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("group_key", F.last(F.when(starts, group_key(first)), ignorenulls=True).over(so_far)).where("group_key is not null and size(items) > 0")
-    at = lambda default, *words: cell_at(F.col("items"), column_index(F.col("header"), *words, default=default) - 1)
-    out = body.select("doc", "group_key", "row_no", at(1, "item/category", "item").alias("item_category"), at(2, "consignee/reporting", "reporting officer", "consignee").alias("officer"), at(3, "address").alias("address"), at(4, "quantity").alias("quantity"))
-    out = out.where(~F.lower("item_category").isin("", "item", "item/category"))
-    return out.withColumn("item_no", F.row_number().over(Window.partitionBy("doc", "group_key").orderBy("row_no"))).select("doc", "group_key", "item_no", "item_category", "officer", "address", "quantity")
-
-
-def item_schedules(rows: DataFrame) -> DataFrame:
-    """doc, key, item_category, estimated_value, quantity: by the label's number, else by the running count."""
-    body = tables_with(rows, ["evaluation schedules"])
-    for w in OFFICER:
-        body = body.where(~F.contains("header_text", F.lit(w)))
-    body = body.where(_any([F.contains("header_text", F.lit(w)) for w in ("estimated value", "अनुमानित मूल्य", "item", "वस्तु")]))
-    at = lambda default, *words: cell_at(F.col("cells"), column_index(F.col("header"), *words, default=default))
-    out = body.select(
-        "doc", "row_no", at(0, "evaluation schedules", "मूल्यांकन अनुसूचियां").alias("label"), at(1, "item/category", "item", "वस्तु").alias("item_category"),
-        at(2, "estimated value", "अनुमानित मूल्य").alias("estimated_value"), at(3, "quantity", "मात्रा").alias("quantity"),
-    )
-    out = out.where(~F.lower("item_category").isin("", "item", "item/category"))
-    running = F.row_number().over(Window.partitionBy("doc").orderBy("row_no"))
-    key = F.coalesce(F.nullif(to_int(F.col("label")), F.lit(0)).cast("string"), running.cast("string"))
-    last = out.withColumn("key", key).groupBy("doc", "key").agg(F.max_by(F.struct("item_category", "estimated_value", "quantity"), "row_no").alias("v"), F.min("row_no").alias("place"))
-    return last.select("doc", "key", "place", "v.*")
-
-
-def consignees(rows: DataFrame) -> DataFrame:
-    """doc, place, officer, address, quantity, delivery of all consignee tables, without repeats."""
-    body = tables_with(rows, [], first=False)
-    body = body.where(_any([F.contains("header_text", F.lit(w)) for w in ("consignee", "reporting", "परेषिती")]) & _any([F.contains("header_text", F.lit(w)) for w in ("quantity", "मात्रा", "माना")]))
-    number = column_index(F.col("header"), "s.no", "क्र.सं")
-    at = lambda default, *words: cell_at(F.col("cells"), column_index(F.col("header"), *words, default=default))
-    body = body.where((F.size("cells") >= 4) & (number.isNull() | (number >= F.size("cells")) | F.get("cells", number).rlike(r"^\d+$")))
-    out = body.select(
-        "doc", "table_no", "row_no", at(1, "reporting", "consignee reporting", "परेषिती/रिपोर्टिंग").alias("officer"), at(2, "address", "पता").alias("address"),
-        at(3, "quantity", "मात्रा", "माना").alias("quantity"), at(4, "delivery", "डिलीवरी").alias("delivery"),
-    )
-    out = out.where((F.col("officer") != "") & ~_any([F.contains(F.lower("officer"), F.lit(w)) for w in ("officer", "consignee", "reporting", "अधिकारी")]))
-    firsts = out.groupBy("doc", "officer", "address", "quantity", "delivery").agg(F.min(F.struct("table_no", "row_no")).alias("at"))
-    return firsts.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("at"))).drop("at")
-
-
-def table_quantities(rows: DataFrame) -> DataFrame:
-    """doc, table_no, quantity: the sum of the quantities of each consignee table."""
-    body = with_headers(rows).where(_any([F.contains("header_text", F.lit(w)) for w in ("consignee", "परेषिती")]) & _any([F.contains("header_text", F.lit(w)) for w in ("quantity", "मात्रा")]))
-    at = column_index(F.col("header"), "quantity", "मात्रा", default=3)
-    q = F.when(F.col("row_no") > F.col("header_row"), to_int(cell_at(F.col("cells"), at)))
-    return body.groupBy("doc", "table_no").agg(F.coalesce(F.sum(q), F.lit(0)).cast("long").alias("quantity"))
+def has_any(table: Column, words: Sequence[str]) -> Column:
+    return _any([F.contains(table["header_text"], F.lit(w)) for w in words])
+
+
+def first_with(tables: Column, *words: str) -> Column:
+    """The first table whose header has all of the words; null without one."""
+    return F.get(F.filter(tables, lambda t: ~_any([~F.contains(t["header_text"], F.lit(w)) for w in words])), F.lit(0))
+
+
+def places(table: Column, **words: tuple) -> Column:
+    """Struct of the columns' places in a table: name = (place by default, words of its header)."""
+    return F.struct(*[column_index(table["header"], *w, default=default).alias(name) for name, (default, *w) in words.items()])
+
+
+def named_item(x: Column) -> Column:
+    return ~F.lower(x["item_category"]).isin("", "item", "item/category")
+
+
+def or_empty(found: Column, kind: str) -> Column:
+    return F.coalesce(found, F.array().cast(f"array<struct<{kind}>>"))
+
+
+def group_schedules(tables: Column) -> Column:
+    """group_key, item_no, item_category, officer, address, quantity: each row belongs to the last group begun."""
+
+    def marked(r: Column, i: Column) -> Column:
+        first = r["cells"][0]
+        spans, named = r["first_rowspan"] > 1, first.rlike(r"(?i)^group\s+g\d+")
+        starts = (spans & (first != "")) | (~spans & named)
+        items = F.when(spans | named, F.slice(r["cells"], 2, F.greatest(F.size(r["cells"]), F.lit(1)))).otherwise(r["cells"])
+        return F.struct(F.when(starts, i).alias("start"), F.when(starts, group_key(first)).alias("key"), items.alias("items"))
+
+    def grouped(rows: Column, at: Column) -> Column:
+        begun = F.filter(F.transform(rows, lambda m: m["start"]), lambda i: i.isNotNull())
+
+        def one(starts: Column) -> Column:
+            key = lambda i: F.get(rows, F.array_max(F.filter(starts, lambda s: s <= i)))["key"]
+            cell = lambda m, name: cell_at(m["items"], at[name] - 1)
+            return F.transform(rows, lambda m, i: F.struct(key(i).alias("group_key"), F.size(m["items"]).alias("n"), *[cell(m, c).alias(c) for c in ("item_category", "officer", "address", "quantity")]))
+
+        return let(begun, one)
+
+    def numbered(kept: Column) -> Column:
+        number = lambda x, i: F.size(F.filter(F.slice(kept, 1, i + 1), lambda y: y["group_key"] == x["group_key"]))
+        return F.transform(kept, lambda x, i: F.struct(x["group_key"].alias("group_key"), number(x, i).alias("item_no"), *[x[c].alias(c) for c in ("item_category", "officer", "address", "quantity")]))
+
+    def of(t: Column) -> Column:
+        at = places(t, item_category=(1, "item/category", "item"), officer=(2, "consignee/reporting", "reporting officer", "consignee"), address=(3, "address"), quantity=(4, "quantity"))
+        rows = let(at, lambda a: let(F.transform(body(t), marked), lambda m: grouped(m, a)))
+        kept = F.filter(rows, lambda x: x["group_key"].isNotNull() & (x["n"] > 0) & named_item(x))
+        return F.when(has_any(t, OFFICER), let(kept, numbered))
+
+    return or_empty(let(first_with(tables, "evaluation schedules"), of), "group_key:string,item_no:int,item_category:string,officer:string,address:string,quantity:string")
+
+
+def item_schedules(tables: Column) -> Column:
+    """key, item_category, estimated_value, quantity: by the label's number, else by the running count; of an equal key
+    the last, at the first place."""
+
+    def of(t: Column) -> Column:
+        at = places(
+            t, label=(0, "evaluation schedules", "मूल्यांकन अनुसूचियां"), item_category=(1, "item/category", "item", "वस्तु"),
+            estimated_value=(2, "estimated value", "अनुमानित मूल्य"), quantity=(3, "quantity", "मात्रा"),
+        )
+        rows = let(at, lambda a: F.transform(body(t), lambda r: F.struct(*[cell_at(r["cells"], a[c]).alias(c) for c in ("label", "item_category", "estimated_value", "quantity")])))
+        key = lambda x, i: F.coalesce(F.nullif(to_int(x["label"]), F.lit(0)), (i + 1).cast("bigint")).cast("string")
+        keyed = F.transform(F.filter(rows, named_item), lambda x, i: F.struct(key(x, i).alias("key"), *[x[c].alias(c) for c in ("item_category", "estimated_value", "quantity")]))
+        last = lambda all_of: F.transform(F.array_distinct(F.transform(all_of, lambda x: x["key"])), lambda k: F.element_at(F.filter(all_of, lambda x: x["key"] == k), -1))
+        return F.when(~has_any(t, OFFICER) & has_any(t, ("estimated value", "अनुमानित मूल्य", "item", "वस्तु")), let(keyed, last))
+
+    return or_empty(let(first_with(tables, "evaluation schedules"), of), "key:string,item_category:string,estimated_value:string,quantity:string")
+
+
+def consignees(tables: Column) -> Column:
+    """officer, address, quantity, delivery of all consignee tables, without repeats, in order."""
+
+    def of(t: Column) -> Column:
+        at = places(
+            t, number=(None, "s.no", "क्र.सं"), officer=(1, "reporting", "consignee reporting", "परेषिती/रिपोर्टिंग"), address=(2, "address", "पता"),
+            quantity=(3, "quantity", "मात्रा", "माना"), delivery=(4, "delivery", "डिलीवरी"),
+        )
+        fit = lambda r, a: (F.size(r["cells"]) >= 4) & (a["number"].isNull() | (a["number"] >= F.size(r["cells"])) | F.get(r["cells"], a["number"]).rlike(r"^\d+$"))
+        return let(at, lambda a: F.transform(F.filter(body(t), lambda r: fit(r, a)), lambda r: F.struct(*[cell_at(r["cells"], a[c]).alias(c) for c in ("officer", "address", "quantity", "delivery")])))
+
+    mine = F.filter(tables, lambda t: has_any(t, ("consignee", "reporting", "परेषिती")) & has_any(t, ("quantity", "मात्रा", "माना")))
+    person = lambda x: (x["officer"] != "") & ~_any([F.contains(F.lower(x["officer"]), F.lit(w)) for w in ("officer", "consignee", "reporting", "अधिकारी")])
+    found = F.filter(F.flatten(F.transform(mine, of)), person)
+    return or_empty(let(found, lambda all_of: F.filter(all_of, lambda x, i: F.array_position(all_of, x) == i + 1)), "officer:string,address:string,quantity:string,delivery:string")
+
+
+def table_quantities(tables: Column) -> Column:
+    """table_no, quantity: the sum of the quantities of each consignee table."""
+    mine = F.filter(tables, lambda t: has_any(t, ("consignee", "परेषिती")) & has_any(t, ("quantity", "मात्रा")))
+    zero = F.lit(0).cast("long")
+    total = lambda t, at: F.aggregate(body(t), zero, lambda n, r: n + F.coalesce(to_int(cell_at(r["cells"], at)), zero))
+    return or_empty(F.transform(mine, lambda t: F.struct(t["table_no"].alias("table_no"), let(column_index(t["header"], "quantity", "मात्रा", default=3), lambda at: total(t, at)).alias("quantity"))), "table_no:int,quantity:bigint")

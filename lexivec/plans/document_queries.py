@@ -116,7 +116,7 @@ def documents(spark, d: str) -> DataFrame:
 
 
 def rows(spark, d: str) -> DataFrame:
-    return tables.document_rows(documents(spark, d))
+    return tables.with_tables(documents(spark, d))
 
 
 def from_orders(*fields: tuple[str, str]) -> str:
@@ -139,7 +139,7 @@ PAIR_SQL = each_row([("true", [("pos", f"CAST({i + 1} AS INT)"), ("key", clean(l
 
 @query(f"SELECT * FROM ({PAIR_SQL}) WHERE pos <= {len(LISTED)}")
 def kv_pairs(spark, d):
-    kv = tables.key_values(rows(spark, d)).select("doc", F.posexplode("kv").alias("pos", "e"))
+    kv = rows(spark, d).select("doc", F.posexplode(tables.key_values(tables.pairs(F.col("tables")))).alias("pos", "e"))
     return kv.select("doc", (F.col("pos") + 1).alias("pos"), "e.key", "e.value").where(F.col("pos") <= len(LISTED))
 
 
@@ -152,7 +152,7 @@ def cells_of_tables(spark, d):
 
 @query(from_orders(("doc", K), ("total", s(TOTAL)), ("bank", "'Bank of ' || o_orderstatus"), ("nothing", "CAST(NULL AS STRING)"), ("emd", n(f"1000 + {AMOUNT} + CASE WHEN {K} % 2 = 1 THEN 500 ELSE 0 END"))))
 def kv_get(spark, d):
-    kv, get = tables.key_values(rows(spark, d)), lambda *p: tables.kv_get(F.col("kv"), *p)
+    kv, get = rows(spark, d).select("doc", tables.pairs(F.col("tables")).alias("kv")), lambda *p: tables.kv_get(F.col("kv"), *p)
     return kv.select("doc", get("nowhere", "total quantity").alias("total"), get("Advisory Bank").alias("bank"), get("no such key").alias("nothing"), sections.emd_total(F.col("kv")).alias("emd"))
 
 
@@ -165,7 +165,7 @@ PACKAGE = f"'Package ' || {s(f'{K} % 8 + 1')}"
 
 @query(each_row([(f"{K} % 4 = 2", entry(PACKAGE, 1, "'Bolt'", "'A. Person'", "'Pune'", s(A))), (f"{K} % 4 = 2", entry(PACKAGE, 2, "'Nut'", "'B. Person'", "'Goa'", s(B))), (f"{K} % 4 = 2", entry("'Package 9'", 1, "'Gear'", "'C. Person'", "'Agra'", "'7'"))]))
 def group_carry_forward(spark, d):
-    return tables.group_schedules(rows(spark, d))
+    return rows(spark, d).select("doc", F.inline(tables.group_schedules(F.col("tables"))))
 
 
 ITEM_FIELDS = ("key", "item_category", "estimated_value", "quantity")
@@ -173,7 +173,7 @@ ITEM_FIELDS = ("key", "item_category", "estimated_value", "quantity")
 
 @query(each_row([(f"{K} % 4 = 1", list(zip(ITEM_FIELDS, (key, *(clean(c) for c in ITEM_ROWS[i][1:]))))) for i, key in ((0, "'3'"), (2, "'2'"))]))
 def item_schedules(spark, d):
-    return tables.item_schedules(rows(spark, d)).drop("place")
+    return rows(spark, d).select("doc", F.inline(tables.item_schedules(F.col("tables"))))
 
 
 WHO_FIELDS = ("officer", "address", "quantity", "delivery")
@@ -184,14 +184,15 @@ GROUP_PEOPLE = [("'A. Person'", "'Pune'", s(A), s(A)), ("'Goa'", s(B), "''", "''
 
 @query(each_row([(f"{K} % 4 <> 2", [("place", "CAST(1 AS INT)"), *zip(WHO_FIELDS, PEOPLE[0][1:])]), (f"{K} % 4 <> 2", [("place", "CAST(2 AS INT)"), *zip(WHO_FIELDS, MORE_PEOPLE[1][1:])]), *[(f"{K} % 4 = 2", [("place", f"CAST({i + 1} AS INT)"), *zip(WHO_FIELDS, p)]) for i, p in enumerate(GROUP_PEOPLE)]]))
 def consignees_distinct(spark, d):
-    return tables.consignees(rows(spark, d)).select("doc", "place", *WHO_FIELDS)
+    found = rows(spark, d).select("doc", F.posexplode(tables.consignees(F.col("tables"))).alias("nth", "e"))
+    return found.select("doc", (F.col("nth") + 1).alias("place"), "e.*")
 
 
 @query(each_row([(f"{K} % 4 <> 2", [("nth", "CAST(1 AS INT)"), ("quantity", n(A))]), (f"{K} % 4 <> 2", [("nth", "CAST(2 AS INT)"), ("quantity", n(f"{A} + abs({B} - {A})"))]), (f"{K} % 4 = 2", [("nth", "CAST(1 AS INT)"), ("quantity", n(f"{A} + 7"))])]))
 def consignee_sums(spark, d):
     """The quantities of each consignee table; a minus sign is no digit."""
-    found = tables.table_quantities(rows(spark, d)).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("table_no", "quantity"))).alias("l"))
-    return found.select("doc", F.posexplode("l").alias("nth", "e")).select("doc", (F.col("nth") + 1).alias("nth"), "e.quantity")
+    found = rows(spark, d).select("doc", F.posexplode(tables.table_quantities(F.col("tables"))).alias("nth", "e"))
+    return found.select("doc", (F.col("nth") + 1).alias("nth"), "e.quantity")
 
 
 GENERIC = f"'Buyer Added Bid Specific Terms and Conditions 1. Pay in ' || {s(f'{K} % 99')} || ' days.'"

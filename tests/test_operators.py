@@ -317,3 +317,31 @@ def test_stop(spark, tmp_path):
         time.sleep(0.5)
     ingest.stop(q)
     assert not q.isActive and ingest.snapshot(spark, f"file://{tmp_path}/store").count() == 3
+
+
+def test_documents_keep_what_is_theirs(spark):
+    """Documents whose keys are equal or null, and equal documents, are parsed each by itself; nothing is shuffled."""
+    page = lambda dept, *more: f"<table><tr><td>Department Name</td><td>{dept}</td></tr>{''.join(more)}</table>"
+    again = "<tr><td>Department Name</td><td>Z</td></tr><tr><td>Total Quantity</td><td>7</td></tr>"
+    docs = spark.createDataFrame([(1, page("A"), "x"), (1, page("B"), "x"), (None, page("C"), "x"), (None, page("C"), "x"), (2, page("D", again), "x"), (3, None, "x"), (None, "", None)], "doc int, md string, product_type string")
+    parsed = sections.parse_documents(docs)
+    got = sorted(((r.doc, r.pdf.departments.department_name, r.pdf["items"].total_quantity_extracted) for r in parsed.collect()), key=str)
+    assert got == sorted([(1, "A", None), (1, "B", None), (None, "C", None), (None, "C", None), (2, "Z", 7), (3, None, None), (None, None, None)], key=str)
+    assert "Exchange" not in parsed._jdf.queryExecution().toString()
+
+
+def test_line_breaks_stay_on_demand(spark):
+    """strip_br=False keeps the tags that the parser passes on as text, and cells all the same."""
+    docs = spark.createDataFrame([(1, "<table><tr><td>Ministry</td><td>a &lt;br&gt;  b</td></tr></table>", "x")], "doc int, md string, product_type string")
+    names = [sections.parse_documents(docs, strip_br=b).first().pdf.departments.ministry_state_name for b in (True, False)]
+    assert names == ["a b", "a <br> b"]
+
+
+def test_pairs_of_equal_keys(spark):
+    rows = "".join(f"<tr><td>{k}</td><td>{v}</td></tr>" for k, v in [("EMD Amount", "10"), ("b", "1"), ("EMD Amount", "25"), ("emd amount (x)", "5"), ("b", "2"), ("", "no key"), ("one cell only", "")])
+    docs = tables.with_tables(spark.createDataFrame([(f"<table>{rows}<tr><td>alone</td></tr></table>",), (None,)], "md string"))
+    kv = docs.select(tables.pairs(F.col("tables")).alias("kv"))
+    got, none = kv.select(tables.key_values(F.col("kv")).alias("all"), tables.kv_get(F.col("kv"), "B").alias("b"), tables.kv_get(F.col("kv"), "emd").alias("emd"), sections.emd_total(F.col("kv")).alias("total")).collect()
+    assert [(e.key, e.value) for e in got["all"]] == [("EMD Amount", "25"), ("b", "2"), ("emd amount (x)", "5"), ("one cell only", "")]
+    assert (got.b, got.emd, got.total) == ("2", "25", 30)
+    assert (none.b, none.total) == (None, None) and not none["all"]
