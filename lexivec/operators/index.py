@@ -1,7 +1,7 @@
 """The search index: passages in overlapping windows, their vectors, word statistics, and their upkeep by record.
 
 Tables: chunks (chunk_id, bid_no, chunk_index, chunk, metadata, embedding), postings (term, bid_no, chunk_id, tf, dl), terms (term, df,
-idf) and corpus (one row: n, total, avgdl). A stored index grows by segments: an update adds the chunks and postings of its
+idf) and corpus (one row: n, total, avgdl and the other tables' columns). A stored index grows by segments: an update adds the chunks and postings of its
 records, names the records whose earlier ones no longer count (gone), and writes the terms and the corpus anew from
 those before and the difference, so that it reads postings of its own records alone. Postings lie sorted by term and
 chunks by chunk_id, so that a question reads the row groups of its words and of the chunks that it shows. The corpus
@@ -10,6 +10,7 @@ is written last: a segment without it isn't there.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexivec.functions.text import metadata_card, rich_text, text_or_empty, tokens
 from lexivec.operators.scratch import delete, tidied, written
@@ -59,11 +61,24 @@ def chunked(docs: DataFrame, key: str, body: Column, card: Column | None = None,
     return out.select(F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "*")
 
 
+def last_of_record(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Of rows with an equal key the greatest by order, whose last column tells all rows apart. Only keys that come twice meet,
+    and only their order does."""
+    twice = rows.groupBy(key).agg(F.count("*").alias("_n"), F.max(F.struct(*order)).alias("_last")).where("_n > 1")
+    last = twice.select(key, F.col(f"_last.{order[-1]}").alias("_place"))
+    return rows.join(last, key, "left").where(F.col("_place").isNull() | (F.col("_place") == F.col(order[-1]))).drop("_place")
+
+
 def record_chunks(records: DataFrame, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of records with META, keyed by bid_no, else document_url, else 'unknown'."""
+    """Chunks of records with META, keyed by bid_no, else document_url, else 'unknown-' and a hash of all that is indexed.
+
+    A record that comes more than once counts once, as it came last: by last_seen, where there is one, then by place."""
     have = lambda c: text_or_empty(F.col(c)) if c in records.columns else F.lit("")
-    named = F.coalesce(F.nullif(have("bid_no"), F.lit("")), F.nullif(have("document_url"), F.lit("")), F.lit("unknown"))
-    rows = records.select(named.alias("bid_no"), *[have(c).alias(c) for c in META[1:]], have(body).alias("_body"))
+    seen = F.col("last_seen") if "last_seen" in records.columns else F.lit(0)
+    rows = records.select(have("bid_no").alias("bid_no"), *[have(c).alias(c) for c in META[1:]], have(body).alias("_body"), seen.alias("_seen"), F.monotonically_increasing_id().alias("_row"))
+    content = F.md5(F.concat_ws("\x1f", *META[1:], "_body").cast("binary"))
+    named = F.coalesce(F.nullif("bid_no", F.lit("")), F.nullif("document_url", F.lit("")), F.concat(F.lit("unknown-"), content))
+    rows = last_of_record(written(rows.withColumn("bid_no", named), "records"), "bid_no", ["_seen", "_row"])
     card = metadata_card({c: F.col(c) for c in META})
     return chunked(rows, "bid_no", F.col("_body"), card, size, overlap, META[1:])
 
@@ -157,11 +172,18 @@ def segments(spark, root: str) -> list[int]:
     return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("segment=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def both(old: StructType | None, new: StructType) -> StructType:
+    """The new fields, then those that only the old ones have."""
+    names = set(new.names)
+    return StructType([*new, *[f for f in old or [] if f.name not in names]])
+
+
 def add_segment(spark, root: str, chunks: DataFrame, text: Column | None = None, gone: DataFrame | None = None, epsilon: float = 0.25) -> None:
     """Write chunks (chunk_id, bid_no, chunk, ...) as a segment. gone: bid_no of the records whose earlier chunks end."""
     done = segments(spark, root)
     k = done[-1] + 1 if done else 0
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/segment={k}")
+    columns: dict[str, StructType] = {}
     with tidied(spark):
         new = written(chunks, "chunks")
         text = rich(new) if text is None else text
@@ -170,6 +192,7 @@ def add_segment(spark, root: str, chunks: DataFrame, text: Column | None = None,
         if done:
             ended = written(gone.select("bid_no").distinct(), "gone")
             before, words = stored(spark, root)
+            columns = {"chunks": before.schema, "postings": words.postings.schema}
             old = before.join(ended, "bid_no", "left_semi")
             old_posts = written(words.postings.join(ended, "bid_no", "left_semi"), "old-postings")
             less = old.agg((-F.count("*")).alias("n")).crossJoin(old_posts.select("chunk_id", "dl").distinct().agg((-F.coalesce(F.sum("dl"), F.lit(0))).alias("total")))
@@ -179,23 +202,27 @@ def add_segment(spark, root: str, chunks: DataFrame, text: Column | None = None,
             put(ended, "gone")
         put(new.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "chunks")
         put(posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
-        corpus = written(corpus.withColumn("avgdl", F.col("total") / F.nullif(F.col("n"), F.lit(0))), "corpus")
+        # What columns all segments have, so that no reader looks for them in every file.
+        columns = {name: both(columns.get(name), df.schema).jsonValue() for name, df in (("chunks", new), ("postings", posts))}
+        corpus = written(corpus.withColumn("avgdl", F.col("total") / F.nullif(F.col("n"), F.lit(0))).withColumn("columns", F.lit(json.dumps(columns))), "corpus")
         put(with_idf(counted, corpus, epsilon).repartitionByRange("term").sortWithinPartitions("term"), "terms")
         put(corpus, "corpus")
 
 
 def reindex(spark, snapshot: DataFrame, root: str, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
     """Rebuild an index from a snapshot of records, with vectors where a model is given."""
-    chunks = record_chunks(snapshot, body, size, overlap)
-    delete(spark, *[f"{root}/{name}" for name in ("corpus", "chunks", "postings", "terms", "gone")])
-    add_segment(spark, root, embedded(chunks, embed) if embed else chunks)
+    with tidied(spark):
+        chunks = record_chunks(snapshot, body, size, overlap)
+        delete(spark, *[f"{root}/{name}" for name in ("corpus", "chunks", "postings", "terms", "gone")])
+        add_segment(spark, root, embedded(chunks, embed) if embed else chunks)
 
 
 def update(spark, records: DataFrame, root: str, body: str = "full_pdf_text", size: int = SIZE, overlap: int = OVERLAP, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
     """Replace the chunks of records, or add them; records without chunks keep theirs. Without an index this builds one."""
-    chunks = record_chunks(records, body, size, overlap)
-    chunks = embedded(chunks, embed) if embed else chunks
-    add_segment(spark, root, chunks, gone=chunks.select("bid_no").distinct())
+    with tidied(spark):
+        chunks = record_chunks(records, body, size, overlap)
+        chunks = embedded(chunks, embed) if embed else chunks
+        add_segment(spark, root, chunks, gone=chunks.select("bid_no").distinct())
 
 
 def remove(spark, keys: DataFrame, root: str) -> None:
@@ -207,13 +234,16 @@ def remove(spark, keys: DataFrame, root: str) -> None:
 def stored(spark, root: str) -> tuple[DataFrame, WordIndex]:
     """chunks and word tables of an index."""
     last = segments(spark, root)[-1]
-    read = lambda name: spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").where(F.col("segment") <= last)
+    terms, corpus = (spark.read.parquet(f"{root}/{name}/segment={last}") for name in ("terms", "corpus"))
+    columns = json.loads(corpus.first()["columns"])
+    segment = StructField("segment", IntegerType())
+    read = lambda name: spark.read.schema(StructType([*StructType.fromJson(columns[name]), segment])).parquet(f"{root}/{name}").where(F.col("segment") <= last)
     chunks, posts = read("chunks"), read("postings")
     if last:
-        gone = read("gone").groupBy(F.col("bid_no").alias("_key")).agg(F.max("segment").alias("_end"))
+        gone = spark.read.parquet(f"{root}/gone").where(F.col("segment") <= last).groupBy(F.col("bid_no").alias("_key")).agg(F.max("segment").alias("_end"))
         live = lambda df: df.join(gone, (F.col("bid_no") == F.col("_key")) & (F.col("segment") < F.col("_end")), "left_anti")
         chunks, posts = live(chunks), live(posts)
-    return chunks.drop("segment"), WordIndex(posts.drop("segment"), *(spark.read.parquet(f"{root}/{name}/segment={last}") for name in ("terms", "corpus")))
+    return chunks.drop("segment"), WordIndex(posts.drop("segment"), terms, corpus)
 
 
 def failed(chunks: DataFrame) -> DataFrame:

@@ -203,6 +203,28 @@ def index_build(spark, d):
     return chunks.select("bid_no", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
 
 
+TWICE_SQL = """WITH r AS (SELECT doc_id, 'first text of ' || doc_id || ' that a later one replaces' AS t, 0 AS k FROM documents UNION ALL
+        SELECT doc_id, 'text number ' || doc_id || ' of the record as it came last', 1 FROM documents WHERE doc_id % 3 = 0),
+    b AS (SELECT arg_max(t, k) AS t, CASE WHEN doc_id % 4 = 0 THEN 'http://p/' || doc_id WHEN doc_id % 4 <> 1 THEN 'b' || doc_id END AS key FROM r WHERE doc_id % 4 <> 1 GROUP BY doc_id
+          UNION ALL SELECT DISTINCT t, NULL FROM r WHERE doc_id % 4 = 1)"""
+
+
+@query(f"{TWICE_SQL} SELECT CASE WHEN key IS NULL THEN 'unknown' ELSE key END AS record, CAST(count(*) AS BIGINT) AS n_records, min(t) AS least, max(t) AS most FROM b GROUP BY 1")
+def record_once(spark, d):
+    """Records of which a third comes twice, in one batch; some have a number, some only an address, some neither: each has its
+    chunks once, from its last sighting, and those without a name are told apart by what they say."""
+    docs = landing.read_table(spark, d, "documents").select("doc_id")
+    name = lambda c, *kinds: F.when((F.col("doc_id") % 4).isin(*kinds), F.concat(F.lit(c), F.col("doc_id").cast("string"))).otherwise("")
+    one = lambda text, seen: docs.select(name("b", 2, 3).alias("bid_no"), name("http://p/", 0, 2).alias("document_url"), F.format_string(text, "doc_id").alias("full_pdf_text"), F.lit(seen).alias("last_seen"), "doc_id")
+    batch = one("text number %d of the record as it came last", 2).where("doc_id % 3 = 0").union(one("first text of %d that a later one replaces", 1))
+    root = scratch(spark, "index-of-repeats")
+    index.update(spark, batch.drop("doc_id"), root, size=5000)
+    chunks, words = index.stored(spark, root)
+    body = chunks.where("chunk_index = 1").withColumn("record", F.when(F.col("bid_no").startswith("unknown-"), "unknown").otherwise(F.col("bid_no")))
+    twice = chunks.groupBy("chunk_id").count().where("count > 1").select(F.col("chunk_id").alias("record"), F.col("count").alias("n_records"), F.lit("").alias("least"), F.lit("").alias("most"))
+    return body.groupBy("record").agg(F.count("*").alias("n_records"), F.min("chunk").alias("least"), F.max("chunk").alias("most")).union(twice)
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS bid_no, coalesce(lang, '') AS product_type, coalesce(source, '') AS department, '' AS ra_no, '' AS corrigendum_url, coalesce(CAST(n_chars AS VARCHAR), '') AS quantity FROM documents")
 def index_metadata(spark, d):
     """The metadata of each record's first chunk, '' where the record has none."""
