@@ -115,19 +115,20 @@ def relative_cut(rows: DataFrame, share: float = RELATIVE) -> DataFrame:
     return out.where((F.col("score") >= share * F.col("_first")) | (F.col("final_rank") == F.col("_rank"))).drop("_first", "_rank")
 
 
-def search(chunks: DataFrame, index: WordIndex | None, question: str, vector: Sequence[float] | None, top_k: int = 5, filters: dict[str, str] | None = None, rerank: Callable[[Column, Column], Column] | None = None, cut: bool = True) -> DataFrame:
+def search(chunks: DataFrame, index: WordIndex | None, question: str, vector: Sequence[float] | None, top_k: int = 5, filters: dict[str, str] | None = None, rerank: Callable[[Column, Column], Column] | None = None, cut: bool = True, near: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The rows that answer a question, best first by final_rank. chunks: chunk_id, bid_no, chunk, embedding and any
-    metadata. Without an index or without a vector only the other list counts."""
+    metadata. Without an index or without a vector only the other list counts. near: the search of a stored dense index
+    (topn), in place of a scan of all vectors."""
     spark = chunks.sparkSession
-    dense = dense_topn(chunks, vector, FETCH, filters) if vector is not None else spark.createDataFrame([], "chunk_id " + chunks.schema["chunk_id"].dataType.simpleString() + ", semantic double, dense_rank int")
+    dense = (near(vector, FETCH, filters) if near else dense_topn(chunks, vector, FETCH, filters)) if vector is not None else spark.createDataFrame([], "chunk_id " + chunks.schema["chunk_id"].dataType.simpleString() + ", semantic double, dense_rank int")
     if index is not None:
         sparse = bm25_topn(bm25_scores(index, question), chunks, FETCH, filters)
     else:
         sparse = spark.createDataFrame([], "chunk_id " + chunks.schema["chunk_id"].dataType.simpleString() + ", bm25 double, bm25_rank int")
     # At most FETCH rows of either list. As literals their ids reach the scan, which then reads few texts.
     both = fused(dense, sparse)
-    near = both.collect()
-    found = chunks.drop("embedding").where(F.col("chunk_id").isin([r.chunk_id for r in near])).join(F.broadcast(spark.createDataFrame(near, both.schema)), "chunk_id")
+    hits = both.collect()
+    found = chunks.drop("embedding").where(F.col("chunk_id").isin([r.chunk_id for r in hits])).join(F.broadcast(spark.createDataFrame(hits, both.schema)), "chunk_id")
     rows = without_noise(blended(reranked(pool(best_of_record(found), top_k), rerank, question)), top_k)
     rows = rows.select(*[c for c in chunks.columns if c != "embedding"], "final_rank", *[F.round(c, 4).alias(c) for c in ("score", "rerank", "semantic", "bm25")])
     return relative_cut(rows) if cut else rows

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import cards
 from lexivec.functions import text as T
-from lexivec.operators import index, legacy, reports, retrieval, sections, store, tables
+from lexivec.operators import dense_index, index, legacy, reports, retrieval, sections, store, tables
 from lexivec.plans import document_queries, engine, source_queries
 from lexivec.plans.registry import ORACLE_SQL, QUERIES, query
 from lexivec.operators.scratch import scratch
@@ -126,6 +126,40 @@ def dense_topk_filtered(spark, d):
     return retrieval.dense_topn(found_in(spark, d)[0], question_vector(spark, d), filters={"product_type": "fr"})
 
 
+#: Folders of dense indexes by application and table folder.
+BUILT_DENSE: dict[tuple[str, str], str] = {}
+
+
+def dense(spark: SparkSession, d: str) -> dense_index.DenseIndex:
+    """A stored dense index of chunk_table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in BUILT_DENSE:
+        root = scratch(spark, "dense-index")
+        chunks = chunk_table(spark, d).select("chunk_id", "embedding", "product_type")
+        dense_index.add(spark, root, chunks, keep=["product_type"])
+        BUILT_DENSE[key] = root
+    return dense_index.DenseIndex.opened(spark, BUILT_DENSE[key])
+
+
+@query(f"WITH {DENSE_ALL} SELECT chunk_id, round(cos, 4) AS semantic, CAST(row_number() OVER (ORDER BY cos DESC, chunk_id) AS INT) AS dense_rank FROM dn QUALIFY dense_rank <= 40")
+def dense_index_exact(spark, d):
+    """The stored index with all cells and without codes is exact search."""
+    return dense(spark, d).topn(question_vector(spark, d), exact=True)
+
+
+@query("SELECT vec_id AS query_id, true AS enough FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0")
+def dense_index_recall(spark, d):
+    """Every row is indexed; rows divisible by 20 ask, against all rows: each finds 0.7 or more of its 40 nearest, and all
+    together 0.9 or more, as SQL's ranking has them."""
+    built_index = dense(spark, d)
+    asked = chunk_table(spark, d).where("chunk_id % 20 = 0 and embedding is not null").select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = built_index.topn_of_all(asked).select("query_id", "chunk_id")
+    every = built_index.topn_of_all(asked, exact=True).select("query_id", "chunk_id", F.lit(1).alias("of"))
+    share = found.withColumn("hit", F.lit(1)).join(every, ["query_id", "chunk_id"], "right").groupBy("query_id").agg((F.sum("hit") / F.sum("of")).alias("recall"))
+    whole = share.agg(F.avg("recall").alias("mean"))
+    return share.crossJoin(F.broadcast(whole)).select("query_id", ((F.col("recall") >= 0.7) & (F.col("mean") >= 0.9)).alias("enough"))
+
+
 @query(f"WITH {BM25_SQL}, {DENSE_ALL}, {FUSE_SQL} SELECT chunk_id, round(CAST(rrf AS DOUBLE), 8) AS rrf, CAST(ord AS BIGINT) AS ord FROM fu")
 def rrf_fusion(spark, d):
     chunks, _ = found_in(spark, d)
