@@ -557,6 +557,22 @@ def test_near_duplicates(spark, monkeypatch, crowd):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id], 4)) for r in got)
 
 
+def test_bands_lose_no_pair():
+    """Random pairs at exactly the threshold, of few and of many shingles, have a band in common."""
+    rng = np.random.default_rng(7)
+    for percent, cases in ((80, ((4, 5), (8, 10), (20, 25), (80, 100), (400, 500))), (50, ((5, 10), (50, 100)))):
+        size = minhash.rows_of_band(percent / 100)
+        for common, union in cases:
+            sketches = []
+            for _ in range(1500):
+                h = rng.integers(0, 2**63, union, dtype=np.uint64) * np.uint64(2)
+                k = (union - common) // 2
+                sketches += [minhash.registers(h[: common + k]), minhash.registers(np.concatenate([h[:common], h[common + k :]]))]
+            keys = minhash.band_keys(np.array(sketches), size).reshape(1500, 2, -1)
+            assert (keys[:, 0] == keys[:, 1]).any(1).all()
+    assert minhash.rows_of_band(0.8) == 5 and minhash.rows_of_band(0.5) == 2
+
+
 def test_sketch_estimates():
     cache = shared.WordHashes()
     a = minhash.shingle_set(" ".join(f"a{i}" for i in range(2000)), 1, cache)
