@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import cards
 from lexivec.functions import text as T
-from lexivec.operators import dense_index, index, legacy, reports, retrieval, sections, store, tables
+from lexivec.operators import dense_index, index, legacy, reports, retrieval, sections, store, tables, word_blocks
 from lexivec.plans import document_queries, engine, source_queries
 from lexivec.plans.registry import ORACLE_SQL, QUERIES, query
 from lexivec.operators.scratch import scratch
@@ -116,6 +116,35 @@ def bm25_topn_postfilter(spark, d):
     return top.select("chunk_id", F.round("bm25", 4).alias("bm25"), "bm25_rank")
 
 
+BUILT_BLOCKS: dict[tuple[str, str], str] = {}
+
+
+def word_blocks_of(spark: SparkSession, d: str) -> word_blocks.WordBlocks:
+    """The stored blocks of the stored index."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in BUILT_BLOCKS:
+        root = scratch(spark, "word-blocks")
+        word_blocks.write(word_index(spark, d), root)
+        BUILT_BLOCKS[key] = root
+    return word_blocks.WordBlocks.opened(spark, BUILT_BLOCKS[key])
+
+
+@query(f"WITH {BM25_SQL}, k AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM s QUALIFY place <= 40) SELECT chunk_id, round(least(1.0, score / 20), 4) AS bm25, CAST(row_number() OVER (ORDER BY place) AS INT) AS bm25_rank FROM k JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'en'")
+def word_blocks_topn(spark, d):
+    """The same from blocks, of which only those are read that can matter."""
+    chunks, words = found_in(spark, d)
+    top = retrieval.bm25_topn(word_blocks_of(spark, d).topn(QUESTION).scores, chunks, filters={"product_type": "en"})
+    return top.select("chunk_id", F.round("bm25", 4).alias("bm25"), "bm25_rank")
+
+
+@query(f"WITH {BM25_SQL} SELECT DISTINCT term, true AS fewer FROM p JOIN q USING (term)")
+def word_blocks_skipped(spark, d):
+    """For a question of common words fewer blocks are scored than its words have."""
+    found = word_blocks_of(spark, d).topn(QUESTION)
+    known = word_index(spark, d).terms.where(F.col("term").isin(QUESTION.split()))
+    return known.select("term", F.lit(found.read < found.blocks).alias("fewer"))
+
+
 @query(f"WITH {DENSE_ALL} SELECT chunk_id, round(cos, 4) AS semantic, CAST(row_number() OVER (ORDER BY cos DESC, chunk_id) AS INT) AS dense_rank FROM dn QUALIFY dense_rank <= 40")
 def dense_topk(spark, d):
     return retrieval.dense_topn(found_in(spark, d)[0], question_vector(spark, d))
