@@ -6,6 +6,7 @@ pages for listing cards, events for sightings and runs, benchmark and conversati
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -516,6 +517,25 @@ def query_prefix(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.query_prefix(F.col("text"), F.lit("BAAI/bge-base-en-v1.5")).alias("q"), T.query_prefix(F.col("text"), F.lit("all-MiniLM-L6-v2")).alias("plain"))
 
 
+WORDS_SQL = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''), ' ')"
+
+
+@query(f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN trim('show ' || {WORDS_SQL}) WHEN 1 THEN 'f:department North East ' || coalesce(text, '') ELSE coalesce(text, '') END AS question,
+    CASE WHEN turn % 3 = 0 THEN 'department' END AS key, CASE WHEN turn % 3 = 0 THEN 'North East' END AS value, role || '=' AS k, 'v' AS v FROM conversations""")
+def chat_filter(spark, d):
+    """A filter before a question in a chat line, a line with half a filter, and one without; and a filter given as k=v."""
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("F:department = North East show "), T.text_or_empty(F.col("text")))).when(F.col("turn") % 3 == 1, F.concat(F.lit("f:department North East "), T.text_or_empty(F.col("text")))).otherwise(T.text_or_empty(F.col("text")))
+
+    def parse(lines: pd.Series, given: pd.Series) -> pd.DataFrame:
+        found = [engine.parse_chat(x) for x in lines]
+        first = [next(iter((f or {}).items()), (None, None)) for _, f in found]
+        plain = [next(iter((engine.parse_filter(x) or {}).items()), (None, None)) for x in given]
+        return pd.DataFrame({"question": [q for q, _ in found], "key": [k for k, _ in first], "value": [v for _, v in first], "k": [f"{k}=" for k, _ in plain], "v": [v for _, v in plain]})
+
+    parsed = F.pandas_udf(parse, "question string, key string, value string, k string, v string")(line, F.concat(F.lit(" "), "role", F.lit(" = v ")))
+    return table(spark, d, "conversations").select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.*")
+
+
 @query("SELECT event_id, round(1 / (1 + exp(-value / 10)), 6) AS s, least(1.0, value / 20) AS b, printf('%.2f%%', 100 * round(value, 0)) AS p FROM events")
 def score_scales(spark, d):
     v = F.col("value")

@@ -266,10 +266,10 @@ def index_incremental(spark, d):
     return words.terms.crossJoin(F.broadcast(words.corpus)).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"SELECT doc_id, md5({CARD_SQL} || chr(10) || regexp_replace(coalesce(text, ''), '\\s+$', '')) AS document_md5, md5(lower(' ' || coalesce(source, '') || '  ' || coalesce(lang, '') || ' ' || doc_id || ' ' || coalesce(text, ''))) AS rich_md5, substr(coalesce(text, ''), 1, 40) AS shown FROM documents WHERE length(trim(coalesce(text, ''))) > 0")
+@query(f"SELECT doc_id, md5(regexp_replace({CARD_SQL} || chr(10) || coalesce(text, ''), '\\s+$', '')) AS document_md5, md5(lower(' ' || coalesce(source, '') || '  ' || coalesce(lang, '') || ' ' || doc_id || ' ' || coalesce(text, ''))) AS rich_md5, substr(coalesce(text, ''), 1, 40) AS shown FROM documents")
 def record_texts(spark, d):
     """A record as one text, as the text of its words, and as it is shown in lists."""
-    rows = records(spark, d).where("length(trim(coalesce(full_pdf_text, ''))) > 0")
+    rows = records(spark, d)
     card = T.metadata_card({c: F.col(c) for c in ("bid_no", "product_type", "department", "quantity")})
     rich = T.rich_text(F.lit(""), F.col("department"), F.lit(""), F.col("product_type"), F.col("bid_no"), F.col("full_pdf_text"))
     return rows.select(F.col("bid_no").cast("long").alias("doc_id"), F.md5(T.record_document(card, F.col("full_pdf_text")).cast("binary")).alias("document_md5"), F.md5(rich.cast("binary")).alias("rich_md5"), T.shortened(F.col("full_pdf_text"), 40).alias("shown"))
@@ -312,17 +312,17 @@ def failing_consumer(spark, d):
     return ingest.errors(spark, f"{root}/store").select("batch", "what", "error", F.lit(met[-1]).cast("long").alias("n_new"), F.lit(flagged).cast("long").alias("n_flagged"))
 
 
-@query("WITH f AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 = 0), u AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM f WHERE length(text) > 100 AND length(text) < 700) SELECT term, count(*) AS df FROM u WHERE length(term) > 12 AND regexp_matches(term, '^[a-z]+$') GROUP BY term")
+@query(f"""WITH {PASSAGES_SQL}, t AS (SELECT u.bid_no, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(source, ''), coalesce(lang, ''), u.bid_no, chunk)), '\\s+'), lambda x: x <> '')) AS term
+    FROM u JOIN documents ON CAST(doc_id AS VARCHAR) = u.bid_no) SELECT term, count(DISTINCT bid_no) AS df FROM t GROUP BY term""")
 def stream_index(spark, d):
-    """Records arrive in two batches; the consumer of new ones keeps the index up to date."""
+    """All records arrive in two batches; the consumer of new ones keeps the index up to date."""
     root = scratch(spark, "stream-index")
-    docs = landing.read_table(spark, d, "documents").where("doc_id % 4 = 0 and length(text) > 100 and length(text) < 700")
-    rows = docs.select(F.col("doc_id").cast("string").alias("document_url"), F.col("doc_id").cast("string").alias("bid_no"), F.col("text").alias("full_pdf_text"), F.lit("x").alias("ra_no"), F.lit(1).alias("seen_at"))
+    rows = records(spark, d).withColumns({"document_url": F.col("bid_no"), "ra_no": F.lit(""), "seen_at": F.lit(1)})
     for k in range(2):
-        rows.where(F.col("bid_no").cast("long") % 8 == 4 * k).write.parquet(f"{root}/in/part={k}")
+        rows.where(F.col("bid_no").cast("long") % 2 == k).write.parquet(f"{root}/in/part={k}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        ingest.stream_upserts(stream, f"{root}/store", f"{root}/progress", store.KEY, "seen_at", ["bid_no", "full_pdf_text"], ["ra_no"], on_new=ingest.indexing(spark, f"{root}/index")).awaitTermination()
+        ingest.stream_upserts(stream, f"{root}/store", f"{root}/progress", store.KEY, "seen_at", ["bid_no", "product_type", "department", "quantity", "full_pdf_text"], ["ra_no"], on_new=ingest.indexing(spark, f"{root}/index")).awaitTermination()
     chunks, words = index.stored(spark, f"{root}/index")
-    of = words.postings.where("length(term) > 12 and term rlike '^[a-z]+$'").groupBy("term").agg(F.countDistinct("bid_no").alias("df"))
+    of = words.postings.groupBy("term").agg(F.countDistinct("bid_no").alias("df"))
     delete(spark, f"{root}/in")
     return of
