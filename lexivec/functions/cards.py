@@ -26,6 +26,7 @@ def card_date(text: Column, which: str) -> Column:
 def product_type(text: Column, bid_type: Column) -> Column:
     """A card's stated type, else the first word for a type that it holds, else the label of its record type."""
     text = text_or_empty(text)
+    # The pattern, and the words for types in this order.
     stated = F.regexp_extract(text, r"(?i)Type\s*[:\-]\s*(Product|Service|Works|Goods)", 1)
     out = F.when(stated != "", F.initcap(stated))
     for word in ("Service", "Product", "Works", "Goods"):
@@ -34,6 +35,7 @@ def product_type(text: Column, bid_type: Column) -> Column:
 
 
 def quantity(text: Column) -> Column:
+    # Fixed value: the pattern.
     found = F.replace(F.regexp_extract(text_or_empty(text), r"(?i)Quantity\s*[:\-]?\s*([\d][\d,]*)", 1), F.lit(","), F.lit(""))
     return F.coalesce(F.nullif(found, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 

@@ -88,6 +88,7 @@ def safe_key(x: Column) -> Column:
     return F.replace(F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown_bid")), F.lit("/"), F.lit("_"))
 
 
+# The patterns of both numbers.
 def record_number(x: Column) -> Column:
     return F.regexp_extract(text_or_empty(x), r"GEM/\d{4}/B/\d+", 0)
 
@@ -123,6 +124,7 @@ def label_of(key: Column, labels: dict[str, str]) -> Column:
 def evaluation_method(x: Column) -> Column:
     """How bids are evaluated: the first method that a document names."""
     x = text_or_empty(x)
+    # The methods' patterns and names.
     return (
         F.when(x.rlike(r"(?i)Item\s*wise\s*evaluation"), "Item_Wise")
         .when(x.rlike(r"(?i)Total\s*(?:value\s*)?wise\s*evaluation"), "Total_Wise")

@@ -53,7 +53,7 @@ def guarded(spark: SparkSession, root: str, number: int, what: str, act: Callabl
     try:
         act(rows)
     except Exception as e:  # noqa: BLE001 - a consumer's failure must not end the stream
-        row = spark.createDataFrame([(number, what, str(e)[:2000])], "batch long, what string, error string")
+        row = spark.createDataFrame([(number, what, str(e))], "batch long, what string, error string")
         row.coalesce(1).write.mode("overwrite").json(f"{errors_path(root)}/batch_no={number:012d}/{what}")
 
 
