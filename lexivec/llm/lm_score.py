@@ -1,8 +1,8 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of the whole table, are matched in all but their counts: one
-vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by 64-bit hashes, over all words of
-all documents. A document's score is the mean over its words and end of the target's loss less the background's; less is
+vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by 63-bit hashes, over all words of
+all documents; the vocabulary is all that occur, at any size. A document's score is the mean over its words and end of the target's loss less the background's; less is
 more like the target.
 
 A text is its words and an end mark, which belongs to the vocabulary. After a word w, a model gives x the probability
@@ -11,10 +11,11 @@ word, and what follows a word that the model hasn't seen, has the second fractio
 itself: its own counts are taken off (of the target's only if it belongs to it), so that a text's score tells what the
 rest of the corpus says of it.
 
-Documents are dealt by doc_id into blocks of some BLOCK bytes of text, so many as the measured text needs. A block
-counts its distinct words and pairs and deals them by ranges of hashes into as many buckets; a bucket adds up what all
-blocks say of its hashes and answers each block in the order in which it asked, so that a word or pair costs a block
-one count however often it has it, and no task holds more than its block or bucket. Nothing goes to the driver but the text's size.
+Rows are cut into blocks of some BLOCK bytes of text as tasks read them, so equal ids and equal texts need not meet. A
+block writes its documents as numbers of its distinct words, and one row for each distinct word and pair with its counts
+there. These rows are as many as the blocks' distinct words and pairs, whatever the number of blocks; they are summed by hash,
+where a hash has at most one row a block, and sums that differ from the block's own counts go back to it. Texts are read
+once; nothing goes to the driver but three sums.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; a null text has none; without words the losses and
 the score are null; if no other document is a target, the target's model is uniform; rows repeated count
@@ -23,37 +24,40 @@ repeatedly, and each is scored without itself alone; very long texts count like
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.shared import LOWER, ODD, WordHashes, mix
+from lexivec.llm.shared import LOWER, ODD, WordHashes, mix, saved, tidied
 
-#: Words that the smoothing allows for at least; where there are more distinct ones, it allows for those.
-VOCABULARY = 1 << 17
 #: Weight of the pair's share; added to each word's count.
 WEIGHT, ADDED = 0.6, 0.1
-#: Bytes of text in a block.
+#: Bytes of text in a block; a longer text is a block by itself.
 BLOCK = 24_000_000
+#: Rows of counts in a batch.
+ROWS = 200_000
 
-COUNTED = "bucket long, block long, marks binary, words binary, words_n binary, words_t binary, pairs binary, pairs_n binary, pairs_t binary"
-ADDED_UP = "block long, rank int, marks binary, words_n binary, words_t binary, pairs_n binary, pairs_t binary, n long, t long, distinct long"
+TOLD = "block long, doc_id long, member boolean, words binary, at int, hash long, n int, t int"
+TOLD_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("member", pa.bool_()), ("words", pa.binary()), ("at", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()), ("t", pa.int32())])
 SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
 #: Stands for a word's hash at the end of a text.
-FINISH = np.uint64(0x5851F42D4C957F2D)
+FINISH = np.uint64(0x5851F42D4C957F2C)
+#: Hashes of words are even, those of pairs odd.
+PAIR = np.uint64(1)
 
 
-def slots(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words and its end, and of each but the first with the one before it."""
+def slots(text: str | None, cache: WordHashes) -> np.ndarray:
+    """Hashes of a text's words and its end."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    h = np.append(cache.of(words), FINISH) if words else np.zeros(0, np.uint64)
-    return h, mix(h[:-1] * ODD + h[1:])
+    return np.append(cache.of(words) & ~PAIR, FINISH) if words else np.zeros(0, np.uint64)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -67,40 +71,44 @@ def unplaned(raw: bytes, kind: type) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block's documents: lengths in words and ends; distinct hashes of words and pairs in order; which of them each
-    word is, and each word but the first of a document with the one before it."""
+    """A block's documents: lengths in words and ends; the number of each word; distinct pairs of numbers in order, and
+    which of them each word but the first of a document is with the one before it."""
 
     lengths: np.ndarray
-    words: np.ndarray
     word: np.ndarray
     pairs: np.ndarray
     pair: np.ndarray
 
     @classmethod
-    def of(cls, texts: pa.ChunkedArray) -> Block:
-        cache = WordHashes()
-        found = [slots(t.as_py(), cache) for t in texts]
-        none = [np.zeros(0, np.uint64)]
-        words, word = np.unique(np.concatenate([w for w, _ in found] or none), return_inverse=True)
-        pairs, pair = np.unique(np.concatenate([p for _, p in found] or none), return_inverse=True)
-        return cls(np.array([len(w) for w, _ in found], np.int64), words, word, pairs, pair)
+    def of(cls, lengths: np.ndarray, word: np.ndarray) -> Block:
+        after = ~cls.starts(lengths)
+        both = (word[:-1].astype(np.uint64) << np.uint64(32) | word[1:].astype(np.uint64))[after[1:]]
+        return cls(lengths, word, *np.unique(both, return_inverse=True))
 
-    def first(self) -> np.ndarray:
+    @staticmethod
+    def starts(lengths: np.ndarray) -> np.ndarray:
         """Whether each word is the first of its document."""
-        out = np.zeros(len(self.word), bool)
-        out[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        out = np.zeros(int(lengths.sum()), bool)
+        out[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
         return out
 
+    def counts(self, member: np.ndarray | None = None) -> np.ndarray:
+        """How often each distinct word, then each distinct pair, occurs in the documents, or in those that are members."""
+        of_word = np.repeat(np.ones(len(self.lengths), bool) if member is None else member, self.lengths)
+        words = int(self.word.max(initial=-1)) + 1
+        return np.concatenate([np.bincount(self.word[of_word], minlength=words), np.bincount(self.pair[of_word[~self.starts(self.lengths)]], minlength=len(self.pairs))])
+
     def own(self, at: np.ndarray, document: np.ndarray) -> np.ndarray:
         """How often each item's document has it."""
         _, back, n = np.unique(document * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
         return n[back]
 
-    def losses(self, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int, member: np.ndarray) -> np.ndarray:
+    def losses(self, counts: np.ndarray, total: int, vocabulary: int, member: np.ndarray) -> np.ndarray:
         """Loss of each word after the one before it, by a model's counts of the distinct words and pairs, less those of
         the document itself if it is a member of the model's corpus."""
         document = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        after, mine = ~self.first(), member[document]
+        after, mine = ~self.starts(self.lengths), member[document]
+        words, pairs = counts[: len(counts) - len(self.pairs)], counts[len(counts) - len(self.pairs) :]
         n = (words[self.word] - np.where(mine, self.own(self.word, document), 0)).astype(np.float64)
         both = pairs[self.pair] - np.where(mine[after], self.own(self.pair, document[after]), 0)
         p = (n + ADDED) / ((total - self.lengths * member)[document] + ADDED * vocabulary)
@@ -109,81 +117,83 @@ class Block:
         return -np.log(p)
 
 
-def among(ids: pa.ChunkedArray, some: np.ndarray) -> np.ndarray:
-    """Which of the ids, null never, are among some."""
-    return np.isin(ids.fill_null(0).to_numpy(), some) & ids.is_valid().to_numpy()
+def told_of(block: int, ids: list, members: list[bool], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A block's rows: its documents, then its distinct words and pairs with their counts."""
+
+    def batch(size: int, **cols) -> pa.RecordBatch:
+        whole = {"block": np.full(size, block), **cols}
+        return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(size, f.type) for f in TOLD_ARROW], schema=TOLD_ARROW)
+
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    distinct, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    found = Block.of(lengths, word)
+    numbers = np.split(word.astype(np.uint32), np.cumsum(lengths)[:-1])
+    yield batch(len(ids), doc_id=ids, member=members, words=[planes(x) for x in numbers])
+    first, second = (distinct[(found.pairs >> np.uint64(s)) & np.uint64(0xFFFFFFFF)] for s in (32, 0))
+    keys = np.concatenate([distinct, mix(first * ODD + second) | PAIR]).view(np.int64)
+    n, t = found.counts(), found.counts(np.array(members))
+    for at in range(0, len(keys), ROWS):
+        some = slice(at, at + ROWS)
+        size = len(keys[some])
+        yield batch(size, at=np.arange(at, at + size), hash=keys[some], n=n[some], t=t[some])
+
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, member) as blocks, see TOLD."""
 
-def places(spark: SparkSession, n: int, tasks: int) -> list[int]:
-    """So many keys, a multiple of tasks, that Spark's hash partitioning deals evenly."""
-    rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, n // tasks).alias("ids")).collect()
-    return sorted(i for r in rows for i in r.ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        block, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
+        for batch in batches:
+            for doc_id, member, text in zip(batch["doc_id"].to_pylist(), batch["member"].to_pylist(), batch["text"]):
+                text = text.as_py()
+                for part, value in zip(held, (doc_id, member, slots(text, cache))):
+                    part.append(value)
+                size += len(text or "")
+                if size >= BLOCK:
+                    yield from told_of(block, *held)
+                    block, size, held = block + 1, 0, ([], [], [])
+        if held[0]:
+            yield from told_of(block, *held)
+
+    return rows.select("doc_id", "member", "text").mapInArrow(run, TOLD)
 
 
-def dealt(key: Column, keys: list[int]) -> Column:
-    return F.element_at(F.lit(keys), (F.pmod(key, F.lit(len(keys))) + 1).cast("int")).cast("long")
+def corrections(told: DataFrame) -> DataFrame:
+    """block, at, n, t: counts over all blocks where they differ from the block's own."""
+    everywhere = Window.partitionBy("hash")
+    sums = told.where("at is not null").select("block", "at", "n", "t", F.sum("n").over(everywhere).alias("all_n"), F.sum("t").over(everywhere).alias("all_t"))
+    return sums.where("all_n <> n or all_t <> t").select("block", "at", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score of every document; the target is those whose doc_id is in target."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = places(spark, tasks * max(1, -(-size // (tasks * BLOCK))), tasks)
-    ranks = {key: k for k, key in enumerate(keys)}
-    edges = np.array([(k << 64) // len(keys) for k in range(1, len(keys))], np.uint64)
-
-    def count(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("marks", pa.binary()), *((f"{k}{x}", pa.binary()) for k in ("words", "pairs") for x in ("", "_n", "_t"))])
-        if not texts.num_rows:
-            return out.empty_table()
-        block = Block.of(texts["text"])
-        ids = texts["doc_id"]
-        asked = marks["doc_id"].to_numpy()
-        mine = among(ids, asked)
-        of_word = np.repeat(mine, block.lengths)
-        cols = {"bucket": keys, "block": [texts["block"][0].as_py()] * len(keys), "marks": [asked.tobytes(), *[b""] * (len(keys) - 1)]}
-        for name, distinct, at, own in (("words", block.words, block.word, of_word), ("pairs", block.pairs, block.pair, of_word[~block.first()])):
-            n, t = (np.bincount(x, minlength=len(distinct)).astype(np.uint32) for x in (at, at[own]))
-            cuts = np.searchsorted(distinct, edges)
-            cols[name] = [planes(np.diff(x, prepend=np.uint64(0))) for x in np.split(distinct, cuts)]
-            cols[f"{name}_n"], cols[f"{name}_t"] = ([planes(x) for x in np.split(c, cuts)] for c in (n, t))
-        return pa.table(cols, out)
-
-    def add_up(told: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {"block": told["block"].to_pylist(), "marks": told["marks"].to_pylist(), "rank": [ranks[told["bucket"][0].as_py()]] * told.num_rows}
-        for name in ("words", "pairs"):
-            asked = [np.cumsum(unplaned(x.as_py(), np.uint64), dtype=np.uint64) for x in told[name]]
-            distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
-            cuts = np.cumsum([len(x) for x in asked])[:-1]
-            for x in ("n", "t"):
-                own = np.concatenate([unplaned(c.as_py(), np.uint32) for c in told[f"{name}_{x}"]])
-                total = np.bincount(at, own, len(distinct)).astype(np.uint64)
-                cols[f"{name}_{x}"] = [planes(c) for c in np.split(total[at], cuts)]
-                if name == "words":
-                    cols[x] = [int(total.sum())] * told.num_rows
-            if name == "words":
-                cols["distinct"] = [len(distinct)] * told.num_rows
-        kinds = {"block": pa.int64(), "rank": pa.int32(), "marks": pa.binary(), **{f"{k}_{x}": pa.binary() for k in ("words", "pairs") for x in ("n", "t")}, "n": pa.int64(), "t": pa.int64(), "distinct": pa.int64()}
-        return pa.table({k: pa.array(cols[k], v) for k, v in kinds.items()})
+    with tidied(docs.sparkSession) as keep:
+        return keep(saved(scored(docs, target), "scores"))
+
+
+def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
+    # Labels grow with the documents: they are written once an id, so that Spark knows their size when it chooses the join.
+    marks = saved(target.select(F.col("doc_id").cast("long").alias("marked")).where("marked is not null").distinct(), "marks")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks, F.col("doc_id") == F.col("marked"), "left")
+    told = saved(blocks(rows.withColumn("member", F.col("marked").isNotNull())), "blocks")
+    words = told.where("at is not null and hash & 1 = 0").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    vocabulary, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def judge(texts: pa.Table, sums: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return SCORED_ARROW.empty_table()
-        block = Block.of(texts["text"])
-        sums = sums.sort_by("rank")
-        whole = lambda name: np.concatenate([unplaned(x.as_py(), np.uint64) for x in sums[name]])
-        vocabulary = max(VOCABULARY, sum(sums["distinct"].to_pylist()))
-        mine = among(texts["doc_id"], np.frombuffer(b"".join(sums["marks"].to_pylist()), np.int64))
-        t, b = (block.losses(whole(f"words_{x}").astype(np.int64), whole(f"pairs_{x}").astype(np.int64), sum(sums[x].to_pylist()), vocabulary, of) for x, of in (("t", mine), ("n", np.ones(len(mine), bool))))
+        numbers = [unplaned(x.as_py(), np.uint32) for x in texts["words"]]
+        block = Block.of(np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers).astype(np.int64))
+        member = texts["member"].to_numpy()
+        losses = []
+        for name, total, of in zip("tn", totals, (member, np.ones(len(member), bool))):
+            counts = block.counts(of)
+            counts[sums["at"].to_numpy()] = sums[name].to_numpy()
+            losses.append(block.losses(counts, total, vocabulary, of))
         cuts = np.cumsum(block.lengths)[:-1]
-        means = [[float(x.mean()) if len(x) else None for x in np.split(v, cuts)] for v in (t, b, t - b)]
+        means = [[float(x.mean()) if len(x) else None for x in np.split(v, cuts)] for v in (*losses, losses[0] - losses[1])]
         return pa.table([texts["doc_id"].combine_chunks(), np.maximum(block.lengths - 1, 0), *(pa.array(m, pa.float64()) for m in means)], SCORED_ARROW)
 
-    # Labels grow with the documents, so they are dealt like these at every size. Texts without doc_id have no label.
-    texts = rows.select(dealt(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), keys).alias("block"), "doc_id", "text")
-    marks = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").select(dealt(F.xxhash64(F.col("doc_id").cast("string")), keys).alias("block"), "doc_id").distinct()
-    told = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(count, COUNTED)
-    sums = told.groupBy("bucket").applyInArrow(add_up, ADDED_UP)
-    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(judge, SCORED)
+    texts = told.where("words is not null").select("block", "doc_id", "member", "words")
+    return texts.groupBy("block").cogroup(corrections(told).groupBy("block")).applyInArrow(judge, SCORED)

@@ -898,12 +898,13 @@ def test_lm_score(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mine", F.lit(0)).withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in lm_score.score(docs, docs.where("doc_id < 3")).collect()}
     split = [(i, (t or "").lower().split()) for i, t in rows]
+    vocabulary = len({w for _, x in split for w in x}) + 1
     for i, w in split:
         if not w:
             assert got[i].n_words == 0 and got[i].score is None and got[i].loss_target is None
             continue
-        target = BruteModel([x for k, x in split if k < 3], lm_score.VOCABULARY, w if i < 3 else None).loss(w)
-        background = BruteModel([x for _, x in split], lm_score.VOCABULARY, w).loss(w)
+        target = BruteModel([x for k, x in split if k < 3], vocabulary, w if i < 3 else None).loss(w)
+        background = BruteModel([x for _, x in split], vocabulary, w).loss(w)
         assert got[i].n_words == len(w) and np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [target, background, target - background], rtol=1e-9)
     assert got[1].score < got[6].score and got[6].loss_background < got[5].loss_background
 
@@ -937,7 +938,7 @@ def test_lm_edges(edge, none):
         by_id[r.doc_id].append(r)
     assert all(r.n_words == 0 and r.score is None for i in (1, 2, 3) for r in by_id[i]) and by_id[None][0].n_words == 4
     assert len(by_id[6]) == 2 and by_id[6][0] == by_id[6][1] and by_id[5][0].n_words == 30_000 and abs(by_id[5][0].score - by_id[6][0].score) < 1e-12
-    uniform = np.log(lm_score.VOCABULARY)
+    uniform = np.log(len({w for r in edge.collect() for w in (r.text or "").encode().lower().split()}) + 1)
     assert all(abs(r.loss_target - uniform) < 1e-9 for i, rs in by_id.items() for r in rs if r.score is not None)
 
 
@@ -950,7 +951,7 @@ def test_lm_counts_are_exact(spark, monkeypatch):
     got = {x.doc_id: x for x in lm_score.score(docs, docs.where("doc_id % 3 = 0")).collect()}
     low = {i: t.split() for i, t in [*rows, (None, "x1 x2 x1 x2")]}
     vocabulary = len({w for x in low.values() for w in x})
-    assert vocabulary > lm_score.VOCABULARY and len(got) == 151
+    assert vocabulary > 100_000 and len(got) == 151
     texts = {"target": [x for i, x in low.items() if i is not None and i % 3 == 0], "all": list(low.values())}
     models = {k: BruteModel(v, vocabulary + 1) for k, v in texts.items()}
     for i, x in low.items():
@@ -970,6 +971,23 @@ def test_lm_counts_are_exact(spark, monkeypatch):
             assert np.allclose([got[i].loss_target, got[i].loss_background, got[i].score], [*want, want[0] - want[1]], rtol=1e-9)
 
 
+def test_lm_blocks_send_what_they_have(spark, monkeypatch):
+    """Rows of counts are the blocks' distinct words and pairs, whatever the number of blocks; a third of all rows with one
+    id, and as many without any, are spread over blocks, and scores don't depend on how rows are cut."""
+    rows = [(i, " ".join(words(i, 40))) for i in range(300)] + [(7, "one text in many rows")] * 200 + [(None, "no id in many rows")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = docs.where("doc_id < 50")
+    marked = docs.withColumn("member", F.lit(False))
+    got = {}
+    for size in (300, 3_000, 10**9):
+        monkeypatch.setattr(lm_score, "BLOCK", size)
+        told = lm_score.blocks(marked).where("at is not null").groupBy("block").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("distinct"), F.max("at").alias("last")).collect()
+        assert all(r.n == r.distinct == r["last"] + 1 for r in told)
+        got[size] = len(told), sorted((str(r.doc_id), r.n_words, round(r.loss_target, 12), round(r.loss_background, 12)) for r in lm_score.score(docs, target).collect())
+    assert got[300][0] > 5 * got[3_000][0] and got[10**9][0] <= docs.rdd.getNumPartitions()
+    assert got[300][1] == got[3_000][1] == got[10**9][1] and len(got[300][1]) == len(rows)
+
+
 # ---- pipeline
 
 
