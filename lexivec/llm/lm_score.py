@@ -1,7 +1,7 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of the whole table, are matched in all but their counts: one
-vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by 63-bit hashes, over all words of
+vocabulary, one smoothing. Words and pairs of adjacent words are counted exactly, by hashes of 63 bits and one that tells pairs from words, over all words of
 all documents; the vocabulary is all that occur, at any size. A document's score is the mean over its words and end of the target's loss less the background's; less is
 more like the target.
 
@@ -11,11 +11,11 @@ word, and what follows a word that the model hasn't seen, has the second fractio
 itself: its own counts are taken off (of the target's only if it belongs to it), so that a text's score tells what the
 rest of the corpus says of it.
 
-Rows are cut into blocks of some BLOCK bytes of text as tasks read them, so equal ids and equal texts need not meet. A
-block writes its documents as numbers of its distinct words, and one row for each distinct word and pair with its counts
-there. These rows are as many as the blocks' distinct words and pairs, whatever the number of blocks; they are summed by hash,
-where a hash has at most one row a block, and sums that differ from the block's own counts go back to it. Texts are read
-once; nothing goes to the driver but three sums.
+Rows are written once with their membership and cut into blocks of some BLOCK bytes of text as tasks read them, so equal
+ids and equal texts need not meet. A block sends its distinct words and pairs by the first PREFIX bits of their hashes,
+one row a prefix, so rows grow with the text and not with its square. Rows are sorted by prefix; prefixes are added up one
+after another, some at once, and each block gets its counts back in the order of its hashes. A prefix holds a 65,536th of
+what all blocks have: some 300 KB at 30 GB, 1 GB at 100 TB. Nothing goes to the driver but three sums.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; a null text has none; without words the losses and
 the score are null; if no other document is a target, the target's model is uniform; rows repeated count
@@ -24,13 +24,14 @@ repeatedly, and each is scored without itself alone; very long texts count like
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.shared import LOWER, ODD, WordHashes, mix, saved, tidied
@@ -39,11 +40,17 @@ from lexivec.llm.shared import LOWER, ODD, WordHashes, mix, saved, tidied
 WEIGHT, ADDED = 0.6, 0.1
 #: Bytes of text in a block; a longer text is a block by itself.
 BLOCK = 24_000_000
-#: Rows of counts in a batch.
-ROWS = 200_000
-
-TOLD = "block long, doc_id long, member boolean, words binary, at int, hash long, n int, t int"
-TOLD_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("member", pa.bool_()), ("words", pa.binary()), ("at", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()), ("t", pa.int32())])
+#: Bits of a hash by which counts are dealt, and bytes of hashes that are added up at once.
+PREFIX, AT_ONCE = 16, 16_000_000
+LOW = np.uint64(64 - PREFIX)
+LOW_BYTES = (64 - PREFIX) // 8
+
+MESSAGE = "prefix int, block long, low binary, n binary, t binary"
+MESSAGE_ARROW = pa.schema([("prefix", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+NUMBERED = "block long, doc_id long, member boolean, words binary"
+NUMBERED_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("member", pa.bool_()), ("words", pa.binary())])
+ANSWER = "block long, prefix int, n binary, t binary, n_words long, t_words long, distinct long"
+ANSWER_ARROW = pa.schema([("block", pa.int64()), ("prefix", pa.int32()), ("n", pa.binary()), ("t", pa.binary()), ("n_words", pa.int64()), ("t_words", pa.int64()), ("distinct", pa.int64())])
 SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
@@ -117,29 +124,45 @@ class Block:
         return -np.log(p)
 
 
-def told_of(block: int, ids: list, members: list[bool], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A block's rows: its documents, then its distinct words and pairs with their counts."""
+def cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of fixed numbers of bytes as binaries that end after so many rows."""
+    offsets = np.append(0, ends).astype(np.int32) * np.int32(x.itemsize * x[0].size)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def hashes_of(words: np.ndarray, found: Block) -> np.ndarray:
+    """Hashes of a block's distinct words, then of its distinct pairs."""
+    first, second = (words[(found.pairs >> np.uint64(k)) & np.uint64(0xFFFFFFFF)] for k in (32, 0))
+    return np.concatenate([words, mix(first * ODD + second) | PAIR])
+
 
-    def batch(size: int, **cols) -> pa.RecordBatch:
-        whole = {"block": np.full(size, block), **cols}
-        return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(size, f.type) for f in TOLD_ARROW], schema=TOLD_ARROW)
+def messages(block: int, ids: list, members: list[bool], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """A block's distinct words and pairs with their counts, one row a prefix, both in order."""
+    words, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    found = Block.of(np.array([len(h) for h in hashes], np.int64), word)
+    keys = hashes_of(words, found)
+    if not len(keys):
+        return pa.RecordBatch.from_pylist([], MESSAGE_ARROW)
+    order = np.argsort(keys)
+    keys = keys[order]
+    prefix = (keys >> LOW).astype(np.int32)
+    ends = np.append(np.flatnonzero(np.diff(prefix)) + 1, len(keys))
+    n, t = (found.counts(of)[order].astype(np.uint32) for of in (None, np.array(members)))
+    low = keys.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+    return pa.RecordBatch.from_arrays([pa.array(prefix[ends - 1]), pa.array(np.full(len(ends), block)), cut(low, ends), cut(n, ends), cut(t, ends)], schema=MESSAGE_ARROW)
 
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    distinct, word = np.unique(np.concatenate(hashes), return_inverse=True)
-    found = Block.of(lengths, word)
-    numbers = np.split(word.astype(np.uint32), np.cumsum(lengths)[:-1])
-    yield batch(len(ids), doc_id=ids, member=members, words=[planes(x) for x in numbers])
-    first, second = (distinct[(found.pairs >> np.uint64(s)) & np.uint64(0xFFFFFFFF)] for s in (32, 0))
-    keys = np.concatenate([distinct, mix(first * ODD + second) | PAIR]).view(np.int64)
-    n, t = found.counts(), found.counts(np.array(members))
-    for at in range(0, len(keys), ROWS):
-        some = slice(at, at + ROWS)
-        size = len(keys[some])
-        yield batch(size, at=np.arange(at, at + size), hash=keys[some], n=n[some], t=t[some])
 
+def numbered(block: int, ids: list, members: list[bool], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """A block's documents as numbers of its distinct words, and a row with their hashes (member null)."""
+    words, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    each = np.split(word.astype(np.uint32), np.cumsum([len(h) for h in hashes])[:-1])
+    cols = [[block] * (len(ids) + 1), [*ids, None], [*members, None], [*map(planes, each), words.tobytes()]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, NUMBERED_ARROW)], schema=NUMBERED_ARROW)
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, member) as blocks, see TOLD."""
+
+def blocks(rows: DataFrame, make: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What is made of each block of rows (doc_id, member, text), a written table. Blocks are numbered by the task that
+    reads them, so that each scan of the same files makes the same ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -151,19 +174,53 @@ def blocks(rows: DataFrame) -> DataFrame:
                     part.append(value)
                 size += len(text or "")
                 if size >= BLOCK:
-                    yield from told_of(block, *held)
+                    yield make(block, *held)
                     block, size, held = block + 1, 0, ([], [], [])
         if held[0]:
-            yield from told_of(block, *held)
-
-    return rows.select("doc_id", "member", "text").mapInArrow(run, TOLD)
+            yield make(block, *held)
+
+    return rows.select("doc_id", "member", "text").mapInArrow(run, schema)
+
+
+def added_up(told: DataFrame) -> DataFrame:
+    """Counts over all blocks for each message, as planes of numbers, and rows (block null) with sums over words: all,
+    the target's, distinct ones."""
+
+    def add(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        lows = [x.as_py() for x in rows["low"]]
+        sizes = np.array([len(x) // LOW_BYTES for x in lows])
+        keys = np.zeros((int(sizes.sum()), 8), np.uint8)
+        keys[:, :LOW_BYTES] = np.frombuffer(b"".join(lows), np.uint8).reshape(-1, LOW_BYTES)
+        keys = keys.view(np.uint64).ravel() | np.repeat(rows["prefix"].to_numpy().astype(np.uint64), sizes) << LOW
+        distinct, at = np.unique(keys, return_inverse=True)
+        word = distinct & PAIR == 0
+        cols, sums = [rows["block"].to_pylist(), rows["prefix"].to_pylist()], []
+        for name in ("n", "t"):
+            own = np.frombuffer(b"".join(x.as_py() for x in rows[name]), np.uint32)
+            total = np.bincount(at, own, len(distinct)).astype(np.uint64)
+            cols.append([planes(x) for x in np.split(total[at], np.cumsum(sizes)[:-1])])
+            sums.append(int(total[word].sum()))
+        nothing = [None] * rows.num_rows
+        whole = [[*c, last] for c, last in zip([*cols, nothing, nothing, nothing], [None, None, None, None, *sums, int(word.sum())])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(whole, ANSWER_ARROW)], schema=ANSWER_ARROW)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            prefix = batch["prefix"].to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist()]
+            for k, start in enumerate(starts):
+                if size >= AT_ONCE and (k or held[-1]["prefix"][-1].as_py() != prefix[0]):
+                    yield from add(held)
+                    held, size = [], 0
+                some = batch.slice(start, (starts[k + 1] if k + 1 < len(starts) else len(prefix)) - start)
+                size += pc.sum(pc.binary_length(some["low"])).as_py()
+                held.append(some)
+        if held:
+            yield from add(held)
 
-def corrections(told: DataFrame) -> DataFrame:
-    """block, at, n, t: counts over all blocks where they differ from the block's own."""
-    everywhere = Window.partitionBy("hash")
-    sums = told.where("at is not null").select("block", "at", "n", "t", F.sum("n").over(everywhere).alias("all_n"), F.sum("t").over(everywhere).alias("all_t"))
-    return sums.where("all_n <> n or all_t <> t").select("block", "at", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
+    return told.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, ANSWER)
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -176,24 +233,29 @@ def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
     # Labels grow with the documents: they are written once an id, so that Spark knows their size when it chooses the join.
     marks = saved(target.select(F.col("doc_id").cast("long").alias("marked")).where("marked is not null").distinct(), "marks")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks, F.col("doc_id") == F.col("marked"), "left")
-    told = saved(blocks(rows.withColumn("member", F.col("marked").isNotNull())), "blocks")
-    words = told.where("at is not null and hash & 1 = 0").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    vocabulary, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = saved(rows.select("doc_id", "text", F.col("marked").isNotNull().alias("member")), "texts")
+    answers = saved(added_up(blocks(rows, messages, MESSAGE)), "counts")
+    sums = answers.where("block is null").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("distinct", "t_words", "n_words")])
+    vocabulary, *totals = sums.first()
 
     def judge(texts: pa.Table, sums: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return SCORED_ARROW.empty_table()
+        words = np.frombuffer(texts.filter(pc.is_null(texts["member"]))["words"][0].as_py(), np.uint64)
+        texts = texts.filter(pc.is_valid(texts["member"]))
         numbers = [unplaned(x.as_py(), np.uint32) for x in texts["words"]]
         block = Block.of(np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers).astype(np.int64))
+        order = np.argsort(hashes_of(words, block))
+        sums = sums.sort_by("prefix")
         member = texts["member"].to_numpy()
         losses = []
         for name, total, of in zip("tn", totals, (member, np.ones(len(member), bool))):
-            counts = block.counts(of)
-            counts[sums["at"].to_numpy()] = sums[name].to_numpy()
+            counts = np.zeros(len(order), np.int64)
+            counts[order] = np.concatenate([unplaned(x.as_py(), np.uint64) for x in sums[name]] or [np.zeros(0, np.uint64)])
             losses.append(block.losses(counts, total, vocabulary, of))
         cuts = np.cumsum(block.lengths)[:-1]
         means = [[float(x.mean()) if len(x) else None for x in np.split(v, cuts)] for v in (*losses, losses[0] - losses[1])]
         return pa.table([texts["doc_id"].combine_chunks(), np.maximum(block.lengths - 1, 0), *(pa.array(m, pa.float64()) for m in means)], SCORED_ARROW)
 
-    texts = told.where("words is not null").select("block", "doc_id", "member", "words")
-    return texts.groupBy("block").cogroup(corrections(told).groupBy("block")).applyInArrow(judge, SCORED)
+    asked = answers.where("block is not null").select("block", "prefix", "n", "t")
+    return blocks(rows, numbered, NUMBERED).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(judge, SCORED)

@@ -972,19 +972,20 @@ def test_lm_counts_are_exact(spark, monkeypatch):
 
 
 def test_lm_blocks_send_what_they_have(spark, monkeypatch):
-    """Rows of counts are the blocks' distinct words and pairs, whatever the number of blocks; a third of all rows with one
-    id, and as many without any, are spread over blocks, and scores don't depend on how rows are cut."""
+    """Rows of counts are at most the blocks' distinct words and pairs, and one a prefix, whatever the number of blocks; a third of all rows with one
+    id, and as many without any, are spread over blocks, and scores don't depend on how rows are cut or added up."""
     rows = [(i, " ".join(words(i, 40))) for i in range(300)] + [(7, "one text in many rows")] * 200 + [(None, "no id in many rows")] * 200
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     target = docs.where("doc_id < 50")
-    marked = docs.withColumn("member", F.lit(False))
+    marked = shared.saved(docs.withColumn("member", F.lit(False)), "marked")
     got = {}
-    for size in (300, 3_000, 10**9):
+    for size, at_once in ((300, 50), (3_000, 10**9), (10**9, 1)):
         monkeypatch.setattr(lm_score, "BLOCK", size)
-        told = lm_score.blocks(marked).where("at is not null").groupBy("block").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("distinct"), F.max("at").alias("last")).collect()
-        assert all(r.n == r.distinct == r["last"] + 1 for r in told)
-        got[size] = len(told), sorted((str(r.doc_id), r.n_words, round(r.loss_target, 12), round(r.loss_background, 12)) for r in lm_score.score(docs, target).collect())
-    assert got[300][0] > 5 * got[3_000][0] and got[10**9][0] <= docs.rdd.getNumPartitions()
+        monkeypatch.setattr(lm_score, "AT_ONCE", at_once)
+        told = lm_score.blocks(marked, lm_score.messages, lm_score.MESSAGE)
+        assert told.count() == told.dropDuplicates(["block", "prefix"]).count()
+        got[size] = told.select("block").distinct().count(), sorted((str(r.doc_id), r.n_words, round(r.loss_target, 12), round(r.loss_background, 12)) for r in lm_score.score(docs, target).collect())
+    assert got[300][0] > 5 * got[3_000][0] and got[10**9][0] <= marked.rdd.getNumPartitions()
     assert got[300][1] == got[3_000][1] == got[10**9][1] and len(got[300][1]) == len(rows)
 
 
