@@ -14,7 +14,7 @@ from lexivec.plans.document_queries import CATEGORY, METHOD, flat, from_orders
 from lexivec.plans.document_queries import documents as order_documents
 from lexivec.plans.document_queries import PARSED, evaluated
 from lexivec.plans.registry import query
-from lexivec.sources import landing
+from lexivec.sources import landing, paged
 from lexivec.streaming import ingest
 
 # ---- sources
@@ -48,6 +48,29 @@ def until_empty(spark, d):
     return landing.until_empty(pages, "user_id", "event_id", "fresh").select("user_id", "event_id")
 
 
+MONTH = "(year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1"
+OF_PAGE = f"o_orderkey % 2 = 1 AND ({MONTH} + length(o_orderpriority)) % 23 NOT IN (19, 20, 21)"
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS listing, {MONTH} AS page, o_orderkey, {OF_PAGE} AS new FROM orders WHERE o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED', '5-LOW')),
+    n AS (SELECT listing, page, count(o_orderkey) AS cards, count(*) FILTER (new) AS fresh FROM (SELECT DISTINCT listing FROM o) CROSS JOIN (SELECT unnest(generate_series(0, 100)) AS page) LEFT JOIN o USING (listing, page) GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN cards = 0 THEN 2 WHEN fresh = 0 THEN 1 ELSE 0 END AS step FROM n),
+    g AS (SELECT *, sum(CASE WHEN step = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY listing ORDER BY page) AS run FROM s),
+    k AS (SELECT *, sum(step) OVER (PARTITION BY listing, run ORDER BY page) AS streak FROM g),
+    b AS (SELECT *, max(streak) OVER (PARTITION BY listing ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
+    SELECT listing, CAST(page AS INT) AS page, o_orderkey, new FROM o JOIN b USING (listing, page) WHERE coalesce(before, 0) < 3""")
+def paged_listing(spark, d):
+    """Captured pages, one a month of each priority, asked for in turn until three in a row have nothing new; of two
+    priorities no page is asked for."""
+    folder = scratch(spark, "pages")
+    orders = landing.read_table(spark, d, "orders")
+    cards = orders.select(F.col("o_orderpriority").alias("listing"), F.expr(MONTH).alias("page"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("card"), F.expr(OF_PAGE).alias("new"))).alias("value"))
+    cards.repartition("listing", "page").write.partitionBy("listing", "page").text(folder)
+    names = [r[0] for r in orders.select("o_orderpriority").distinct().collect()]
+    rows = paged.paged_listing(spark, names, paged.captured_pages(folder)).where(F.col("listing").isin("1-URGENT", "4-NOT SPECIFIED", "5-LOW"))
+    return rows.select("listing", "page", F.col("card").cast("long").alias("o_orderkey"), "new")
+
+
 @query("SELECT s_name AS url, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 'body of ' || s_name END AS body, CAST(CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 3 END AS INT) AS attempts, CASE WHEN s_suppkey % 4 = 3 THEN 'attempt 3 failed' END AS error FROM supplier")
 def fetch_with_retries(spark, d):
     """Each fourth document needs one attempt, two, three, or never comes."""
