@@ -48,8 +48,8 @@ def until_empty(spark, d):
     return landing.until_empty(pages, "user_id", "event_id", "fresh").select("user_id", "event_id")
 
 
-MONTH = "(year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1"
-OF_PAGE = f"o_orderkey % 2 = 1 AND ({MONTH} + length(o_orderpriority)) % 23 NOT IN (19, 20, 21)"
+MONTH = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1"
+OF_PAGE = f"o_orderkey % 2 = 1 AND ({MONTH} + 4 * length(o_orderpriority)) % 67 NOT IN (64, 65, 66)"
 
 
 @query(f"""WITH o AS (SELECT o_orderpriority AS listing, {MONTH} AS page, o_orderkey, {OF_PAGE} AS new FROM orders WHERE o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED', '5-LOW')),

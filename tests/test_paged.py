@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexivec.plans import queries as own
 from lexivec.sources import paged
+from tests.oracle import DATA
 
 #: Of each page, whether each of its cards is new.
 PAGES = {
@@ -66,3 +68,9 @@ def test_a_failing_page_is_asked_for_again(spark, tmp_path):
 
     with pytest.raises(Exception, match="no answer at all"):
         paged.paged_listing(spark, ["ends"], never, delay=0.0, name="paged_never").collect()
+
+
+def test_the_query_ends_listings_before_their_last_page(spark):
+    """Each of the three listings gives rows, and none all of its 80 pages."""
+    last = {r.listing: r["max(page)"] for r in own.QUERIES["paged_listing"](spark, DATA).groupBy("listing").agg(F.max("page")).collect()}
+    assert len(last) == 3 and len(set(last.values())) == 3 and 0 < min(last.values()) and max(last.values()) < 79
