@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -98,13 +100,13 @@ def paged_listing(spark: SparkSession, listings: Sequence[str], fetch: FetchPage
 
 def captured_pages(folder: str) -> FetchPage:
     """Pages that were captured below a folder that all executors see, a page a folder of JSON lines {card, new}:
-    listing=NAME/page=N."""
+    listing=NAME/page=N. A folder that the executor doesn't see is an error, not a listing without pages."""
 
     def fetch(listing: str, page: int) -> list[Card]:
-        from pathlib import Path
-        from urllib.parse import quote
-
-        where = Path(folder.removeprefix("file://")) / f"listing={quote(listing, safe=' -')}" / f"page={page}"
+        root = Path(folder.removeprefix("file://"))
+        if not root.is_dir():
+            raise FileNotFoundError(f"captured pages must be in a folder that executors can open: {folder}")
+        where = root / f"listing={quote(listing, safe=' -')}" / f"page={page}"
         rows = [json.loads(line) for f in sorted(where.glob("part-*")) for line in f.read_text().splitlines()]
         return [(r.get("card"), r["new"]) for r in rows]
 

@@ -74,3 +74,12 @@ def test_the_query_ends_listings_before_their_last_page(spark):
     """Each of the three listings gives rows, and none all of its 80 pages."""
     last = {r.listing: r["max(page)"] for r in own.QUERIES["paged_listing"](spark, DATA).groupBy("listing").agg(F.max("page")).collect()}
     assert len(last) == 3 and len(set(last.values())) == 3 and 0 < min(last.values()) and max(last.values()) < 79
+
+
+def test_pages_that_executors_do_not_see_are_an_error(spark, tmp_path):
+    for folder in (f"file://{tmp_path}/nothing", "hdfs://host/pages"):
+        with pytest.raises(FileNotFoundError):
+            paged.captured_pages(folder)("ends", 0)
+    (tmp_path / "listing=ends" / "page=0").mkdir(parents=True)
+    (tmp_path / "listing=ends" / "page=0" / "part-0").write_text('{"card": "a", "new": true}\n{"new": false}\n')
+    assert paged.captured_pages(f"file://{tmp_path}")("ends", 0) == [("a", True), (None, False)] and not paged.captured_pages(str(tmp_path))("ends", 1)
