@@ -6,6 +6,8 @@ pages for listing cards, events for sightings and runs, benchmark and conversati
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lexivec.functions import cards
 from lexivec.functions import text as T
 from lexivec.operators import dense_index, index, legacy, reports, retrieval, sections, store, tables, word_blocks
 from lexivec.plans import document_queries, engine, source_queries
+from lexivec.plans.config import Config
 from lexivec.plans.registry import ORACLE_SQL, QUERIES, query
 from lexivec.operators.scratch import scratch
 from lexivec.sources.landing import read_table as table
@@ -214,12 +217,28 @@ LEGACY_SQL = """
 
 @query(f"WITH {DENSE_ALL}, {LEGACY_SQL} SELECT bid_no, chunk_id, round(CAST(keyword AS DOUBLE), 4) AS keyword, round(CAST(score AS DOUBLE), 4) AS score FROM b QUALIFY row_number() OVER (ORDER BY score DESC, chunk_id) <= 5")
 def legacy_hybrid(spark, d):
-    rows = chunk_table(spark, d).where("embedding is not null").withColumn("semantic", retrieval.cosine(F.col("embedding"), question_vector(spark, d)))
-    rows = rows.select("chunk_id", "bid_no", "semantic", F.lit("").alias("full_item_name"), F.concat_ws(" ", "department", "product_type").alias("department"), F.lit("").alias("bid_type"), F.lit("").alias("product_type"))
-    out = legacy.legacy_search(rows, F.lit("show the en of src1"), 5)
+    out = legacy.legacy_search(legacy_candidates(spark, d), F.lit("show the en of src1"), 5)
     return out.select("bid_no", "chunk_id", F.round("keyword", 4).alias("keyword"), F.round("score", 4).alias("score"))
 
 
+def legacy_candidates(spark, d):
+    rows = chunk_table(spark, d).where("embedding is not null").withColumn("semantic", retrieval.cosine(F.col("embedding"), question_vector(spark, d)))
+    return rows.select("chunk_id", "bid_no", "semantic", F.lit("").alias("full_item_name"), F.concat_ws(" ", "department", "product_type").alias("department"), F.lit("").alias("bid_type"), F.lit("").alias("product_type"))
+
+
+@query(f"""WITH {DENSE_ALL}, {LEGACY_SQL}, p(preset, top_k, share) AS (VALUES ('precision', 3, 0.7::DOUBLE), ('recall', 10, 0.5), ('balanced', 5, 0.6), ('speed', 3, 0.6), ('environment', 7, 0.25)),
+    r AS (SELECT *, row_number() OVER (ORDER BY semantic DESC, chunk_id) AS place FROM f),
+    a AS (SELECT preset, top_k, bid_no, chunk_id, share * semantic + (1 - share) * least(1.0, (1.5 * len(list_intersect(['show', 'en', 'src1'], dep)) / 3) / 6.5)::DOUBLE AS score FROM r JOIN p ON place <= 4 * top_k),
+    o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY preset, bid_no ORDER BY score DESC, chunk_id) = 1)
+    SELECT preset, bid_no, chunk_id, round(score, 4) AS score FROM o QUALIFY row_number() OVER (PARTITION BY preset ORDER BY score DESC, chunk_id) <= top_k""")
+def legacy_presets(spark, d):
+    """The older ranking by each bundle of settings, and by settings from an environment."""
+    settings = {name: Config().preset(name) for name in legacy.PRESETS} | {"environment": Config.from_env({"LEXIVEC_TOP_K": "7", "LEXIVEC_SEMANTIC": "0.25"})}
+    rows = legacy_candidates(spark, d)
+    found = [legacy.legacy_search(rows, F.lit("show the en of src1"), c.top_k, share=c.semantic).withColumn("preset", F.lit(name)) for name, c in settings.items()]
+    return reduce(DataFrame.unionByName, found).select("preset", "bid_no", "chunk_id", F.round("score", 4).alias("score"))
+
+
 # ---- index
 
 WINDOW_SQL = """
