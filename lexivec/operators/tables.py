@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.html_tables import html_tables
-from lexivec.functions.text import clean_text, to_int
+from lexivec.functions.text import to_int
 
 
-def table_rows(cells: DataFrame, strip_br: bool = True) -> DataFrame:
-    """doc, table_no, row_no, cells (array of cleaned texts), first_rowspan, from cells one by one. The documents' keys must differ."""
-    one = F.struct("cell_no", clean_text(F.col("text"), strip_br).alias("t"), "rowspan")
-    rows = cells.groupBy("doc", "table_no", "row_no").agg(F.array_sort(F.collect_list(one)).alias("c"))
-    return rows.select("doc", "table_no", "row_no", F.transform("c", lambda x: x["t"]).alias("cells"), F.get("c", F.lit(0))["rowspan"].alias("first_rowspan"))
+def table_rows(docs: DataFrame, key: str = "doc", md: str = "md", strip_br: bool = True) -> DataFrame:
+    """key, table_no, row_no, cells (array of cleaned texts), first_rowspan of all rows, each from its document's row."""
+    found = docs.select(key, html_tables(F.col(md), strip_br).alias("tables")).select(key, F.inline("tables"))
+    return found.select(key, "table_no", F.inline("rows"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,11 +29,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def with_tables(docs: DataFrame, md: str = "md", strip_br: bool = True, name: str = "tables") -> DataFrame:
     """The documents with their tables, cells cleaned."""
-    row = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(r["cells"], lambda c: clean_text(c, strip_br)).alias("cells"), r["first_rowspan"].alias("first_rowspan"))
-    parsed = docs.withColumn(name, html_tables(F.col(md)))
-    cleaned = parsed.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), F.transform(t["rows"], row).alias("rows"))))
+    parsed = docs.withColumn(name, html_tables(F.col(md), strip_br))
     header = lambda t: F.get(t["rows"], F.lit(0))["cells"]
-    return cleaned.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), header(t).alias("header"), F.lower(F.array_join(header(t), " ")).alias("header_text"), t["rows"].alias("rows"))))
+    return parsed.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), header(t).alias("header"), F.lower(F.array_join(header(t), " ")).alias("header_text"), t["rows"].alias("rows"))))
 
 
 def body(table: Column) -> Column:
@@ -49,17 +46,15 @@ def pairs(tables: Column) -> Column:
 
 def key_values(pairs: Column) -> Column:
     """The pairs with different keys: of an equal key the last value, at the first place."""
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1))
+    last = lambda p, back: F.transform(F.array_distinct(F.reverse(back)), lambda k: F.get(p, (F.size(p) - F.array_position(back, k)).cast("int")))
+    return let(pairs, lambda p: let(F.reverse(F.transform(p, lambda e: e["key"])), lambda back: last(p, back)))
 
 
 def kv_get(pairs: Column, *patterns: str) -> Column:
-    """Of the first key that contains one of the patterns, in any case, the last value; null without one. One pass."""
+    """Of the first key that contains one of the patterns, in any case, the last value; null without one."""
     hit = lambda e: _any([F.contains(e["low"], F.lit(p.lower())) for p in patterns])
-    pair = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
-    none = F.lit(None).cast("string")
-    step = lambda found, e: F.when(found["key"].isNull() & hit(e), pair(e["key"], e["value"])).when(found["key"] == e["key"], pair(found["key"], e["value"])).otherwise(found)
-    return F.aggregate(pairs, pair(none, none), step)["value"]
+    same = lambda hits: F.filter(hits, lambda e: e["key"] == F.get(hits, F.lit(0))["key"])
+    return let(F.filter(pairs, hit), lambda hits: F.try_element_at(same(hits), F.lit(-1))["value"])
 
 
 def _any(conditions: Sequence[Column]) -> Column:

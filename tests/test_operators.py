@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,31 @@ def test_html_cells():
     assert html_tables.table_cells(None) == []
 
 
+ODD_TABLES = [
+    "<table><tr><td>A &amp; B</td><th rowspan=2 colspan=\"3\">x</th></tr><tr><td>n<b>m</b></td>out<td></td></tr></table><td>no</td>", "<table><tr><td>1<td>2<tr><td>3</table>", "<TABLE><TR><TD>a</TD></TR></TABLE>",
+    "<table><tr><td>n<table><tr><td>in</td></tr></table></td></tr></table>", "<table><tr><td>a < b</td><td><!-- <td> -->c</td></tr></table>", "<table><tr><td title='<td>'>a</td><td/>b</tr></table>", "<table><tr><td>a</td></tr>", "<table><tr></tr><tr><td>\0</td><td> \t</td></tr></table> &lt;td>",
+    "<table><tr><td>a<script><td>x</td></script></td></tr></table>", "<tr><td>a</td></tr><table><td>b</td><tr><td>c &lt;br /&gt; \u3000d</td></tr></table>", "<table><tr><td rowspan=\" 2 \">a</td><></tr></table>",
+]
+
+
+def test_plain_tables_need_no_parser(monkeypatch):
+    """Documents of known tags are read in one pass; all others as the parser reads them."""
+    for md in ODD_TABLES:
+        found = html_tables.plain_rows(md)
+        assert found is None or found == html_tables.parsed_rows(md), md
+    assert [html_tables.plain_rows(md) is None for md in ODD_TABLES[:4]] == [False, False, True, True]
+    monkeypatch.setattr(html_tables, "table_cells", None)
+    assert html_tables.tables_of(pa.array([ODD_TABLES[0], None])).to_pylist() == [[{"table_no": 0, "rows": [{"row_no": 0, "cells": ["A & B", "x"], "first_rowspan": 1}, {"row_no": 1, "cells": ["nm", ""], "first_rowspan": 1}]}], []]
+
+
+def test_cells_are_cleaned_like_texts(spark):
+    texts = [" a  b ", "", "\t", "x<br>y<BR />z", "\u3000é\xa0\x1c\x85e", "a\n b", " ", "<br\x0b/>"]
+    for strip_br in (True, False):
+        want = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.clean_text(F.col("t"), strip_br).alias("c")).collect()]
+        assert html_tables.cleaned(texts, strip_br) == want
+        assert html_tables.cleaned([*texts, "a \0  b"], strip_br) == [*want, "a \0 b"]
+
+
 def test_sections(spark):
     md = """<table><tr><td>Item Category</td><td>Bolt,Nut</td></tr><tr><td>Total Quantity</td><td>11</td></tr><tr><td>EMD Amount</td><td>1,000</td></tr>
     <tr><td>EMD Amount 2</td><td>500</td></tr><tr><td>Advisory Bank</td><td>SBI</td></tr><tr><td>ePBG Percentage</td><td>3.00</td></tr><tr><td>Evaluation Method</td><td>Group wise evaluation</td></tr>
