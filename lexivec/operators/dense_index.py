@@ -2,7 +2,7 @@
 
 Vectors have length one. Centres of cells and, for each of PARTS slices of a vector, up to CODES codewords of the
 differences to the centres are trained by k-means on at most ``sample`` vectors. Every vector lies in the folder of its
-nearest cell, with its code, in files of a bounded number of rows: a question reads the folders of the cells nearest to it alone, scores
+nearest cell, with its code, in files of a bounded number of rows: a question reads the folders of the cells that promise most for it alone, scores
 codes by sums from a table, and compares the best of them exactly. How many cells (probes) and how many codes a result (depth)
 that takes is measured when the index is trained: the least of a few settings with which sampled vectors find their
 nearest ones among the sample. All cells without codes are exact search.
@@ -84,9 +84,15 @@ class Model:
     def cells_of(self, x: np.ndarray) -> np.ndarray:
         return nearest(x, self.centres)
 
+    def promise(self, q: np.ndarray) -> np.ndarray:
+        """By question (rows) and cell the cosine that the cell's better vectors may have: that of its centre and twice the spread round it.
+        Vectors have length one, so the shorter a cell's centre, the wider it is; a dense crowd's cell is narrow, but its
+        centre's cosine is that of all its vectors."""
+        return q @ self.centres.T + 2 * np.sqrt(np.maximum(0.0, 1 - (self.centres**2).sum(1)) / self.centres.shape[1])
+
     def probed(self, q: np.ndarray, probes: int | None) -> list[int]:
-        """The cells nearest to a question."""
-        return np.argsort(-(self.centres @ q - (self.centres**2).sum(1) / 2))[: probes or self.probes].tolist()
+        """The cells that promise most for a question."""
+        return np.argsort(-self.promise(q))[: probes or self.probes].tolist()
 
     def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         rest = x - self.centres[cells]
@@ -108,7 +114,7 @@ class Model:
         codes = self.codes(x, cells)
         exact = asked @ x.T
         best = [set(np.argsort(-e)[:k].tolist()) for e in exact]
-        near = np.argsort(-(asked @ self.centres.T - (self.centres**2).sum(1) / 2), 1)
+        near = np.argsort(-self.promise(asked), 1)
         coded = [self.scores(q, codes, cells) for q in asked]
         n = len(self.centres)
         for self.probes in sorted({max(1, -(-n * share // 100)) for share in (1, 2, 5, 10, 20, 35, 50, 70, 85, 100)}):

@@ -112,3 +112,18 @@ def test_a_large_cell_has_many_files(spark, monkeypatch):
     sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 500 and max(sizes) < 400
+
+
+def test_a_crowd_aside_is_found():
+    """Near copies at a cosine of 0.42 are a question's nearest, though their cell's centre lies further off than those of wide cells."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    crowd = unit(rng.normal(size=64))
+    x = np.concatenate([unit(rng.normal(size=(3000, 64))), unit(crowd + 0.02 * rng.normal(size=(150, 64)))])
+    model = dense_index.Model.trained(x, len(x))
+    aside = unit(rng.normal(size=(20, 64)))
+    asked = unit(0.42 * crowd + 0.91 * unit(aside - np.outer(aside @ crowd, crowd)))
+    cells = model.cells_of(x)
+    for q in asked:
+        best = np.argsort(-(x @ q))[:40]
+        assert np.isin(cells[best], model.probed(q, len(model.centres) // 2)).mean() >= 0.7
