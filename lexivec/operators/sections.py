@@ -92,6 +92,10 @@ def split_clean(raw: Column, pattern: str) -> Column:
 def items(names: Column, total: Column, quantities: Column) -> Column:
     """struct<total_quantity_extracted, quantity_match_flag, items>: one name takes the total, several the tables'
     quantities by place if they are as many."""
+    return tables.let(names, lambda n: _items(n, total, quantities))
+
+
+def _items(names: Column, total: Column, quantities: Column) -> Column:
     same = F.size(names) == F.size(quantities)
     listed = F.transform(names, lambda x, i: F.struct((i + 1).alias("n"), x.alias("item_category"), F.when(F.size(names) == 1, total).when(same, F.get(quantities, i)).alias("quantity")))
     extracted = F.aggregate(listed, F.lit(0).cast("long"), lambda s, e: s + F.coalesce(e["quantity"], F.lit(0).cast("long")))
@@ -146,12 +150,16 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     blank = F.lit("")
     by_group = F.transform(F.array_sort(tables.group_schedules(found)), lambda x: F.struct(x["group_key"].alias("group_key"), F.concat(F.lit("Item_"), x["item_no"].cast("string")).alias("item_key"), x["item_category"].alias("item_category"), x["officer"].alias("officer"), x["address"].alias("address"), x["quantity"].alias("quantity"), blank.alias("estimated_value")))
     by_item = F.transform(tables.item_schedules(found), lambda x: F.struct(blank.alias("group_key"), x["key"].alias("item_key"), x["item_category"].alias("item_category"), blank.alias("officer"), blank.alias("address"), x["quantity"].alias("quantity"), x["estimated_value"].alias("estimated_value")))
-    base = terms(tables.with_tables(base, "md", strip_br)).withColumns({
+    base = tables.with_tables(terms(base), "md", strip_br).withColumns({
         "kv": tables.pairs(found), "sums": F.transform(tables.table_quantities(found), lambda x: x["quantity"]), "by_group": by_group, "by_item": by_item,
         "people": tables.consignees(found).cast(f"array<{person}>"),
     })
-    kv_col = F.col("kv")
-    get = lambda *p: tables.kv_get(kv_col, *p)
+    asked: dict[tuple[str, ...], str] = {}
+
+    def get(*patterns: str) -> Column:
+        """A field of the column that holds each value once, however often expressions below name it."""
+        return F.col("got")[asked.setdefault(patterns, f"v{len(asked)}")]
+
     js = F.col("js")
     text = lambda path, *p: present_first(js, path, get(*p))
     number = lambda path, *p: present_first(js, path, to_int(get(*p))).try_cast("long")
@@ -161,16 +169,16 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
     total = number("items.total_quantity_extracted", "Total Quantity", "कुल मात्रा")
     emd_bank = F.coalesce(text("financials.emd.advisory_bank", "Advisory Bank", "एडवाईजरी बैंक"), blank)
     epbg_bank = F.coalesce(text("financials.epbg.advisory_bank", "Advisory Bank", "एडवाइजरी बैंक"), blank)
-    amount = present_first(js, "financials.emd.amount_total", emd_total(kv_col)).try_cast("long")
+    amount = present_first(js, "financials.emd.amount_total", F.col("got")["emd"]).try_cast("long")
     auction = flag("ra.bid_to_ra_enabled", "Bid to RA enabled", "बिड से रिवर्स नीलामी")
-    low = F.lower(method)
+    low = F.lower("method")
     nothing = F.array().cast(f"array<{entry}>")
     given = objects(js, "$.evaluation.schedules")
     given_by_item = F.transform(given, lambda e: schedule(blank, e["key"], e["value"]))
     given_by_group = F.flatten(F.transform(given, lambda g: F.transform(objects(g["value"], "$"), lambda e: schedule(tables.group_key(g["key"]), e["key"], e["value"]))))
     either = lambda a, b: F.when(F.size(a) > 0, a).otherwise(F.coalesce(b, nothing))
     schedules = F.when(F.contains(low, F.lit("total")), nothing).when(F.contains(low, F.lit("item")), either(given_by_item, F.col("by_item"))).when(F.contains(low, F.lit("group")), either(given_by_group, F.col("by_group"))).otherwise(given_by_item)
-    from_json = given_items(js, total)
+    from_json = F.when(js.isNotNull(), given_items(js, total))
     from_text = items(split_clean(get("Item Category", "वस्तु श्रेणी"), ","), total, F.col("sums"))
     some_people = given_list(js, "$.consignees", person)
     required = split_clean(get("Document required from seller", "विक्रेता से मांगे गए", "विकेता से"), r",\s*(?=[A-Z*])")
@@ -186,8 +194,8 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
             text("departments.ministry_state_name", "Ministry", "मंत्रालय").alias("ministry_state_name"), text("departments.department_name", "Department Name", "विभाग का नाम").alias("department_name"),
             text("departments.organisation_name", "Organisation Name", "संगठन का नाम").alias("organisation_name"), text("departments.office_name", "Office Name", "कार्यालय का नाम").alias("office_name"),
         ),
-        "items": F.when(F.size(from_json["items"]) > 0, from_json).otherwise(from_text),
-        "evaluation": F.struct(method.alias("evaluation_method"), schedules.alias("schedules")),
+        "items": F.col("found_items"),
+        "evaluation": F.struct(F.col("method").alias("evaluation_method"), schedules.alias("schedules")),
         "documents": F.struct(F.coalesce(given_list(js, "$.documents.required_from_seller"), required).alias("required_from_seller"), documents_shown.alias("show_uploaded_docs_to_all_bidders"), F.coalesce(given_list(js, "$.documents.attachments"), empty).alias("attachments")),
         "consignees": F.coalesce(F.when(F.size(some_people) > 0, some_people), "people"),
         "relaxations": F.struct(flag("relaxations.mse_relaxation_experience_turnover", "MSE Relaxation", "एमाएसएमई के लिए अनुभव", "एमएसएमई के लिए अनुभव").alias("mse_relaxation_experience_turnover"), flag("relaxations.startup_relaxation_experience_turnover", "Startup Relaxation", "स्टार्टअप के लिए अनुभव").alias("startup_relaxation_experience_turnover")),
@@ -220,4 +228,7 @@ def parse_documents(docs: DataFrame, key: str = "doc", md: str = "md", product_t
             F.coalesce(F.nullif(F.get_json_object(js, "$.terms.disclaimer"), blank), "disclaimer").alias("disclaimer"),
         ),
     }
+    fields = lambda kv: F.struct(emd_total(kv).alias("emd"), *[tables.kv_get(kv, *p).alias(name) for p, name in asked.items()])
+    base = base.withColumn("got", tables.let(F.col("kv"), fields)).withColumn("method", method)
+    base = base.withColumn("found_items", F.when(F.size(from_json["items"]) > 0, from_json).otherwise(from_text))
     return base.select(F.col("doc").alias(key), F.struct(*[v.alias(k) for k, v in pdf.items()]).alias("pdf"))

@@ -39,6 +39,15 @@ def test_html_cells():
     assert html_tables.table_cells(None) == []
 
 
+def test_values_are_looked_up_once(spark):
+    """However often a field's expressions name a value, one expression of the plan finds it among the pairs."""
+    docs = spark.createDataFrame([(1, "", "Goods")], "doc int, md string, product_type string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = sections.parse_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [plan.count(f", {label})") for label in ("evaluation method", "item category", "bid to ra enabled", "total quantity")] == [1] * 4
+
+
 ODD_TABLES = [
     "<table><tr><td>A &amp; B</td><th rowspan=2 colspan=\"3\">x</th></tr><tr><td>n<b>m</b></td>out<td></td></tr></table><td>no</td>", "<table><tr><td>1<td>2<tr><td>3</table>", "<TABLE><TR><TD>a</TD></TR></TABLE>",
     "<table><tr><td>n<table><tr><td>in</td></tr></table></td></tr></table>", "<table><tr><td>a < b</td><td><!-- <td> -->c</td></tr></table>", "<table><tr><td title='<td>'>a</td><td/>b</tr></table>", "<table><tr><td>a</td></tr>", "<table><tr></tr><tr><td>\0</td><td> \t</td></tr></table> &lt;td>",
