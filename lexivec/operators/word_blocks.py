@@ -18,12 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.operators.index import WordIndex
+from lexivec.operators.index import BLOCK, WordIndex
 from lexivec.operators.retrieval import FETCH, K1, B
 from lexivec.operators.scratch import tidied, written
 
 #: Chunks of a range; ranges that are scored first.
 ROWS, FIRST = 64, 16
+#: Postings that one task makes blocks of, about.
+TASK = 4_000_000
 #: Scores are rounded to nine places; a bound that is as far below the n-th best can't reach it.
 SLACK = 1e-6
 
@@ -40,15 +42,16 @@ def blocks(postings: DataFrame, rows: int = ROWS) -> DataFrame:
     sizes = postings.select("chunk_id", "dl").distinct().groupBy(size.alias("size")).agg(F.ceil(F.count("*") / rows).alias("parts"))
     dealt = postings.withColumn("size", size).join(F.broadcast(sizes), "size")
     range_ = F.shiftleft("size", 40) + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
-    grouped = dealt.groupBy("term", range_.alias("range"))
+    # The one exchange, by range: what a word has in a range lies in one task then, and no word has a task of its own.
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // TASK)
+    grouped = dealt.select("term", range_.alias("range"), "chunk_id", "tf", "dl").repartition(parts, "range").groupBy("term", "range")
     return grouped.agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("hits"))
 
 
 def write(words: WordIndex, root: str, rows: int = ROWS) -> None:
-    """Write the blocks of an index, sorted by word."""
-    with tidied(words.postings.sparkSession):
-        made = written(blocks(words.postings, rows), "blocks")
-        made.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{root}/blocks")
+    """Write the blocks of an index, each file sorted by word."""
+    made = blocks(words.postings, rows).sortWithinPartitions("term", "range")
+    made.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", BLOCK).parquet(f"{root}/blocks")
     words.terms.write.mode("overwrite").parquet(f"{root}/terms")
     words.corpus.select("n", "total", "avgdl").write.mode("overwrite").parquet(f"{root}/corpus")
 
