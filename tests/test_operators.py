@@ -215,6 +215,14 @@ def test_reports(spark):
     assert {r.name: r.page for r in known.collect()} == {"a": "Unknown", "b": "Unknown", "c": "3"}
 
 
+def test_files_of_rows(spark, tmp_path):
+    rows = spark.range(50).select(F.concat_ws("/", F.lit("é x"), F.col("id").cast("string"), F.lit("t.md")).alias("path"), F.format_string("text %d\nü", "id").alias("content"))
+    landing.write_files(rows, f"file://{tmp_path}/f")
+    assert {r.id: r.md for r in landing.documents(spark, f"file://{tmp_path}/f").collect()} == {str(i): f"text {i}\nü" for i in range(50)}
+    landing.write_files(rows.limit(0), f"file://{tmp_path}/none")
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_sources(spark, tmp_path):
     for k in ("a", "b"):
         (tmp_path / "md" / k).mkdir(parents=True)
