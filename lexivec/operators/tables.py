@@ -27,9 +27,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_tables(docs: DataFrame, md: str = "md", strip_br: bool = True, name: str = "tables") -> DataFrame:
-    """The documents with their tables, cells cleaned."""
-    parsed = docs.withColumn(name, html_tables(F.col(md), strip_br))
+def with_tables(docs: DataFrame, md: str = "md", strip_br: bool = True, name: str = "tables", having: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """The documents with their tables, cells cleaned. having: what an operator below asks of a header, if it is all that
+    the tables are for; others may be left out."""
+    parsed = docs.withColumn(name, html_tables(F.col(md), strip_br, having))
     header = lambda t: F.get(t["rows"], F.lit(0))["cells"]
     return parsed.withColumn(name, F.transform(name, lambda t: F.struct(t["table_no"].alias("table_no"), header(t).alias("header"), F.lower(F.array_join(header(t), " ")).alias("header_text"), t["rows"].alias("rows"))))
 
@@ -83,6 +84,10 @@ def group_key(name: Column) -> Column:
 
 #: Fixed values here and below: words of tables' headers.
 OFFICER = ("consignee", "reporting", "officer")
+#: What headers have of the tables that schedules, consignees and their sums are read from.
+SCHEDULES = (("evaluation schedules",),)
+CONSIGNEES = (("consignee", "reporting", "परेषिती"), ("quantity", "मात्रा", "माना"))
+SUMS = (("consignee", "परेषिती"), ("quantity", "मात्रा"))
 
 
 def has_any(table: Column, words: Sequence[str]) -> Column:
@@ -137,7 +142,7 @@ def group_schedules(tables: Column) -> Column:
         kept = F.filter(rows, lambda x: x["group_key"].isNotNull() & (x["n"] > 0) & named_item(x))
         return F.when(has_any(t, OFFICER), let(kept, numbered))
 
-    return or_empty(let(first_with(tables, "evaluation schedules"), of), "group_key:string,item_no:int,item_category:string,officer:string,address:string,quantity:string")
+    return or_empty(let(first_with(tables, *SCHEDULES[0]), of), "group_key:string,item_no:int,item_category:string,officer:string,address:string,quantity:string")
 
 
 def item_schedules(tables: Column) -> Column:
@@ -155,7 +160,7 @@ def item_schedules(tables: Column) -> Column:
         last = lambda all_of: F.transform(F.array_distinct(F.transform(all_of, lambda x: x["key"])), lambda k: F.element_at(F.filter(all_of, lambda x: x["key"] == k), -1))
         return F.when(~has_any(t, OFFICER) & has_any(t, ("estimated value", "अनुमानित मूल्य", "item", "वस्तु")), let(keyed, last))
 
-    return or_empty(let(first_with(tables, "evaluation schedules"), of), "key:string,item_category:string,estimated_value:string,quantity:string")
+    return or_empty(let(first_with(tables, *SCHEDULES[0]), of), "key:string,item_category:string,estimated_value:string,quantity:string")
 
 
 def consignees(tables: Column) -> Column:
@@ -169,7 +174,7 @@ def consignees(tables: Column) -> Column:
         fit = lambda r, a: (F.size(r["cells"]) >= 4) & (a["number"].isNull() | (a["number"] >= F.size(r["cells"])) | F.get(r["cells"], a["number"]).rlike(r"^\d+$"))
         return let(at, lambda a: F.transform(F.filter(body(t), lambda r: fit(r, a)), lambda r: F.struct(*[cell_at(r["cells"], a[c]).alias(c) for c in ("officer", "address", "quantity", "delivery")])))
 
-    mine = F.filter(tables, lambda t: has_any(t, ("consignee", "reporting", "परेषिती")) & has_any(t, ("quantity", "मात्रा", "माना")))
+    mine = F.filter(tables, lambda t: has_any(t, CONSIGNEES[0]) & has_any(t, CONSIGNEES[1]))
     person = lambda x: (x["officer"] != "") & ~_any([F.contains(F.lower(x["officer"]), F.lit(w)) for w in ("officer", "consignee", "reporting", "अधिकारी")])
     found = F.filter(F.flatten(F.transform(mine, of)), person)
     return or_empty(let(found, lambda all_of: F.filter(all_of, lambda x, i: F.array_position(all_of, x) == i + 1)), "officer:string,address:string,quantity:string,delivery:string")
@@ -177,7 +182,7 @@ def consignees(tables: Column) -> Column:
 
 def table_quantities(tables: Column) -> Column:
     """table_no, quantity: the sum of the quantities of each consignee table."""
-    mine = F.filter(tables, lambda t: has_any(t, ("consignee", "परेषिती")) & has_any(t, ("quantity", "मात्रा")))
+    mine = F.filter(tables, lambda t: has_any(t, SUMS[0]) & has_any(t, SUMS[1]))
     zero = F.lit(0).cast("long")
     total = lambda t, at: F.aggregate(body(t), zero, lambda n, r: n + F.coalesce(to_int(cell_at(r["cells"], at)), zero))
     return or_empty(F.transform(mine, lambda t: F.struct(t["table_no"].alias("table_no"), let(column_index(t["header"], "quantity", "मात्रा", default=3), lambda at: total(t, at)).alias("quantity"))), "table_no:int,quantity:bigint")
