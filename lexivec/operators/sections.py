@@ -66,17 +66,18 @@ THANKS = r"(?i)thank you"
 
 def terms(docs: DataFrame, md: str = "md") -> DataFrame:
     """The documents with generic and disclaimer: slices between the places of the marks."""
-    one = F.lit(1)
-    text = F.coalesce(F.col(md), F.lit(""))
-    out = docs.withColumn("_atc", find_from(text, HEADING, one))
-    out = out.withColumn("_label", find_from(text, DISCLAIMER, F.coalesce("_atc", one)))
-    out = out.withColumn("_section", F.coalesce("_label", find_from(text, BOILERPLATE, F.coalesce("_atc", one))))
+    one, text, tail = F.lit(1), F.coalesce(F.col(md), F.lit("")), F.col("_tail")
+    # A long text is gone through once; all other marks are sought in what begins with the heading.
+    out = docs.withColumn("_from", F.regexp_extract(text, f"(?s){HEADING}.*", 0))
+    out = out.withColumn("_tail", F.coalesce(F.nullif("_from", F.lit("")), text))
+    out = out.withColumn("_label", find_from(tail, DISCLAIMER, one))
+    out = out.withColumn("_section", F.coalesce("_label", find_from(tail, BOILERPLATE, one)))
     out = out.withColumn("_content", F.when(F.col("_label").isNotNull(), F.col("_label") + F.lit(len("disclaimer"))).otherwise(F.col("_section")))
-    out = out.withColumn("_end", F.coalesce(find_from(text, THANKS, F.coalesce("_content", "_atc", one)), F.length(text) + 1))
-    cut = lambda a, b: trimmed(clean_text(F.substr(text, a, F.greatest(b - a, F.lit(0)))))
-    out = out.withColumn("generic", F.when(F.col("_atc").isNotNull(), cut(F.col("_atc"), F.coalesce("_section", "_end"))).otherwise(F.lit("")))
+    out = out.withColumn("_end", F.coalesce(find_from(tail, THANKS, F.coalesce("_content", one)), F.length(tail) + 1))
+    cut = lambda a, b: trimmed(clean_text(F.substr(tail, a, F.greatest(b - a, F.lit(0)))))
+    out = out.withColumn("generic", F.when(F.col("_from") != "", cut(one, F.coalesce("_section", "_end"))).otherwise(F.lit("")))
     out = out.withColumn("disclaimer", F.when(F.col("_content").isNotNull(), cut(F.col("_content"), F.col("_end"))).otherwise(F.lit("")))
-    return out.drop("_atc", "_label", "_section", "_content", "_end")
+    return out.drop("_from", "_tail", "_label", "_section", "_content", "_end")
 
 
 def emd_total(pairs: Column) -> Column:
