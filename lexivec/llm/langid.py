@@ -38,7 +38,9 @@ STEPS, BATCH, WIDTH = 400, 192, 96
 #: The share of a step's windows that are scrambled.
 SCRAMBLED = 0.25
 #: Windows that advance in step, and floats of their labels at most.
-STEP, FLOATS = 2048, 16_000_000
+STEP, FLOATS = 1024, 16_000_000
+#: Stands for a byte where a text has none.
+PAD = 256
 LETTER = regex.compile(r"\p{L}").search
 UNKNOWN = "und"
 
@@ -72,50 +74,61 @@ class BiGru:
     def weights(self) -> list[np.ndarray]:
         return [self.w, self.u, self.c, self.o, self.b]
 
-    def label(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Probabilities [time, K, windows] of every position of byte windows x [time, windows]; real [time, windows]:
-        which positions are bytes of the text, from the first on. The layers are kept with windows last, so that every
-        step works on rows of memory."""
-        steps, n = x.shape
-        k = self.u.shape[1]
-        half = np.ones(3 * k, np.float32)
-        half[: 2 * k] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        w = [np.ascontiguousarray((v * half).T) for v in self.w]
-        u = np.ascontiguousarray((self.u * half).transpose(0, 2, 1))
-        c = self.c.transpose(0, 2, 1)
-        o = np.ascontiguousarray(self.o[:k].T), np.ascontiguousarray(self.o[k:].T)
-        h, g = np.zeros((2, k, n), np.float32), np.empty((2, 3 * k, n), np.float32)
-        s = np.empty_like(g)
-        logits = np.empty((2, steps, len(self.b), n), np.float32)
-        whole = real.all(1)
-        for t in range(steps):
-            back = steps - 1 - t
-            w[0].take(x[t], 1, out=g[0], mode="clip")
-            w[1].take(x[back], 1, out=g[1], mode="clip")
-            np.matmul(u, h, out=s)
-            zr, m = s[:, : 2 * k], s[:, 2 * k :]
-            zr += g[:, : 2 * k]
+    def label(self, x: np.ndarray, margin: int) -> np.ndarray:
+        """Sums [windows, K] of the labels' probabilities over the bytes of windows. x [margin + time + margin, windows]:
+        their bytes, and those around them from which either layer starts; PAD where the text has none.
+
+        A window's state is a row, so that a byte's inputs are copied as rows of a table, and each gate of both layers is
+        one block of memory. Gates are tanh(x / 2) / 2 + 1 / 2, halved in the weights. PAD's reset gate is 0, and so is its
+        candidate: a layer that hasn't met its text stays at 0."""
+        n, k, out = x.shape[1], self.u.shape[1], len(self.b)
+        wide = len(x) - 2 * margin
+        u, w = (np.ascontiguousarray(v.reshape(2, -1, 3, k).transpose(2, 0, 1, 3)) for v in (self.u, self.w))
+        u *= 0.5
+        w[:2] *= 0.5
+        pad = np.zeros((3, 2, 1, k), np.float32)
+        pad[1] = -100
+        update, reset, candidate = np.concatenate([w, pad], 2).reshape(3, -1, k)
+        c = np.ascontiguousarray(np.broadcast_to(self.c * np.float32(0.5), (2, n, k)))
+        o = np.ascontiguousarray(self.o.reshape(2, k, out))
+        h, s, g = np.zeros((2, n, k), np.float32), np.empty((3, 2, n, k), np.float32), np.empty((2, 2, n, k), np.float32)
+        (z, r, m), zr, rows = s, s[:2], g.reshape(2, 2 * n, k)
+        logits, at = np.empty((wide, 2, n, out), np.float32), np.empty((2, n), np.intp)
+        for t in range(margin + wide):
+            at[0] = x[t]
+            at[1] = x[-1 - t]
+            at[1] += PAD + 1
+            np.matmul(h, u, out=s)
+            update.take(at.ravel(), 0, out=rows[0], mode="clip")
+            reset.take(at.ravel(), 0, out=rows[1], mode="clip")
+            zr += g
             np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
             m += c
-            m *= zr[:, k:]
-            m += g[:, 2 * k :]
+            r *= m
+            m += r
+            candidate.take(at.ravel(), 0, out=rows[0], mode="clip")
+            m += g[0]
             np.tanh(m, out=m)
+            z *= 0.5
+            z += 0.5
             h -= m
-            h *= zr[:, :k]
+            h *= z
             h += m
-            if not whole[back]:
-                h[1] *= real[back]
-            np.matmul(o[0], h[0], out=logits[0, t])
-            np.matmul(o[1], h[1], out=logits[1, back])
-        p = logits[0]
-        p += logits[1]
-        p += self.b[:, None]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        return p
+            if t >= margin:
+                np.matmul(h, o, out=logits[t - margin])
+        total = np.zeros((out, n))
+        for i in range(0, wide, 16):  # few enough positions for the processor's cache
+            j = min(i + 16, wide)
+            ahead, back = logits[i:j, 0], logits[wide - j : wide - i, 1][::-1]
+            p = np.empty((out, j - i, n), np.float32)
+            for q in range(out):
+                np.add(ahead[..., q], back[..., q], out=p[q])
+            p += self.b[:, None, None]
+            p -= p.max(0)
+            np.exp(p, out=p)
+            p *= (x[margin + i : margin + j] != PAD) / p.sum(0)
+            total += p.sum(1)
+        return total.T
 
     def train_step(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the real positions of windows x [windows, time] with labels y, and gradients by
@@ -239,13 +252,12 @@ def predict(net: BiGru | None, texts: list[str | None], width: int = WINDOW, mar
     order = np.argsort(end - start, kind="stable")
     total = np.zeros((len(known), len(net.b)))
     size = max(1, min(STEP, FLOATS // (2 * len(net.b) * int((end - start).max()))))
-    for i in range(0, len(order), size):
-        o = order[i : i + size]
-        x, real = gathered(data, start[o], end[o])
-        p = net.label(np.ascontiguousarray(x.T), np.ascontiguousarray(real.T))
-        at = start[o] + np.arange(len(p))[:, None]
-        p *= ((at >= begin[o]) & (at < stop[o]))[:, None, :]
-        np.add.at(total, owner[o], p.sum(0, dtype=np.float64).T)
+    for o in np.array_split(order, -(-len(order) // size)):
+        around = int(max((begin - start)[o].max(), (end - stop)[o].max()))
+        at = begin[o] - around + np.arange(int((stop - begin)[o].max()) + 2 * around)[:, None]
+        x = data.take(at, mode="clip").astype(np.int16)
+        x[(at < start[o]) | (at >= end[o])] = PAD
+        np.add.at(total, owner[o], net.label(x, around))
     p = (total / total.sum(1, keepdims=True))[:, : len(net.langs)]
     for k, best, score in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
         out[k] = (net.langs[best], round(min(1.0, score), 6))
