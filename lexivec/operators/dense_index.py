@@ -5,7 +5,8 @@ differences to the centres are trained by k-means on at most ``sample`` vectors.
 nearest cell, with its code, in files of a bounded number of rows: a question reads the folders of the cells that promise most for it alone, scores
 codes by sums from a table, and compares the best of them exactly. How many cells (probes) and how many codes a result (depth)
 that takes is measured when the index is trained: the least of a few settings with which sampled vectors find their
-nearest ones among the sample. All cells without codes are exact search.
+nearest ones among the sample. Among more vectors more codes come before a near one's, so a search takes as many
+for each sample's worth of vectors. All cells without codes are exact search.
 
 Tables under a root: model (one row), vectors (cell=, chunk_id, embedding, code, and columns for filters) by segment; a segment is
 there once its model row is. Later segments use the first one's training; an id that comes again is the later one's.
@@ -19,10 +20,11 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
@@ -34,8 +36,10 @@ from lexivec.operators.scratch import tidied, written
 SAMPLE, CELLS, PARTS, CODES, STEPS = 20_000, 4096, 16, 256, 12
 #: Rows of a cell's file.
 FILE_ROWS = 200_000
-#: The share of their nearest that sampled vectors must find.
-RECALL = 0.95
+#: The share of their nearest that sampled vectors must find, together and each.
+RECALL, LEAST = 0.95, 0.8
+#: Bytes of the vectors and of the questions that meet in one group of a search for many, and questions scored at once.
+SHARD, BLOCK, AT_ONCE = 32 << 20, 4 << 20, 64
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -44,6 +48,15 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, 1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
+def leading(scores: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest scores, and of those that differ from the last by rounding alone, in order."""
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - n)[len(scores) - n] - 1e-12) if len(scores) > n else np.arange(len(scores))
+
+
+def matrix(vectors: pa.ChunkedArray, d: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy().reshape(-1, d)
+
+
 def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """At most k centres; one that loses all rows takes the row furthest from its own."""
     rng = np.random.default_rng(seed)
@@ -61,13 +74,16 @@ def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """centres [cells, d]; books: codewords [codes, slice] of each slice; bounds: where slices begin and end."""
+    """centres [cells, d]; books: codewords [codes, slice] of each slice; bounds: where slices begin and end; fitted: vectors
+    among which depth was measured; total: those of the index."""
 
     centres: np.ndarray
     books: list[np.ndarray]
     bounds: np.ndarray
     probes: int = 1
     depth: int = 4
+    fitted: int = 0
+    total: int = 0
 
     @classmethod
     def trained(cls, x: np.ndarray, total: int, k: int = FETCH, recall: float = RECALL) -> Model:
@@ -77,7 +93,7 @@ class Model:
         d = x.shape[1]
         bounds = np.linspace(0, d, min(PARTS, d) + 1).astype(int)
         books = [kmeans(rest[:, a:b], CODES, 2 + i) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-        out = cls(centres, books, bounds)
+        out = cls(centres, books, bounds, fitted=len(x), total=total)
         out.calibrate(x, k, recall)
         return out
 
@@ -94,6 +110,16 @@ class Model:
         """The cells that promise most for a question."""
         return np.argsort(-self.promise(q))[: probes or self.probes].tolist()
 
+    def opened(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """By question (rows) and cell whether it is one of those."""
+        out = np.zeros((len(q), len(self.centres)), bool)
+        np.put_along_axis(out, np.argsort(-self.promise(q), 1)[:, :probes], True, 1)
+        return out
+
+    def compared(self, n: int, rows: int) -> int:
+        """How many of so many rows are compared exactly for n results."""
+        return self.depth * n * max(1, -(-rows // self.fitted) if self.fitted else 1)
+
     def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         rest = x - self.centres[cells]
         return np.stack([nearest(rest[:, a:b], book) for book, a, b in zip(self.books, self.bounds, self.bounds[1:])], 1).astype(np.uint8)
@@ -108,7 +134,7 @@ class Model:
     def calibrate(self, x: np.ndarray, k: int, recall: float) -> None:
         """probes and depth with which sampled vectors find their k nearest in the sample, to this share."""
         rng = np.random.default_rng(9)
-        asked = x[rng.permutation(len(x))[:64]]
+        asked = x[rng.permutation(len(x))[:256]]
         k = min(k, len(x))
         cells = self.cells_of(x)
         codes = self.codes(x, cells)
@@ -117,13 +143,14 @@ class Model:
         near = np.argsort(-self.promise(asked), 1)
         coded = [self.scores(q, codes, cells) for q in asked]
         n = len(self.centres)
+        enough = lambda shares: np.mean(shares) >= recall and min(shares) >= LEAST
         for self.probes in sorted({max(1, -(-n * share // 100)) for share in (1, 2, 5, 10, 20, 35, 50, 70, 85, 100)}):
             open_ = [np.isin(cells, row[: self.probes]) for row in near]
-            if np.mean([np.mean([o[i] for i in b]) for o, b in zip(open_, best)]) < recall:
+            if not enough([o[list(b)].mean() for o, b in zip(open_, best)]):
                 continue
             for self.depth in (2, 4, 8, 16):
                 found = [set(np.argsort(-np.where(o, s, -9))[: self.depth * k].tolist()) for o, s in zip(open_, coded)]
-                if np.mean([len(f & b) / max(len(b), 1) for f, b in zip(found, best)]) >= recall:
+                if enough([len(f & b) / max(len(b), 1) for f, b in zip(found, best)]):
                     return
 
 
@@ -144,7 +171,7 @@ def add(spark: SparkSession, root: str, vectors: DataFrame, keep: Sequence[str]
     with tidied(spark):
         rows = written(unit_rows(vectors.select("chunk_id", "embedding", *keep)), "unit-vectors")
         if known:
-            k, model = known[-1][0] + 1, known[-1][1]
+            k, model = known[-1][0] + 1, known[-1][1] and replace(known[-1][1], total=known[-1][1].total + rows.count())
         else:
             total = rows.count()
             some = rows.select("embedding").orderBy(F.xxhash64("chunk_id")).limit(sample).toArrow()["embedding"]
@@ -192,7 +219,7 @@ class DenseIndex:
             return cls(None, None, 0)
         columns = StructType.fromJson(json.loads(known[0][2]))
         schema = StructType([*columns, StructField("code", BinaryType()), StructField("segment", IntegerType()), StructField("cell", IntegerType())])
-        return cls(spark.read.schema(schema).parquet(f"{root}/vectors").where(F.col("segment") <= known[-1][0]), known[0][1], len(known))
+        return cls(spark.read.schema(schema).parquet(f"{root}/vectors").where(F.col("segment") <= known[-1][0]), known[-1][1], len(known))
 
     def rows(self, cells: Sequence[int] | None, filters: dict[str, str] | None) -> DataFrame:
         """What lies in some cells (None: in all). Of an id that later segments have too the last, if its cell is among them."""
@@ -210,53 +237,65 @@ class DenseIndex:
             near = self.rows(None, filters)
         else:
             cells = self.model.probed(q, probes)
-            model, depth = self.model, self.model.depth * n
+            model, depth = self.model, self.model.compared(n, self.model.total)
 
             def score(codes: pa.Array, where: pa.Array) -> pa.Array:
                 c = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
                 return pa.array(model.scores(q, c, where.to_numpy(zero_copy_only=False)))
 
             by_code = self.rows(cells, filters).select("chunk_id", "cell", F.arrow_udf(score, "double")("code", "cell").alias("about"))
-            # n * depth ids at most; as literals they reach the scan of their cells.
+            # n * depth ids at most for each sample's worth of vectors; as literals they reach the scan of their cells.
             best = by_code.orderBy(F.desc("about")).limit(depth).collect()
             near = self.rows({r.cell for r in best}, filters).where(F.col("chunk_id").isin([r.chunk_id for r in best]))
         found = near.select("chunk_id", cosine(F.col("embedding"), q.tolist()).alias("cos")).orderBy(F.desc("cos"), "chunk_id").limit(n)
         return ranked(found, [F.desc("cos"), F.col("chunk_id")], "dense_rank").select("chunk_id", F.round("cos", 4).alias("semantic"), "dense_rank")
 
     def topn_of_all(self, queries: DataFrame, n: int = FETCH, probes: int | None = None, exact: bool = False) -> DataFrame:
-        """query_id, chunk_id, cos, rank for many questions (query_id, embedding) at once: each goes to its cells, whose
-        files it meets in blocks, and takes the best by code from each; these are compared exactly. exact: all cells, no codes."""
-        model, few = self.model, n if exact else self.model.depth * n
-        probes = len(model.centres) if exact else probes
-
-        def cells(vectors: pa.Array) -> pa.Array:
-            return pa.array([model.probed(np.asarray(v.as_py()), probes) for v in vectors], pa.list_(pa.int32()))
-
-        asked = unit_rows(queries.select("query_id", "embedding")).withColumn("cell", F.explode(F.arrow_udf(cells, "array<int>")("embedding")))
-        rows = self.rows(None, None).select("cell", "chunk_id", "code", "embedding")
-        deals = rows.groupBy("cell").agg(F.ceil(F.count("*") / 20_000).alias("deals"))
-        left = asked.join(deals, "cell").select("query_id", F.col("embedding").alias("q"), "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
-        right = rows.join(deals, "cell").select("cell", "chunk_id", "code", "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("deals")).alias("deal"))
+        """query_id, chunk_id, cos, rank for many questions (query_id, embedding) at once. exact: all cells, no codes."""
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), F.col("chunk_id")))
+        return self.candidates(queries, n, probes, exact).withColumn("rank", place).where(F.col("rank") <= n).select("query_id", "chunk_id", "cos", "rank")
+
+    def candidates(self, queries: DataFrame, n: int = FETCH, probes: int | None = None, exact: bool = False) -> DataFrame:
+        """query_id, chunk_id, cos of the n nearest found in each shard of the vectors, of equal cosines those with smaller
+        chunk_id. A block of questions meets a shard as a group of bounded size, which looks into the cells that promise most
+        for each question and compares the best by code there exactly; rows are as many as questions, shards and n tell, whatever the cells."""
+        model, probes = self.model, probes or self.model.probes
+        d = model.centres.shape[1]
+        asked = unit_rows(queries.select("query_id", "embedding")).withColumnRenamed("embedding", "q")
+        rows = self.rows(None, None).select("chunk_id", "cell", "code", "embedding")
+        most = lambda size: max(1, size // (8 * d))
+        of_asked, cores = asked.count(), rows.sparkSession.sparkContext.defaultParallelism
+        shards = max(1, -(-rows.count() // most(SHARD)))
+        blocks = max(1, -(-of_asked // most(BLOCK)), min(-(-2 * cores // shards), -(-of_asked // AT_ONCE)))
+        mine = lambda key, of, name: F.pmod(F.xxhash64(key), F.lit(of)).cast("int").alias(name)
+        each = lambda of, name: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(name)
+        left = asked.select("query_id", "q", mine("query_id", blocks, "block"), each(shards, "shard"))
+        right = rows.select("chunk_id", "cell", "code", "embedding", mine("chunk_id", shards, "shard"), each(blocks, "block"))
         kind = rows.schema["chunk_id"].dataType.simpleString()
 
         def best(a: pa.Table, b: pa.Table) -> pa.Table:
-            ids, found, about, cosines = [], [], [], []
+            counts, found, cosines = [0] * a.num_rows, [], []
             if a.num_rows and b.num_rows:
+                b = b.take(pc.sort_indices(b["chunk_id"]))  # equal cosines are then in order
+                x, asked_here = matrix(b["embedding"], d), matrix(a["q"], d)
+                cells, few = b["cell"].to_numpy(), model.compared(n, b.num_rows)
                 codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                where = np.full(b.num_rows, b["cell"][0].as_py())
-                x = np.stack(b["embedding"].to_numpy())
-                for query, v in zip(a["query_id"].to_pylist(), a["q"].to_numpy()):
-                    s = x @ v if exact else model.scores(v, codes, where)
-                    top = np.argsort(-s, kind="stable")[:few]
-                    ids += [query] * len(top)
-                    found.append(top)
-                    about.append(s[top])
-                    cosines.append(x[top] @ v)
+                for i in range(0, a.num_rows, AT_ONCE):
+                    some = asked_here[i : i + AT_ONCE]
+                    what = some @ x.T if exact else model.opened(some, probes)
+                    for j, q in enumerate(some):
+                        if exact:
+                            near = leading(what[j], n)
+                        else:
+                            inside = np.flatnonzero(what[j][cells])
+                            near = inside[leading(model.scores(q, codes[inside], cells[inside]), few)]
+                        cos = (x[near] * q).sum(1)
+                        top = np.argsort(-cos, kind="stable")[:n]
+                        counts[i + j] = len(top)
+                        found.append(near[top])
+                        cosines.append(cos[top])
             at = np.concatenate(found) if found else np.zeros(0, np.int64)
-            cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-            return pa.table({"query_id": pa.array(ids, pa.int64()), "chunk_id": b["chunk_id"].take(pa.array(at)), "about": cat(about), "cos": cat(cosines)})
+            ids = a["query_id"].take(pa.array(np.repeat(np.arange(a.num_rows), counts)))
+            return pa.table({"query_id": ids, "chunk_id": b["chunk_id"].take(pa.array(at)), "cos": np.concatenate(cosines) if cosines else np.zeros(0)})
 
-        found = left.groupBy("cell", "deal").cogroup(right.groupBy("cell", "deal")).applyInArrow(best, f"query_id long, chunk_id {kind}, about double, cos double")
-        by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-        coded = found.withColumn("place", by(F.desc("about"), F.col("chunk_id"))).where(F.col("place") <= few)
-        return coded.withColumn("rank", by(F.desc("cos"), F.col("chunk_id"))).where(F.col("rank") <= n).select("query_id", "chunk_id", "cos", "rank")
+        return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(best, f"query_id long, chunk_id {kind}, cos double")

@@ -1,6 +1,7 @@
 """The stored dense index: exact mode, recall, pruning by cells, segments, edges."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,48 @@ def test_a_crowd_aside_is_found():
     for q in asked:
         best = np.argsort(-(x @ q))[:40]
         assert np.isin(cells[best], model.probed(q, len(model.centres) // 2)).mean() >= 0.7
+
+
+def even(n, d=64, seed=3):
+    x = np.random.default_rng(seed).standard_normal((n, d))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def test_codes_find_what_is_near_in_an_index_larger_than_its_sample(spark, tmp_path):
+    """Vectors without clusters, ten times as many as trained on: single questions and many find their nearest."""
+    x = even(12_000)
+    vectors = spark.createDataFrame(pa.table({"chunk_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    root = f"file://{tmp_path}/index"
+    dense_index.add(spark, root, vectors, sample=1_200)
+    found = dense_index.DenseIndex.opened(spark, root)
+    asked = vectors.where("chunk_id % 300 = 0").withColumnRenamed("chunk_id", "query_id")
+    near = {}
+    for r in found.topn_of_all(asked).collect():
+        near.setdefault(r.query_id, set()).add(r.chunk_id)
+    shares = [len(near[k] & set(np.argsort(-(x @ x[k]))[:40].tolist())) / 40 for k in range(0, 12_000, 300)]
+    assert min(shares) >= 0.7 and np.mean(shares) >= 0.9
+    one = {r.chunk_id for r in found.topn(x[300].tolist()).collect()}
+    assert len(one & set(np.argsort(-(x @ x[300]))[:40].tolist())) >= 28
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_rows_between_are_bounded_by_shards_not_by_cells(index, spark, monkeypatch, exact):
+    """Groups of a thousand vectors and forty questions: three or so shards give n rows a question each, and copies go by chunk_id."""
+    found, rows, _ = index
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 3000, 30)], "query_id long, embedding array<double>")
+    want = {tuple(r) for r in found.topn_of_all(asked, n=15, exact=True).select("query_id", "chunk_id", "rank").collect()}
+    monkeypatch.setattr(dense_index, "SHARD", 1000 * 8 * 24)
+    monkeypatch.setattr(dense_index, "BLOCK", 40 * 8 * 24)
+    assert found.candidates(asked, 15, exact=exact).count() <= 100 * 3 * 15
+    got = {tuple(r) for r in found.topn_of_all(asked, n=15, exact=exact).select("query_id", "chunk_id", "rank").collect()}
+    assert got == want if exact else len({r[:2] for r in got} & {r[:2] for r in want}) >= 0.9 * len(want)
+
+
+def test_copies_go_by_chunk_id(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    copy = [0.3, 0.5, 0.7]
+    dense_index.add(spark, root, spark.createDataFrame([(i, copy if i % 2 else [float(i), 1.0, -1.0], "a") for i in range(200, 0, -1)], SCHEMA))
+    found = dense_index.DenseIndex.opened(spark, root)
+    asked = spark.createDataFrame([(1, copy)], "query_id long, embedding array<double>")
+    for exact in (True, False):
+        assert [r.chunk_id for r in found.topn_of_all(asked, n=9, exact=exact).orderBy("rank").collect()] == list(range(1, 18, 2))
